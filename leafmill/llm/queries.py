@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import langid, packing, quality, toxicity
+from leafmill.llm import fingerprint, langid, packing, quality, toxicity
 from leafmill.llm.common import table
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edited(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,7 +31,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality, op6_toxicity, op7_packing, op10_language)}
+    return {f.__name__: f for f in (op3_fingerprint, op5_quality, op6_toxicity, op7_packing, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
