@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import fingerprint, langid, packing, quality, toxicity
+from leafmill.llm import decontaminate, fingerprint, langid, packing, quality, toxicity
 from leafmill.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,8 +35,28 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op5_quality, op6_toxicity, op7_packing, op10_language)}
+    return {f.__name__: f for f in (op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op10_language)}
+
+
+_LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format(c="text")}, []) AS w FROM documents),
+i AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format(c="text")} AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT item_id, size, array_to_string(w[s : s + size - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM iw),
+dw AS (SELECT r, size, s, array_to_string(w[s : s + size - 1], ' ') AS win
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
+m AS (SELECT dw.r, dw.s, dw.size, iw.item_id FROM dw JOIN iw USING (size, win)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + size)) AS p FROM m) GROUP BY r),
+t AS (SELECT r, list_sort(list_distinct(list(item_id))) AS items FROM m GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(len(t.items), 0) AS n_items,
+  sha256(coalesce(array_to_string(t.items, ','), '')) AS items_sha256, h.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_decontamination": OP4_SQL}
