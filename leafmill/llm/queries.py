@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, fingerprint, langid, packing, quality, toxicity
+from leafmill.llm import decontaminate, fingerprint, jaccard, langid, packing, quality, toxicity
 from leafmill.llm.common import table
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_edited(table(spark, sf_dir, "documents"))
 
@@ -35,12 +39,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op10_language)}
+    return {f.__name__: f for f in (op2_jaccard, op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op10_language)}
 
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: Exact: every pair that shares a shingle is counted; components by repeated reachability.
+OP2_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format(c="text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * common >= 80 * (x.n + y.n - common)),
+t AS (SELECT a AS r, b AS o FROM l UNION SELECT t.r, l.b FROM t JOIN l ON t.o = l.a),
+m AS (SELECT t.r, min(d.doc_id) AS low FROM t JOIN d ON d.r = t.o GROUP BY t.r)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)
+"""
+
 OP4_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS.format(c="text")}, []) AS w FROM documents),
 i AS (SELECT row_number() OVER () AS k, CAST(item_id AS VARCHAR) AS item_id, {_WORDS.format(c="text")} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -59,4 +77,4 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    return {"op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL}
