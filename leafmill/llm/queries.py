@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, fingerprint, jaccard, langid, packing, quality, toxicity
+from leafmill.llm import chat, decontaminate, fingerprint, jaccard, langid, licenses, packing, quality, toxicity
 from leafmill.llm.common import table
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents"))
 
@@ -34,17 +38,35 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_jaccard, op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op10_language)}
+    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op8_licenses, op10_language)}
 
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+OP1_SQL = f"""
+WITH t AS (SELECT conv_id, coalesce(turn, 0) // {chat.PART_TURNS} AS part, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role,
+  replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, text) AS i FROM t),
+s AS (SELECT DISTINCT conv_id, part, role AS speaker FROM o WHERE role <> 'system'),
+p AS (SELECT s.conv_id, s.part, s.speaker, o.i, o.role = s.speaker AS own, o.text || '<|end|>' || chr(10) AS body,
+  CASE WHEN o.role = s.speaker THEN '<|assistant|>' WHEN o.role = 'system' THEN '<|system|>' ELSE '<|user:' || o.role || '|>' END || chr(10) AS head
+  FROM s JOIN o ON o.conv_id IS NOT DISTINCT FROM s.conv_id AND o.part = s.part),
+a AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY i) AS stop FROM p)
+SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_trained, string_agg(head || body, '' ORDER BY i) AS rendered,
+  string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (WHERE own) AS mask_spans
+FROM a GROUP BY conv_id, part, speaker
+"""
+
 #: Exact: every pair that shares a shingle is counted; components by repeated reachability.
 OP2_SQL = rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({_LOWER.format(c="text")}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
@@ -77,4 +99,4 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_chat": OP1_SQL, "op8_licenses": licenses.oracle_sql(), "op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL}
