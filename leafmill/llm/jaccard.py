@@ -281,3 +281,16 @@ def components(docs: DataFrame) -> DataFrame:
     by_sid = classes.join(names, "label").select("sid", "component_id")
     rows = found.members.where("n > 0").join(by_sid, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return rows.unionByName(found.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their component: those of its smallest doc_id.
+
+    Rows without words stand for themselves.  Where rows repeat an id, exact repetitions are
+    reduced to one row and different texts under one id all stay.
+    """
+    found = materialize(components(docs), "components")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_leafmill_id")).agg(F.count("*").alias("_leafmill_n"))
+    repeated = not keep.where("_leafmill_n > 1").isEmpty()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_leafmill_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept

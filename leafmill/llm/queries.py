@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import chat, decontaminate, fingerprint, jaccard, langid, licenses, packing, quality, toxicity
+from leafmill.llm import chat, decontaminate, fingerprint, html_extract, jaccard, langid, licenses, packing, quality, toxicity
 from leafmill.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op8_licenses, op10_language)}
+    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op5_quality, op6_toxicity, op7_packing, op8_licenses, op9_html, op10_language)}
 
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
