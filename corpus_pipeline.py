@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import packing, quality, toxicity
+from leafmill.llm import decontaminate, jaccard, packing, quality, toxicity
 from leafmill.llm.common import materialize, table
 
 
@@ -22,11 +22,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component of linked documents, and every row without words."""
+    return jaccard.keep_one(docs)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(docs))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", keep_good), ("toxicity", drop_toxic), ("packing", pack)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality", keep_good), ("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("decontamination", drop_leaked), ("packing", pack)]
 
 #: The classifiers are not expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
