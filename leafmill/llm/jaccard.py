@@ -8,13 +8,19 @@ class of the shingle in a corpus-wide count sketch of fixed size, the rest is it
    its set size and set digest (64 bits of a hash of all keys; copies share it).
 2. One pass emits the prefix of each set, the first n - ceil(t n) + 1 keys.  Grouped by key
    and sorted by size, only keys that two different sets share are kept.
-3. ``join`` meets the sets that share a prefix key, subject to the length and positional
-   filters, and verifies each pair once: a suffix filter on key ranges, then the exact
-   intersection.  ``components`` first verifies each set against the smallest set of its
-   key only, then all pairs that still lie in different components, so a group of k near
-   copies costs about k verifications and not k squared, and no link between components
+3. ``join`` meets the sets that share a prefix key, subject to the length, positional and
+   suffix filters, and verifies each pair once by the exact intersection.  The suffix filter
+   hashes each whole set into ``_RANGES`` ranges: a range that only one set of a pair uses
+   holds a shingle that the other set lacks, which bounds their intersection from above.
+4. ``components`` first verifies each set against the smallest set of its key and against
+   its neighbours in a random order of some of its keys, then all pairs that share a prefix
+   key, pass the filters and still lie in different components.  So a group of k near copies
+   costs a multiple of k verifications and not k squared, and no link between components
    can be missed.
 
+Texts of sets that share a key are picked with a bitmap of fixed size before they are
+shuffled; the bitmap only saves work, a join decides.
+
 Defined cases: null texts and texts without words have an empty set, n_shingles 0 and link
 with nothing; equal sets are one class and link; repeated ids are separate rows; a component
 whose ids are all null has a null id; an empty table gives no rows; whole texts are used.
@@ -26,7 +32,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import materialize
@@ -39,6 +45,11 @@ _SKETCH_BLOCK = 1 << 14
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 500_000
+_RANGES = 512
+_LONGS = _RANGES // 64
+_NEIGHBOUR_KEYS = 12
+_BITMAP_BITS = 27
+_BITMAP_BLOCK = 1 << 17
 
 
 class _Shingler:
@@ -113,6 +124,47 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
+def _bits(batches):
+    """Bitmap of the tkeys of a partition, in blocks."""
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = np.asarray(batch.column("tkey")) & ((1 << _BITMAP_BITS) - 1)
+        for b in np.unique(at // _BITMAP_BLOCK):
+            block = bits.setdefault(int(b), np.zeros(_BITMAP_BLOCK, dtype=bool))
+            block[at[at // _BITMAP_BLOCK == b] % _BITMAP_BLOCK] = True
+    if bits:
+        yield pa.record_batch([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["block", "bits"])
+
+
+def _or_blocks(table: pa.Table) -> pa.Table:
+    total = np.zeros(_BITMAP_BLOCK // 8, dtype=np.uint8)
+    for bits in table.column("bits"):
+        total |= np.frombuffer(bits.as_py(), dtype=np.uint8)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
+
+
+def _signed(batches):
+    """Rows with n and the used ranges of their set as ``_LONGS`` integers."""
+    shingler = _Shingler()
+    for batch in batches:
+        sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
+        used = np.zeros((len(sets), _RANGES), dtype=bool)
+        for i, s in enumerate(sets):
+            used[i, ((s >> np.uint64(20)) % np.uint64(_RANGES)).astype(np.int64)] = True
+        longs = np.packbits(used, axis=1).view("<i8")
+        yield pa.record_batch([batch.column("sid"), batch.column("doc_id"), batch.column("text"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], names=["sid", "doc_id", "text", "n", *_SIGNATURE])
+
+
+_SIGNATURE = tuple(f"g{i}" for i in range(_LONGS))
+
+
+def _may_link(x: str, y: str) -> str:
+    """Suffix filter of sets named by column prefixes: SQL that is false only for pairs that cannot link."""
+    need = f"ceil({PERCENT} * (cast({x}n as long) + {y}n) / {100 + PERCENT})"
+    lacks = lambda a, b: " + ".join(f"bit_count({a}{g} & ~{b}{g})" for g in _SIGNATURE)
+    return f"({x}n - ({lacks(x, y)}) >= {need} AND {y}n - ({lacks(y, x)}) >= {need})"
+
+
 def _prefixes(batches, classes):
     shingler = _Shingler()
     for batch in batches:
@@ -166,7 +218,7 @@ def _shared_keys(batches):
 
 
 def _linked(batches):
-    """Suffix filter on key ranges, then the exact intersection, of the two texts of each pair."""
+    """The exact intersection of the two texts of each pair."""
     shingler = _Shingler()
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
     for batch in batches:
@@ -176,9 +228,6 @@ def _linked(batches):
                 last = (text_b, shingler.hashes(text_b))
             x, y = shingler.hashes(text_a), last[1]
             need = least_common(len(x), len(y))
-            ranges = [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=64) for s in (x, y)]
-            if np.minimum(*ranges).sum() < need:
-                continue
             common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= need:
                 out.append((a, b, common, len(x) + len(y) - common))
@@ -210,8 +259,27 @@ class Shingles:
         sids = self.shared.select("sid").distinct()
         order = F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")
         reps = self.members.join(sids, "sid").groupBy("sid").agg(F.min(order).alias("r")).select("sid", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("tkey"))
-        texts = self.docs.join(reps, "tkey").where(F.col("doc_id").eqNullSafe(F.col("r_id"))).select("sid", "doc_id", "text").dropDuplicates(["sid"])
-        self.texts = materialize(texts, "candidate-texts")
+        reps = materialize(reps, "candidates")
+        blocks = reps.select("tkey").mapInArrow(_bits, "block int, bits binary")
+        blocks = blocks.withColumn("salt", F.spark_partition_id() % 32)
+        for by in (["block", "salt"], ["block"]):
+            blocks = blocks.groupBy(*by).applyInArrow(_or_blocks, "block int, bits binary")
+        bitmap = spark.sparkContext.broadcast({r["block"]: np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool) for r in blocks.collect()})  # a fixed number of bits
+
+        def likely(tkeys: pa.Array) -> pa.Array:
+            at = np.asarray(tkeys) & ((1 << _BITMAP_BITS) - 1)
+            out = np.zeros(len(at), dtype=bool)
+            for b, bits in bitmap.value.items():
+                here = at // _BITMAP_BLOCK == b
+                out[here] = bits[at[here] % _BITMAP_BLOCK]
+            return pa.array(out)
+
+        found = self.docs.where(F.arrow_udf(likely, "boolean")("tkey")).join(reps, "tkey").where(F.col("doc_id").eqNullSafe(F.col("r_id"))).select("sid", "doc_id", "text")
+        repeated = self.members.join(reps, (self.members["tkey"] == reps["tkey"]) & self.members["doc_id"].eqNullSafe(reps["r_id"])).groupBy(reps["sid"]).agg(F.count("*").alias("c")).where("c > 1")
+        if not repeated.isEmpty():  # rows that repeat an id and a text
+            found = found.dropDuplicates(["sid"])
+        signature = ", ".join(f"{g} long" for g in _SIGNATURE)
+        self.texts = materialize(found.mapInArrow(_signed, f"sid long, doc_id {id_type}, text string, n int, {signature}"), "candidate-texts")
 
     @staticmethod
     def _passes(a_n: str, a_pos: str, b_n: str, b_pos: str):
@@ -226,20 +294,35 @@ class Shingles:
         b = self.texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
         return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long, intersection long, union long")
 
-    def star_pairs(self) -> DataFrame:
-        found = self.shared.where("sid <> c_sid").where(self._passes("n", "pos", "c_n", "c_pos"))
-        return found.select(F.col("sid").alias("a"), F.col("c_sid").alias("b")).distinct()
+    def _signatures(self, prefix: str, name: str) -> DataFrame:
+        return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
+
+    def near_pairs(self) -> DataFrame:
+        """Pairs that soon join what belongs together: with the star's centre, and with neighbours in random orders.
+
+        Neighbours are taken on ``_NEIGHBOUR_KEYS`` keys of each set; the pairs left out here are
+        not lost, ``crossing_pairs`` takes up all that still matter.
+        """
+        stars = self.shared.where("sid <> c_sid").where(self._passes("n", "pos", "c_n", "c_pos")).select(F.col("sid").alias("a"), F.col("c_sid").alias("b"))
+        few = Window.partitionBy("sid").orderBy(F.xxhash64("key"), "key")
+        rows = self.shared.select("key", "sid").withColumn("k", F.row_number().over(few)).where(F.col("k") <= _NEIGHBOUR_KEYS)
+        mixed = Window.partitionBy("key").orderBy(F.xxhash64("sid", "key"), "sid")
+        beside = rows.select("sid", F.lag("sid").over(mixed).alias("last")).where("last IS NOT NULL").select(F.greatest("sid", "last").alias("a"), F.least("sid", "last").alias("b"))
+        pairs = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(beside).distinct()
+        signed = pairs.join(self._signatures("x_", "a"), "a").join(self._signatures("y_", "b"), "b")
+        return signed.where(f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) AND {_may_link('x_', 'y_')}").select("a", "b")
 
     def crossing_pairs(self, labels: DataFrame) -> DataFrame:
-        """Pairs that share a prefix key, pass the filters and have different labels (sid, label)."""
-        rows = self.shared.select("key", "sid", "n", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        """Pairs (a > b) that share a prefix key, pass the filters and have different labels (sid, label)."""
+        rows = self.shared.select("key", "sid", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("most")).where("low <> high").select("key", "most")
-        rows = materialize(rows.join(mixed, "key"), "mixed-keys")
-        x, y = rows.where("label <> most").select("key", *(F.col(c).alias(f"x_{c}") for c in ("sid", "n", "pos", "label"))), rows.select("key", *(F.col(c).alias(f"y_{c}") for c in ("sid", "n", "pos", "label")))
-        met = x.join(y, "key").where("x_label <> y_label")
-        smaller = F.expr("(y_n, y_sid) < (x_n, x_sid)")
-        met = met.where((smaller & self._passes("x_n", "x_pos", "y_n", "y_pos")) | (~smaller & self._passes("y_n", "y_pos", "x_n", "x_pos")))
-        return met.select(F.when(smaller, F.col("x_sid")).otherwise(F.col("y_sid")).alias("a"), F.when(smaller, F.col("y_sid")).otherwise(F.col("x_sid")).alias("b")).distinct()
+        rows = materialize(rows.join(mixed, "key").join(self._signatures("", "sid"), "sid"), "mixed-keys")
+        side = ("sid", "n", "pos", "label", *_SIGNATURE)
+        x, y = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in side)) for d, p in ((rows.where("label <> most"), "x"), (rows, "y")))
+        smaller = F.expr("y_n < x_n OR (y_n = x_n AND y_sid < x_sid)")
+        passes = (smaller & self._passes("x_n", "x_pos", "y_n", "y_pos")) | (~smaller & self._passes("y_n", "y_pos", "x_n", "x_pos"))
+        met = x.join(y, (x["key"] == y["key"]) & F.expr("x_label <> y_label") & passes & F.expr(_may_link("x_", "y_")))
+        return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -268,11 +351,11 @@ def join(docs: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id that links reach."""
     found = Shingles(docs)
-    stars = found.star_pairs()
-    links = materialize(found.verify(stars).select("a", "b"), "star-links")
+    near = materialize(found.near_pairs(), "near-pairs")
+    links = materialize(found.verify(near).select("a", "b"), "near-links")
     labels = connected(links)
-    crossing = found.crossing_pairs(labels).join(stars, ["a", "b"], "left_anti")
-    more = materialize(found.verify(crossing).select("a", "b"), "cross-links")
+    crossing = found.crossing_pairs(labels).join(near, ["a", "b"], "left_anti")
+    more = materialize(found.verify(crossing).select("a", "b"), "crossing-links")
     if not more.isEmpty():
         labels = connected(links.union(more))
     smallest = found.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
