@@ -119,7 +119,7 @@ SELECT vec_id, CASE label % 4 WHEN 0 THEN 'book' WHEN 1 THEN 'newspaper' WHEN 2
 FROM {embeddings}""",
     "v_predictions": """
 SELECT d.doc_id AS case_id, concat('img-', CAST(d.doc_id AS STRING)) AS image_key, l.quality AS expected_class, CASE WHEN d.n_chars % 9 > 0 THEN l.quality ELSE 1 - l.quality END AS predicted_class,
-  0.6 + (d.n_chars % 41) / 100.0 AS confidence, 0.7 AS confidence_min, d.lang AS material_type, 0.5 + (d.n_chars % 53) / 100.0 AS iou, 0.75 AS iou_min,
+  CAST(0.6 + (d.n_chars % 41) / 100.0 AS DOUBLE) AS confidence, CAST(0.7 AS DOUBLE) AS confidence_min, d.lang AS material_type, CAST(0.5 + (d.n_chars % 53) / 100.0 AS DOUBLE) AS iou, CAST(0.75 AS DOUBLE) AS iou_min,
   d.n_chars % 4 = 0 AS split_expected, d.n_chars % 4 = 0 OR d.n_chars % 31 = 0 AS split_predicted
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
 }
