@@ -99,7 +99,7 @@ FROM {events} WHERE event_id < 300""",
     "v_observations": """
 SELECT concat(CASE event_type WHEN 'click' THEN 'geometry_a' WHEN 'view' THEN 'geometry_b' WHEN 'purchase' THEN 'rectify' WHEN 'signup' THEN 'layout_a' ELSE 'classify' END,
   CASE WHEN user_id % 2 = 0 THEN '.confidence' ELSE '.latency' END) AS metric, value, ts, event_id AS seq FROM {events}""",
-    "v_baselines": "SELECT metric, avg(value) * 0.9 AS mean, CASE WHEN metric LIKE 'classify%' THEN 0.0 ELSE 1.0 END AS std FROM {v_observations} WHERE metric <> 'rectify.latency' GROUP BY metric",
+    "v_baselines": "SELECT metric, avg(value) * 0.9 AS mean, CAST(CASE WHEN metric LIKE 'classify%' THEN 0.0 ELSE 1.0 END AS DOUBLE) AS std FROM {v_observations} WHERE metric <> 'rectify.latency' GROUP BY metric",
     "v_regions": """
 SELECT CAST(floor(vec_id / 10) AS BIGINT) AS page_id, CAST(vec_id % 10 AS INT) AS pos,
   CASE label % 5 WHEN 0 THEN 'text_block' WHEN 1 THEN 'title' WHEN 2 THEN 'table' WHEN 3 THEN 'image' ELSE 'caption' END AS type,
