@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize
+from leafmill.llm.common import materialize, texts_in
 
 #: Byte map: A-Z to a-z; bytes that are neither digits, letters nor beyond ASCII become blanks.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -61,7 +61,7 @@ def _frequencies(docs: DataFrame, vocabulary) -> np.ndarray:
         size = len(vocabulary.value)
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in texts_in(batch.column("text")):
                 ids = np.fromiter(map(vocabulary.value.get, set(words_of(text)), repeat(-1)), dtype=np.int64)
                 total[ids[ids >= 0]] += 1
         some = np.flatnonzero(total)
@@ -79,7 +79,7 @@ def _index(docs: DataFrame, vocabulary, anchors, reach: int, shortest: int) -> D
         anchor = anchors.value
         for batch in batches:
             counts, offsets, columns = [], [0], []
-            for text in batch.column("text").to_pylist():
+            for text in texts_in(batch.column("text")):
                 words = words_of(text)
                 n = len(words)
                 counts.append(n)

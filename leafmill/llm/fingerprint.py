@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.common import texts_in
+
 WINDOW = 16
 _NEIGHBOURS = 32
 _POPULAR = 8
@@ -163,7 +165,7 @@ def _with_next(batches):
     held = None  # bucket, doc_id, text, chain of the row that waits for its next
     for batch in batches:
         out: list[tuple] = []
-        for bucket, ghost, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "ghost", "doc_id", "text")), strict=True):
+        for bucket, ghost, doc_id, text in zip(*(texts_in(batch.column(c)) for c in ("bucket", "ghost", "doc_id", "text")), strict=True):
             if ghost and (held is None or held[0] != bucket):
                 continue  # a tie of the ghost that was used
             chain = filters(text.encode("utf-8", "replace"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize
+from leafmill.llm.common import materialize, texts_in
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -44,7 +44,7 @@ _SKETCH_BITS = 22
 _SKETCH_BLOCK = 1 << 14
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 150_000
 _RANGES = 512
 _LONGS = _RANGES // 64
 _NEIGHBOUR_KEYS = 12
@@ -103,11 +103,14 @@ def _profile(batches):
     kind = None
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
-        for s in sets:
+        sizes, digests = [], []
+        for text in texts_in(batch.column("text")):
+            s = shingler.hashes(text)
             np.add.at(sketch, _bucket(s), 1)
-        blank = pa.nulls(len(sets), pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("tkey"), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest_of(s) for s in sets], pa.int64()), pa.array([-1] * len(sets), pa.int32()), blank], names=["doc_id", "tkey", "n", "sid", "block", "counts"])
+            sizes.append(len(s))
+            digests.append(digest_of(s))
+        blank = pa.nulls(len(sizes), pa.binary())
+        yield pa.record_batch([batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(digests, pa.int64()), pa.array([-1] * len(sizes), pa.int32()), blank], names=["doc_id", "tkey", "n", "sid", "block", "counts"])
     blocks = sketch.reshape(-1, _SKETCH_BLOCK)
     used = np.flatnonzero(blocks.any(axis=1))
     if len(used):
@@ -147,12 +150,13 @@ def _signed(batches):
     """Rows with n and the used ranges of their set as ``_LONGS`` integers."""
     shingler = _Shingler()
     for batch in batches:
-        sets = [shingler.hashes(t) for t in batch.column("text").to_pylist()]
-        used = np.zeros((len(sets), _RANGES), dtype=bool)
-        for i, s in enumerate(sets):
+        used, sizes = np.zeros((batch.num_rows, _RANGES), dtype=bool), []
+        for i, text in enumerate(texts_in(batch.column("text"))):
+            s = shingler.hashes(text)
+            sizes.append(len(s))
             used[i, ((s >> np.uint64(20)) % np.uint64(_RANGES)).astype(np.int64)] = True
         longs = np.packbits(used, axis=1).view("<i8")
-        yield pa.record_batch([batch.column("sid"), batch.column("doc_id"), batch.column("text"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], names=["sid", "doc_id", "text", "n", *_SIGNATURE])
+        yield pa.record_batch([batch.column("sid"), batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], names=["sid", "doc_id", "text", "n", *_SIGNATURE])
 
 
 _SIGNATURE = tuple(f"g{i}" for i in range(_LONGS))
@@ -170,7 +174,7 @@ def _prefixes(batches, classes):
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
         seen = set()
-        for text in batch.column("text").to_pylist():
+        for text in texts_in(batch.column("text")):
             hashes = shingler.hashes(text)
             n = len(hashes)
             if not n or (sid := digest_of(hashes)) in seen:
@@ -223,7 +227,7 @@ def _linked(batches):
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
     for batch in batches:
         out = []
-        for a, b, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
+        for a, b, text_a, text_b in zip(*(texts_in(batch.column(c)) for c in ("a", "b", "text_a", "text_b")), strict=True):
             if last[0] != text_b:
                 last = (text_b, shingler.hashes(text_b))
             x, y = shingler.hashes(text_a), last[1]

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold
+from leafmill.llm.common import fold, texts_in
 
 _CHUNK = 1024
 _SHORT = 300
@@ -104,7 +104,7 @@ def predict(text: Column, model) -> Column:
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
         encoders = _process_encoders(model)
-        found = [detect(t, encoders) for t in texts.to_pylist()]
+        found = [detect(t, encoders) for t in texts_in(texts)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return run(text)

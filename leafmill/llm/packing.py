@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize
+from leafmill.llm.common import materialize, texts_in
 
 _DIMS, _BITS, _HASHED = 4, 15, 128
-_CACHE_ENTRIES = 300_000
+_CACHE_ENTRIES = 150_000
 
 
 def default_ranks() -> str:
@@ -130,9 +130,8 @@ def _vector(ids: np.ndarray) -> np.ndarray:
 def _tokenised(batches, path: str, end_id: int):
     encode = tokens_of(path)
     for batch in batches:
-        texts = batch.column("text").to_pylist()
         end = np.array([end_id], dtype="<u2").tobytes()
-        ids = [(encode(t) if t else b"") + end for t in texts]
+        ids = [(encode(t) if t else b"") + end for t in texts_in(batch.column("text"))]
         vectors = np.stack([_vector(np.frombuffer(i, dtype="<u2")) for i in ids]) if ids else np.zeros((0, _HASHED))
         grid = np.clip((vectors @ _PROJECTION / 3 + 1) / 2 * (1 << _BITS), 0, (1 << _BITS) - 1)
         yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(hilbert_keys(grid, _BITS), pa.int64()), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=["row", "doc_id", "key", "n", "ids"])

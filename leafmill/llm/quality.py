@@ -186,8 +186,8 @@ def score(text: Column, forest: Forest) -> Column:
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
         done = []
-        for at in range(0, len(texts), 512):  # bounds the rows x trees table
-            part = texts[at : at + 512].to_pylist()
+        for at in range(0, len(texts), 256):  # bounds the rows x trees table
+            part = texts[at : at + 256].to_pylist()
             done.append(forest.probability(np.stack([statistics(t) for t in part])))
         return pa.array(np.concatenate(done) if done else np.zeros(0), pa.float64())
 

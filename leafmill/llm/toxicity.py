@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold, labelled_sample
+from leafmill.llm.common import fold, labelled_sample, texts_in
 
 _WORD = re.compile(r"[^\W\d_]+")
 _BEGINNING = 4
@@ -175,7 +175,7 @@ def _measured(model: ToxicModel, text: str | None) -> list[float]:
 
 def score(text: Column, model) -> Column:
     """Toxicity of each text, 0 to 1; ``model`` is a broadcast ToxicModel."""
-    return F.arrow_udf(lambda texts: pa.array([model.value.probability(t) for t in texts.to_pylist()], pa.float64()), "double")(text)
+    return F.arrow_udf(lambda texts: pa.array([model.value.probability(t) for t in texts_in(texts)], pa.float64()), "double")(text)
 
 
 def passages(docs: DataFrame, model) -> DataFrame:
