@@ -74,7 +74,7 @@ def rolling_drift(observations: DataFrame, baselines: DataFrame, size: int = 200
     w = Window.partitionBy("metric").orderBy("ts", "seq").rowsBetween(1 - size, 0)
     rows = observations.select("metric", "ts", "seq", F.avg("value").over(w).alias("window_mean"), F.count("*").over(w).alias("window_n"))
     far = F.abs(F.col("window_mean") - F.col("mean")) > sigmas * F.col("std")
-    return rows.join(F.broadcast(baselines), "metric", "left").select("metric", "seq", F.round("window_mean", 6).alias("window_mean"), "window_n", F.coalesce((F.col("std") > 0) & far, F.lit(False)).alias("drifted"))
+    return rows.join(F.broadcast(baselines), "metric", "left").select("metric", "seq", F.round("window_mean", 9).alias("window_mean"), "window_n", F.coalesce((F.col("std") > 0) & far, F.lit(False)).alias("drifted"))
 
 
 def baselines(observations: DataFrame, least: int = 200) -> DataFrame:

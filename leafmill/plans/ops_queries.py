@@ -72,7 +72,7 @@ def a13_training_status(t: Tables):
 _DRIFT = "SELECT o.metric, o.seq, avg(value) OVER w AS m, count(*) OVER w AS window_n FROM v_observations o WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)"
 
 
-@query(f"SELECT d.metric, seq, round(m, 6) AS window_mean, window_n, coalesce(b.std > 0 AND abs(m - b.mean) > 3.0 * b.std, false) AS drifted FROM ({_DRIFT}) d LEFT JOIN v_baselines b ON b.metric = d.metric")
+@query(f"SELECT d.metric, seq, round(m, 9) AS window_mean, window_n, coalesce(b.std > 0 AND abs(m - b.mean) > 3.0 * b.std, false) AS drifted FROM ({_DRIFT}) d LEFT JOIN v_baselines b ON b.metric = d.metric")
 def w1_rolling_drift(t: Tables):
     return h.rolling_drift(t.v_observations, t.v_baselines)
 

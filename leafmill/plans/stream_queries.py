@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.sources import readers
+from leafmill.operators import curation
+from leafmill.sources import readers, sinks
+from leafmill.sources.shared import new_path
 from leafmill.streaming import jobs
 from leafmill.plans.registry import Tables, query
 from leafmill.plans.views import VIEWS
@@ -15,9 +17,9 @@ def _stream(t: Tables, view: str):
     return t.spark.sql(VIEWS[view], events=jobs.read(t.spark, f"{t.sf_dir}/events.parquet"))
 
 
-@query("SELECT metric, seq, round(avg(value) OVER w, 6) AS window_mean, count(*) OVER w AS window_n FROM v_observations WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)")
+@query("SELECT metric, seq, round(avg(value) OVER w, 9) AS window_mean, count(*) OVER w AS window_n FROM v_observations WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)")
 def t1_drift_stream(t: Tables):
-    return jobs.run(jobs.drift(_stream(t, "v_observations"), t.v_baselines), "drift").drop("drifted").withColumn("window_mean", F.round("window_mean", 6))
+    return jobs.run(jobs.drift(_stream(t, "v_observations"), t.v_baselines), "drift").drop("drifted").withColumn("window_mean", F.round("window_mean", 9))
 
 
 _KNOWN = ("drift_alert_persistence", "escalation_rate_anomaly", "auto_accept_rate_collapse", "structural_agreement_degradation")
@@ -168,3 +170,46 @@ def s16_ingest_jobs(t: Tables):
     js, ps, bad = readers.ingest_jobs(sub)
     one = lambda d, n: d.agg(F.count("*").alias(n))
     return one(js, "jobs").crossJoin(F.broadcast(one(ps, "pages"))).crossJoin(F.broadcast(one(bad, "rejected")))
+
+
+@query(f"""SELECT family || '/' || material || '/' || part AS place, count(*) AS n FROM (SELECT family, CASE WHEN lower(trim(material_type)) IN ('book','newspaper','microfilm') THEN lower(trim(material_type)) WHEN lower(trim(material_type)) = 'archival_document' THEN 'microfilm' ELSE 'book' END AS material,
+CASE WHEN ('0x' || substr(sha1('42:' || job_id), 1, 8))::BIGINT % 5 = 0 THEN 'val' ELSE 'train' END AS part FROM v_lineage CROSS JOIN (VALUES ('segmentation'), ('pose')) f(family) WHERE human_corrected AND acceptance_decision = 'accepted' AND CASE family WHEN 'pose' THEN geometry_b_used ELSE geometry_a_used END
+AND (coalesce(corr_w > 0 AND corr_h > 0, false) OR coalesce(down_w > 0 AND down_h > 0, false))) GROUP BY 1""")
+def s13_training_set(t: Tables):
+    kept, _ = curation.corrected_set(t.v_lineage, "all")
+    path = new_path(t.spark, "training-set")
+    sinks.write_training_set(kept.withColumn("uri", F.coalesce("output_uri", "otiff_uri")), path)
+    back = t.spark.read.schema("value string, family string, material string, part string").text(f"{path}/labels")
+    return back.groupBy(F.concat_ws("/", "family", "material", "part").alias("place")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, count(*) AS n, round(sum(confidence), 6) AS confidence FROM v_regions GROUP BY 1")
+def s14_layout_documents(t: Tables):
+    path = new_path(t.spark, "layout")
+    sinks.write_layout(t.v_regions, path)
+    rows = t.spark.read.text(path).select(F.from_json("value", "page_id long, regions array<struct<confidence:double>>").alias("d")).select("d.page_id", F.explode("d.regions.confidence").alias("c"))
+    return rows.groupBy("page_id").agg(F.count("*").alias("n"), F.round(F.sum("c"), 6).alias("confidence"))
+
+
+@query("SELECT service_name, count(*) AS n, count(*) FILTER (WHERE stage = 'production') AS approved FROM v_models GROUP BY 1")
+def s3_dataset_registry(t: Tables):
+    path = new_path(t.spark, "registry")
+    rows = t.v_models.select(F.col("version_tag").alias("version"), F.col("service_name").alias("family"), F.lit("u").alias("uri"), F.sha1(F.col("version_tag").cast("binary")).alias("checksum"), (F.col("stage") == "production").alias("approved"), F.col("created_at").cast("string").alias("created_at"))
+    for part in (rows.where("approved"), rows.where("NOT approved")):
+        readers.append_registry(part, path)
+    return readers.registry(t.spark, path).groupBy(F.col("family").alias("service_name")).agg(F.count("*").alias("n"), F.count_if("approved").alias("approved"))
+
+
+def _widest():
+    """A stand-in backend: the box's own area decides its class."""
+
+    def run(batch):
+        area = (batch.x_max - batch.x_min) * (batch.y_max - batch.y_min)
+        return batch[["page_id", "pos"]].assign(label=area.gt(20_000).map({True: "large", False: "small"}))
+
+    return run
+
+
+@query("SELECT page_id, pos, CASE WHEN (x_max - x_min) * (y_max - y_min) > 20000 THEN 'large' ELSE 'small' END AS label FROM v_regions")
+def x1_detector_hook(t: Tables):
+    return sinks.detect(t.v_regions, _widest, "page_id long, pos int, label string")

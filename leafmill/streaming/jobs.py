@@ -64,7 +64,7 @@ def drift_step(means: dict[str, tuple[float, float]], size: int = 200, sigmas: f
             window = [*window[-(size - 1) :], r["value"]]
             mean = sum(window) / len(window)
             base, std = means.get(r["metric"], (0.0, 0.0))
-            out.append({"metric": r["metric"], "seq": r["seq"], "window_mean": round(mean, 6), "window_n": len(window), "drifted": bool(std > 0 and abs(mean - base) > sigmas * std)})
+            out.append({"metric": r["metric"], "seq": r["seq"], "window_mean": round(mean, 12), "window_n": len(window), "drifted": bool(std > 0 and abs(mean - base) > sigmas * std)})
         return {"w": window}, out
 
     return step

@@ -1,6 +1,5 @@
 """Every registered query of the core against its SQL twin on the smallest tables."""
 
-import math
 import os
 
 import duckdb
@@ -21,7 +20,7 @@ def duck(sf):
 
 def rows(df: pd.DataFrame) -> list:
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+        if pd.isna(v):
             return "NULL"
         return f"{v:.9g}" if isinstance(v, float) else str(v)
 
