@@ -99,8 +99,11 @@ def _terms(text: str | None) -> list[str]:
     return [f"w:{w}" for w in sorted(words)] + [f"b:{b}" for b in sorted({w[:_BEGINNING] for w in words})]
 
 
-def _lexicon(sample: DataFrame, prior: float, least_z: float, least_odds: float, max_terms: int) -> list[tuple[str, float]]:
-    """Terms with significant log-odds under a Dirichlet prior that is proportional to their overall share."""
+def _lexicon(sample: DataFrame, prior_share: float, least_z: float, least_odds: float, max_terms: int) -> list[tuple[str, float]]:
+    """Terms with significant log-odds under a Dirichlet prior that is proportional to their overall share.
+
+    The prior weighs as much as ``prior_share`` of the texts, between 10 and 100 of them.
+    """
     split = F.arrow_udf(lambda texts: pa.array([_terms(t) for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
     terms = sample.select(F.explode(split("text")).alias("term"), "label")
     seen = terms.groupBy("term").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
@@ -108,7 +111,7 @@ def _lexicon(sample: DataFrame, prior: float, least_z: float, least_odds: float,
     toxic, every = float(total["t"] or 0), float(total["n"])
     if not toxic or toxic == every:
         return []
-    share = F.col("n") / every
+    share, prior = F.col("n") / every, min(100.0, max(10.0, prior_share * every))
     a = F.lit(prior) * share
     t_odds = F.log((F.col("y") + a) / (toxic + prior - F.col("y") - a))
     c_odds = F.log((F.col("n") - F.col("y") + a) / (every - toxic + prior - (F.col("n") - F.col("y")) - a))
@@ -148,11 +151,11 @@ def _constants(model: ToxicModel, clean: list[tuple[int, list[tuple[int, float]]
         model.k = float(np.clip(math.exp(location), 1e-4, 1.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms: int = 20_000, prior: float = 10.0, least_z: float = 2.0, least_odds: float = 4.0, drift: float = 1.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms: int = 20_000, prior_share: float = 0.03, least_z: float = 2.1, least_odds: float = 4.0, drift: float = 1.0) -> ToxicModel:
     """Learn from at most about ``max_rows`` labelled rows outside the held-out fold; copies count once."""
     sample = labelled_sample(docs, labels, "toxic", fold("_id", 4) != 2, max_rows).dropDuplicates(["text"]).where("text IS NOT NULL")
     model = ToxicModel(drift=drift)
-    for term, odds in _lexicon(sample, prior, least_z, least_odds, max_terms):
+    for term, odds in _lexicon(sample, prior_share, least_z, least_odds, max_terms):
         (model.words if term[0] == "w" else model.beginnings)[term[2:]] = odds
     if not model.words and not model.beginnings:
         return model
