@@ -48,7 +48,7 @@ _CACHE_WORDS = 150_000
 _RANGES = 512
 _LONGS = _RANGES // 64
 _NEIGHBOUR_KEYS = 12
-_BITMAP_BITS = 27
+_BITMAP_BITS = 26
 _BITMAP_BLOCK = 1 << 17
 
 
@@ -268,14 +268,16 @@ class Shingles:
         blocks = blocks.withColumn("salt", F.spark_partition_id() % 32)
         for by in (["block", "salt"], ["block"]):
             blocks = blocks.groupBy(*by).applyInArrow(_or_blocks, "block int, bits binary")
-        bitmap = spark.sparkContext.broadcast({r["block"]: np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)).astype(bool) for r in blocks.collect()})  # a fixed number of bits
+        bitmap = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in blocks.collect()})  # a fixed number of bits, 8 MB at most
 
         def likely(tkeys: pa.Array) -> pa.Array:
             at = np.asarray(tkeys) & ((1 << _BITMAP_BITS) - 1)
             out = np.zeros(len(at), dtype=bool)
-            for b, bits in bitmap.value.items():
+            for b in np.unique(at // _BITMAP_BLOCK):
                 here = at // _BITMAP_BLOCK == b
-                out[here] = bits[at[here] % _BITMAP_BLOCK]
+                inside = at[here] % _BITMAP_BLOCK
+                bits = np.frombuffer(bitmap.value.get(int(b), bytes(_BITMAP_BLOCK // 8)), dtype=np.uint8)
+                out[here] = (bits[inside >> 3] >> (7 - (inside & 7)).astype(np.uint8)) & 1
             return pa.array(out)
 
         found = self.docs.where(F.arrow_udf(likely, "boolean")("tkey")).join(reps, "tkey").where(F.col("doc_id").eqNullSafe(F.col("r_id"))).select("sid", "doc_id", "text")
