@@ -96,7 +96,7 @@ def sampled_vote(ballots: DataFrame, key: str, small: int = 11, share: float = 0
     """All ballots of small groups; else a first sample, accepted at a clear majority, or both samples together."""
     n = F.count("*").over(Window.partitionBy(key))
     take = F.when(n < small, n).otherwise(F.least(F.ceil(n * share), F.lit(most)))
-    rows = ballots.withColumn("take", take).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("pos"), "pos")))
+    rows = ballots.withColumn("take", take).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.sha1(F.col("pos").cast("string").cast("binary")), "pos")))
     one, two = vote(rows.where("r <= take"), key), vote(rows.where("r <= 2 * take"), key)
     clear = F.col("votes") / F.col("total") >= accept
     second = two.select(key, *(F.col(c).alias(f"{c}_2") for c in ("choice", "votes", "total", "confidence")))

@@ -85,17 +85,13 @@ _LAYOUT_SQL = _LAYOUTS.format(t="v_pages")
 
 @query(f"SELECT page_id, (stored->'layout_input'->>'source_page_artifact_uri') IS NOT DISTINCT FROM uri AS fresh FROM ({_LAYOUT_SQL})")
 def p19_fresh_layout(t: Tables):
-    return t.spark.sql(_spark_layouts(), t=t.v_pages).select("page_id", c.fresh_layout(F.col("stored"), F.col("uri")).alias("fresh"))
-
-
-def _spark_layouts() -> str:
-    return _LAYOUTS.replace("{{t}}", "{t}")
+    return t.spark.sql(_LAYOUTS, t=t.v_pages).select("page_id", c.fresh_layout(F.col("stored"), F.col("uri")).alias("fresh"))
 
 
 @query(f"SELECT page_id, CASE WHEN stored LIKE '%keep%' THEN 'keep=k' END AS left_over FROM ({_LAYOUT_SQL})")
 def p21_without_layout(t: Tables):
     m = c.without_layout(F.col("stored"))
-    return t.spark.sql(_spark_layouts(), t=t.v_pages).select("page_id", F.when(m.isNotNull(), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")).alias("left_over"))
+    return t.spark.sql(_LAYOUTS, t=t.v_pages).select("page_id", F.when(m.isNotNull(), F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")).alias("left_over"))
 
 
 @query("""SELECT lineage_id, array_to_string(a, ',') AS allowed, a[1] AS default_source, CASE WHEN list_contains(a, corrected_uri) THEN corrected_uri END AS chosen FROM (SELECT lineage_id, corrected_uri, list_filter([output_uri, CASE WHEN corrected_uri = output_uri THEN NULL ELSE corrected_uri END, otiff_uri], lambda x: x IS NOT NULL) AS a FROM v_lineage WHERE corrected_uri IS NOT NULL)""")
@@ -245,7 +241,12 @@ def a18_vote(t: Tables):
     return gd.vote(t.spark.sql(_BALLOTS, p=t.v_pages).withColumn("confidence", F.col("confidence").cast("double")), "job_id")
 
 
-@query()
+_VOTED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY votes DESC, f) AS o, sum(votes) OVER (PARTITION BY k) AS total FROM (SELECT k, choice, count(*) AS votes, min(pos) AS f FROM b WHERE r <= {n} * take GROUP BY 1, 2)) WHERE o = 1"
+
+
+@query(f"""WITH b AS (SELECT *, CASE WHEN n < 11 THEN n ELSE least(ceil(n * 0.2), 50) END AS take FROM (SELECT collection_id AS k, material_type AS choice, CAST(substr(job_id, 5) AS BIGINT) AS pos, count(*) OVER (PARTITION BY collection_id) AS n,
+row_number() OVER (PARTITION BY collection_id ORDER BY sha1(substr(job_id, 5)), CAST(substr(job_id, 5) AS BIGINT)) AS r FROM v_jobs)), one AS ({_VOTED.format(n=1)}), two AS ({_VOTED.format(n=2)})
+SELECT k AS collection_id, CASE WHEN one.votes / one.total >= 0.7 THEN one.choice ELSE two.choice END AS choice, 0.9::DOUBLE AS confidence, CASE WHEN one.votes / one.total >= 0.7 THEN 1 ELSE 2 END AS rounds FROM one JOIN two USING (k)""")
 def a19_sampled_vote(t: Tables):
     ballots = t.v_jobs.select("collection_id", F.col("material_type").alias("choice"), F.substring("job_id", 5, 20).cast("long").alias("pos"), F.lit(0.9).alias("confidence"))
     return gd.sampled_vote(ballots, "collection_id")
@@ -311,20 +312,24 @@ def c20_sibling_orientation(t: Tables):
 
 
 def _lines(t: Tables):
-    return t.documents.select(F.floor(F.col("doc_id") / 4).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"), "n_chars").select("page_id", "text", ((F.col("n_chars") % 130) / 100.0).alias("conf"))
+    return t.documents.select(F.floor(F.col("doc_id") / 4).alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line", "text"), "n_chars").select("page_id", "text", ((F.col("n_chars") % 130) / 100.0).cast("double").alias("conf"))
 
 
-@query()
+_TEXT = r"""(SELECT CAST(floor(doc_id / 4) AS BIGINT) AS page_id, count(*) AS n_boxes, sum(length(t)) AS n, sum(length(regexp_replace(t, '[^\p{Arabic}]', '', 'g'))) AS a, sum(length(regexp_replace(t, '[^\p{Latin}\p{Nd}]', '', 'g'))) AS l, avg(least(1.0, (n_chars % 130) / 100.0)) AS c
+FROM (SELECT doc_id, n_chars, unnest(string_split(text, chr(10))) AS t FROM documents) GROUP BY 1)"""
+
+
+@query(f"SELECT page_id, CASE WHEN n = 0 THEN 0.0 ELSE round(a / n, 6) END AS arabic_ratio, CASE WHEN n = 0 THEN 0.0 ELSE round(l / n, 6) END AS latin_ratio, CASE WHEN n = 0 THEN 0.0 ELSE round((n - a - l) / n, 6) END AS garbage_ratio, n_boxes, (a + l)::BIGINT AS n_chars, round(c, 6) AS mean_conf FROM {_TEXT}")
 def a28_script_evidence(t: Tables):
     return o.script_evidence(_lines(t))
 
 
-@query()
+@query(f"SELECT page_id, CASE WHEN a + l = 0 OR a = l THEN 'unresolved' WHEN a > l THEN 'rtl' ELSE 'ltr' END AS direction FROM {_TEXT}")
 def a29_reading_direction(t: Tables):
     return o.reading_direction(o.script_evidence(_lines(t)), "page_id")
 
 
-@query()
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{Arabic}]', '', 'g')) AS arabic, length(regexp_replace(text, '[^\p{Latin}\p{Nd}]', '', 'g')) AS latin, length(regexp_replace(text, '[\p{Latin}\p{Nd}\p{Arabic}]', '', 'g')) AS other FROM documents")
 def x2_script_counts(t: Tables):
     return t.documents.select("doc_id", o.script_counts(F.col("text")).alias("c")).select("doc_id", "c.*")
 
