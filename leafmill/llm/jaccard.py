@@ -12,6 +12,7 @@ class of the shingle in a corpus-wide count sketch of fixed size, the rest is it
    suffix filters, and verifies each pair once by the exact intersection.  The suffix filter
    hashes each whole set into ``_RANGES`` ranges: a range that only one set of a pair uses
    holds a shingle that the other set lacks, which bounds their intersection from above.
+   Pairs that pass are tried again with ``_FINE`` ranges before their texts meet.
 4. ``components`` first verifies each set against the smallest set of its key and against
    its neighbours in a random order of some of its keys, then all pairs that share a prefix
    key, pass the filters and still lie in different components.  So a group of k near copies
@@ -47,6 +48,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
 _RANGES = 512
 _LONGS = _RANGES // 64
+_FINE = 4096
 _NEIGHBOUR_KEYS = 12
 _BITMAP_BITS = 26
 _BITMAP_BLOCK = 1 << 17
@@ -150,13 +152,16 @@ def _signed(batches):
     """Rows with n and the used ranges of their set as ``_LONGS`` integers."""
     shingler = _Shingler()
     for batch in batches:
-        used, sizes = np.zeros((batch.num_rows, _RANGES), dtype=bool), []
+        used, sizes, fine = np.zeros((batch.num_rows, _RANGES), dtype=bool), [], []
         for i, text in enumerate(texts_in(batch.column("text"))):
             s = shingler.hashes(text)
             sizes.append(len(s))
             used[i, ((s >> np.uint64(20)) % np.uint64(_RANGES)).astype(np.int64)] = True
+            row = np.zeros(_FINE, dtype=bool)
+            row[((s >> np.uint64(32)) % np.uint64(_FINE)).astype(np.int64)] = True
+            fine.append(np.packbits(row).tobytes())
         longs = np.packbits(used, axis=1).view("<i8")
-        yield pa.record_batch([batch.column("sid"), batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int32()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], names=["sid", "doc_id", "text", "n", *_SIGNATURE])
+        yield pa.record_batch([batch.column("sid"), batch.column("doc_id"), batch.column("text"), pa.array(sizes, pa.int32()), pa.array(fine, pa.binary()), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(_LONGS))], names=["sid", "doc_id", "text", "n", "fine", *_SIGNATURE])
 
 
 _SIGNATURE = tuple(f"g{i}" for i in range(_LONGS))
@@ -169,6 +174,16 @@ def _may_link(x: str, y: str) -> str:
     return f"({x}n - ({lacks(x, y)}) >= {need} AND {y}n - ({lacks(y, x)}) >= {need})"
 
 
+def _fine_passes(n_a: pa.Array, n_b: pa.Array, fine_a: pa.Array, fine_b: pa.Array) -> pa.Array:
+    """Suffix filter on ``_FINE`` ranges: false only for pairs that cannot link."""
+    out = []
+    for x, y, f, g in zip(n_a.to_pylist(), n_b.to_pylist(), fine_a, fine_b, strict=True):
+        f, g = np.frombuffer(f.as_py(), dtype=np.uint8), np.frombuffer(g.as_py(), dtype=np.uint8)
+        need = least_common(x, y)
+        out.append(bool(x - np.bitwise_count(f & ~g).sum() >= need and y - np.bitwise_count(g & ~f).sum() >= need))
+    return pa.array(out, pa.bool_())
+
+
 def _prefixes(batches, classes):
     shingler = _Shingler()
     for batch in batches:
@@ -285,7 +300,7 @@ class Shingles:
         if not repeated.isEmpty():  # rows that repeat an id and a text
             found = found.dropDuplicates(["sid"])
         signature = ", ".join(f"{g} long" for g in _SIGNATURE)
-        self.texts = materialize(found.mapInArrow(_signed, f"sid long, doc_id {id_type}, text string, n int, {signature}"), "candidate-texts")
+        self.texts = materialize(found.mapInArrow(_signed, f"sid long, doc_id {id_type}, text string, n int, fine binary, {signature}"), "candidate-texts")
 
     @staticmethod
     def _passes(a_n: str, a_pos: str, b_n: str, b_pos: str):
@@ -303,6 +318,12 @@ class Shingles:
     def _signatures(self, prefix: str, name: str) -> DataFrame:
         return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of sids that pass the fine suffix filter."""
+        a, b = (self.texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
+        passes = F.arrow_udf(_fine_passes, "boolean")("n_a", "n_b", "fine_a", "fine_b")
+        return pairs.join(a, "a").join(b, "b").where(passes).select("a", "b")
+
     def near_pairs(self) -> DataFrame:
         """Pairs that soon join what belongs together: with the star's centre, and with neighbours in random orders.
 
@@ -320,9 +341,12 @@ class Shingles:
 
     def crossing_pairs(self, labels: DataFrame) -> DataFrame:
         """Pairs (a > b) that share a prefix key, pass the filters and have different labels (sid, label)."""
-        rows = self.shared.select("key", "sid", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("most")).where("low <> high").select("key", "most")
-        rows = materialize(rows.join(mixed, "key").join(self._signatures("", "sid"), "sid"), "mixed-keys")
+        rows = self.shared.select("key", "sid", "n", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("most"), F.min("n").alias("least_n")).where("low <> high").select("key", "most", "least_n")
+        # no set of the key is small enough to meet the others at this position
+        partner = f"greatest(least_n, ceil({PERCENT} * n / 100))"
+        open_rows = rows.join(mixed, "key").where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").drop("n")
+        rows = materialize(open_rows.join(self._signatures("", "sid"), "sid"), "mixed-keys")
         side = ("sid", "n", "pos", "label", *_SIGNATURE)
         x, y = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in side)) for d, p in ((rows.where("label <> most"), "x"), (rows, "y")))
         smaller = F.expr("y_n < x_n OR (y_n = x_n AND y_sid < x_sid)")
@@ -361,7 +385,7 @@ def components(docs: DataFrame) -> DataFrame:
     links = materialize(found.verify(near).select("a", "b"), "near-links")
     labels = connected(links)
     crossing = found.crossing_pairs(labels).join(near, ["a", "b"], "left_anti")
-    more = materialize(found.verify(crossing).select("a", "b"), "crossing-links")
+    more = materialize(found.verify(found.plausible(crossing)).select("a", "b"), "crossing-links")
     if not more.isEmpty():
         labels = connected(links.union(more))
     smallest = found.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
