@@ -1,15 +1,17 @@
 """Licence scans by sentence rules.  Native columns only.
 
-A text is cut into sentences, sentences are normalised (lower case, letters and digits, one
-blank) and mapped to identifiers of known licence sentences; the identifier sequence is then
-matched against ordered rules, the most specific first, and what a rule matched is taken out
+A text is cut into sentences at ``.``, ``!`` or ``?`` with white space and at blank lines; a
+single line break only wraps a line.  Sentences are normalised (lower case, letters and
+digits, one blank) and searched for known licence sentences, so that one-line forms without a
+full stop, and clauses joined by ``;``, are each found in their order; the sequence of their
+identifiers is then matched against ordered rules, the most specific first, and what a rule matched is taken out
 before the next rule is tried.  Everything works within a row: no shuffle, no lookup table
 that grows.
 
 Defined cases: a null or empty text has no sentence and no licence; sentences that are not
-known are skipped, so a known sequence may have other sentences between; a text may hold
-several licences, listed once each in rule order; identifiers without a rule give
-``UNMATCHED``; texts are read whole.
+known are skipped, so a known sequence may have other sentences between; lines without
+letters and digits (a bare comment mark) are blank lines; a text may hold listed once each in rule order; identifiers without a rule give ``UNMATCHED``; texts are
+read whole.
 """
 
 from __future__ import annotations
@@ -97,21 +99,28 @@ RULES = (
 HINT = "licen|copyright|redistribut|warrant|permission|provided|public domain|reserved|endorse|obtain a copy|cc0|creative commons"
 
 
-def sentence_id(sentence: Column) -> Column:
-    """Identifier of a normalised sentence, null if it is not known."""
-    found = F.lit(None).cast("string")
+#: Sentence ends become this mark, which no lower-cased text holds; names such as "Google Inc." go on.
+_MARK = "S"
+_ENDS = r"(?<=[.!?])(?<!\b(?:inc|ltd|llc|corp|co)\.)\s+|\n[^a-z0-9]*\n"
+
+
+def sentence_id(found: Column) -> Column:
+    """Identifier of a found known sentence."""
+    name_of = F.lit(None).cast("string")
     for name, pattern in reversed(SENTENCES):
-        found = F.when(sentence.rlike(pattern), F.lit(name)).otherwise(found)
-    return found
+        name_of = F.when(found.rlike(f"^(?:{pattern})$"), F.lit(name)).otherwise(name_of)
+    return name_of
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_licence_sentences, sentence_ids, licences of every row."""
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    lines = F.split(F.regexp_replace(text, r"([.!?;])[ \t\r]+", "$1\n"), "\n")
-    likely = F.filter(lines, lambda s: s.rlike(HINT))
-    known = F.transform(likely, lambda s: sentence_id(F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))))
-    rows = docs.select("doc_id", F.filter(known, lambda s: s.isNotNull()).alias("ids"))
+    text = F.regexp_replace(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), "\r\n?", "\n")
+    plain = F.regexp_replace(F.regexp_replace(text, _ENDS, _MARK), f"[^a-z0-9{_MARK}]+", " ")
+    likely = F.filter(F.split(plain, _MARK), lambda s: s.rlike(HINT))
+    # at each place the first pattern that fits; a gap in a pattern is as short as it can be
+    pattern = F.lit("|".join(f"(?:{p.replace('.*', '.*?')})" for _, p in SENTENCES))
+    found = F.flatten(F.transform(likely, lambda s: F.regexp_extract_all(s, pattern, F.lit(0))))
+    rows = docs.select("doc_id", F.transform(found, sentence_id).alias("ids"))
     rows = rows.select("doc_id", "ids", F.concat(F.lit(" "), F.array_join(F.transform("ids", lambda s: F.concat(s, F.lit(" "))), " ")).alias("left_0"))
     # an identifier is " ID "; a rule removes its sequence wherever it stands
     columns, left = [], F.col("left_0")

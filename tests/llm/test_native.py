@@ -39,6 +39,78 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Google Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+    "GPL-2.0": """    This program is free software; you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation; either version 2 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+    "GPL-3.0": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+}
+
+
+def test_wrapped_standard_licences(spark):
+    as_comment = {name: "".join(f" * {line}".rstrip() + "\r\n" for line in text.splitlines()) for name, text in WRAPPED.items()}
+    rows = [(name, form) for forms in (WRAPPED, as_comment) for name, form in forms.items()] + [("GPL-2.0", " ".join(WRAPPED["GPL-2.0"].split()))]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(rows)}
+    lines = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nno licence here\n\nPermission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software"
+    (r,) = licenses.scan(spark.createDataFrame([(1, lines)], "doc_id long, text string")).collect()
+    assert (r.sentence_ids, r.licences) == ("SPDX_MIT SPDX_APACHE2", "Apache-2.0,MIT")
+
+
 def test_no_python_in_native_plans(spark, sf):
     for f in (q.op1_chat, q.op8_licenses):
         plan = f(spark, sf)._jdf.queryExecution().toString()
