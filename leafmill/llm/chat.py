@@ -5,20 +5,23 @@ assistant and everyone else as a named user; system turns stay system and have n
 perspective of their own.  ``mask_spans`` are the character ranges [start, end) that a model
 trains on: the assistant's turns with their end markers.
 
-Conversations are cut into parts of ``part_turns`` consecutive turn numbers, and a part is
-rendered for the speakers that it holds.  So no group, however long its conversation, is
-larger than a part, and the output of a part is bounded.
+Conversations are rendered in parts of ``part_turns`` consecutive turns, counted by row, so
+that equal and missing turn numbers do not make a part larger; parts in order of their number
+are the whole dialogue.  Every part is rendered for every participant of the whole
+conversation, and starts with the system turns before it (each text once).  ``n_turns`` counts
+the part's own turns.  Turns are numbered by a sort that can spill; what is gathered is a part,
+the participants and the distinct system turns of a conversation.
 
 Defined cases: a null role is the speaker ``unknown``, a null text is empty, a null turn
 sorts as turn 0, null conversation ids form one conversation; turns with equal numbers sort
 by role and text, and repeated rows are repeated turns; ``<|`` inside texts and names is
-broken up so that it cannot pass for a marker; a part with system turns only has no
+broken up so that it cannot pass for a marker; a conversation with system turns only has no
 perspective; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 END = "<|end|>\n"
@@ -33,10 +36,22 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, system_role: str = "s
     """conv_id, part, speaker, n_turns, n_trained, rendered, mask_spans for every perspective."""
     role = _plain(F.coalesce(F.col("role").cast("string"), F.lit("unknown")))
     number = F.coalesce(F.col("turn").cast("long"), F.lit(0))
-    rows = turns.select("conv_id", F.floor(number / part_turns).alias("part"), F.struct(number.alias("turn"), role.alias("role"), _plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).alias("t"))
-    parts = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    speakers = F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != system_role))
-    seen = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("speaker"))
+    rows = turns.select("conv_id", number.alias("turn"), role.alias("role"), _plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")) - 1)
+    placed = placed.select("conv_id", "role", "text", "at", F.floor(F.col("at") / part_turns).alias("part"))
+    parts = placed.groupBy("conv_id", "part").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("own_turns"),
+        F.collect_set(F.when(F.col("role") != system_role, F.col("role"))).alias("roles"),
+        F.sort_array(F.collect_list(F.when(F.col("role") == system_role, F.struct("at", "text")))).alias("rules"),
+    )
+    whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("rules", F.array_distinct("rules.text"))
+    parts = parts.select(
+        "conv_id", "part", "own_turns", F.array_distinct(F.flatten(F.collect_list("roles").over(whole))).alias("speakers"),
+        F.array_distinct(F.flatten(F.collect_list("rules").over(before))).alias("carried"),
+    )
+    carried = F.transform("carried", lambda x: F.struct(F.lit(system_role), x)).cast("array<struct<role:string,text:string>>")
+    seen = parts.select("conv_id", "part", F.size("own_turns").cast("long").alias("n_turns"), F.concat(carried, "own_turns").alias("turns"), F.explode("speakers").alias("speaker"))
 
     def marker(r: Column) -> Column:
         return F.when(r == F.col("speaker"), F.lit("<|assistant|>\n")).when(r == system_role, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), r, F.lit("|>\n")))
@@ -52,7 +67,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, system_role: str = "s
 
     own = F.filter("pieces", lambda p: p["own"])
     return pieces.select(
-        "conv_id", F.col("part").cast("long").alias("part"), "speaker", F.size("turns").cast("long").alias("n_turns"), F.size(own).cast("long").alias("n_trained"),
+        "conv_id", F.col("part").cast("long").alias("part"), "speaker", "n_turns", F.size(own).cast("long").alias("n_trained"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
         F.array_join(F.aggregate("pieces", start, step)["spans"], ",").alias("mask_spans"),
     )

@@ -22,6 +22,22 @@ def test_long_conversation_is_cut_into_parts(spark):
     assert sum(r.n_trained for r in rows) == 1300
 
 
+def test_parts_hold_the_whole_conversation(spark):
+    turns = [(7, 0, "system", "rules"), (7, 1, "early", "hello")] + [(7, i, "al" if i % 2 else "bo", f"t{i:03}") for i in range(2, 600)] + [(7, 600, "late", "bye"), (7, 601, "system", "more")]
+    ties = [(None, None, "al", f"n{i:04}") for i in range(1100)] + [(8, 0, "system", "alone")]
+    found = chat.rotate(spark.createDataFrame(turns + ties, "conv_id long, turn long, role string, text string"), part_turns=256).collect()
+    by = {(r.conv_id, r.part, r.speaker): r for r in found}
+    assert set(by) == {(7, p, s) for p in range(3) for s in ("early", "al", "bo", "late")} | {(None, p, "al") for p in range(5)}
+    for speaker in ("early", "al", "bo", "late"):
+        text = ["<|system|>\nrules<|end|>\n"] + [f"<|{'assistant' if s == speaker else 'system' if s == 'system' else 'user:' + s}|>\n{t}<|end|>\n" for _, _, s, t in turns[1:]]
+        for p in range(3):
+            r = by[7, p, speaker]
+            assert r.rendered == (text[0] if p else "") + "".join(text[256 * p : 256 * (p + 1)]) and r.n_turns == len(text[256 * p : 256 * (p + 1)])
+            spans = [tuple(map(int, s.split("-"))) for s in r.mask_spans.split(",") if s]
+            assert len(spans) == r.n_trained and all(r.rendered[:a].endswith("<|assistant|>\n") for a, _ in spans)
+    assert [by[None, p, "al"].n_turns for p in range(5)] == [256, 256, 256, 256, 76]
+
+
 def test_rotation_of_repeats_and_nothing(spark):
     df = spark.createDataFrame([(1, 0, "a", "x")] * 2, "conv_id long, turn long, role string, text string")
     assert [r.n_turns for r in chat.rotate(df).collect()] == [2]
