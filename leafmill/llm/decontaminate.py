@@ -12,6 +12,11 @@ Words are maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z bec
 4. The remaining terms of a candidate are intersected at (document, position, term); runs of
    at least a window are exact phrases.
 
+5. A near match is a window of which all but ``size * slop // width`` terms stand in the text at
+   places that differ by at most ``slop``.  Of the rarest terms of a window, two more than may be
+   missing, two or more must then be in place: pairs of such anchors are candidates, and each is
+   verified on the whole text.  No near match is lost; terms that never occur are no anchors.
+
 Texts are told apart by their md5, so copies share one entry in the index and results do not
 depend on how rows were numbered or partitioned.  Test vocabularies are broadcast in blocks of items with at most about ``block_words`` words,
 so nothing that is sent to executors grows with the corpus or the benchmark.
@@ -123,6 +128,49 @@ def _anchors(items: list[tuple[int, list[int]]], df: np.ndarray, width: int) ->
     return sorted(chosen)
 
 
+def _near_anchors(items: list[tuple[int, list[int]]], df: np.ndarray, width: int, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By term: first entry of each term, and item number and position of the anchors for near matches."""
+    chosen: set[tuple[int, int, int]] = set()
+    for k, (_, terms) in enumerate(items):
+        size = min(width, len(terms))
+        missing = size * slop // width
+        for start in range(len(terms) - size + 1):
+            window = sorted(range(start, start + size), key=lambda q: (df[terms[q]], q))
+            known = [q for q in window[: missing + 2] if df[terms[q]]]
+            if len(known) >= 2:  # else more terms are missing than may be
+                chosen.update((terms[q], k, q) for q in known)
+    flat = np.array(sorted(chosen), dtype=np.int64).reshape(-1, 3)
+    return np.searchsorted(flat[:, 0], np.arange(len(df) + 1)), flat[:, 1], flat[:, 2]
+
+
+def _near(ids: np.ndarray, anchors: tuple[np.ndarray, np.ndarray, np.ndarray], items: list[np.ndarray], width: int, slop: int) -> list[tuple[int, int, int]]:
+    """(item number, at, slip) of the best near match of each item; ``ids`` are the terms of a text, -1 for others."""
+    first, item_of, place_of = anchors
+    at = np.flatnonzero(ids >= 0)
+    low, n = first[ids[at]], first[ids[at] + 1] - first[ids[at]]
+    entry = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+    item, place = item_of[entry], place_of[entry]
+    align = np.repeat(at, n) - place
+    order = np.lexsort((place, align, item))
+    item, place, align = item[order], place[order], align[order]
+    pair = np.flatnonzero((item[1:] == item[:-1]) & (align[1:] - align[:-1] <= slop) & (place[1:] != place[:-1]))
+    best: dict[int, tuple[int, int, int]] = {}
+    for k, base in {(int(item[i]), a) for i in pair for a in range(int(align[i + 1]) - slop, int(align[i]) + 1)}:
+        terms = items[k]
+        size = min(width, len(terms))
+        spots = base + np.arange(len(terms)) + np.arange(slop + 1)[:, None]
+        inside = (spots >= 0) & (spots < len(ids))
+        same = inside & (ids[np.where(inside, spots, 0)] == terms)
+        met, slips = same.any(0), same.argmax(0)
+        total = np.concatenate(([0], np.cumsum(met)))
+        count = total[size:] - total[:-size]
+        for start in np.flatnonzero(count >= size - size * slop // width):
+            q = start + np.flatnonzero(met[start : start + size])
+            rank = (-int(count[start]), int(np.ptp(slips[q])), int((base + q + slips[q]).min()))
+            best[k] = min(best.get(k, rank), rank)
+    return [(k, at, slip) for k, (_, slip, at) in sorted(best.items())]
+
+
 class Index:
     """Stored postings of one block of items, and the candidates among them."""
 
@@ -132,7 +180,8 @@ class Index:
         vocabulary: dict[bytes, int] = {}
         coded = [(item, [vocabulary.setdefault(w.encode("utf-8", "replace"), len(vocabulary)) for w in words]) for item, words in rows]
         shared = spark.sparkContext.broadcast(vocabulary)
-        anchors = _anchors(coded, _frequencies(docs, shared), width)
+        self.docs, self.coded, self.vocabulary, self.df = docs, coded, shared, _frequencies(docs, shared)
+        anchors = _anchors(coded, self.df, width)
         mask = np.zeros(len(vocabulary), dtype=bool)
         mask[[t for t, _, _ in anchors]] = True
         shortest = min((min(width, len(terms)) for _, terms in coded), default=1)
@@ -156,11 +205,24 @@ class Index:
         return runs.where(F.col("last") - F.col("first") + 1 >= F.least(F.col("n"), F.lit(self.width))).select("key", "item", "first", "last")
 
     def proximity(self, slop: int) -> DataFrame:
-        """Items of which two anchors occur with offset-adjusted places that differ by 1 to ``slop``: key (md5 of the text), item, at, slip."""
-        near = self.postings.where("anchor").join(F.broadcast(self.anchors), "term").select("key", "item", (F.col("pos") - F.col("q")).alias("align"), "q", "pos")
-        order = Window.partitionBy("key", "item").orderBy("align", "q", "pos")
-        step = near.select("key", "item", "pos", (F.col("align") - F.lag("align").over(order)).alias("slip"), "q", F.lag("q").over(order).alias("before"))
-        return step.where((F.col("slip") > 0) & (F.col("slip") <= slop) & (F.col("q") != F.col("before"))).select("key", "item", F.col("pos").alias("at"), "slip")
+        """Near matches of items without an exact phrase in the text: key (md5 of the text), item, at, slip."""
+        width, vocabulary = self.width, self.vocabulary
+        shared = self.docs.sparkSession.sparkContext.broadcast((_near_anchors(self.coded, self.df, width, slop), [i for i, _ in self.coded], [np.array(terms) for _, terms in self.coded]))
+
+        def find(batches):
+            anchors, names, items = shared.value
+            for batch in batches:
+                out = []
+                for key, text in zip(batch.column("key").to_pylist(), texts_in(batch.column("text")), strict=True):
+                    words = words_of(text)
+                    ids = np.fromiter(map(vocabulary.value.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+                    out += [(key, names[k], at, slip) for k, at, slip in _near(ids, anchors, items, width, slop)]
+                if out:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "item", "at", "slip"])
+
+        text = F.col("text").cast("string")
+        rows = self.docs.select(F.md5(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
+        return rows.mapInArrow(find, "key string, item long, at int, slip int").distinct().join(self.phrases().select("key", "item").distinct(), ["key", "item"], "left_anti")
 
 
 def _indexes(docs: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> tuple[DataFrame, list[Index]]:
@@ -179,10 +241,28 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
 
 
 def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, width: int = 10, block_words: int = 1_000_000) -> DataFrame:
-    """doc_id, item_id, at, slip: neighbouring anchors of an item that stand 1 to ``slop`` words out of place."""
+    """doc_id, item_id, at, slip: near matches of items without an exact phrase in the text.
+
+    ``at`` is the first matched word of the best window (most terms, then least slip, then first),
+    ``slip`` how far its terms are out of place, 0 where words are only replaced.
+    """
     items, found = _indexes(docs, benchmark, width, block_words)
+    return _near_rows(items, found, slop)
+
+
+def _near_rows(items: DataFrame, found: list[Index], slop: int) -> DataFrame:
     near = _union([i.proximity(slop) for i in found])
-    return near.join(items.select("item", "item_id"), "item").join(found[0].stored.select("key", "doc_id"), "key").select("doc_id", "item_id", "at", "slip")
+    listed = near.join(items.select("item", "item_id"), "item").select("key", "item_id", "at", "slip").distinct()  # repeated items count once
+    return listed.join(found[0].stored.select("key", "doc_id"), "key").select("doc_id", "item_id", "at", "slip")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 3, width: int = 10, block_words: int = 1_000_000) -> DataFrame:
+    """doc_id, item_id, kind, at, last, slip: exact phrases (``phrase``) and near matches (``proximity``)."""
+    items, found = _indexes(docs, benchmark, width, block_words)
+    exact = _union([i.phrases() for i in found]).join(items.select("item", "item_id"), "item").join(found[0].stored.select("key", "doc_id"), "key")
+    exact = exact.select("doc_id", "item_id", F.lit("phrase").alias("kind"), F.col("first").cast("int").alias("at"), F.col("last").cast("int").alias("last"), F.lit(0).alias("slip"))
+    near = _near_rows(items, found, slop).select("doc_id", "item_id", F.lit("proximity").alias("kind"), "at", F.lit(None).cast("int").alias("last"), "slip")
+    return exact.unionByName(near)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

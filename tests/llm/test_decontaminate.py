@@ -73,6 +73,49 @@ def test_phrases_and_proximity(spark):
     assert {(r.doc_id, r.item_id) for r in near} <= {(2, "7")}
 
 
+def near_brute(rows, items, slop):
+    out = set()
+    for d, t in rows:
+        for item, text in items:
+            w, terms = words(t), words(text)
+            size = min(10, len(terms))
+            if not size or any(terms[s : s + size] == w[i : i + size] for s in range(len(terms) - size + 1) for i in range(len(w) - size + 1)):
+                continue
+            ranks = []
+            for base in range(-len(terms) - slop, len(w) + 1):
+                spot = [next((x for x in range(slop + 1) if 0 <= base + q + x < len(w) and w[base + q + x] == term), None) for q, term in enumerate(terms)]
+                for s in range(len(terms) - size + 1):
+                    met = [(q, spot[q]) for q in range(s, s + size) if spot[q] is not None]
+                    if len(met) >= size - size * slop // 10:
+                        slips = [x for _, x in met]
+                        ranks.append((-len(met), max(slips) - min(slips), min(base + q + x for q, x in met)))
+            if ranks:
+                out.add((d, None if item is None else str(item), min(ranks)[2], min(ranks)[1]))
+    return out
+
+
+def test_proximity_equals_brute_force(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows, items = corpus()
+    rng = random.Random(5)
+    for k in range(60):  # words replaced by known or unknown ones, put in and left out
+        w = (items[k % 13][1] or "").split()
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(w))
+            w[i : i + rng.randint(0, 1)] = rng.choice([[], ["new"], ["ka"], ["one", "two"]])
+            w = w or ["ka"]
+        rows.append((100 + k, " ".join([prose(800 + k, rng.randint(0, 9)), *w])))
+    rows += [(200, "alpha beta gamma delta epsilon zeta eta theta extra iota kappa lambda"), (201, item.replace("alpha", "x").replace("gamma", "y")), (202, item)]
+    items = [*items, (7, item)]
+    for slop, block_words in ((2, 1_000_000), (3, 60)):
+        found = [tuple(r) for r in decontaminate.proximity_matches(frame(spark, rows).repartition(3), bench(spark, items), slop=slop, block_words=block_words).collect()]
+        want = near_brute(rows, items, slop)
+        assert len(found) == len(set(found)) and set(found) == want
+        assert {(200, "7", 0, 1), (201, "7", 1, 0)} <= want and len(want) > 15
+    both = [(r.doc_id, r.kind) for r in decontaminate.matches(frame(spark, rows), bench(spark, [(7, item)])).collect()]
+    assert sorted(both) == [(200, "proximity"), (201, "proximity"), (202, "phrase")]
+
+
 def test_edge_cases(spark, edge_docs, no_docs):
     items = [(1, edge_rows()[0][1]), (2, "a b")]
     found = [tuple(r) for r in decontaminate.report(edge_docs, bench(spark, items)).collect()]
