@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Set only when the session names no shared folder (local tests).
 _LOCAL_FALLBACK: dict[str, str] = {}
+_BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to shared storage and return a reader of what was written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/leafmill/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**{"compression": "zstd", "parquet.block.size": 16 << 20}).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._leafmill_path = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete what ``materialize`` has written for these frames; nothing may read them later."""
+    for df in stored:
+        jvm, path = df.sparkSession._jvm, df._leafmill_path
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Bound the bytes of an Arrow batch of this session, as texts can be long; a bound that the user has set stays."""
+    if spark.conf.get(_BATCH_BYTES) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_BYTES, most)
 
 
 def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:

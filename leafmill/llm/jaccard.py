@@ -1,23 +1,32 @@
 """N-gram Jaccard join: rare-first prefix filtering on word shingles.
 
-A document's set holds the 64-bit keys of its distinct ``SHINGLE``-word shingles (with fewer
-words: its whole sequence as one).  Keys sort rare-first: their top byte is the frequency
-class of the shingle in a corpus-wide count sketch of fixed size, the rest is its hash.
-
-1. One pass counts every shingle of every document into the sketch and gives each document
-   its set size and set digest (64 bits of a hash of all keys; copies share it).
-2. One pass emits the prefix of each set, the first n - ceil(t n) + 1 keys.  Grouped by key
-   and sorted by size, only keys that two different sets share are kept.
-3. ``join`` meets the sets that share a prefix key, subject to the length, positional and
-   suffix filters, and verifies each pair once by the exact intersection.  The suffix filter
-   hashes each whole set into ``_RANGES`` ranges: a range that only one set of a pair uses
-   holds a shingle that the other set lacks, which bounds their intersection from above.
-   Pairs that pass are tried again with ``_FINE`` ranges before their texts meet.
-4. ``components`` first verifies each set against the smallest set of its key and against
-   its neighbours in a random order of some of its keys, then all pairs that share a prefix
-   key, pass the filters and still lie in different components.  So a group of k near copies
-   costs a multiple of k verifications and not k squared, and no link between components
-   can be missed.
+A document's set holds the 64-bit hashes of its distinct ``SHINGLE``-word shingles (with fewer
+words: its whole sequence as one).  All sets order their shingles alike: first those of a fixed
+share of the hash space (``_SHARE``), rarest first by their exact document frequency among
+different sets; then the rest by hash; last the very common ones by hash.  Any one order gives
+the same links; this one stays rare-first however large the corpus is, as the frequencies are
+aggregated by key and not kept in a table of fixed size.
+
+1. One pass gives each document its set size and set digest (64 bits of a hash of the whole
+   set; copies share it) and counts all shingles in a sketch of fixed size, which tells the
+   very common ones only.  Those are kept out of the frequency count, where one key would
+   bring a large part of all rows to one task.
+2. One pass sends the shingles of the share, and of sets that have too few of them as many
+   more as their prefix takes, to their key, where frequencies are counted; what only one set
+   holds is dropped there.  What is left goes back to its set: its place in the order is the
+   number of dropped ones plus its rank.  A set whose first n - ceil(t n) + 1 shingles are all
+   its own is out.
+3. Prefixes meet by key, subject to the length, positional and suffix filters, and each pair
+   is verified once by the exact intersection.  The suffix filter hashes each whole set into
+   ``_RANGES`` ranges: a range that only one set of a pair uses holds a shingle that the other
+   set lacks, which bounds their intersection from above.  Pairs that pass are tried again with
+   ``_FINE`` ranges before their texts meet.
+4. ``components`` first verifies each set against the smallest set of its key, then those still
+   apart against their neighbours in a random order of some of their keys, then all pairs that
+   share a prefix key, pass the filters and still lie in different components.  So a group of
+   k near copies costs a multiple of k verifications and not k squared, and no link between
+   components can be missed.  Keys are range-partitioned together with the sets that hold them,
+   so that the rows of one key can lie in many tasks.
 
 Texts of sets that share a key are picked with a bitmap of fixed size before they are
 shuffled; the bitmap only saves work, a join decides.
@@ -36,16 +45,23 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, texts_in
+from leafmill.llm.common import discard, materialize, small_batches, texts_in
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
 PERCENT = 80
+#: Sixteenths of the hash space whose shingles come first in the order.
+_SHARE = 5
+#: Frequencies from here on count as equal.
+_TOP = 1 << 12
+#: A shingle is very common if its counter holds more than this, than a 512th of the rows and than eight times the mean.
+_COMMON = 255
 _SKETCH_BITS = 22
 _SKETCH_BLOCK = 1 << 14
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
+_SEEN = 1 << 18
 _RANGES = 512
 _LONGS = _RANGES // 64
 _FINE = 4096
@@ -81,9 +97,12 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - _SKETCH_BITS)).astype(np.int64)
 
 
-def keys_of(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Keys in rare-first order; the same shingle has the same key everywhere."""
-    return np.sort((classes[_bucket(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1)))
+def keys_of(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Keys by class (0: of the share, 1: not, 2: very common) and hash; the same shingle has the same key everywhere."""
+    at = _bucket(hashes)
+    classes = ((hashes >> np.uint64(60)) >= np.uint64(_SHARE)).astype(np.uint64)
+    classes[(common[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1] = 2
+    return np.sort((classes << np.uint64(56)) | (hashes & np.uint64((1 << 56) - 1))).view(np.int64)
 
 
 def digest_of(hashes: np.ndarray) -> int:
@@ -184,56 +203,167 @@ def _fine_passes(n_a: pa.Array, n_b: pa.Array, fine_a: pa.Array, fine_b: pa.Arra
     return pa.array(out, pa.bool_())
 
 
-def _prefixes(batches, classes):
-    shingler = _Shingler()
+def _batch(columns, names: str, kinds) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names.split())
+
+
+_LONG4 = (pa.int64(),) * 4
+
+
+def _entries(batches, common):
+    """(key, sid, 0) of every shingle that counts or that a prefix can hold, and one (any, sid, info) of every set.
+
+    info holds the set's size and how many of its shingles are of the share.  A partition
+    repeats a set only if it is long ago.
+    """
+    shingler, seen = _Shingler(), set()
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        seen = set()
+        out: list[list[np.ndarray]] = [[], [], []]
         for text in texts_in(batch.column("text")):
             hashes = shingler.hashes(text)
             n = len(hashes)
             if not n or (sid := digest_of(hashes)) in seen:
                 continue
+            if len(seen) >= _SEEN:
+                seen.clear()
             seen.add(sid)
-            keys = keys_of(hashes, classes.value)[: prefix_length(n)]
-            for column, value in zip(out, (keys.view(np.int64), np.full(len(keys), sid), np.full(len(keys), n), np.arange(len(keys))), strict=True):
+            keys = keys_of(hashes, common)
+            own = int(np.searchsorted(keys, 1 << 56))
+            keys = keys[: max(own, prefix_length(n))]
+            info = np.zeros(len(keys) + 1, np.int64)
+            info[-1] = (n << 32) | own
+            for column, value in zip(out, (np.append(keys, sid), np.full(len(info), sid), info), strict=True):
                 column.append(value)
-        if seen:
-            yield pa.record_batch([pa.array(np.concatenate(c), k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "sid", "n", "pos"])
+        if out[0]:
+            yield _batch((np.concatenate(c) for c in out), "key sid info", _LONG4[:3])
+
+
+def _frequencies(batches):
+    """Of rows sorted by (key, sid): (sid, rank, key, info) of sets (rank -1) and of keys that two sets hold.
+
+    A key of the share ranks by its frequency, up to ``_TOP``; the others rank by class.
+    """
+    held = [np.zeros(0, np.int64)] * 2  # rows of the last key that are not told yet
+    more = False  # whether earlier rows of that key are told, with rank _TOP
+
+    def told(key, sid):
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.append(first, len(key)))
+        count = size.copy()
+        if more and len(count):
+            count[0] = _TOP
+        count = np.repeat(count, size)
+        keep = count > 1
+        rank = np.where(key >> 56 == 0, np.minimum(count, _TOP), _TOP + (key >> 56))
+        return sid[keep], rank[keep], key[keep], np.zeros(int(keep.sum()), np.int64)
+
+    for batch in batches:
+        key, sid, info = (np.asarray(batch.column(c)) for c in ("key", "sid", "info"))
+        if (sets := info > 0).any():
+            yield _batch((sid[sets], np.full(int(sets.sum()), -1), key[sets], info[sets]), "sid rank key info", _LONG4)
+        key, sid = np.append(held[0], key[~sets]), np.append(held[1], sid[~sets])
+        if not len(key):
+            continue
+        fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
+        key, sid = key[fresh], sid[fresh]
+        cut = int(np.searchsorted(key, key[-1]))
+        if again := len(key) - cut >= _TOP:
+            cut = len(key) - 1
+        if cut:
+            if again:  # the last key's rows before the cut have rank _TOP; what stands before them is whole
+                whole = int(np.searchsorted(key, key[-1]))
+                yield _batch(told(key[:whole], sid[:whole]), "sid rank key info", _LONG4)
+                more = True
+                yield _batch(told(key[whole:cut], sid[whole:cut]), "sid rank key info", _LONG4)
+            else:
+                yield _batch(told(key[:cut], sid[:cut]), "sid rank key info", _LONG4)
+                more = False
+        held = [key[cut:], sid[cut:]]
+    yield _batch(told(*held), "sid rank key info", _LONG4)
+
+
+def _prefixes(batches):
+    """Of rows sorted by (sid, rank, key): (key, sid, n, pos) of each set's prefix, without what only it holds.
+
+    pos is the exact place of a key of the share, and for the others that of the last key before
+    which all are surely counted.
+    """
+
+    def told(sid, rank, key, info):
+        if not len(sid):
+            return
+        first = np.flatnonzero(np.append(True, sid[1:] != sid[:-1]))
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(sid))))
+        n, own = info[first] >> 32, info[first] & 0xFFFFFFFF
+        shared = np.add.reduceat(((rank >= 0) & (rank <= _TOP)).astype(np.int64), first)
+        at = np.arange(len(sid)) - (first + np.add.reduceat((rank < 0).astype(np.int64), first))[of]
+        pos = at + (own - shared)[of]
+        keep = (rank >= 0) & (pos < prefix_length(n)[of])
+        yield _batch((key[keep], sid[keep], n[of][keep], pos[keep]), "key sid n pos", (*_LONG4[:2], pa.int32(), pa.int32()))
+
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in batches:
+        held = [np.append(h, np.asarray(batch.column(c))) for h, c in zip(held, ("sid", "rank", "key", "info"), strict=True)]
+        if len(held[0]):
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            yield from told(*(h[:cut] for h in held))
+            held = [h[cut:] for h in held]
+    yield from told(*held)
 
 
 def _shared_keys(batches):
     """Of rows sorted by (key, n, sid): those whose key two sets share, each set once, with their star's centre.
 
-    The centre is the smallest set of the key; a set too long for the centre starts the next star.
+    The centre is the smallest set of the key; a set too long for the centre starts the next
+    star.  A key can go on in the partitions beside this one: the first and the last key stay
+    whatever is known of them here.
     """
-    held: tuple | None = None  # last distinct row, and whether it is out already
+    held: tuple | None = None  # last distinct row
+    told = True  # whether the rows of its key are kept: for the first key, always
     centre: tuple | None = None
+
+    def kept(key, sid, n, pos, keep):
+        nonlocal centre
+        out = []
+        for i in np.flatnonzero(keep):
+            k, s, m, p = int(key[i]), int(sid[i]), int(n[i]), int(pos[i])
+            if centre is None or centre[0] != k or 100 * centre[2] < PERCENT * m:
+                centre = (k, s, m, p)
+            out.append((k, s, m, p, centre[1], centre[2], centre[3]))
+        if out:
+            yield _batch(zip(*out, strict=True), "key sid n pos c_sid c_n c_pos", (*_LONG4[:2], pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))
+
     for batch in batches:
-        out: list[tuple] = []
         key, sid, n, pos = (np.asarray(batch.column(c)) for c in ("key", "sid", "n", "pos"))
         if held is not None:
-            key, sid, n, pos = (np.concatenate(([v], c)) for v, c in zip(held[0], (key, sid, n, pos), strict=True))
+            key, sid, n, pos = (np.append(v, c) for v, c in zip(held, (key, sid, n, pos), strict=True))
         if not len(key):
             continue
-        fresh = np.ones(len(key), dtype=bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+        fresh = np.append(True, (key[1:] != key[:-1]) | (sid[1:] != sid[:-1]))
         key, sid, n, pos = key[fresh], sid[fresh], n[fresh], pos[fresh]
         same = key[1:] == key[:-1]
-        keep = np.zeros(len(key), dtype=bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        told = held is not None and held[1]
-        keep[0] |= told
-        for i in np.flatnonzero(keep):
-            k, s, m, p = int(key[i]), int(sid[i]), int(n[i]), int(pos[i])
-            if centre is None or centre[0] != k or 100 * centre[2] < PERCENT * m:
-                centre = (k, s, m, p)
-            if i or not told:
-                out.append((k, s, m, p, centre[1], centre[2], centre[3]))
-        held = ((key[-1], sid[-1], n[-1], pos[-1]), bool(keep[-1]))
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "sid", "n", "pos", "c_sid", "c_n", "c_pos"])
+        keep = np.append(same, False) | np.append(False, same)
+        if told:
+            keep |= key == key[0]
+        # the last row waits for what follows
+        yield from kept(key[:-1], sid[:-1], n[:-1], pos[:-1], keep[:-1])
+        held, told = (key[-1:], sid[-1:], n[-1:], pos[-1:]), bool(keep[-1])
+    if held is not None:
+        yield from kept(*held, np.ones(1, bool))
+
+
+def _beside(batches):
+    """Of rows sorted by (key, order): the pairs of neighbours under one key."""
+    last = None
+    for batch in batches:
+        key, sid = np.asarray(batch.column("key")), np.asarray(batch.column("sid"))
+        if last is not None:
+            key, sid = np.append(last[0], key), np.append(last[1], sid)
+        if len(key):
+            last = key[-1:], sid[-1:]
+            pair = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1])
+            x, y = sid[1:][pair], sid[:-1][pair]
+            yield _batch((np.maximum(x, y), np.minimum(x, y)), "a b", _LONG4[:2])
 
 
 def _linked(batches):
@@ -254,53 +384,77 @@ def _linked(batches):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "intersection", "union"])
 
 
+def _bitmap_of(rows: DataFrame) -> dict[int, bytes]:
+    """Bitmap, in blocks, of the tkeys of ``rows``: a fixed number of bits, 8 MB at most."""
+    blocks = rows.select("tkey").mapInArrow(_bits, "block int, bits binary").withColumn("salt", F.spark_partition_id() % 32)
+    for by in (["block", "salt"], ["block"]):
+        blocks = blocks.groupBy(*by).applyInArrow(_or_blocks, "block int, bits binary")
+    return {r["block"]: bytes(r["bits"]) for r in blocks.collect()}
+
+
+def _likely(tkeys: pa.Array, bitmap: dict[int, bytes]) -> pa.Array:
+    """Whether the bitmap has the bit of each tkey."""
+    at = np.asarray(tkeys) & ((1 << _BITMAP_BITS) - 1)
+    out = np.zeros(len(at), dtype=bool)
+    for b in np.unique(at // _BITMAP_BLOCK):
+        here = at // _BITMAP_BLOCK == b
+        inside = at[here] % _BITMAP_BLOCK
+        bits = np.frombuffer(bitmap.get(int(b), bytes(_BITMAP_BLOCK // 8)), dtype=np.uint8)
+        out[here] = (bits[inside >> 3] >> (7 - (inside & 7)).astype(np.uint8)) & 1
+    return pa.array(out)
+
+
+def _common_bits(sketch: DataFrame, common: int) -> np.ndarray:
+    """Which counters of the sketch stand for very common shingles, as packed bits; ``sketch`` has a fixed number of counters."""
+    blocks = sketch.select("block", "counts", (F.spark_partition_id() % 32).alias("salt"))
+    for by in (["block", "salt"], ["block"]):
+        blocks = blocks.groupBy(*by).applyInArrow(_sum_blocks, "block int, counts binary")
+    counts = np.zeros((1 << _SKETCH_BITS) // _SKETCH_BLOCK * _SKETCH_BLOCK, dtype=np.uint32).reshape(-1, _SKETCH_BLOCK)
+    for r in blocks.collect():
+        counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
+    return np.packbits(counts.ravel() > max(common, 8 * counts.mean(dtype=np.float64)))
+
+
 class Shingles:
-    """Set sizes and digests of all documents, and the prefix keys that different sets share."""
+    """Set sizes and digests of all documents, and the prefix keys that different sets share.
+
+    ``close`` deletes what it has written; nothing that reads it can be used after that.
+    """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, common: int = _COMMON):
         spark = docs.sparkSession
+        small_batches(spark)
         id_type = docs.schema["doc_id"].dataType.simpleString()
         text = F.col("text").cast("string")
         self.docs = docs.select("doc_id", F.xxhash64(text).alias("tkey"), text.alias("text"))
-        both = materialize(self.docs.mapInArrow(_profile, f"doc_id {id_type}, tkey long, n long, sid long, block int, counts binary"), "shingle-profile")
-        self.members = both.where("block < 0").select("doc_id", "tkey", "n", "sid")
-        blocks = both.where("block >= 0").select("block", "counts", (F.spark_partition_id() % 32).alias("salt"))
-        for by in (["block", "salt"], ["block"]):
-            blocks = blocks.groupBy(*by).applyInArrow(_sum_blocks, "block int, counts binary")
-        counts = np.zeros((1 << _SKETCH_BITS) // _SKETCH_BLOCK * _SKETCH_BLOCK, dtype=np.float32).reshape(-1, _SKETCH_BLOCK)
-        for r in blocks.collect():  # a fixed number of counters, whatever the input
-            counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
-        classes = np.minimum(np.log2(counts.ravel() + 1) * 8, 255).astype(np.uint8)
-        shared = spark.sparkContext.broadcast(classes)
-        entries = self.docs.select("text").mapInArrow(lambda b: _prefixes(b, shared), "key long, sid long, n int, pos int")
-        entries = entries.repartition("key").sortWithinPartitions("key", "n", "sid")
-        self.shared = materialize(entries.mapInArrow(_shared_keys, "key long, sid long, n int, pos int, c_sid long, c_n int, c_pos int"), "shared-keys")
-        sids = self.shared.select("sid").distinct()
-        order = F.struct(F.col("doc_id").isNull(), "doc_id", "tkey")
-        reps = self.members.join(sids, "sid").groupBy("sid").agg(F.min(order).alias("r")).select("sid", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("tkey"))
+        profile = materialize(self.docs.mapInArrow(_profile, f"doc_id {id_type}, tkey long, n long, sid long, block int, counts binary"), "shingle-profile")
+        self.members = profile.where("block < 0").select("doc_id", "tkey", "n", "sid")
+        bits = _common_bits(profile.where("block >= 0"), max(common, self.members.count() // 512))
+        shared = spark.sparkContext.broadcast(bits.tobytes())
+        entries = self.docs.select("text").mapInArrow(lambda b: _entries(b, np.frombuffer(shared.value, dtype=np.uint8)), "key long, sid long, info long")
+        found = entries.repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_frequencies, "sid long, rank long, key long, info long")
+        found = found.repartition("sid").sortWithinPartitions("sid", "rank", "key").mapInArrow(_prefixes, "key long, sid long, n int, pos int")
+        prefixes = materialize(found, "prefixes")
+        by_key = prefixes.repartitionByRange("key", "n", "sid").sortWithinPartitions("key", "n", "sid")
+        self.shared = materialize(by_key.mapInArrow(_shared_keys, "key long, sid long, n int, pos int, c_sid long, c_n int, c_pos int"), "shared-keys")
+        discard(prefixes)
+        # each set once, by its smallest row; sets are reduced before they meet, however many copies one has
+        once = self.members.where("n > 0").groupBy("sid", "doc_id", "tkey").agg(F.count("*").alias("c"))
+        smallest = once.groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tkey", "c")).alias("r"))
+        reps = smallest.join(self.shared.select("sid").distinct(), "sid").select("sid", F.col("r.doc_id").alias("r_id"), F.col("r.tkey").alias("tkey"), F.col("r.c").alias("c"))
         reps = materialize(reps, "candidates")
-        blocks = reps.select("tkey").mapInArrow(_bits, "block int, bits binary")
-        blocks = blocks.withColumn("salt", F.spark_partition_id() % 32)
-        for by in (["block", "salt"], ["block"]):
-            blocks = blocks.groupBy(*by).applyInArrow(_or_blocks, "block int, bits binary")
-        bitmap = spark.sparkContext.broadcast({r["block"]: bytes(r["bits"]) for r in blocks.collect()})  # a fixed number of bits, 8 MB at most
-
-        def likely(tkeys: pa.Array) -> pa.Array:
-            at = np.asarray(tkeys) & ((1 << _BITMAP_BITS) - 1)
-            out = np.zeros(len(at), dtype=bool)
-            for b in np.unique(at // _BITMAP_BLOCK):
-                here = at // _BITMAP_BLOCK == b
-                inside = at[here] % _BITMAP_BLOCK
-                bits = np.frombuffer(bitmap.value.get(int(b), bytes(_BITMAP_BLOCK // 8)), dtype=np.uint8)
-                out[here] = (bits[inside >> 3] >> (7 - (inside & 7)).astype(np.uint8)) & 1
-            return pa.array(out)
-
-        found = self.docs.where(F.arrow_udf(likely, "boolean")("tkey")).join(reps, "tkey").where(F.col("doc_id").eqNullSafe(F.col("r_id"))).select("sid", "doc_id", "text")
-        repeated = self.members.join(reps, (self.members["tkey"] == reps["tkey"]) & self.members["doc_id"].eqNullSafe(reps["r_id"])).groupBy(reps["sid"]).agg(F.count("*").alias("c")).where("c > 1")
-        if not repeated.isEmpty():  # rows that repeat an id and a text
+        bitmap = spark.sparkContext.broadcast(_bitmap_of(reps))
+        likely = F.arrow_udf(lambda tkeys: _likely(tkeys, bitmap.value), "boolean")
+        found = self.docs.where(likely("tkey")).join(reps.select("sid", "r_id", "tkey"), "tkey").where(F.col("doc_id").eqNullSafe(F.col("r_id"))).select("sid", "doc_id", "text")
+        if not reps.where("c > 1").isEmpty():  # rows that repeat an id and a text
             found = found.dropDuplicates(["sid"])
         signature = ", ".join(f"{g} long" for g in _SIGNATURE)
         self.texts = materialize(found.mapInArrow(_signed, f"sid long, doc_id {id_type}, text string, n int, fine binary, {signature}"), "candidate-texts")
+        discard(reps)
+        self._written = [profile, self.shared, self.texts]
+
+    def close(self) -> None:
+        discard(*self._written)
 
     @staticmethod
     def _passes(a_n: str, a_pos: str, b_n: str, b_pos: str):
@@ -313,40 +467,50 @@ class Shingles:
         """Links among pairs of sids: a, b, intersection, union."""
         a = self.texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
         b = self.texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long, intersection long, union long")
+        met = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
+        return met.mapInArrow(_linked, "a long, b long, intersection long, union long")
 
     def _signatures(self, prefix: str, name: str) -> DataFrame:
         return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of sids that pass the fine suffix filter."""
+        """Pairs of sids that pass the length filter and both suffix filters."""
+        signed = pairs.join(self._signatures("x_", "a"), "a").join(self._signatures("y_", "b"), "b")
+        pairs = signed.where(f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) AND {_may_link('x_', 'y_')}").select("a", "b")
         a, b = (self.texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
         passes = F.arrow_udf(_fine_passes, "boolean")("n_a", "n_b", "fine_a", "fine_b")
         return pairs.join(a, "a").join(b, "b").where(passes).select("a", "b")
 
-    def near_pairs(self) -> DataFrame:
-        """Pairs that soon join what belongs together: with the star's centre, and with neighbours in random orders.
+    def star_pairs(self) -> DataFrame:
+        """Pairs (a > b) of each set with the smallest set of each of its keys."""
+        stars = self.shared.where("sid <> c_sid").where(self._passes("n", "pos", "c_n", "c_pos"))
+        return stars.select(F.greatest("sid", "c_sid").alias("a"), F.least("sid", "c_sid").alias("b")).distinct()
+
+    def neighbour_pairs(self, labels: DataFrame) -> DataFrame:
+        """Pairs (a > b) of different labels that are neighbours in a random order of one of ``_NEIGHBOUR_KEYS`` keys of a set.
 
-        Neighbours are taken on ``_NEIGHBOUR_KEYS`` keys of each set; the pairs left out here are
-        not lost, ``crossing_pairs`` takes up all that still matter.
+        The pairs left out here are not lost, ``crossing_pairs`` takes up all that still matter.
         """
-        stars = self.shared.where("sid <> c_sid").where(self._passes("n", "pos", "c_n", "c_pos")).select(F.col("sid").alias("a"), F.col("c_sid").alias("b"))
         few = Window.partitionBy("sid").orderBy(F.xxhash64("key"), "key")
         rows = self.shared.select("key", "sid").withColumn("k", F.row_number().over(few)).where(F.col("k") <= _NEIGHBOUR_KEYS)
-        mixed = Window.partitionBy("key").orderBy(F.xxhash64("sid", "key"), "sid")
-        beside = rows.select("sid", F.lag("sid").over(mixed).alias("last")).where("last IS NOT NULL").select(F.greatest("sid", "last").alias("a"), F.least("sid", "last").alias("b"))
-        pairs = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(beside).distinct()
-        signed = pairs.join(self._signatures("x_", "a"), "a").join(self._signatures("y_", "b"), "b")
-        return signed.where(f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) AND {_may_link('x_', 'y_')}").select("a", "b")
+        rows = materialize(rows.select("key", "sid", F.xxhash64("sid", "key").alias("order")), "neighbours")
+        self._written.append(rows)
+        beside = rows.repartitionByRange("key", "order", "sid").sortWithinPartitions("key", "order", "sid").mapInArrow(_beside, "a long, b long").distinct()
+        for name in ("a", "b"):
+            beside = beside.join(labels.select(F.col("sid").alias(name), F.col("label").alias(f"label_{name}")), name, "left")
+        return beside.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
 
     def crossing_pairs(self, labels: DataFrame) -> DataFrame:
         """Pairs (a > b) that share a prefix key, pass the filters and have different labels (sid, label)."""
         rows = self.shared.select("key", "sid", "n", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.mode("label").alias("most"), F.min("n").alias("least_n")).where("low <> high").select("key", "most", "least_n")
+        per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        per_key = per_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"), F.min("n").alias("least_n"))
+        mixed = per_key.where("labels > 1").select("key", "most", "least_n")
         # no set of the key is small enough to meet the others at this position
         partner = f"greatest(least_n, ceil({PERCENT} * n / 100))"
         open_rows = rows.join(mixed, "key").where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").drop("n")
         rows = materialize(open_rows.join(self._signatures("", "sid"), "sid"), "mixed-keys")
+        self._written.append(rows)
         side = ("sid", "n", "pos", "label", *_SIGNATURE)
         x, y = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in side)) for d, p in ((rows.where("label <> most"), "x"), (rows, "y")))
         smaller = F.expr("y_n < x_n OR (y_n = x_n AND y_sid < x_sid)")
@@ -364,10 +528,11 @@ def connected(links: DataFrame) -> DataFrame:
         step = labels.join(reached, "sid").select("sid", F.least("label", "near").alias("label"), F.col("label").alias("was"))
         to = labels.select(F.col("sid").alias("label"), F.col("label").alias("root"))
         after = materialize(step.join(to, "label").select("sid", F.least("label", "root").alias("label"), "was"), "labels")
+        discard(labels)
+        labels = after
         if after.where("label <> was").isEmpty():
-            return after.select("sid", "label")
-        labels = after.select("sid", "label")
-
+            discard(edges)
+            return after
 
 def join(docs: DataFrame) -> DataFrame:
     """a, b, intersection, union: every link between two different sets, each named by its smallest doc_id."""
@@ -375,25 +540,40 @@ def join(docs: DataFrame) -> DataFrame:
     every = found.shared.withColumn("label", F.col("sid")).select("sid", "label").distinct()
     links = found.verify(found.crossing_pairs(every))
     name = found.texts.select("sid", "doc_id")
-    return links.join(name.select(F.col("sid").alias("a"), F.col("doc_id").alias("doc_a")), "a").join(name.select(F.col("sid").alias("b"), F.col("doc_id").alias("doc_b")), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "intersection", "union")
+    links = links.join(name.select(F.col("sid").alias("a"), F.col("doc_id").alias("doc_a")), "a")
+    links = links.join(name.select(F.col("sid").alias("b"), F.col("doc_id").alias("doc_b")), "b")
+    links = materialize(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "intersection", "union"), "jaccard-links")
+    found.close()
+    return links
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id that links reach."""
-    found = Shingles(docs)
-    near = materialize(found.near_pairs(), "near-pairs")
-    links = materialize(found.verify(near).select("a", "b"), "near-links")
+def components(docs: DataFrame, common: int = _COMMON) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; component_id is the smallest doc_id that links reach.
+
+    ``common`` is the least document frequency from which a shingle can count as very common;
+    it moves work about and changes no result.
+    """
+    found = Shingles(docs, common)
+    links = materialize(found.verify(found.plausible(found.star_pairs())).select("a", "b"), "star-links")
     labels = connected(links)
-    crossing = found.crossing_pairs(labels).join(near, ["a", "b"], "left_anti")
-    more = materialize(found.verify(found.plausible(crossing)).select("a", "b"), "crossing-links")
-    if not more.isEmpty():
-        labels = connected(links.union(more))
-    smallest = found.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    for pairs in (found.neighbour_pairs, found.crossing_pairs):
+        more = materialize(found.verify(found.plausible(pairs(labels))).select("a", "b"), "more-links")
+        if more.isEmpty():
+            discard(more)
+            continue
+        every = materialize(links.union(more), "links")
+        discard(links, more, labels)
+        links, labels = every, connected(every)
+    smallest = found.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     classes = materialize(smallest, "classes")
     names = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
     by_sid = classes.join(names, "label").select("sid", "component_id")
     rows = found.members.where("n > 0").join(by_sid, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return rows.unionByName(found.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = rows.unionByName(found.members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    rows = materialize(rows, "components")
+    discard(links, labels, classes)
+    found.close()
+    return rows
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -402,7 +582,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without words stand for themselves.  Where rows repeat an id, exact repetitions are
     reduced to one row and different texts under one id all stay.
     """
-    found = materialize(components(docs), "components")
+    found = components(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_leafmill_id")).agg(F.count("*").alias("_leafmill_n"))
     repeated = not keep.where("_leafmill_n > 1").isEmpty()
     kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_leafmill_id")), "left_semi")

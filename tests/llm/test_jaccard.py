@@ -1,6 +1,8 @@
 import random
 import re
 
+import pyarrow as pa
+import pytest
 from conftest import SCHEMA, edge_rows, prose
 from leafmill.llm import jaccard
 
@@ -53,13 +55,43 @@ def key(r):
     return tuple((x is None, x or 0) for x in r)
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("common", [255, 3, 0])
+def test_components_equal_brute_force(spark, common):
     rows = corpus()
     df = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(5)
-    found = [tuple(r) for r in jaccard.components(df).select("doc_id", "n_shingles", "component_id").collect()]
+    found = [tuple(r) for r in jaccard.components(df, common).select("doc_id", "n_shingles", "component_id").collect()]
     assert sorted(found, key=key) == sorted(brute(rows)[0], key=key)
 
 
+def batches_of(rows, names, size):
+    """Arrow batches of ``size`` rows each, the first one empty."""
+    for part in ([], *(rows[at : at + size] for at in range(0, len(rows), size))):
+        yield pa.record_batch([pa.array([r[i] for r in part], pa.int64()) for i in range(len(names))], names=names)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+@pytest.mark.parametrize("top", [2, 5, 4096])
+def test_frequencies_equal_brute_force(monkeypatch, size, top):
+    monkeypatch.setattr(jaccard, "_TOP", top)
+    rng = random.Random(size)
+    rows = sorted({(rng.randrange(6) + (rng.randrange(3) << 56), rng.randrange(-9, 9), 0) for _ in range(60)} | {(-5, -5, 7 << 32), (3, 8, 9 << 32)})
+    rows = sorted(rows + rng.sample(rows, 10))
+    df = {k: len({s for q, s, i in rows if q == k and not i}) for k, _, _ in rows}
+    want = sorted([(s, -1, k, i) for k, s, i in rows if i] + [(s, min(df[k], top) if k >> 56 == 0 else top + (k >> 56), k, 0) for k, s in {(k, s) for k, s, i in rows if not i} if df[k] > 1])
+    found = [tuple(r.values()) for b in jaccard._frequencies(batches_of(rows, ["key", "sid", "info"], size)) for r in b.to_pylist()]
+    assert sorted(found) == want
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_shared_keys_keep_border_keys_and_every_shared_row(size):
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(12), rng.randrange(5, 30), rng.randrange(40), 0) for _ in range(40))
+    sets = [(k, s, n, p) for k, n, s, p in rows]
+    found = {(r["key"], r["sid"]) for b in jaccard._shared_keys(batches_of(sets, ["key", "sid", "n", "pos"], size)) for r in b.to_pylist()}
+    many = {k for k in range(12) if len({(s, n) for q, s, n, _ in sets if q == k}) > 1} | {sets[0][0], sets[-1][0]}
+    assert found == {(k, s) for k, s, _, _ in sets if k in many}
+
+
 def test_join_returns_every_link_between_different_sets(spark):
     rows = corpus()
     _, links, sets = brute(rows)
