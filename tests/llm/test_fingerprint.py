@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 from conftest import SCHEMA, edge_rows, prose
 from leafmill.llm import fingerprint as fp
+from pyspark.sql import functions as F
 
 
 def brute(rows):
@@ -49,6 +50,71 @@ def test_ranks_are_entropies():
             assert abs(rank[s] / (fp._SCALE * fp.WINDOW) - entropy) < 0.05
 
 
+def brute_features(data):
+    """Every step spelled out, one window at a time, over the whole text."""
+    w = fp.WINDOW
+    data = data.ljust(w, b"\0")
+    windows = [data[i : i + w] for i in range(len(data) - w + 1)]
+
+    def rank(window):
+        seen, total = Counter(), 0
+        for b in window:
+            seen[b] += 1
+            total += fp._GAIN[seen[b]]
+        left = fp._MOST - min(total, fp._MOST)
+        return left if left >= int(fp._WEAK * fp._SCALE * w) else 0
+
+    def mixed(window):
+        m = int.from_bytes(window, "little") * 0xFF51AFD7ED558CCD % 2**64
+        m ^= m >> 32
+        m = m * 0xC4CEB9FE1A85EC53 % 2**64
+        return m ^ m >> 29
+
+    ranks, hashes = [rank(x) for x in windows], [mixed(x) for x in windows]
+    points, span = Counter(), min(fp._NEIGHBOURS, len(windows))
+    runs = len(windows) - span + 1
+    for s in range(runs):
+        best = max(range(s, s + span), key=lambda i: (ranks[i], -i))
+        if ranks[best]:
+            points[best] += 1
+    first = {}
+    for i, m in enumerate(hashes):
+        first.setdefault(m, i)
+    rarest = sorted(first, key=lambda m: (-ranks[first[m]], m))[: fp._LEAST]
+    places = {i for i, n in points.items() if n >= min(fp._POPULAR, runs)} | {first[m] for m in rarest}
+    out = []
+    for i in sorted(places):
+        if hashes[i] not in out:
+            out.append(hashes[i])
+    return out
+
+
+def test_features_equal_brute_force(monkeypatch):
+    texts = [prose(s, n).encode() for s, n in ((1, 1), (2, 3), (3, 9), (4, 40), (5, 130), (6, 400))]
+    texts += [b"", b"a", b"aaaaaaa", b"a" * 300, b"ab" * 90, prose(7, 60).encode() * 5, "é\U0001f600".encode() * 9, bytes(range(256)) * 2]
+    for block in (1 << 19, 64, 100):  # block edges must not show
+        monkeypatch.setattr(fp, "_BLOCK", block)
+        for t in texts:
+            assert fp.features(t).tolist() == brute_features(t)
+
+
+def test_two_bytes_less_stay_alike_at_every_length():
+    text = prose(11, 400).encode()
+    chains = {n: fp.filters(text[:n]) for n in range(98, 1001)}
+    assert min(fp.likeness(chains[n], chains[n - 2]) for n in range(100, 1001)) > 0.8
+    assert fp.likeness(chains[321], chains[319]) > 0.8 and fp.likeness(chains[320], chains[318]) > 0.8
+
+
+def test_textual_ids_and_null_fingerprints(spark):
+    rows = [(i, f"k{i:02d}" if i else None, prose(i, 30)) for i in range(9)]
+    named, numbered = (spark.createDataFrame([(r[k], r[2]) for r in rows], f"doc_id {t}, text string") for k, t in ((1, "string"), (0, "long")))
+    a, b = ({r.fingerprint: (r.edited_sha256, r.near_edited, r.near_next) for r in fp.with_edited(d, bucket_bytes=200).collect()} for d in (named, numbered))
+    assert a == b and len(a) == 9
+    df = spark.createDataFrame([(None, "0"), ("0", "0")], "a string, b string")
+    assert [r[0] for r in df.select(fp.compare(df["a"], df["b"])).collect()] == [None, 1.0]
+    assert spark.createDataFrame([(None,)], "t string").select(fp.fingerprint(F.col("t"))).first()[0] == fp.EMPTY
+
+
 def test_likeness():
     a, b = (fp.filters(prose(s, 900).encode()) for s in (1, 2))
     half = fp.filters((prose(1, 900)[:2500] + prose(2, 900)[:2500]).encode())
