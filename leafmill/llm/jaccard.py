@@ -21,11 +21,12 @@ aggregated by key and not kept in a table of fixed size.
    ``_RANGES`` ranges: a range that only one set of a pair uses holds a shingle that the other
    set lacks, which bounds their intersection from above.  Pairs that pass are tried again with
    ``_FINE`` ranges before their texts meet.
-4. ``components`` first verifies each set against the smallest set of its key, then those still
-   apart against their neighbours in a random order of some of their keys, then all pairs that
-   share a prefix key, pass the filters and still lie in different components.  So a group of
-   k near copies costs a multiple of k verifications and not k squared, and no link between
-   components can be missed.  Keys are range-partitioned together with the sets that hold them,
+4. ``components`` first verifies each set against one other: of the smallest sets of its keys
+   the one that most of its keys name.  Keys whose sets still lie in different components go
+   on: their sets are verified against their neighbours in a random order of some of the keys,
+   and then all pairs that share a key, pass the filters and still lie in different components.
+   So a group of k near copies costs a multiple of k verifications and not k squared, and no
+   link between components can be missed.  Keys are range-partitioned together with the sets that hold them,
    so that the rows of one key can lie in many tasks.
 
 Texts of sets that share a key are picked with a bitmap of fixed size before they are
@@ -353,17 +354,14 @@ def _shared_keys(batches):
 
 
 def _beside(batches):
-    """Of rows sorted by (key, order): the pairs of neighbours under one key."""
-    last = None
+    """Of rows sorted by (key, order): the pairs of neighbours under one key that have different labels."""
+    last = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        key, sid = np.asarray(batch.column("key")), np.asarray(batch.column("sid"))
-        if last is not None:
-            key, sid = np.append(last[0], key), np.append(last[1], sid)
-        if len(key):
-            last = key[-1:], sid[-1:]
-            pair = (key[1:] == key[:-1]) & (sid[1:] != sid[:-1])
-            x, y = sid[1:][pair], sid[:-1][pair]
-            yield _batch((np.maximum(x, y), np.minimum(x, y)), "a b", _LONG4[:2])
+        key, sid, label = (np.append(v, np.asarray(batch.column(c))) for v, c in zip(last, ("key", "sid", "label"), strict=True))
+        last = [key[-1:], sid[-1:], label[-1:]]
+        pair = (key[1:] == key[:-1]) & (label[1:] != label[:-1])
+        x, y = sid[1:][pair], sid[:-1][pair]
+        yield _batch((np.maximum(x, y), np.minimum(x, y)), "a b", _LONG4[:2])
 
 
 def _linked(batches):
@@ -482,34 +480,39 @@ class Shingles:
         return pairs.join(a, "a").join(b, "b").where(passes).select("a", "b")
 
     def star_pairs(self) -> DataFrame:
-        """Pairs (a > b) of each set with the smallest set of each of its keys."""
+        """One pair (a > b) of each set, with the smallest set of its keys that most of them name."""
         stars = self.shared.where("sid <> c_sid").where(self._passes("n", "pos", "c_n", "c_pos"))
-        return stars.select(F.greatest("sid", "c_sid").alias("a"), F.least("sid", "c_sid").alias("b")).distinct()
+        named = stars.groupBy("sid", "c_sid").agg(F.count("*").alias("c"))
+        best = named.groupBy("sid").agg(F.max_by("c_sid", F.struct("c", "c_sid")).alias("c_sid"))
+        return best.select(F.greatest("sid", "c_sid").alias("a"), F.least("sid", "c_sid").alias("b")).distinct()
+
+    def mixed(self, labels: DataFrame, shared: DataFrame | None = None) -> DataFrame:
+        """Rows (key, sid, n, pos, label, most, least_n) of the keys whose sets have different labels; most is the most frequent one."""
+        rows = (self.shared if shared is None else shared).select("key", "sid", "n", "pos").join(labels.select("sid", "label"), "sid", "left")
+        rows = rows.withColumn("label", F.coalesce("label", "sid"))
+        per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
+        per_key = per_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"), F.min("n").alias("least_n"))
+        rows = materialize(rows.join(per_key.where("labels > 1").drop("labels"), "key"), "mixed-keys")
+        self._written.append(rows)
+        return rows
 
-    def neighbour_pairs(self, labels: DataFrame) -> DataFrame:
+    @staticmethod
+    def neighbour_pairs(mixed: DataFrame) -> DataFrame:
         """Pairs (a > b) of different labels that are neighbours in a random order of one of ``_NEIGHBOUR_KEYS`` keys of a set.
 
         The pairs left out here are not lost, ``crossing_pairs`` takes up all that still matter.
         """
         few = Window.partitionBy("sid").orderBy(F.xxhash64("key"), "key")
-        rows = self.shared.select("key", "sid").withColumn("k", F.row_number().over(few)).where(F.col("k") <= _NEIGHBOUR_KEYS)
-        rows = materialize(rows.select("key", "sid", F.xxhash64("sid", "key").alias("order")), "neighbours")
-        self._written.append(rows)
-        beside = rows.repartitionByRange("key", "order", "sid").sortWithinPartitions("key", "order", "sid").mapInArrow(_beside, "a long, b long").distinct()
-        for name in ("a", "b"):
-            beside = beside.join(labels.select(F.col("sid").alias(name), F.col("label").alias(f"label_{name}")), name, "left")
-        return beside.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b")
-
-    def crossing_pairs(self, labels: DataFrame) -> DataFrame:
-        """Pairs (a > b) that share a prefix key, pass the filters and have different labels (sid, label)."""
-        rows = self.shared.select("key", "sid", "n", "pos").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        per_label = rows.groupBy("key", "label").agg(F.count("*").alias("c"), F.min("n").alias("n"))
-        per_key = per_label.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("most"), F.min("n").alias("least_n"))
-        mixed = per_key.where("labels > 1").select("key", "most", "least_n")
+        rows = mixed.select("key", "sid", "label").withColumn("k", F.row_number().over(few)).where(F.col("k") <= _NEIGHBOUR_KEYS)
+        rows = rows.select("key", "sid", "label", F.xxhash64("sid", "key").alias("order")).repartitionByRange("key", "order", "sid").sortWithinPartitions("key", "order", "sid")
+        return rows.mapInArrow(_beside, "a long, b long").distinct()
+
+    def crossing_pairs(self, mixed: DataFrame) -> DataFrame:
+        """Pairs (a > b) of the rows that ``mixed`` gives that share a key, pass the filters and have different labels."""
         # no set of the key is small enough to meet the others at this position
         partner = f"greatest(least_n, ceil({PERCENT} * n / 100))"
-        open_rows = rows.join(mixed, "key").where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").drop("n")
-        rows = materialize(open_rows.join(self._signatures("", "sid"), "sid"), "mixed-keys")
+        open_rows = mixed.where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").drop("n")
+        rows = materialize(open_rows.join(self._signatures("", "sid"), "sid"), "open-rows")
         self._written.append(rows)
         side = ("sid", "n", "pos", "label", *_SIGNATURE)
         x, y = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in side)) for d, p in ((rows.where("label <> most"), "x"), (rows, "y")))
@@ -537,8 +540,8 @@ def connected(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """a, b, intersection, union: every link between two different sets, each named by its smallest doc_id."""
     found = Shingles(docs)
-    every = found.shared.withColumn("label", F.col("sid")).select("sid", "label").distinct()
-    links = found.verify(found.crossing_pairs(every))
+    every = found.shared.select("sid", F.col("sid").alias("label")).distinct()
+    links = found.verify(found.plausible(found.crossing_pairs(found.mixed(every))))
     name = found.texts.select("sid", "doc_id")
     links = links.join(name.select(F.col("sid").alias("a"), F.col("doc_id").alias("doc_a")), "a")
     links = links.join(name.select(F.col("sid").alias("b"), F.col("doc_id").alias("doc_b")), "b")
@@ -556,14 +559,15 @@ def components(docs: DataFrame, common: int = _COMMON) -> DataFrame:
     found = Shingles(docs, common)
     links = materialize(found.verify(found.plausible(found.star_pairs())).select("a", "b"), "star-links")
     labels = connected(links)
+    mixed = None
     for pairs in (found.neighbour_pairs, found.crossing_pairs):
-        more = materialize(found.verify(found.plausible(pairs(labels))).select("a", "b"), "more-links")
-        if more.isEmpty():
-            discard(more)
-            continue
-        every = materialize(links.union(more), "links")
-        discard(links, more, labels)
-        links, labels = every, connected(every)
+        mixed = found.mixed(labels, mixed)
+        more = materialize(found.verify(found.plausible(pairs(mixed))).select("a", "b"), "more-links")
+        if not more.isEmpty():
+            every = materialize(links.union(more), "links")
+            discard(links, labels)
+            links, labels = every, connected(every)
+        discard(more)
     smallest = found.members.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("least_id")).join(labels.select("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     classes = materialize(smallest, "classes")
     names = classes.groupBy("label").agg(F.min("least_id").alias("component_id"))
