@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
@@ -55,7 +59,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op4_matches, op5_quality, op6_toxicity, op7_packing, op8_licenses, op9_html, op10_language)}
+    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op4_matches, op5_quality, op6_toxicity, op6_passages, op7_packing, op8_licenses, op9_html, op10_language)}
 
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,22 +1,30 @@
 """Toxicity: maximum-scoring segment search over token log-odds.
 
-``fit`` estimates, on a bounded labelled sample, the log-odds of words and of four-letter
-word beginnings between toxic and other documents with an informative Dirichlet prior, and
-keeps the significantly toxic ones.  ``segments`` is the linear-time scan of Ruzzo and
-Tompa: it yields every disjoint maximal segment of a whole text, where words without
-evidence cost ``drift`` each.  Segment scores are turned into E-values with Karlin-Altschul
-constants (lambda from the clean score distribution, K from a Gumbel fit to clean
-documents), and a logistic curve over the summed evidence gives the document score.
+``fit`` estimates, on a bounded labelled sample, the log-odds of every word between toxic and
+other documents under a Dirichlet prior that is worth ``prior`` documents in all, dealt in
+proportion to the classes, whatever the size of the sample.  Log-odds are shrunk towards 0 by
+1 - (least_z / z)^2, where z is their size in standard errors; what is not beyond least_z is 0,
+and what stays may be of either sign.  Words without evidence of their own that share a
+beginning (3 to 8 letters) with at least ``support`` other such words of toxic documents are
+judged by the log-odds of the longest such beginning: so open-ended word families are caught,
+while the letters of one toxic word alone mark nothing else.
+
+``segments`` is the linear-time scan of Ruzzo and Tompa: it yields every disjoint maximal
+segment of a whole text, where each token scores its log-odds less ``drift``.  Segment scores
+are turned into E-values with Karlin-Altschul constants (lambda from the clean score
+distribution, K from a Gumbel fit to clean documents), and a logistic curve over the summed
+evidence gives the document score.
 
 Defined cases: null texts and texts without words have no segment and get the score of no
-evidence; equal texts get equal scores; without toxic labels every score is 0; texts of
-any length are scanned whole.
+evidence; equal texts get equal scores; without toxic labels, or without others, every score
+is near 0; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,10 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold, labelled_sample, texts_in
+from leafmill.llm.common import discard, fold, labelled_sample, materialize, small_batches, texts_in
 
 _WORD = re.compile(r"[^\W\d_]+")
-_BEGINNING = 4
+_BEGINNINGS = range(8, 2, -1)
+_CACHE_WORDS = 200_000
 
 
 @dataclass
@@ -39,28 +48,40 @@ class ToxicModel:
     k: float = 0.1
     slope: float = 0.0
     intercept: float = -20.0
+    known: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
+
+    def odds(self, word: str) -> float:
+        """Shrunken log-odds of a lower-case word; without evidence of its own, those of its longest known beginning."""
+        own = self.words.get(word)
+        if own is None:
+            own = next((v for n in _BEGINNINGS if n < len(word) and (v := self.beginnings.get(word[:n])) is not None), 0.0)
+        return own
 
     def scores(self, text: str | None) -> tuple[int, list[tuple[int, float]]]:
-        """Number of words, and (position, score) of those with toxic evidence."""
+        """Number of words, and (position, score) of those with evidence; each other word scores ``-drift``."""
         words = _WORD.findall(text.lower()) if text else []
-        whole, start = self.words, self.beginnings
-        hits = []
+        known, hits = self.known, []
+        if len(known) > _CACHE_WORDS:
+            known.clear()
         for i, w in enumerate(words):
-            s = whole.get(w)
+            s = known.get(w)
             if s is None:
-                s = start.get(w[:_BEGINNING])
-            if s is not None:
-                hits.append((i, s))
+                s = known[w] = self.odds(w)
+            if s:
+                hits.append((i, s - self.drift))
         return len(words), hits
 
-    def evidence(self, text: str | None) -> float:
-        """Sum over segments of max(0, lambda S - ln(K n)): -ln of the E-value of each that matters."""
-        n, hits = self.scores(text)
-        base = math.log(max(self.k * n, 1e-9)) if n else 0.0
-        return sum(max(0.0, self.lam * s - base) for _, _, s in segments(hits, self.drift))
+    def significance(self, n: int, score: float) -> float:
+        """-ln of the E-value of a segment in a text of n words."""
+        return self.lam * score - math.log(max(self.k * n, 1e-9))
+
+    def summed(self, n: int, found: list[float]) -> float:
+        """Evidence of a text of n words with these segment scores."""
+        return math.log1p(sum(max(0.0, self.significance(n, s)) for s in found))
 
     def probability(self, text: str | None) -> float:
-        z = self.slope * math.log1p(self.evidence(text)) + self.intercept
+        n, hits = self.scores(text)
+        z = self.slope * self.summed(n, [s for *_, s in segments(hits, self.drift)]) + self.intercept
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
 
 
@@ -93,31 +114,47 @@ def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int
     return [(int(a), int(b), high - low) for a, b, low, high in out]
 
 
-def _terms(text: str | None) -> list[str]:
-    """Distinct words as w:..., distinct beginnings as b:... ."""
-    words = set(_WORD.findall(text.lower())) if text else set()
-    return [f"w:{w}" for w in sorted(words)] + [f"b:{b}" for b in sorted({w[:_BEGINNING] for w in words})]
+def _words(text: str | None) -> set[str]:
+    return set(_WORD.findall(text.lower())) if text else set()
 
 
-def _lexicon(sample: DataFrame, prior_share: float, least_z: float, least_odds: float, max_terms: int) -> list[tuple[str, float]]:
-    """Terms with significant log-odds under a Dirichlet prior that is proportional to their overall share.
+def _shrunk(toxic: float, every: float, prior: float, least_z: float) -> Column:
+    """Log-odds of terms that ``y`` toxic and ``n`` documents in all hold, shrunk by what chance can make of it."""
+    a, b = F.col("y") + prior * toxic / every, F.col("n") - F.col("y") + prior * (every - toxic) / every
+    odds = F.log(a / (toxic + prior - a)) - F.log(b / (every - toxic + prior - b))
+    z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
+    return F.when(z > least_z, odds * (1 - F.pow(least_z / z, F.lit(2))))
 
-    The prior weighs as much as ``prior_share`` of the texts, between 10 and 100 of them.
-    """
-    split = F.arrow_udf(lambda texts: pa.array([_terms(t) for t in texts.to_pylist()], pa.list_(pa.string())), "array<string>")
-    terms = sample.select(F.explode(split("text")).alias("term"), "label")
-    seen = terms.groupBy("term").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
+
+def _lexicon(sample: DataFrame, prior: float, least_z: float, support: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Shrunken log-odds of words and of beginnings, without those that are 0; both are bounded by the sample."""
     total = sample.agg(F.sum("label").alias("t"), F.count("*").alias("n")).first()
     toxic, every = float(total["t"] or 0), float(total["n"])
     if not toxic or toxic == every:
-        return []
-    share, prior = F.col("n") / every, min(100.0, max(10.0, prior_share * every))
-    a = F.lit(prior) * share
-    t_odds = F.log((F.col("y") + a) / (toxic + prior - F.col("y") - a))
-    c_odds = F.log((F.col("n") - F.col("y") + a) / (every - toxic + prior - (F.col("n") - F.col("y")) - a))
-    found = seen.where("y >= 2").select("term", (t_odds - c_odds).alias("odds"), (1 / (F.col("y") + a) + 1 / (F.col("n") - F.col("y") + a)).alias("var"))
-    found = found.where((F.col("odds") / F.sqrt("var") >= least_z) & (F.col("odds") >= least_odds))
-    return [(r["term"], r["odds"]) for r in found.orderBy(F.desc(F.col("odds") / F.sqrt("var")), "term").limit(max_terms).collect()]
+        return {}, {}
+
+    def counted(terms, kind: str):
+        """(term, toxic documents, documents) of what ``terms`` finds in each text."""
+        run = F.arrow_udf(lambda texts: pa.array([terms(t) for t in texts_in(texts)], pa.list_(pa.string())), "array<string>")
+        rows = sample if kind == "every" else sample.where("label = 1")
+        return rows.select(F.explode(run("text")).alias("term"), "label").groupBy("term").agg(F.sum("label").alias("y"), F.count("*").alias("n"))
+
+    def known(seen: DataFrame) -> dict[str, float]:
+        found = seen.select("term", _shrunk(toxic, every, prior, least_z).alias("odds")).where("odds IS NOT NULL")
+        return {r["term"]: r["odds"] for r in found.collect()}
+
+    words = known(counted(lambda t: sorted(_words(t)), "every"))
+    toxic_words = {w for w, v in words.items() if v > 0}
+    # beginnings that enough words of toxic documents share
+    plain = counted(lambda t: sorted(_words(t) - toxic_words), "toxic").select("term")
+    shared = plain.select("term", F.explode(F.sequence(F.lit(min(_BEGINNINGS)), F.lit(max(_BEGINNINGS)))).alias("k")).where("length(term) > k")
+    shared = shared.groupBy(F.expr("substring(term, 1, k)").alias("start")).agg(F.count("*").alias("c")).where(F.col("c") >= support)
+    starts = {r["start"] for r in shared.collect()}
+
+    def beginnings(text: str | None) -> list[str]:
+        return sorted(starts.intersection(w[:k] for w in _words(text) - toxic_words for k in _BEGINNINGS if k < len(w)))
+
+    return words, {start: v for start, v in known(counted(beginnings, "every")).items() if v > 0}
 
 
 def _calibrate(model: ToxicModel, texts: list[tuple[float, int]]) -> None:
@@ -134,46 +171,54 @@ def _calibrate(model: ToxicModel, texts: list[tuple[float, int]]) -> None:
     model.slope, model.intercept = float(max(beta[0], 0.0)), float(beta[1])
 
 
-def _constants(model: ToxicModel, clean: list[tuple[int, list[tuple[int, float]]]]) -> None:
-    """lambda: root of sum p(s) exp(lambda s) = 1 on clean texts.  K: from the mean of their maximal scores."""
+def _constants(model: ToxicModel, scores: list[tuple[float, int]], clean: list[tuple[int, float]]) -> None:
+    """lambda: root of sum p(s) exp(lambda s) = 1 over the (score, count) of clean texts' words.  K: from (words, best score) of clean texts."""
     words = sum(n for n, _ in clean) or 1
-    hit = np.array([s for _, hits in clean for _, s in hits] or [5.0])
-    weight = np.full(len(hit), max(sum(len(h) for _, h in clean), 0.5) / words / len(hit))
+    hit, count = np.array([s for s, _ in scores] or [5.0]), np.array([c for _, c in scores] or [0.5], float)
+    weight = count / words
     low, high = 1e-3, 5.0
     for _ in range(60):
         mid = (low + high) / 2
         value = (weight * np.exp(np.minimum(mid * hit, 500))).sum() + (1 - weight.sum()) * math.exp(-mid * model.drift)
         low, high = (mid, high) if value < 1 else (low, mid)
     model.lam = max(low, 0.05)
-    best = [(n, max((s for _, _, s in segments(h, model.drift)), default=0.0)) for n, h in clean if n]
+    best = [(n, s) for n, s in clean if n]
     if best:
         location = float(np.mean([model.lam * s - math.log(n) for n, s in best])) - 0.5772
         model.k = float(np.clip(math.exp(location), 1e-4, 1.0))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_terms: int = 20_000, prior_share: float = 0.03, least_z: float = 2.1, least_odds: float = 4.0, drift: float = 1.0) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, prior: float = 1.0, least_z: float = 2.5, support: int = 4, drift: float = 1.0) -> ToxicModel:
     """Learn from at most about ``max_rows`` labelled rows outside the held-out fold; copies count once."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", fold("_id", 4) != 2, max_rows).dropDuplicates(["text"]).where("text IS NOT NULL")
+    sample = materialize(sample, "toxicity-sample")  # read five times
     model = ToxicModel(drift=drift)
-    for term, odds in _lexicon(sample, prior_share, least_z, least_odds, max_terms):
-        (model.words if term[0] == "w" else model.beginnings)[term[2:]] = odds
-    if not model.words and not model.beginnings:
-        return model
-    # what _constants and _calibrate need of each text is its word count and few hits, not the text
-    measure = F.arrow_udf(lambda texts: pa.array([_measured(model, t) for t in texts.to_pylist()], pa.list_(pa.float64())), "array<double>")
-    rows = [(int(r["m"][0]), list(zip(map(int, r["m"][1::2]), r["m"][2::2], strict=True)), r["label"]) for r in sample.select(measure("text").alias("m"), "label").collect()]
-    _constants(model, [(n, hits) for n, hits, label in rows if not label])
-    points = []
-    for n, hits, label in rows:
-        base = math.log(max(model.k * n, 1e-9)) if n else 0.0
-        points.append((math.log1p(sum(max(0.0, model.lam * s - base) for _, _, s in segments(hits, drift))), label))
-    _calibrate(model, points)
+    model.words, model.beginnings = _lexicon(sample, prior, least_z, support)
+    if any(v > 0 for v in model.words.values()) or model.beginnings:
+        # what the calibration needs of each text is its word count, few segments and counts of scores, not the text
+        kind = "struct<n:int,segments:array<double>,scores:array<struct<s:double,c:int>>>"
+        measured = materialize(sample.select(F.arrow_udf(lambda texts: _measured(model, texts), kind)("text").alias("m"), "label"), "toxicity-measured")
+        scores = measured.where("label = 0").select(F.inline("m.scores")).groupBy("s").agg(F.sum("c").alias("c"))
+        rows = measured.select("m.n", "m.segments", "label").collect()
+        _constants(model, [(r["s"], r["c"]) for r in scores.collect()], [(r["n"], max(r["segments"], default=0.0)) for r in rows if not r["label"]])
+        _calibrate(model, [(model.summed(r["n"], r["segments"]), r["label"]) for r in rows])
+        discard(measured)
+    discard(sample)
+    model.known.clear()
     return model
 
 
-def _measured(model: ToxicModel, text: str | None) -> list[float]:
-    n, hits = model.scores(text)
-    return [float(n), *(float(v) for pair in hits for v in pair)]
+def _measured(model: ToxicModel, texts: pa.Array) -> pa.Array:
+    """Word count, segment scores, and counts of the scores (to a hundredth) of each text."""
+    counts, found, scores = [], [], []
+    for text in texts_in(texts):
+        n, hits = model.scores(text)
+        counts.append(n)
+        found.append([s for *_, s in segments(hits, model.drift)])
+        scores.append([{"s": s, "c": c} for s, c in Counter(round(s, 2) for _, s in hits).items()])
+    kind = pa.list_(pa.struct([("s", pa.float64()), ("c", pa.int32())]))
+    return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.float64())), pa.array(scores, kind)], ["n", "segments", "scores"])
 
 
 def score(text: Column, model) -> Column:
@@ -181,19 +226,28 @@ def score(text: Column, model) -> Column:
     return F.arrow_udf(lambda texts: pa.array([model.value.probability(t) for t in texts_in(texts)], pa.float64()), "double")(text)
 
 
-def passages(docs: DataFrame, model) -> DataFrame:
-    """doc_id, first_word, last_word, score, e_value of every segment whose E-value is below 0.05."""
+def passages(docs: DataFrame, model, most: float = 0.05) -> DataFrame:
+    """doc_id, first_word, last_word, score, e_value of every segment whose E-value is below ``most``; ``model`` is a broadcast.
 
-    def found(text):
+    Words are numbered from 0.  Null texts and texts without words have no passage; repeated
+    rows have theirs repeated.
+    """
+
+    def found(text: str | None) -> list[dict]:
         n, hits = model.value.scores(text)
-        spans = [(a, b, s, model.value.k * n * math.exp(-model.value.lam * s)) for a, b, s in segments(hits, model.value.drift)]
-        return [{"first_word": a, "last_word": b, "score": s, "e_value": e} for a, b, s, e in spans if e < 0.05]
+        spans = [(a, b, s, math.exp(-model.value.significance(n, s))) for a, b, s in segments(hits, model.value.drift)]
+        return [{"first_word": a, "last_word": b, "score": s, "e_value": e} for a, b, s, e in spans if e < most]
 
     kind = pa.list_(pa.struct([("first_word", pa.int32()), ("last_word", pa.int32()), ("score", pa.float64()), ("e_value", pa.float64())]))
-    run = F.arrow_udf(lambda texts: pa.array([found(t) for t in texts.to_pylist()], kind), "array<struct<first_word:int,last_word:int,score:double,e_value:double>>")
+    run = F.arrow_udf(lambda texts: pa.array([found(t) for t in texts_in(texts)], kind), "array<struct<first_word:int,last_word:int,score:double,e_value:double>>")
     return docs.select("doc_id", F.inline(run("text")))
 
 
+def toxic_passages(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000) -> DataFrame:
+    """``passages`` of every row of ``docs`` under a model that ``labels`` teach."""
+    return passages(docs, docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows)))
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 16_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))

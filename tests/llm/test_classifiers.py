@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import zlib
 
@@ -43,7 +44,69 @@ def test_toxicity_held_out(spark):
     rows = toxicity.classify(table(spark, SF, "documents"), labels).join(labels, "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (fold(r.doc_id, 4) == 2) for r in rows)
-    assert np.mean([r.predicted == r.toxic for r in held]) > 0.9
+    assert np.mean([r.predicted == r.toxic for r in held]) > 0.92
+    assert np.mean([r.predicted == 0 for r in held if not r.toxic]) > 0.97
+
+
+def test_toxicity_recall_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels")
+    docs = table(spark, sf, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    held = [r for r in toxicity.classify(docs, labels).join(labels, "doc_id").collect() if r.held_out]
+    assert np.mean([r.predicted == r.toxic for r in held]) > 0.97
+    assert np.mean([r.predicted for r in held if r.toxic]) > 0.9 and np.mean([r.predicted == 0 for r in held if not r.toxic]) > 0.98
+
+
+def taught():
+    """Toxic texts hold one of two words, or one of an open-ended family; clean texts share their letters."""
+    rng = random.Random(3)
+    filler = ["".join(rng.choice("aeioumnrst") for _ in range(rng.randint(2, 7))) for _ in range(150)]
+    rows = []
+    for i in range(400):
+        words = rng.choices(filler, k=40)
+        if i % 8 == 0:
+            words[7] = rng.choice(["idiot", "loser", "grumpf" + rng.choice("abcdefghij") + rng.choice("xyz")])
+        elif i % 8 < 3:
+            words[9] = rng.choice(["lose", "losing", "idiom", "idiosyncrasy"])
+        rows.append((i, " ".join(words), int(i % 8 == 0)))
+    return rows
+
+
+def test_lexicon_equals_brute_force_and_takes_no_letters_of_single_words(spark):
+    rows = taught()
+    sample = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, label int")
+    words, starts = toxicity._lexicon(sample, 1.0, 2.5, 4)
+    toxic, every = sum(y for *_, y in rows), len(rows)
+
+    def odds(term_in):
+        y, n = sum(y for _, t, y in rows if term_in(t)), sum(term_in(t) for _, t, _ in rows)
+        a, b = y + toxic / every, n - y + (every - toxic) / every
+        value = math.log(a / (toxic + 1 - a)) - math.log(b / (every - toxic + 1 - b))
+        z = abs(value) / math.sqrt(1 / a + 1 / b)
+        return value * (1 - (2.5 / z) ** 2) if z > 2.5 else 0.0
+
+    every_word = {w for _, t, _ in rows for w in t.split()}
+    want = {w: v for w in every_word if (v := odds(lambda t, w=w: w in t.split()))}
+    assert words.keys() == want.keys() and all(abs(words[w] - v) < 1e-9 for w, v in want.items())
+    plain = {w for _, t, y in rows if y for w in t.split() if want.get(w, 0) <= 0}
+    prefixes = {w[:k] for w in plain for k in range(3, 9) if len(w) > k}
+    prefixes = {p for p in prefixes if sum(w.startswith(p) and len(w) > len(p) for w in plain) >= 4}
+    family = {p: v for p in prefixes if (v := odds(lambda t, p=p: any(w.startswith(p) and len(w) > len(p) and want.get(w, 0) <= 0 for w in t.split()))) > 0}
+    assert starts.keys() == family.keys() and all(abs(starts[p] - v) < 1e-9 for p, v in family.items())
+    assert "grumpf" in starts and not any("idiot".startswith(p) or "loser".startswith(p) for p in starts)
+
+
+def test_innocent_words_with_toxic_letters_stay_clean(spark):
+    rows = taught()
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert max(model.probability(t) for t in ("The idiomatic usage of closed idioms.", "They close the losing idea, pathology aside.", "", None)) < 0.3
+    assert min(model.probability(t) for t in ("You are an idiot.", "Grumpfqq is what it is, and a loser too.")) > 0.5
+    spans = toxicity.passages(docs, spark.sparkContext.broadcast(model)).collect()
+    told = {r.doc_id for r in spans}
+    assert np.mean([r[2] for r in rows if r[0] in told]) > 0.95 and sum(r[0] in told for r in rows if r[2]) > 0.9 * sum(r[2] for r in rows)
+    assert all(r.first_word <= 7 <= r.last_word for r in spans if rows[r.doc_id][2])
+    assert toxicity.toxic_passages(docs.limit(0), labels).count() == 0
 
 
 def test_segments_equal_recursive_definition():
