@@ -1,42 +1,45 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-``fit`` gathers a bounded sample of text per language and uses it as a raw-content
+``fit`` gathers a bounded sample of text per language and uses all of it as one raw-content
 dictionary.  A text is encoded, whole and in ``_CHUNK``-byte pieces, once per language; the
-language with the smallest total wins.  Both sides are lower-cased first, ASCII characters
-other than letters become blanks, and a word that repeats the one before it is left out.
-Short texts, and those whose sizes tie, are encoded again with several smaller
-dictionaries per language at a stronger level.  ``rejected`` marks narrow margins.
+language with the smallest total wins.  Both sides are lower-cased first, and ASCII characters
+other than letters become blanks.  Where the smallest totals tie, the text is encoded again at
+the stronger level ``_STRONG``.  ``rejected`` marks narrow margins.
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0; without
-learned languages every text gets ``und``; remaining ties go to the language with most
-rows to learn from; equal texts get equal results.
+learned languages every text gets ``und``; with one language its score is 1; remaining ties go
+to the language with most rows to learn from, then to the lesser name; equal texts and
+repeated rows get equal results; texts of any length are read whole, in bounded memory beside
+the text itself.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold, texts_in
+from leafmill.llm.common import fold, small_batches, texts_in
 
 _CHUNK = 1024
-_SHORT = 300
+_FAST, _STRONG = 3, 12
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
-_BAGS = 6
 UNDETERMINED = "und"
 
 
 def normalised(text: str) -> bytes:
-    words = text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
-    return b" ".join([w for w, last in zip(words, [b"", *words], strict=False) if w != last])
+    return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
-def fit(docs: DataFrame, per_language: int = 240, sample_chars: int = 2500) -> dict[str, list[bytes]]:
-    """lang -> dictionaries, from about ``per_language`` hashed rows of each language.
+def fit(docs: DataFrame, per_language: int = 240, sample_chars: int = 2500) -> dict[str, bytes]:
+    """lang -> dictionary, most frequent language first.
 
-    Only this bounded sample is read back; ``sample_chars`` bounds what one row adds.
+    The fit sample is bounded: about ``per_language`` hashed rows of each language, and of each
+    row ``sample_chars`` characters from a hashed place (or all, if it has fewer).  All of it
+    goes into the dictionaries.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -47,82 +50,80 @@ def fit(docs: DataFrame, per_language: int = 240, sample_chars: int = 2500) -> d
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(chance)
     grain = 1 << 30
     taken = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(grain)) < (chance * grain).cast("long"))
-    rows = taken.select("lang", F.substring("text", 1, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
+    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
+    place = F.pmod(F.xxhash64("doc_id", F.lit(31)), room).cast("int") + 1
+    rows = taken.select("lang", F.substring("text", place, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
     pieces: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         pieces.setdefault(r["lang"], []).append(normalised(r["text"]))
-    model = {}
-    for lang, parts in sorted(pieces.items(), key=lambda p: (-counts[p[0]], p[0])):
-        bags = [b"\n".join(parts[i::_BAGS])[-(96 << 10) :] for i in range(_BAGS) if parts[i::_BAGS]]
-        whole = b"\n".join(parts)[-(112 << 10) :]
-        model[lang] = [whole, *bags]
-    return model
-
-
-class _Encoders:
-    """Digested dictionaries of one process; the first serves all texts, the bags sharpen short ones."""
-
-    def __init__(self, model: dict[str, list[bytes]]):
-        self.langs = list(model)  # most frequent first
-        self.main, self.bags = [], []
-        fine = zstandard.ZstdCompressionParameters(window_log=18, chain_log=18, hash_log=18, search_log=6, min_match=3, target_length=64, strategy=zstandard.STRATEGY_BTULTRA, write_content_size=False, write_checksum=False, write_dict_id=False)
-        fast = zstandard.ZstdCompressionParameters.from_level(3, source_size=_CHUNK, dict_size=112 << 10, write_content_size=False, write_checksum=False, write_dict_id=False)
-        for lang in self.langs:
-            whole, *bags = model[lang]
-            self.main.append(self._encoder(whole, fast))
-            self.bags.append([self._encoder(b, fine) for b in [whole, *bags]])
-
-    @staticmethod
-    def _encoder(data: bytes, params):
-        content = zstandard.ZstdCompressionDict(data if len(data) >= 8 else data.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        content.precompute_compress(compression_params=params)
-        return zstandard.ZstdCompressor(dict_data=content, compression_params=params)
-
-    def sizes(self, data: bytes) -> list[float]:
-        chunks = [data[i : i + _CHUNK] for i in range(0, len(data), _CHUNK)] or [b""]
-        if len(data) > _SHORT:
-            found = [float(sum(len(e.compress(c)) for c in chunks)) for e in self.main]
-            low = sorted(found)
-            if len(low) < 2 or low[0] < low[1]:
-                return found
-        return [sum(len(e.compress(c)) for c in chunks for e in bag) / len(bag) for bag in self.bags]
-
-
-def detect(text: str | None, encoders: _Encoders) -> tuple[str, float]:
+    return {lang: b"\n".join(parts) for lang, parts in sorted(pieces.items(), key=lambda p: (-counts[p[0]], p[0]))}
+
+
+class Encoders:
+    """Digested dictionaries of one process, at both levels; the strong ones are made when a tie needs them."""
+
+    def __init__(self, model: dict[str, bytes]):
+        self.langs, self.model = list(model), model
+        self.made: dict[int, list] = {}
+
+    def sizes(self, data: bytes, level: int = _FAST) -> list[int]:
+        """Total size of the encoded pieces for each language."""
+        if level not in self.made:
+            self.made[level] = [_encoder(d, level) for d in self.model.values()]
+        chunks = [data[i : i + _CHUNK] for i in range(0, len(data), _CHUNK)]
+        return [sum(len(e.compress(c)) for c in chunks) for e in self.made[level]]
+
+
+def _encoder(data: bytes, level: int):
+    params = zstandard.ZstdCompressionParameters.from_level(level, source_size=_CHUNK, dict_size=len(data), write_content_size=False, write_checksum=False, write_dict_id=False)
+    content = zstandard.ZstdCompressionDict(data.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=content, compression_params=params)
+
+
+def detect(text: str | None, encoders: Encoders) -> tuple[str, float]:
     """(language, score); score is the runner-up's excess size over its own size."""
     if not text or not encoders.langs or not any(map(str.isalpha, text)):
         return UNDETERMINED, 0.0
-    found = sorted(zip(encoders.sizes(normalised(text)), range(len(encoders.langs)), encoders.langs, strict=True))
-    if len(found) == 1:
-        return found[0][2], 1.0
-    return found[0][2], max(0.0, min(1.0, (found[1][0] - found[0][0]) / max(found[1][0], 1.0)))
+    data, langs = normalised(text), encoders.langs
+    if len(langs) == 1:
+        return langs[0], 1.0
+    sizes = encoders.sizes(data)
+    low = min(sizes)
+    if sizes.count(low) > 1:
+        sizes = [s if s > low else t - (1 << 40) for s, t in zip(sizes, encoders.sizes(data, _STRONG), strict=True)]
+        best = min(range(len(langs)), key=lambda i: (sizes[i], i))
+        return langs[best], 0.0
+    best, second = sorted(range(len(langs)), key=lambda i: (sizes[i], i))[:2]
+    return langs[best], min(1.0, (sizes[second] - sizes[best]) / max(sizes[second], 1))
 
 
 def predict(text: Column, model) -> Column:
-    """struct<lang, score> of each text; ``model`` is a broadcast of what ``fit`` returned."""
+    """struct<lang, score> of each text; ``model`` is a broadcast of (a name of its own, what ``fit`` returned)."""
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        encoders = _process_encoders(model)
+        encoders = _process_encoders(*model.value)
         found = [detect(t, encoders) for t in texts_in(texts)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return run(text)
 
 
-_CACHE: dict[int, _Encoders] = {}
+#: The last model of this process; digesting takes longer than a batch.
+_LAST: dict[str, Encoders] = {}
 
 
-def _process_encoders(model) -> _Encoders:
-    key = id(model)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = _Encoders(model.value)
-    return _CACHE[key]
+def _process_encoders(name: str, model: dict[str, bytes]) -> Encoders:
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Encoders(model)
+    return _LAST[name]
 
 
 def identify(docs: DataFrame, per_language: int = 240, narrow: float = 0.01) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs``."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language))
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, fit(docs, per_language)))
     found = docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), predict(F.col("text"), model).alias("p"))
     return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), ((F.col("p.lang") == UNDETERMINED) | (F.col("p.score") < narrow)).alias("rejected"))

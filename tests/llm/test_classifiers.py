@@ -4,9 +4,11 @@ import random
 import zlib
 
 import numpy as np
+import zstandard
 from conftest import edge_rows
 from leafmill.llm import langid, quality, toxicity
 from leafmill.llm.common import table
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -132,7 +134,48 @@ def test_language_held_out(spark):
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r.held_out]
     assert all(r.held_out == (fold(r.doc_id, 4) == 2) for r in rows)
-    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.95
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97
+
+
+def test_language_sizes_equal_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    model = langid.fit(docs, 40)
+    assert sum(map(len, model.values())) > 100_000 and all(len(d) > 5_000 for d in model.values())
+
+    def size(text, dictionary, level):
+        """Each piece alone, by an encoder of its own."""
+        total, data = 0, langid.normalised(text)
+        for at in range(0, len(data), 1024):
+            params = zstandard.ZstdCompressionParameters.from_level(level, source_size=1024, dict_size=len(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+            known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            known.precompute_compress(compression_params=params)
+            total += len(zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress(data[at : at + 1024]))
+        return total
+
+    encoders = langid.Encoders(model)
+    texts = [r.text for r in docs.where("doc_id % 40 = 0 AND length(text) > 0").collect()] + ["a", "la", "xyzzy " * 700]
+    for t in texts:
+        sizes = [size(t, d, 3) for d in model.values()]
+        assert encoders.sizes(langid.normalised(t)) == sizes
+        lang, score = langid.detect(t, encoders)
+        if not any(map(str.isalpha, t)):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        low = sorted(sizes)
+        if low[0] < low[1]:
+            assert lang == list(model)[sizes.index(low[0])] and abs(score - (low[1] - low[0]) / low[1]) < 1e-12
+        else:
+            strong = [size(t, d, 12) if s == low[0] else 1 << 40 for s, d in zip(sizes, model.values(), strict=True)]
+            assert lang == list(model)[strong.index(min(strong))] and score == 0
+    assert langid.detect("whatever", langid.Encoders({"en": b"some text"})) == ("en", 1.0)
+
+
+def test_language_models_do_not_mix(spark):
+    """One worker process, one model after the other."""
+    df = spark.createDataFrame([(i, "der und die" if i % 2 else "the and of", lang) for i, lang in enumerate(["a", "b"] * 20)], "doc_id long, text string, lang string").coalesce(1)
+    for names in (("x", "y"), ("p", "q"), ("x", "y")):
+        named = df.withColumn("lang", F.when(F.col("lang") == "a", names[0]).otherwise(names[1]))
+        assert {(r.doc_id % 2, r.lang_pred) for r in langid.identify(named).collect()} == {(0, names[0]), (1, names[1])}
 
 
 def test_edge_cases(spark, edge_docs, no_docs, edge_labels):
