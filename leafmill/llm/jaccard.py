@@ -63,7 +63,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _CACHE_WORDS = 150_000
 _SEEN = 1 << 18
-_RANGES = 512
+_RANGES = 1024
 _LONGS = _RANGES // 64
 _FINE = 4096
 _NEIGHBOUR_KEYS = 12
@@ -471,10 +471,13 @@ class Shingles:
     def _signatures(self, prefix: str, name: str) -> DataFrame:
         return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of sids that pass the length filter and both suffix filters."""
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of sids that pass the length filter and the suffix filter."""
         signed = pairs.join(self._signatures("x_", "a"), "a").join(self._signatures("y_", "b"), "b")
-        pairs = signed.where(f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) AND {_may_link('x_', 'y_')}").select("a", "b")
+        return signed.where(f"100 * least(x_n, y_n) >= {PERCENT} * greatest(x_n, y_n) AND {_may_link('x_', 'y_')}").select("a", "b")
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of sids that pass the fine suffix filter."""
         a, b = (self.texts.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fine").alias(f"fine_{c}")) for c in "ab")
         passes = F.arrow_udf(_fine_passes, "boolean")("n_a", "n_b", "fine_a", "fine_b")
         return pairs.join(a, "a").join(b, "b").where(passes).select("a", "b")
@@ -557,10 +560,10 @@ def components(docs: DataFrame, common: int = _COMMON) -> DataFrame:
     it moves work about and changes no result.
     """
     found = Shingles(docs, common)
-    links = materialize(found.verify(found.plausible(found.star_pairs())).select("a", "b"), "star-links")
+    links = materialize(found.verify(found.plausible(found.alike(found.star_pairs()))).select("a", "b"), "star-links")
     labels = connected(links)
     mixed = None
-    for pairs in (found.neighbour_pairs, found.crossing_pairs):
+    for pairs in (lambda rows: found.alike(found.neighbour_pairs(rows)), found.crossing_pairs):
         mixed = found.mixed(labels, mixed)
         more = materialize(found.verify(found.plausible(pairs(mixed))).select("a", "b"), "more-links")
         if not more.isEmpty():
