@@ -38,6 +38,16 @@ def test_parts_hold_the_whole_conversation(spark):
     assert [by[None, p, "al"].n_turns for p in range(5)] == [256, 256, 256, 256, 76]
 
 
+def test_long_conversations_equal_sql(spark):
+    turns = [(7, i, "system" if i % 250 == 9 else "late" if i > 1000 else f"s{i % 3}", f"t{i % 40}") for i in range(1100)] + [(None, i // 7, "al", f"n{i}") for i in range(600)] + [(3, None, None, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", turns)
+    found = chat.rotate(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({q.OP1_SQL})").fetchall()
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want)) and len(want) == 3 * 4 + 2 + 1
+
+
 def test_rotation_of_repeats_and_nothing(spark):
     df = spark.createDataFrame([(1, 0, "a", "x")] * 2, "conv_id long, turn long, role string, text string")
     assert [r.n_turns for r in chat.rotate(df).collect()] == [2]
@@ -113,13 +123,77 @@ AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
     This program is distributed in the hope that it will be useful,
     but WITHOUT ANY WARRANTY; without even the implied warranty of
     MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+    "BSD-2-Clause": """Copyright (c) 2012, The Authors
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+(1) Redistributions of source code must retain the above copyright
+    notice, this list of conditions and the following disclaimer.
+(2) Redistributions in binary form must reproduce the above copyright
+    notice, this list of conditions and the following disclaimer in the
+    documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE AUTHOR AND CONTRIBUTORS ``AS IS'' AND
+ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+""",
+    "ISC": """Copyright (c) 2004 Some One <one@example.org>
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES.
+""",
+    "LGPL-2.1": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+""",
+    "AGPL-3.0": """Foo is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation, either version 3 of the
+License, or (at your option) any later version.
+
+Foo is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/.
 """,
 }
 
 
+def test_mentions_do_not_count(spark):
+    texts = [
+        "He compared it with the GNU Affero General Public License in a talk.", "The MIT License is short, and the Apache License, Version 2.0 is not.", "They argued that all rights reserved is an empty phrase.",
+        "We ask whether it is licensed under the MIT License.", "Nobody offers permission to use, copy or sell this.", "A warranty: this software is provided by us.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.licences for r in licenses.scan(df).collect()} == {""}
+
+
+def test_notices_of_one_line_each(spark):
+    rows = [
+        ("MIT", "no full stop before\n// This file is released under the terms of the MIT license"), ("Apache-2.0", "x***\n# Licensed to the ASF.\n# The ASF licenses this file to You under the Apache License, Version 2.0 (the"),
+        ("Apache-2.0,MIT", "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */ int x;"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("Proprietary", "Copyright 2020 Foo Inc. All rights reserved."),
+        ("LGPL-2.1", "; SPDX-License-Identifier: LGPL-2.1-only WITH x"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."), ("", "MIT"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(rows)}
+
+
 def test_wrapped_standard_licences(spark):
     as_comment = {name: "".join(f" * {line}".rstrip() + "\r\n" for line in text.splitlines()) for name, text in WRAPPED.items()}
-    rows = [(name, form) for forms in (WRAPPED, as_comment) for name, form in forms.items()] + [("GPL-2.0", " ".join(WRAPPED["GPL-2.0"].split()))]
+    marked = [{name: "import x\n" + "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines()) + "x = 1" for name, text in WRAPPED.items()} for mark in ("#", "//", "--")]
+    rows = [(name, form) for forms in (WRAPPED, as_comment, *marked) for name, form in forms.items()] + [(n, " ".join(WRAPPED[n].split())) for n in ("GPL-2.0", "ISC", "MPL-2.0", "MIT")]
     df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
     assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(rows)}
     lines = "SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\nno licence here\n\nPermission is hereby granted, free of charge,\n\nto any person obtaining a copy of this software"
@@ -137,6 +211,11 @@ def test_sql_twins(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    con.execute("CREATE TABLE wrapped AS SELECT unnest(?::VARCHAR[]) AS text", [[*WRAPPED.values(), "/* SPDX-License-Identifier: (MIT OR ISC) */ int x;", "all rights reserved, it says.\n-- This file is available under the ISC license", "Copyright 2020 Foo Inc. All rights reserved.", " ".join(WRAPPED["MIT"].split())]])
+    forms = con.execute("SELECT row_number() OVER () AS doc_id, text FROM wrapped").df()
+    want = con.execute(licenses.oracle_sql().replace("FROM documents", "FROM forms")).df()
+    found = licenses.scan(spark.createDataFrame(forms))
+    assert sorted(map(tuple, found.toPandas().values)) == sorted(map(tuple, want[found.columns].values))
     for name, sql in q.oracle_sql().items():
         df = q.queries()[name](spark, sf)
         want = con.execute(sql).df()[df.columns]
