@@ -130,10 +130,19 @@ def guardrails(policies: DataFrame) -> DataFrame:
     return policies.withColumn("missing", F.filter(rules, lambda x: x.isNotNull())).where(F.size("missing") > 0)
 
 
-def dataset_checksum(files: DataFrame) -> DataFrame:
-    """sha256 over sorted (path, hash) pairs; partial digests per path prefix keep it distributable."""
-    parts = files.groupBy(F.substring(F.sha1(F.col("path").cast("binary")), 1, 2).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat("path", F.lit("="), "hash"))), "\n").cast("binary"), 256).alias("h"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n").cast("binary"), 256).alias("checksum"), F.sum("n").alias("n_files"))
+def dataset_checksum(files: DataFrame, in_group: int = 1000) -> DataFrame:
+    """sha256 over the digests of groups of about ``in_group`` sorted path=hash lines, and the number of files.
+
+    Groups are dealt by a hash of the path and their number follows that of the files, so no
+    group grows; what meets at the end is one digest for each.  Files without path or hash are
+    left out of the digest but counted; no files have no checksum.
+    """
+    groups = max(1, files.count() // in_group)
+    bucket = F.conv(F.substring(F.sha1(F.col("path").cast("binary")), 1, 8), 16, 10).cast("long") % groups
+    lines = F.array_join(F.sort_array(F.collect_list(F.concat("path", F.lit("="), "hash"))), "\n")
+    parts = files.groupBy(bucket.alias("p")).agg(F.sha2(lines.cast("binary"), 256).alias("h"), F.count("*").alias("n"))
+    digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n")
+    return parts.agg(F.when(F.count("*") > 0, F.sha2(digests.cast("binary"), 256)).alias("checksum"), F.sum("n").alias("n_files"))
 
 
 def workspace_params(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import sequence
+
 GATES = ("geometry_iou", "split_precision", "structural_agreement", "golden_dataset", "latency_p95")
 
 
@@ -93,10 +95,16 @@ def vote(ballots: DataFrame, key: str) -> DataFrame:
 
 
 def sampled_vote(ballots: DataFrame, key: str, small: int = 11, share: float = 0.2, most: int = 50, accept: float = 0.7) -> DataFrame:
-    """All ballots of small groups; else a first sample, accepted at a clear majority, or both samples together."""
-    n = F.count("*").over(Window.partitionBy(key))
-    take = F.when(n < small, n).otherwise(F.least(F.ceil(n * share), F.lit(most)))
-    rows = ballots.withColumn("take", take).withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.sha1(F.col("pos").cast("string").cast("binary")), "pos")))
+    """All ballots of small groups; else a first sample, accepted at a clear majority, or both samples together.
+
+    Samples are the first ballots in hash order.  Group sizes are aggregated, and only ballots
+    whose rank can be within both samples are kept, so a group of any size is no single task.
+    """
+    sizes = ballots.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    take = F.when(F.col("n") < small, F.col("n")).otherwise(F.least(F.ceil(F.col("n") * share), F.lit(most)))
+    ranked = Window.partitionBy(key).orderBy(F.sha1(F.col("pos").cast("string").cast("binary")), "pos")
+    rows = ballots.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= max(2 * most, small))  # kept in each task before groups meet
+    rows = rows.join(sizes.select("_key", take.alias("take")), F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     one, two = vote(rows.where("r <= take"), key), vote(rows.where("r <= 2 * take"), key)
     clear = F.col("votes") / F.col("total") >= accept
     second = two.select(key, *(F.col(c).alias(f"{c}_2") for c in ("choice", "votes", "total", "confidence")))
@@ -112,6 +120,13 @@ def tta_stats(passes: DataFrame, width: float, height: float) -> DataFrame:
     return rows.select("page_id", F.round("agreement", 4).alias("agreement"), F.round("variance", 6).alias("variance"), (F.col("agreement") < 0.80).alias("low_agreement"), (F.col("variance") > 0.10).alias("high_variance"))
 
 
+def collection_metrics(runs: DataFrame) -> DataFrame:
+    """Mean iou, split and agreement, and exact p95 of latency, of each collection; nulls enter none of them."""
+    p95 = sequence.quantile(runs, ["collection"], "latency", 0.95, "p95").withColumnRenamed("collection", "_collection")
+    means = runs.groupBy("collection").agg(*(F.avg(c).alias(c) for c in ("iou", "split", "agreement")))
+    return means.join(p95, F.col("collection").eqNullSafe(F.col("_collection")), "left").drop("_collection")
+
+
 def promotion_gates(candidate: DataFrame, production: DataFrame) -> DataFrame:
     """Candidate against production per collection: IoU -0.02, splits -0.03, agreement -0.05, p95 x 1.25 at most."""
     c, p = (d.select("collection", *(F.col(x).alias(f"{n}_{x}") for x in ("iou", "split", "agreement", "p95"))) for d, n in ((candidate, "c"), (production, "p")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.operators import sequence
 from leafmill.operators.pages import TERMINAL, safe_rate, terminal_in_window, ts
+from leafmill.sources.shared import new_path
 
 STAGES = ("preprocessing", "rectification", "layout", "classification")
 
@@ -52,10 +54,19 @@ def review_rates(lineage: DataFrame, invocations: DataFrame, now: str, hours: in
 
 
 def service_inventory(invocations: DataFrame, approximate: bool = False) -> DataFrame:
-    """Calls, errors, success rate, last call and p95 of each service; nulls do not enter p95."""
-    p95 = F.percentile_approx("processing_time_ms", 0.95) if approximate else F.percentile("processing_time_ms", 0.95)
-    rows = invocations.groupBy("service_name").agg(F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status").isin("error", "timeout")).alias("errors"), F.max("invoked_at").alias("last_seen"), F.round(p95, 4).alias("p95_ms"))
-    return rows.withColumn("success_rate", F.round(F.col("succeeded") / F.nullif(F.col("total"), F.lit(0)), 4))
+    """Calls, errors, success rate, last call and p95 of each service.
+
+    Nulls do not enter p95, and a service without times has none.  The exact p95 is read off
+    row numbers, so that a service with most calls is no single task; ``approximate`` takes a
+    sketch instead.
+    """
+    aggregates = [F.count("*").alias("total"), F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.col("status").isin("error", "timeout")).alias("errors"), F.max("invoked_at").alias("last_seen")]
+    if approximate:
+        rows = invocations.groupBy("service_name").agg(*aggregates, F.percentile_approx("processing_time_ms", 0.95).alias("p95_ms"))
+    else:
+        p95 = sequence.quantile(invocations, ["service_name"], "processing_time_ms", 0.95, "p95_ms").withColumnRenamed("service_name", "service")
+        rows = invocations.groupBy("service_name").agg(*aggregates).join(p95, F.col("service_name").eqNullSafe(F.col("service")), "left").drop("service")
+    return rows.withColumns({"p95_ms": F.round("p95_ms", 4), "success_rate": F.round(F.col("succeeded") / F.nullif(F.col("total"), F.lit(0)), 4)})
 
 
 def catalogue_inventory(catalogue: DataFrame, invocations: DataFrame) -> DataFrame:
@@ -69,23 +80,29 @@ def training_status(jobs: DataFrame, now: str, hours: int = 72, most: int = 10)
     return jobs.groupBy("status").agg(F.count("*").alias("n")), recent.orderBy(F.col("completed_at").desc(), "train_job_id").limit(most)
 
 
-def rolling_drift(observations: DataFrame, baselines: DataFrame, size: int = 200, sigmas: float = 3.0) -> DataFrame:
-    """Mean of the last ``size`` values of each metric, and whether it left the baseline; without baseline or spread it has not."""
-    w = Window.partitionBy("metric").orderBy("ts", "seq").rowsBetween(1 - size, 0)
-    rows = observations.select("metric", "ts", "seq", F.avg("value").over(w).alias("window_mean"), F.count("*").over(w).alias("window_n"))
+def rolling_drift(observations: DataFrame, baselines: DataFrame, size: int = 200, sigmas: float = 3.0, block: int = 100_000) -> DataFrame:
+    """Mean of the last ``size`` values of each metric, and whether it left the baseline.
+
+    Without baseline or spread it has not; null values do not enter a mean.  Metrics are cut
+    into blocks of rows, so one metric can hold all of them.
+    """
+    rows = sequence.rolling(observations.select("metric", "ts", "seq", "value"), ["metric"], ["ts", "seq"], size, {"window_mean": F.avg("value"), "window_n": F.count("*")}, block)
     far = F.abs(F.col("window_mean") - F.col("mean")) > sigmas * F.col("std")
-    return rows.join(F.broadcast(baselines), "metric", "left").select("metric", "seq", F.round("window_mean", 9).alias("window_mean"), "window_n", F.coalesce((F.col("std") > 0) & far, F.lit(False)).alias("drifted"))
+    rows = rows.join(F.broadcast(baselines), "metric", "left")  # one row for each known metric
+    return rows.select("metric", "seq", F.round("window_mean", 9).alias("window_mean"), "window_n", F.coalesce((F.col("std") > 0) & far, F.lit(False)).alias("drifted"))
 
 
 def baselines(observations: DataFrame, least: int = 200) -> DataFrame:
     return observations.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std")).where(F.col("n") >= least)
 
 
-def failure_streaks(invocations: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of at least ``least`` failures in a row of each service; a success ends a run."""
-    w = Window.partitionBy("service_name").orderBy("invoked_at", "id")
-    ok = F.col("status") == "success"
-    rows = invocations.withColumn("island", F.sum(F.when(ok, 1).otherwise(0)).over(w)).where(~ok)
+def failure_streaks(invocations: DataFrame, least: int = 5, block: int = 100_000) -> DataFrame:
+    """Runs of at least ``least`` failures in a row of each service; a success ends a run, a null status is a failure.
+
+    Runs are told apart by how many successes came before, counted in blocks of rows.
+    """
+    ok = F.coalesce(F.col("status") == "success", F.lit(False))
+    rows = sequence.running_count(invocations.select("service_name", "invoked_at", "id", "status"), ["service_name"], ["invoked_at", "id"], ok, "island", block).where(~ok)
     return rows.groupBy("service_name", "island").agg(F.count("*").alias("length"), F.min("invoked_at").alias("first_at"), F.max("invoked_at").alias("last_at")).where(F.col("length") >= least).drop("island")
 
 
@@ -100,12 +117,42 @@ def persisting(ticks: DataFrame, seconds: int) -> DataFrame:
 def cooldown(events: DataFrame, days: int = 7) -> DataFrame:
     """Events (kind, fired_at, event_id) that are kept: those at least ``days`` after the last kept one of their kind.
 
-    Whether an event is kept depends on the kept ones before it, so a fold over the sorted
-    moments of a kind is needed; kinds are few and fixed, events of one moment count once.
+    Events of one moment count once, by their least id; null moments are left out, null kinds
+    are a kind.  Each event's successor is the first one of its kind at least ``days`` later; it
+    lies in the next block of ``days`` or is the first event after that, so blocks are looked at
+    apart.  The kept events are those that the first of a kind reaches, found by doubling the
+    step, so a kind of any size takes a number of joins that grows with the logarithm of the
+    time it spans.
     """
-    per = events.groupBy("kind", "fired_at").agg(F.min("event_id").alias("event_id"))
-    lists = per.groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("fired_at", "event_id"))).alias("a"))
-    empty = F.array().cast("array<struct<fired_at:timestamp,event_id:bigint>>")
-    gap = F.expr(f"INTERVAL {days} DAYS")
-    kept = F.aggregate("a", empty, lambda acc, e: F.when((F.size(acc) == 0) | (e["fired_at"] >= F.element_at(acc, -1)["fired_at"] + gap), F.concat(acc, F.array(e))).otherwise(acc))
-    return lists.select("kind", F.inline(kept))
+    seconds = days * 86_400
+    per = events.where(F.col("fired_at").isNotNull()).groupBy("kind", "fired_at").agg(F.min("event_id").alias("event_id"))
+    rows = per.withColumns({"at": F.unix_micros(F.col("fired_at").cast("timestamp")), "k": F.coalesce(F.col("kind"), F.lit("\0"))})
+    rows = _stored(rows.withColumn("block", F.floor(F.col("at") / (seconds * 1_000_000))), "cooldown-events")
+    # of a block: its own events, which look for what comes after them, and the events of the next block that may be found
+    wanted = rows.select("k", (F.col("block") + 1).alias("block"), (F.col("at") + seconds * 1_000_000).alias("moment"), F.lit(1).alias("asks"), "at")
+    offered = rows.select("k", "block", F.col("at").alias("moment"), F.lit(0).alias("asks"), "at")
+    both = wanted.unionByName(offered)
+    later = Window.partitionBy("k", "block").orderBy(F.desc("moment"), "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("next", F.min(F.when(F.col("asks") == 0, F.col("moment"))).over(later)).where("asks = 1")
+    firsts = rows.groupBy("k", F.col("block").alias("b")).agg(F.min("at").alias("first"))  # one row for each kind and block
+    following = Window.partitionBy("k").orderBy("b")
+    ahead = firsts.select("k", "b", F.lead("b").over(following).alias("n"), F.lead("first").over(following).alias("n_first"), F.lead("first", 2).over(following).alias("nn_first"))
+    # without an event late enough in the next block, the first event of the block after it
+    skip = F.when(F.col("n") == F.col("b") + 1, F.col("nn_first")).otherwise(F.col("n_first"))
+    steps = found.join(ahead.select(F.col("k").alias("k2"), (F.col("b") + 1).alias("block2"), skip.alias("else_")), (F.col("k") == F.col("k2")) & (F.col("block") == F.col("block2")))
+    steps = _stored(steps.select("k", "at", F.coalesce("next", "else_").alias("next")), "cooldown-steps")
+    kept = _stored(rows.groupBy("k").agg(F.min("at").alias("at")), "cooldown-kept")
+    while True:  # kept holds the first 2^i of each kind, steps leads 2^i on
+        more = kept.join(steps, ["k", "at"]).where("next IS NOT NULL").select("k", F.col("next").alias("at"))
+        grown = _stored(kept.union(more), "cooldown-kept")
+        if more.isEmpty():
+            return per.withColumns({"at": F.unix_micros(F.col("fired_at").cast("timestamp")), "k": F.coalesce(F.col("kind"), F.lit("\0"))}).join(grown, ["k", "at"], "left_semi").select("kind", "fired_at", "event_id")
+        on = steps.select(F.col("k").alias("k2"), F.col("at").alias("at2"), F.col("next").alias("next2"))
+        steps = _stored(steps.where("next IS NOT NULL").join(on, (F.col("k") == F.col("k2")) & (F.col("next") == F.col("at2"))).select("k", "at", F.col("next2").alias("next")), "cooldown-steps")
+        kept = grown
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def script_of(ch: str) -> str:
-    """arabic, latin or other, by Unicode name; digits of other scripts than Arabic count as latin."""
-    if not ch.isalnum():
-        return "other"
-    name = unicodedata.name(ch, "")
-    if "ARABIC" in name:
-        return "arabic"
-    return "latin" if "LATIN" in name or "DIGIT" in name or ch.isascii() else "other"
-
-
 def script_counts(text: Column) -> Column:
-    """Exact counts (arabic, latin, other) by Unicode names, in Arrow batches with a table of the characters met."""
+    """Counts of a text's characters: struct of arabic, latin and other; a null text has 0 of each.
 
-    def run(texts: pa.Array) -> pa.Array:
-        known: dict[str, int] = {}
-        out = []
-        for t in texts.to_pylist():
-            c = [0, 0, 0]
-            for ch in t or "":
-                k = known.get(ch)
-                if k is None:
-                    k = known[ch] = ("arabic", "latin", "other").index(script_of(ch))
-                c[k] += 1
-            out.append(dict(zip(("arabic", "latin", "other"), c, strict=True)))
-        return pa.array(out, pa.struct([("arabic", pa.int64()), ("latin", pa.int64()), ("other", pa.int64())]))
-
-    return F.arrow_udf(run, "struct<arabic:long,latin:long,other:long>")(text)
+    Letters and numbers of the Arabic script and Arabic-Indic digits are arabic, letters of the
+    Latin script and other digits latin, everything else other.  JVM regular expressions, no
+    Python.
+    """
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    digits = r"\u0660-\u0669\u06F0-\u06F9"
+    arabic = F.regexp_count(t, F.lit(rf"[\p{{IsArabic}}&&[\p{{L}}\p{{N}}]]|[{digits}]"))
+    latin = F.regexp_count(t, F.lit(rf"[\p{{IsLatin}}&&[\p{{L}}\p{{N}}]]|[\p{{Nd}}&&[^{digits}]]"))
+    return F.struct(arabic.cast("long").alias("arabic"), latin.cast("long").alias("latin"), (F.length(t) - arabic - latin).cast("long").alias("other"))
 
 
 def script_evidence(lines: DataFrame) -> DataFrame:
     """Character shares, boxes and mean clipped confidence per page.  JVM regular expressions, no Python.
 
     Letters and digits of Arabic blocks are arabic, ASCII and Latin letters and digits latin,
-    everything else other; ``script_counts`` gives the exact classes by Unicode names.
+    everything else other; ``script_counts`` counts whole scripts.
     """
     t = F.coalesce("text", F.lit(""))
     rows = lines.select("page_id", F.regexp_count(t, F.lit(r"[\p{IsArabic}&&[\p{L}\p{N}]]")).alias("a"), F.regexp_count(t, F.lit(r"[\p{IsLatin}0-9]|\p{Nd}")).alias("l0"), F.regexp_count(t, F.lit(r"[\p{IsArabic}&&\p{Nd}]")).alias("ad"), F.length(t).alias("n"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("conf", F.lit(0.0)))).alias("c"))

@@ -105,7 +105,7 @@ def u5_ordered_distinct(t: Tables):
     return t.v_lineage.select("lineage_id", F.array_join(F.array_distinct(F.filter(F.array("output_uri", "otiff_uri", "output_uri", "otiff_uri"), lambda x: x.isNotNull())), ",").alias("uris"))
 
 
-_POLICIES = "SELECT model_id, price > 1000 AS needs_audit, price > 1500 AS needs_slo, CASE WHEN stage = 'staging' THEN 'a' END AS audit_evidence, CASE WHEN stage <> 'shadow' THEN 's' END AS slo_evidence FROM {m}"
+_POLICIES = "SELECT model_id, price > 950 AS needs_audit, price > 1000 AS needs_slo, CASE WHEN stage = 'staging' THEN 'a' END AS audit_evidence, CASE WHEN stage = 'production' THEN 's' END AS slo_evidence FROM {m}"
 
 
 @query(f"SELECT model_id, concat_ws(',', CASE WHEN needs_audit AND audit_evidence IS NULL THEN 'audit' END, CASE WHEN needs_slo AND slo_evidence IS NULL THEN 'slo' END) AS missing FROM ({_POLICIES.format(m='v_models')}) WHERE (needs_audit AND audit_evidence IS NULL) OR (needs_slo AND slo_evidence IS NULL)")
@@ -146,7 +146,8 @@ def w14_latest_dataset(t: Tables):
     return c.latest_dataset(t.v_models.select(F.col("service_name").alias("family"), F.col("version_tag").alias("version"), "created_at", (F.col("stage") != "shadow").alias("approved")))
 
 
-@query()
+@query("""SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS checksum, sum(n)::BIGINT AS n_files FROM (SELECT b, sha256(string_agg(line, chr(10) ORDER BY line)) AS h, count(*) AS n
+FROM (SELECT ('0x' || substr(sha1('p/' || page_id), 1, 8))::BIGINT % greatest(1, (SELECT count(*) FROM pages) // 1000) AS b, 'p/' || page_id || '=' || sha256(html) AS line FROM pages) GROUP BY b)""")
 def a32_dataset_checksum(t: Tables):
     return c.dataset_checksum(t.pages.select(F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("hash")))
 
@@ -261,12 +262,12 @@ def a27_tta_stats(t: Tables):
     return gd.tta_stats(t.spark.sql(_PASSES, q=t.v_quads), 80.0, 60.0)
 
 
-_METRICS = "SELECT material_type AS collection, avg(confidence) AS iou, avg(tta_agreement) AS split, avg(border_score) AS agreement, {p} AS p95 FROM {q} WHERE vec_id % 2 = {r} GROUP BY 1"
+_METRICS = "SELECT material_type AS collection, avg(confidence) AS iou, avg(tta_agreement) AS split, avg(border_score) AS agreement, quantile_cont(skew_residual, 0.95) AS p95 FROM {q} WHERE vec_id % 2 = {r} GROUP BY 1"
 
 
-@query(f"""SELECT c.collection, c.iou >= p.iou - 0.02 AND c.split >= p.split - 0.03 AND c.agreement >= p.agreement - 0.05 AND c.p95 <= p.p95 * 1.25 AS pass FROM ({_METRICS.format(p='quantile_cont(skew_residual, 0.95)', q='v_quads', r=0)}) c JOIN ({_METRICS.format(p='quantile_cont(skew_residual, 0.95)', q='v_quads', r=1)}) p USING (collection)""")
+@query(f"""SELECT c.collection, c.iou >= p.iou - 0.02 AND c.split >= p.split - 0.03 AND c.agreement >= p.agreement - 0.05 AND c.p95 <= p.p95 * 1.25 AS pass FROM ({_METRICS.format(q='v_quads', r=0)}) c JOIN ({_METRICS.format(q='v_quads', r=1)}) p USING (collection)""")
 def a36_promotion_gates(t: Tables):
-    new, old = (t.spark.sql(_METRICS.replace("{p}", "percentile(skew_residual, 0.95)").replace("{r}", str(r)), q=t.v_quads) for r in (0, 1))
+    new, old = (gd.collection_metrics(t.v_quads.where(f"vec_id % 2 = {r}").select(F.col("material_type").alias("collection"), F.col("confidence").alias("iou"), F.col("tta_agreement").alias("split"), F.col("border_score").alias("agreement"), F.col("skew_residual").alias("latency"))) for r in (0, 1))
     return gd.promotion_gates(new, old)
 
 

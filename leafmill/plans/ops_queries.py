@@ -222,11 +222,14 @@ def j23_purge(t: Tables):
     return out
 
 
-@query("SELECT service_name, version_tag FROM v_models m WHERE stage = 'staging' AND NOT EXISTS (SELECT 1 FROM v_models o WHERE o.stage = 'archived' AND o.service_name = m.service_name AND o.price = m.price)")
+_TAGGED = "SELECT service_name, 'v' || floor(price * 100)::BIGINT AS version_tag FROM v_models WHERE stage"
+
+
+@query(f"{_TAGGED} = 'staging' EXCEPT {_TAGGED} = 'archived'")
 def j25_new_versions(t: Tables):
-    found = t.v_models.where("stage = 'staging'").select("service_name", F.col("price").cast("string").alias("version_tag"), F.col("version_tag").alias("tag"))
-    there = t.v_models.where("stage = 'archived'").select("service_name", F.col("price").cast("string").alias("version_tag"))
-    return found.join(there, ["service_name", "version_tag"], "left_anti").select("service_name", F.col("tag").alias("version_tag"))
+    tag = F.concat(F.lit("v"), F.floor(F.col("price") * 100).cast("long").cast("string")).alias("version_tag")
+    found, there = (t.v_models.where(f"stage = '{s}'").select("service_name", tag) for s in ("staging", "archived"))
+    return r.new_versions(found, there)
 
 
 _EVALS = "SELECT page_id, concat('e-', page_id, '-', CAST(retry_count AS STRING)) AS eval_id, created_at FROM {p} WHERE retry_count > 1 AND created_at IS NOT NULL"

@@ -59,7 +59,7 @@ def with_views(sql: str) -> str:
     need(sql)
     if not order:
         return sql
-    head = ",\n".join(f"{n} AS ({twin_sql(n)})" for n in order)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({twin_sql(n)})" for n in order)
     body = sql.strip()
     if body.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {head},\n{body[14:]}"

@@ -90,12 +90,12 @@ WHERE p_partkey % 11 <> 0""",
 SELECT event_id AS trigger_id, CASE user_id % 5 WHEN 0 THEN 'drift_alert_persistence' WHEN 1 THEN 'escalation_rate_anomaly' WHEN 2 THEN 'auto_accept_rate_collapse'
   WHEN 3 THEN 'structural_agreement_degradation' ELSE 'unlisted_trigger' END AS trigger_type, ts AS fired_at,
   CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' ELSE 'completed' END AS status,
-  CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('rj-', CAST(event_id % 400 AS STRING)) END AS train_job_id
+  CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('rj-', CAST(event_id + event_id % 4 AS STRING)) END AS train_job_id
 FROM {events} WHERE event_type = 'error'""",
     "v_train_jobs": """
 SELECT concat('rj-', CAST(event_id AS STRING)) AS train_job_id, CASE event_id % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'completed' END AS status, ts AS started_at,
   CASE WHEN event_id % 4 >= 2 THEN ts + INTERVAL 90 MINUTE END AS completed_at
-FROM {events} WHERE event_id < 300""",
+FROM {events} WHERE event_type <> 'view'""",
     "v_observations": """
 SELECT concat(CASE event_type WHEN 'click' THEN 'geometry_a' WHEN 'view' THEN 'geometry_b' WHEN 'purchase' THEN 'rectify' WHEN 'signup' THEN 'layout_a' ELSE 'classify' END,
   CASE WHEN user_id % 2 = 0 THEN '.confidence' ELSE '.latency' END) AS metric, value, ts, event_id AS seq FROM {events}""",

@@ -2,10 +2,12 @@
 
 import math
 import random
+import unicodedata
 
+import numpy as np
 import pytest
 from leafmill.functions import geometry as g
-from leafmill.operators import curation, gates, golden, health, layout, orientation, pages
+from leafmill.operators import curation, gates, golden, health, layout, orientation, pages, sequence
 from leafmill.sources import readers, sinks, tables
 from leafmill.streaming import jobs
 from pyspark.sql import functions as F
@@ -163,7 +165,14 @@ def test_unaugment_inverts(spark):
 
 def test_script_classes(spark):
     text = "ab١ ش2٣é!漢"
-    want = {k: sum(orientation.script_of(c) == k for c in text) for k in ("arabic", "latin", "other")}
+
+    def script_of(ch):
+        name = unicodedata.name(ch, "")
+        if not ch.isalnum():
+            return "other"
+        return "arabic" if "ARABIC" in name else "latin" if "LATIN" in name or "DIGIT" in name else "other"
+
+    want = {k: sum(script_of(c) == k for c in text) for k in ("arabic", "latin", "other")}
     df = spark.createDataFrame([(1, text, 0.5), (1, None, 2.0), (2, "", None)], "page_id long, text string, conf double")
     assert df.where("page_id = 1 AND text IS NOT NULL").select(orientation.script_counts(F.col("text")).alias("c")).first().c.asDict() == want
     e = {r.page_id: r for r in orientation.script_evidence(df).collect()}
@@ -233,3 +242,62 @@ def test_flag_handling_of_nulls_and_nothing(spark):
     assert pages.job_rollup(odd).count() == 1 and pages.download_manifest(odd.withColumn("status", F.lit("x"))).count() == 1
     assert layout.nms(spark.createDataFrame([], REGION)).count() == 0
     assert spark.range(1).select(g.iou(*[tuple(F.lit(float(v)) for v in b) for b in ((0, 0, 1, 1), (1, 0, 2, 1))]).alias("v")).first().v == 0.0
+
+
+def test_blocks_of_a_hot_key_do_not_show(spark):
+    """One key holds all rows; blocks of a few rows give what one window over the whole key gives."""
+    rng = random.Random(4)
+    rows = [("m", i // 3, i, None if i % 50 == 7 else rng.random()) for i in range(400)] + [(None, 1, 900, 1.0), (None, 2, 901, 3.0), ("n", 0, 902, 5.0)]
+    df = spark.createDataFrame(rows, "metric string, ts long, seq long, value double").repartition(6)
+    base = spark.createDataFrame([("m", 0.5, 0.01)], "metric string, mean double, std double")
+    want = {}
+    for m in ("m", "n", None):
+        own = sorted((r for r in rows if r[0] == m), key=lambda r: (r[1], r[2]))
+        for i, r in enumerate(own):
+            values = [x[3] for x in own[max(0, i - 9) : i + 1] if x[3] is not None]
+            want[r[2]] = (round(sum(values) / len(values), 9) if values else None, len(own[max(0, i - 9) : i + 1]))
+    for block in (12, 100, 100_000):
+        found = health.rolling_drift(df, base, 10, block=block).collect()
+        assert {r.seq: (round(r.window_mean, 9), r.window_n) for r in found} == want and len(found) == len(rows)
+        assert all(r.drifted == (r.metric == "m" and abs(r.window_mean - 0.5) > 0.03) for r in found if r.metric != "m" or abs(abs(r.window_mean - 0.5) - 0.03) > 1e-6)
+    calls = [("s", i, i, "success" if rng.random() < 0.3 else None if i % 9 == 0 else "error") for i in range(300)]
+    runs, at = [], []
+    for c in [*calls, ("s", 0, 0, "success")]:
+        if c[3] == "success":
+            if len(at) >= 3:
+                runs.append((len(at), at[0], at[-1]))
+            at = []
+        else:
+            at.append(c[1])
+    df = spark.createDataFrame(calls, "service_name string, invoked_at long, id long, status string").repartition(5)
+    for block in (7, 100_000):
+        assert sorted((r.length, r.first_at, r.last_at) for r in health.failure_streaks(df, 3, block).collect()) == sorted(runs)
+    values = [(k, None if i % 11 == 0 else float(rng.randrange(50))) for k in ("a", None) for i in range(101)] + [("z", None), ("o", 4.0)]
+    found = {r.k: r.q for r in sequence.quantile(spark.createDataFrame(values, "k string, v double").repartition(4), ["k"], "v", 0.95, "q").collect()}
+    assert found.keys() == {"a", None, "o"} and found["o"] == 4.0
+    for k in ("a", None):
+        assert abs(found[k] - np.quantile([v for x, v in values if x == k and v is not None], 0.95)) < 1e-9
+    assert health.rolling_drift(df.limit(0).selectExpr("'m' AS metric", "id AS ts", "id AS seq", "1.0 AS value"), base).count() == 0
+
+
+def test_cooldown_equals_fold(spark):
+    rng, day = random.Random(6), 86_400
+    rows = [("hot", rng.randrange(0, 300 * day), i) for i in range(900)] + [("rare", 40 * day * i, 1000 + i) for i in range(5)] + [(None, 7 * day * i, 2000 + i) for i in range(9)] + [(None, 7 * day, 1), ("x", None, 5)]
+    df = spark.createDataFrame(rows, "kind string, s long, event_id long").selectExpr("kind", "timestamp_seconds(s) AS fired_at", "event_id").repartition(5)
+    want = set()
+    for k in ("hot", "rare", None):
+        last = None
+        for s in sorted({s for kind, s, _ in rows if kind == k and s is not None}):
+            if last is None or s >= last + 7 * day:
+                last = s
+                want.add((k, min(e for kind, x, e in rows if kind == k and x == s)))
+    assert {(r.kind, r.event_id) for r in health.cooldown(df).collect()} == want
+    assert health.cooldown(df.limit(0)).count() == 0
+
+
+def test_checksum_follows_content_and_not_order(spark):
+    files = spark.range(3000).selectExpr("concat('f', id) AS path", "sha2(CAST(id AS STRING), 256) AS hash")
+    one = curation.dataset_checksum(files).first()
+    assert one == curation.dataset_checksum(files.repartition(7)).first() and one.n_files == 3000
+    assert curation.dataset_checksum(files.where("path <> 'f7'")).first().checksum != one.checksum
+    assert curation.dataset_checksum(files.limit(0)).first().checksum is None
