@@ -37,17 +37,36 @@ def u3_type_keys(t: Tables):
     return t.v_regions.select("page_id", "type").union(t.v_regions_b.select("page_id", "type")).distinct()
 
 
-@query()
+_STRUCT_IOU = _IOU_FN.format(a="k.", b="n.")
+
+
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id, type ORDER BY confidence DESC, pos) AS r FROM (SELECT * FROM v_regions UNION ALL SELECT page_id, pos + 100, type, x_min, y_min, x_max, y_max, confidence FROM v_regions_b)),
+f AS (SELECT page_id, type, 0::BIGINT AS r, NULL::INT AS pos, 0.0::DOUBLE AS confidence, false AS stays, list_filter([{{'x_min': 0.0::DOUBLE, 'y_min': 0.0::DOUBLE, 'x_max': 0.0::DOUBLE, 'y_max': 0.0::DOUBLE}}], lambda x: false) AS kept FROM n WHERE r = 1
+UNION ALL SELECT page_id, type, r, pos, confidence, stays, CASE WHEN stays THEN list_append(kept, {{'x_min': x_min, 'y_min': y_min, 'x_max': x_max, 'y_max': y_max}}) ELSE kept END FROM
+(SELECT n.*, f.kept, len(list_filter(f.kept, lambda k: {_STRUCT_IOU} > 0.5)) = 0 AS stays FROM f JOIN n ON n.page_id = f.page_id AND n.type = f.type AND n.r = f.r + 1))
+SELECT page_id, type, pos, round(confidence, 6) AS confidence FROM f WHERE stays""")
 def c9_nms(t: Tables):
     return layout.nms(t.v_regions.unionByName(t.v_regions_b.withColumn("pos", F.col("pos") + 100))).select("page_id", "type", "pos", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+_MATCHED = f"""n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY iou DESC, i, j) AS r FROM (SELECT a.page_id, a.pos AS i, b.pos AS j, {_IOU} AS iou FROM v_regions a JOIN v_regions_b b ON a.page_id = b.page_id AND a.type = b.type WHERE {_IOU} >= 0.5)),
+f AS (SELECT page_id, 0::BIGINT AS r, NULL::INT AS i, NULL::INT AS j, 0.0::DOUBLE AS iou, false AS fresh, []::INT[] AS si, []::INT[] AS sj FROM n WHERE r = 1
+UNION ALL SELECT page_id, r, i, j, iou, fresh, CASE WHEN fresh THEN list_append(si, i) ELSE si END, CASE WHEN fresh THEN list_append(sj, j) ELSE sj END FROM
+(SELECT n.*, f.si, f.sj, NOT list_contains(f.si, n.i) AND NOT list_contains(f.sj, n.j) AS fresh FROM f JOIN n ON n.page_id = f.page_id AND n.r = f.r + 1)),
+g AS (SELECT page_id, i, j, iou FROM f WHERE fresh)"""
+
+
+@query(f"WITH RECURSIVE {_MATCHED} SELECT page_id, i, j, round(iou, 6) AS iou FROM g")
 def c10_greedy_match(t: Tables):
     return layout.greedy_match(t.v_regions, t.v_regions_b).select("page_id", "i", "j", F.round("iou", 6).alias("iou"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MATCHED},
+h AS (SELECT page_id, bool_and(abs(coalesce(n_a, 0) - coalesce(n_b, 0)) <= 1) AS same FROM (SELECT page_id, type, count(*) AS n_a FROM v_regions GROUP BY 1, 2) FULL JOIN (SELECT page_id, type, count(*) AS n_b FROM v_regions_b GROUP BY 1, 2) USING (page_id, type) GROUP BY 1),
+c AS (SELECT a.page_id, a.n_a, coalesce(b.n_b, 0) AS n_b, coalesce(m.matched, 0) AS matched, coalesce(m.mean_iou, 0.0) AS mean_iou, coalesce(h.same, false) AND b.n_b IS NOT NULL AS histogram_match, b.n_b IS NULL AS single_model
+FROM (SELECT page_id, count(*) AS n_a FROM v_regions GROUP BY 1) a LEFT JOIN (SELECT page_id, count(*) AS n_b FROM v_regions_b GROUP BY 1) b USING (page_id) LEFT JOIN (SELECT page_id, count(*) AS matched, avg(iou) AS mean_iou FROM g GROUP BY 1) m USING (page_id) LEFT JOIN h USING (page_id))
+SELECT page_id, n_a, n_b, matched, round(mean_iou, 6) AS mean_iou, histogram_match, single_model, matched / greatest(n_a, n_b) >= 0.7 AND histogram_match AS agreed,
+CASE WHEN single_model THEN 0.0 ELSE round(greatest(0.0, least(1.0, 0.6 * (matched / greatest(n_a, n_b)) + 0.2 * mean_iou + 0.2 * histogram_match::INT)), 6) END AS consensus FROM c""")
 def a22_consensus(t: Tables):
     return layout.consensus(t.v_regions, t.v_regions_b)
 
@@ -155,7 +174,11 @@ def f4_order_corners(t: Tables):
     return o.select("vec_id", *(F.round(f"o.{k}.{a}", 4).alias(f"{k}_{a}") for k, a in (("tl", "x"), ("tr", "y"), ("br", "x"), ("bl", "y"))))
 
 
-@query()
+_KEYPOINTS = f"SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, y, n) AS l, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, y, n) AS r FROM (SELECT vec_id, CASE i WHEN 3 THEN 0 WHEN 1 THEN 1 WHEN 0 THEN 2 ELSE 3 END AS n, x, y FROM ({_UNROLL}))"
+
+
+@query(f"""SELECT vec_id, printf('%.3f/%.3f %.3f/%.3f %.3f/%.3f %.3f/%.3f', tl.x, tl.y, tr.x, tr.y, br.x, br.y, bl.x, bl.y) AS points FROM (SELECT vec_id, arg_min({{'x': x, 'y': y}}, x + y) FILTER (WHERE l <= 2) AS tl, arg_max({{'x': x, 'y': y}}, y) FILTER (WHERE l <= 2) AS bl,
+arg_min({{'x': x, 'y': y}}, y) FILTER (WHERE r <= 2) AS tr, arg_max({{'x': x, 'y': y}}, x + y) FILTER (WHERE r <= 2) AS br FROM ({_KEYPOINTS}) GROUP BY 1)""")
 def f5_reorder_keypoints(t: Tables):
     pts = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (4, 2, 1, 3)])
     return t.v_quads.select("vec_id", F.array_join(F.transform(g.reorder_keypoints(pts), lambda p: F.format_string("%.3f/%.3f", p["x"], p["y"])), " ").alias("points"))
@@ -224,7 +247,19 @@ def _models(t: Tables):
     return rows.select("vec_id", "material_type", a.alias("a"), b.alias("b"))
 
 
-@query()
+_TURN = "nullif(CASE WHEN abs({c}) < 1e-9 THEN 0 ELSE sign({c}) END, 0)"
+_TURNS = ", ".join(_TURN.format(c=_cross(i).removeprefix("sign(").removesuffix(")")) for i in range(1, 5))
+_INSIDE = " AND ".join(f"x{i} BETWEEN 0 AND 800 AND y{i} BETWEEN 0 AND 600" for i in range(1, 5))
+_CHECKED = f"""m AS (SELECT *, vec_id % 4 = 0 AS sr, CASE WHEN vec_id % 4 = 0 THEN 2 ELSE 1 END AS pc, abs(x1*y2 - x2*y1 + x2*y3 - x3*y2 + x3*y4 - x4*y3 + x4*y1 - x1*y4) / 2 AS area,
+greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4) AS w, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) AS h FROM v_quads),
+fr AS (SELECT *, CASE WHEN vec_id % 9 = 0 THEN 0.09::DOUBLE ELSE area / 480000.0 END AS fraction, CASE WHEN material_type = 'newspaper' THEN 0.10 ELSE 0.15 END / pc AS low,
+CASE WHEN material_type = 'archival_document' THEN 0.5 ELSE 0.3 END AS flat, CASE WHEN material_type IN ('newspaper', 'microfilm') THEN 5.0 ELSE 3.0 END AS tall FROM m),
+q AS (SELECT *, list_filter([CASE WHEN NOT ({_INSIDE}) THEN 'within_bounds' END, CASE WHEN NOT (area > 0 AND w > 0 AND h > 0) THEN 'non_degenerate' END, CASE WHEN NOT fraction BETWEEN low AND 1 THEN 'area_fraction_plausible' END,
+CASE WHEN NOT (h > 0 AND coalesce(w / nullif(h, 0) BETWEEN flat AND tall, false)) THEN 'aspect_ratio_plausible' END, CASE WHEN NOT coalesce(least({_TURNS}) = greatest({_TURNS}), true) THEN 'corner_ordering_valid' END], lambda x: x IS NOT NULL) AS failed,
+vec_id % 17 <> 0 AS has_a, vec_id % 13 <> 0 AS has_b FROM fr)"""
+
+
+@query(f"WITH {_CHECKED} SELECT vec_id, CASE WHEN has_a THEN array_to_string(failed, ',') END AS failed_a, CASE WHEN has_b THEN array_to_string(failed, ',') END AS failed_b FROM q")
 def c1_sanity(t: Tables):
     return _models(t).select("vec_id", F.array_join("a.failed", ",").alias("failed_a"), F.array_join("b.failed", ",").alias("failed_b"))
 
@@ -239,12 +274,22 @@ def c3_candidate_filters(t: Tables):
     return _models(t).where("a IS NOT NULL").select("vec_id", gates.passes_split(F.col("a")).alias("split_ok"), gates.passes_variance(F.col("a")).alias("variance_ok"))
 
 
-@query()
+@query(f"""WITH {_CHECKED},
+b AS (SELECT *, CASE WHEN vec_id % 7 = 0 THEN 3 - pc ELSE pc END AS b_pc, confidence * CASE WHEN vec_id % 5 = 0 THEN 1.0 ELSE 0.97 END AS b_conf, fraction * 0.95 AS b_area FROM q),
+s AS (SELECT *, has_a AND len(failed) = 0 AS sane_a, has_b AND len(failed) = 0 AS sane_b, CASE WHEN has_a AND has_b THEN pc = b_pc END AS agreement, tta_variance <= 0.15 AS calm FROM b),
+p AS (SELECT *, sane_a AND (NOT sr OR least(confidence, tta_agreement) >= 0.75) AS split_a, sane_b AND (NOT sr OR least(b_conf, tta_agreement) >= 0.75) AS split_b FROM s),
+l AS (SELECT *, split_a AND calm AS l_a, split_b AND calm AS l_b FROM p),
+k AS (SELECT *, NOT l_a AND NOT l_b AS nobody, has_a AND has_b AND coalesce(agreement, false) AND l_a AND l_b AS high, l_a AND l_b AND least(fraction, b_area) < 0.30 AS small FROM l)
+SELECT vec_id, agreement AS structural_agreement, CASE WHEN nobody THEN NULL WHEN l_a AND NOT l_b THEN 'a' WHEN l_b AND NOT l_a OR small OR b_conf > confidence THEN 'b' ELSE 'a' END AS selected,
+CASE WHEN nobody THEN NULL WHEN high THEN 'high' ELSE 'low' END AS trust, CASE WHEN nobody THEN NULL WHEN l_a <> l_b THEN 'sole_survivor' WHEN small THEN 'page_area_preference' WHEN confidence = b_conf THEN 'default_a' ELSE 'higher_confidence' END AS selection_reason,
+CASE WHEN NOT nobody THEN NULL WHEN NOT (has_a OR has_b) THEN 'geometry_selection_failed' WHEN NOT sane_a AND NOT sane_b THEN 'geometry_sanity_failed' WHEN NOT split_a AND NOT split_b THEN 'split_confidence_low' ELSE 'tta_variance_high' END AS review_reason,
+CASE WHEN nobody THEN 'pending_human_correction' WHEN high THEN 'accepted' ELSE 'rectification' END AS route FROM k""")
 def c4_select_geometry(t: Tables):
     return gates.select_geometry(_models(t)).select("vec_id", "structural_agreement", "selected", "trust", "selection_reason", "review_reason", "route")
 
 
-@query()
+@query("""SELECT page_id, pos AS region, round(area, 6) AS area_fraction FROM (SELECT *, row_number() OVER w AS r, lead(area) OVER w AS second FROM (SELECT page_id, pos, (x_max - x_min) * (y_max - y_min) / 400000 AS area, confidence > 0.51 AS sane FROM v_regions)
+WINDOW w AS (PARTITION BY page_id ORDER BY area DESC, pos DESC)) WHERE r = 1 AND sane AND coalesce(second, 0) <= 0.12""")
 def c5_largest_region(t: Tables):
     rows = t.v_regions.select("page_id", F.col("pos").alias("region"), ((F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min")) / 400000).alias("area_fraction"), (F.col("confidence") > 0.51).alias("sane"))
     return gates.largest_region(rows).select("page_id", "region", F.round("area_fraction", 6).alias("area_fraction"))

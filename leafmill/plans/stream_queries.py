@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import curation
+from leafmill.operators.pages import TRANSITIONS
 from leafmill.sources import readers, sinks
 from leafmill.sources.shared import new_path
 from leafmill.streaming import jobs
@@ -17,17 +18,18 @@ def _stream(t: Tables, view: str):
     return t.spark.sql(VIEWS[view], events=jobs.read(t.spark, f"{t.sf_dir}/events.parquet"))
 
 
-@query("SELECT metric, seq, round(avg(value) OVER w, 9) AS window_mean, count(*) OVER w AS window_n FROM v_observations WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)")
+@query("""SELECT d.metric, seq, round(m, 9) AS window_mean, window_n, coalesce(b.std > 0 AND abs(m - b.mean) > 3.0 * b.std, false) AS drifted FROM (SELECT metric, seq, avg(value) OVER w AS m, count(*) OVER w AS window_n FROM v_observations
+WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) d LEFT JOIN v_baselines b ON b.metric = d.metric""")
 def t1_drift_stream(t: Tables):
-    return jobs.run(jobs.drift(_stream(t, "v_observations"), t.v_baselines), "drift").drop("drifted").withColumn("window_mean", F.round("window_mean", 9))
+    return jobs.run(jobs.drift(_stream(t, "v_observations"), t.v_baselines), "drift").withColumn("window_mean", F.round("window_mean", 9))
 
 
 _KNOWN = ("drift_alert_persistence", "escalation_rate_anomaly", "auto_accept_rate_collapse", "structural_agreement_degradation")
 
 
-@query("""WITH RECURSIVE e AS (SELECT trigger_type AS kind, fired_at, min(trigger_id) AS trigger_id FROM v_triggers WHERE trigger_type <> 'unlisted_trigger' GROUP BY 1, 2),
+@query("""WITH RECURSIVE e AS (SELECT trigger_type AS kind, fired_at, min(trigger_id) AS trigger_id FROM v_triggers WHERE trigger_type <> 'unlisted_trigger' AND status <> 'resolved' GROUP BY 1, 2),
 k AS (SELECT kind, min(fired_at) AS fired_at FROM e GROUP BY 1 UNION ALL SELECT k.kind, (SELECT min(fired_at) FROM e WHERE e.kind = k.kind AND e.fired_at >= k.fired_at + INTERVAL 7 DAY) FROM k WHERE k.fired_at IS NOT NULL)
-SELECT v.trigger_id, CASE WHEN trigger_type = 'unlisted_trigger' THEN 'skipped_unknown' WHEN x.trigger_id IS NOT NULL THEN 'recorded' ELSE 'skipped_cooldown' END AS outcome FROM v_triggers v LEFT JOIN (SELECT e.trigger_id FROM k JOIN e USING (kind, fired_at)) x ON x.trigger_id = v.trigger_id""")
+SELECT v.trigger_id, CASE WHEN trigger_type = 'unlisted_trigger' THEN 'skipped_unknown' WHEN status = 'resolved' THEN 'skipped_resolved' WHEN x.trigger_id IS NOT NULL THEN 'recorded' ELSE 'skipped_cooldown' END AS outcome FROM v_triggers v LEFT JOIN (SELECT e.trigger_id FROM k JOIN e USING (kind, fired_at)) x ON x.trigger_id = v.trigger_id""")
 def t2_trigger_stream(t: Tables):
     return jobs.run(jobs.triggers(_stream(t, "v_triggers"), _KNOWN), "triggers")
 
@@ -41,20 +43,21 @@ def t3_counter_increase(t: Tables):
     return jobs.counter_increase(t.spark.sql(_COUNTER, e=t.events), "3 hours", "1 hour")
 
 
-_LES = [(10.0,), (25.0,), (50.0,), (100.0,), (1e9,)]
-_BUCKETS = "SELECT e.event_type AS series, b.le, count(CASE WHEN e.value <= b.le THEN 1 END) AS count FROM {e} e CROSS JOIN {b} b GROUP BY 1, 2"
+_LES = (10.0, 25.0, 50.0, 100.0, 1e9)
 
 
 @query(f"""SELECT series, round(lo + (le - lo) * (0.5 * total - below) / (count - below), 6) AS quantile FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY le) AS r FROM (SELECT *, coalesce(lag(count) OVER w, 0) AS below, coalesce(lag(le) OVER w, 0.0) AS lo, max(count) OVER (PARTITION BY series) AS total
 FROM (SELECT e.event_type AS series, b.le, count(CASE WHEN e.value <= b.le THEN 1 END) AS count FROM events e CROSS JOIN (SELECT unnest([10.0, 25.0, 50.0, 100.0, 1e9])::DOUBLE AS le) b GROUP BY 1, 2) WINDOW w AS (PARTITION BY series ORDER BY le)) WHERE count >= 0.5 * total) WHERE r = 1""")
 def t4_histogram_quantile(t: Tables):
-    buckets = t.spark.sql(_BUCKETS, e=t.events, b=t.spark.createDataFrame(_LES, "le double"))
-    return jobs.histogram_quantile(buckets, 0.5)
+    events = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("event_type").alias("series"), "value")
+    return jobs.histogram_quantile(jobs.long_buckets(jobs.run(jobs.histogram(events, _LES), "histogram", ["series"]), _LES), 0.5)
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, round(count(*) FILTER (WHERE event_type = 'error') / greatest(count(*) FILTER (WHERE event_type <> 'view'), 1), 6) AS ratio, count(*) FILTER (WHERE event_type = 'error') / greatest(count(*) FILTER (WHERE event_type <> 'view'), 1) > 0.25 AS firing FROM events GROUP BY 1")
 def t5_ratio_alert(t: Tables):
-    return jobs.ratio_alert(t.events, F.col("event_type") == "error", F.col("event_type") != "view", "1 hour", 0.25)
+    events = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 hour")
+    found = jobs.run(jobs.ratio_counts(events, F.col("event_type") == "error", F.col("event_type") != "view", "1 hour"), "ratio", ["window_start"])
+    return jobs.ratio_alert(found, 0.25)
 
 
 @query("""SELECT series, min(ts) AS since, min(CASE WHEN epoch(ts) - epoch(first_ts) >= 600 THEN ts END) AS fired_at FROM (SELECT *, min(ts) OVER (PARTITION BY series, island) AS first_ts FROM (SELECT event_type AS series, ts, value > 15 AS firing, sum(CASE WHEN value > 15 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts) AS island FROM events) WHERE firing) GROUP BY series, island HAVING max(epoch(ts)) - min(epoch(ts)) >= 600""")
@@ -63,7 +66,14 @@ def t6_alert_stream(t: Tables):
     return jobs.run(jobs.alerts(ticks, 600), "alerts")
 
 
-@query()
+_MOVES = ", ".join(f"'{a}>{b}'" for a, to in TRANSITIONS.items() for b in to)
+_STATES = "['queued', 'preprocessing', 'layout_detection', 'accepted', 'pending_human_correction', 'semantic_norm']"
+
+
+@query(f"""WITH RECURSIVE n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY seq) AS r FROM (SELECT 'p-' || user_id % 200 AS page_id, event_id AS seq, {_STATES}[event_id % 6 + 1] AS expected, {_STATES}[(event_id + user_id) % 6 + 1] AS target FROM events)),
+f AS (SELECT page_id, 0::BIGINT AS r, NULL::BIGINT AS seq, 'queued' AS state, false AS applied FROM n WHERE r = 1
+UNION ALL SELECT page_id, r, seq, CASE WHEN ok THEN target ELSE state END, ok FROM (SELECT n.*, f.state, n.expected = f.state AND f.state || '>' || n.target IN ({_MOVES}) AS ok FROM f JOIN n ON n.page_id = f.page_id AND n.r = f.r + 1))
+SELECT page_id, seq, applied, state, state IN ('accepted', 'review', 'failed') AS completed FROM f WHERE r > 0""")
 def t7_page_state_stream(t: Tables):
     states = F.array(*[F.lit(s) for s in ("queued", "preprocessing", "layout_detection", "accepted", "pending_human_correction", "semantic_norm")])
     events = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.concat(F.lit("p-"), (F.col("user_id") % 200).cast("string")).alias("page_id"), F.col("event_id").alias("seq"), F.get(states, F.col("event_id") % 6).alias("expected"), F.get(states, (F.col("event_id") + F.col("user_id")) % 6).alias("target"))
@@ -87,12 +97,12 @@ _STAGE = "CASE WHEN service_name IN ('geometry_a','geometry_b') THEN 'preprocess
 
 @query(f"SELECT date_trunc('hour', invoked_at) AS window_start, {_STAGE} AS stage, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS succeeded, round(count(*) FILTER (WHERE status = 'success') / count(*), 4) AS success_rate FROM v_invocations GROUP BY 1, 2")
 def t10_stage_health_stream(t: Tables):
-    return jobs.run(jobs.stage_health(_stream(t, "v_invocations")), "health", complete=True)
+    return jobs.run(jobs.stage_health(_stream(t, "v_invocations")), "health", ["window_start", "stage"])
 
 
 @query("SELECT count(*) AS calls, round(count(*) FILTER (WHERE status = 'success') / count(*), 4) AS success_rate FROM v_invocations")
 def t11_kpi_stream(t: Tables):
-    return jobs.run(jobs.kpi(_stream(t, "v_invocations")), "kpi", complete=True)
+    return jobs.run(jobs.kpi(_stream(t, "v_invocations")), "kpi", [])
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 400000")

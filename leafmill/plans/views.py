@@ -89,7 +89,7 @@ WHERE p_partkey % 11 <> 0""",
     "v_triggers": """
 SELECT event_id AS trigger_id, CASE user_id % 5 WHEN 0 THEN 'drift_alert_persistence' WHEN 1 THEN 'escalation_rate_anomaly' WHEN 2 THEN 'auto_accept_rate_collapse'
   WHEN 3 THEN 'structural_agreement_degradation' ELSE 'unlisted_trigger' END AS trigger_type, ts AS fired_at,
-  CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'processing' ELSE 'completed' END AS status,
+  CASE WHEN event_id % 20 = 7 THEN 'resolved' WHEN event_id % 4 = 0 THEN 'pending' WHEN event_id % 4 = 1 THEN 'processing' ELSE 'completed' END AS status,
   CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('rj-', CAST(event_id + event_id % 4 AS STRING)) END AS train_job_id
 FROM {events} WHERE event_type = 'error'""",
     "v_train_jobs": """

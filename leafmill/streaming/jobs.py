@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.operators.health import stage_of
 from leafmill.operators.pages import TERMINAL, TRANSITIONS, safe_rate
@@ -25,21 +26,26 @@ def read(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path if not path.endswith(".parquet") else f"{path}*")
 
 
-def run(stream: DataFrame, name: str, complete: bool = False) -> DataFrame:
-    """Drive a stream over what is there and return its output: appended rows, or the last complete snapshot."""
+def run(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Drive a stream over what is there and return its output: appended rows, or the last row of each of ``keys``.
+
+    With ``keys`` every batch writes only the rows that it changed, so what a batch costs
+    follows its input and state behind a watermark can go.  A stream without output rows gives
+    an empty frame.
+    """
     spark, out, place = stream.sparkSession, new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True)
-    if not complete:
+    if keys is None:
         writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
-    last: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{number}")
-        last[:] = [number]
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/{number}")
 
-    writer.outputMode("complete").foreachBatch(keep).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/{last[-1]}")
+    writer.outputMode("update").foreachBatch(keep).start().awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    changes = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("last")).where("last IS NOT NULL").select("last.*")
 
 
 def fold(stream: DataFrame, key: str, order: list[str], step: Callable[[dict | None, list[dict]], tuple[dict, list[dict]]], schema: str) -> DataFrame:
@@ -182,6 +188,17 @@ def counter_increase(samples: DataFrame, width: str, slide: str) -> DataFrame:
     return samples.withColumn("gain", gain).groupBy("series", F.window("ts", width, slide)).agg(F.sum("gain").alias("increase")).select("series", F.col("window.start").alias("window_start"), F.round("increase", 6).alias("increase"))
 
 
+def histogram(events: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
+    """Cumulative counts le_0, le_1, ... of (series, value) up to each bound, one pass; null values count nowhere."""
+    return events.groupBy("series").agg(*(F.count_if(F.col("value") <= b).alias(f"le_{i}") for i, b in enumerate(bounds)))
+
+
+def long_buckets(counts: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
+    """(series, le, count) rows of what ``histogram`` gives."""
+    each = F.array(*(F.struct(F.lit(b).alias("le"), F.col(f"le_{i}").alias("count")) for i, b in enumerate(bounds)))
+    return counts.select("series", F.inline(each))
+
+
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     """Quantile from cumulative buckets (series, le, count), linear within a bucket; beyond the last bound it is that bound."""
     w = Window.partitionBy("series").orderBy("le")
@@ -191,8 +208,13 @@ def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     return hit.select("series", F.round(F.when(F.col("le") == float("inf"), F.col("lo")).otherwise(F.coalesce(inside, F.col("le"))), 6).alias("quantile"))
 
 
-def ratio_alert(events: DataFrame, num: Column, den: Column, width: str, threshold: float) -> DataFrame:
-    """num / max(den, 1) per window against a threshold; missing counts are 0."""
+def ratio_counts(events: DataFrame, num: Column, den: Column, width: str) -> DataFrame:
+    """window_start, n and d: how many events of each window meet ``num`` and ``den``."""
     s = events.groupBy(F.window("ts", width)).agg(F.count_if(num).alias("n"), F.count_if(den).alias("d"))
+    return s.select(F.col("window.start").alias("window_start"), "n", "d")
+
+
+def ratio_alert(counts: DataFrame, threshold: float) -> DataFrame:
+    """n / max(d, 1) of each window against a threshold; windows without events have no row."""
     ratio = F.col("n") / F.greatest(F.col("d"), F.lit(1))
-    return s.select(F.col("window.start").alias("window_start"), F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("firing"))
+    return counts.select("window_start", F.round(ratio, 6).alias("ratio"), (ratio > threshold).alias("firing"))
