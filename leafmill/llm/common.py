@@ -7,6 +7,7 @@ operator cuts lineage: it writes Parquet to the folder that the cluster names in
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share; a local one only where none is set and all run on this machine."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _LOCAL_FALLBACK["dir"]

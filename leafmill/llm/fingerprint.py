@@ -231,6 +231,6 @@ def with_edited(docs: DataFrame, bucket_bytes: int = 8 << 20, most_buckets: int
     here = F.struct(F.col("place.bucket").alias("bucket"), F.lit(False).alias("ghost"))
     there = F.struct(F.col("place.also").alias("bucket"), F.lit(True).alias("ghost"))
     spread = placed.select("doc_id", "text", "order", F.explode(F.when(F.col("place.also").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("at"))
-    spread = spread.select("doc_id", "text", "order", "at.bucket", "at.ghost").repartition("bucket").sortWithinPartitions("bucket", "ghost", F.desc("order"), "text")
+    spread = spread.select("doc_id", "text", "order", "at.bucket", "at.ghost").repartitionById(max(1, len(borders)), F.col("bucket").cast("int")).sortWithinPartitions("bucket", "ghost", F.desc("order"), "text")
     kinds = f"doc_id {id_type.simpleString()}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return spread.select("bucket", "ghost", "doc_id", "text").mapInArrow(_with_next, kinds)
