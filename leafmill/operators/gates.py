@@ -94,6 +94,30 @@ def largest_region(regions: DataFrame) -> DataFrame:
     return rows.where(F.col("best.sane") & (F.coalesce(F.get("areas", 1), F.lit(0.0)) <= SLIVER)).select("page_id", F.col("best.region").alias("region"), F.col("best.area_fraction").alias("area_fraction"))
 
 
+def observations(pages: DataFrame, key: str) -> DataFrame:
+    """(key, metric, value) rows of a page's gates; what a page does not have gives no row.
+
+    ``pages`` has the models ``a`` and ``b`` (structs, null: no answer), ``route`` and
+    ``review_reason`` of the selection, ``blur_score``, ``border_score`` and
+    ``foreground_coverage``, ``validation_route``, and ``rectification_confidence``.
+    """
+    number = lambda c: c.cast("double")
+    values = {}
+    for name in ("a", "b"):
+        m = F.col(name)
+        values |= {f"geometry_{name}.confidence": m["confidence"], f"geometry_{name}.tta_agreement": m["tta_agreement"], f"geometry_{name}.tta_variance": m["tta_variance"], f"geometry_{name}.split": number(m["split_required"])}
+    values["structural_agreement"] = number(agree())
+    route, why = F.col("route"), F.coalesce("review_reason", F.lit(""))
+    routes = {"accepted": route == "accepted", "review": route.isin("pending_human_correction", "review"), "disagreement": F.coalesce(~agree(), F.lit(False))}
+    routes |= {r: why == r for r in ("geometry_sanity_failed", "split_confidence_low", "tta_variance_high")}
+    values |= {f"selection.{k}_fraction": F.when(route.isNotNull(), number(v)) for k, v in routes.items()}
+    values |= {f"quality.{c}": F.col(c) for c in ("blur_score", "border_score", "foreground_coverage")}
+    values |= {f"validation.{k}_fraction": number(F.col("validation_route") == k) for k in ("valid", "invalid", "rectification_triggered")}
+    values["rectification.confidence"] = F.col("rectification_confidence")
+    rows = F.array(*(F.struct(F.lit(k).alias("metric"), number(v).alias("value")) for k, v in values.items()))
+    return pages.select(key, F.inline(rows)).where("value IS NOT NULL")
+
+
 def hard_checks(df: DataFrame, tolerance: int = 2, least_side: int = 16, least_bytes: int = 512, least_crop: float = 0.001) -> DataFrame:
     """Failed hard requirements of an artifact; a missing file fails that check alone."""
     w, h, ok = F.col("actual_w"), F.col("actual_h"), F.col("decodes")
@@ -108,8 +132,11 @@ def hard_checks(df: DataFrame, tolerance: int = 2, least_side: int = 16, least_b
     return df.withColumn("failed", F.when(~F.col("exists"), F.array(F.lit("file_exists"))).otherwise(rest))
 
 
-def soft_score(df: DataFrame, with_geometry: bool = True, blur_lower_is_better: bool = True) -> DataFrame:
-    """Mean of ramped quality signals against the material's threshold; newspapers pass when only geometry is low."""
+def soft_score(df: DataFrame, with_geometry: bool = True, blur_lower_is_better: bool = True, weights: dict[str, float] | None = None) -> DataFrame:
+    """Weighted mean of ramped quality signals against the material's threshold; newspapers pass when only geometry is low.
+
+    Signals that ``weights`` does not name weigh 1; weights that sum to 0 give a null score.
+    """
     news = F.col("material_type") == "newspaper"
     pick = lambda a, b: F.when(news, F.lit(a)).otherwise(F.lit(b))
     blur = F.col("blur_score") if blur_lower_is_better else 1 - F.col("blur_score")
@@ -118,7 +145,8 @@ def soft_score(df: DataFrame, with_geometry: bool = True, blur_lower_is_better:
     if with_geometry:
         signals |= {"geometry": g.ramp_up(F.col("confidence"), 0.5, 0.8), "tta": g.ramp_up(F.col("tta_agreement"), 0.7, 0.9)}
     df = df.withColumns({f"s_{k}": v for k, v in signals.items()})
-    score = sum((F.col(f"s_{k}") for k in signals), F.lit(0.0)) / len(signals)
+    weight = {k: float((weights or {}).get(k, 1.0)) for k in signals}
+    score = sum((F.col(f"s_{k}") * weight[k] for k in signals), F.lit(0.0)) / F.nullif(F.lit(sum(weight.values())), F.lit(0.0))
     low = named({k: F.col(f"s_{k}") < SIGNAL_FLOOR for k in signals})
     waiver = news & (F.size(low) > 0) & F.forall(low, lambda x: x.isin("geometry", "tta"))
     return df.withColumn("soft_score", score).withColumn("soft_passed", (F.col("soft_score") >= per_material(SOFT_THRESHOLD)) | waiver)

@@ -115,13 +115,23 @@ def observations(regions: DataFrame) -> DataFrame:
     return values.unpivot("page_id", [c for c in values.columns if c != "page_id"], "metric", "value").withColumn("value", F.round("value", 6))
 
 
-def map_classes(detections: DataFrame, mapping: DataFrame, unknown: str | None) -> DataFrame:
-    """Canonical class of each native label; unknown ones are dropped, or become ``unknown``."""
+def map_classes(detections: DataFrame, mapping: DataFrame, unknown: str | None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """Canonical class of each native label; unknown ones are dropped, or become ``unknown``; native labels of ``skip`` always go.
+
+    A null label is unknown.  ``unmapped`` gives what a warning has to name.
+    """
     rows = detections.withColumn("native", F.lower(F.trim("label")))
+    rows = rows.where(~F.coalesce(F.col("native").isin(*skip), F.lit(False))) if skip else rows
     out = rows.join(F.broadcast(mapping), "native", "left" if unknown else "inner")
     return out.withColumn("type", F.coalesce("type", F.lit(unknown))) if unknown else out
 
 
+def unmapped(detections: DataFrame, mapping: DataFrame) -> DataFrame:
+    """native, n: labels without a canonical class and how often they came; null labels count as empty."""
+    rows = detections.select(F.coalesce(F.lower(F.trim("label")), F.lit("")).alias("native"))
+    return rows.join(F.broadcast(mapping), "native", "left_anti").groupBy("native").agg(F.count("*").alias("n"))
+
+
 def best_match(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Each truth box with its best prediction of the same keys; the first of equals; none gives IoU 0."""
     t = truth.select(*keys, F.col("pos").alias("i"), *(F.col(c).alias(f"a_{c}") for c in g.BOX))

@@ -126,6 +126,29 @@ def purge(table: DataFrame, jobs: DataFrame) -> DataFrame:
     return table.join(jobs.select("job_id").distinct(), "job_id", "left_anti")
 
 
+def purge_all(tables: dict[str, DataFrame], jobs: DataFrame) -> dict[str, DataFrame]:
+    """What stays of each table when ``jobs`` go with all that hangs on them.
+
+    Tables with a job_id are purged by it, those with a lineage_id or page_id alone by the
+    lineage and pages of the jobs; rows whose key is null stay.
+    """
+    gone = jobs.select("job_id").distinct()
+    by = {"job_id": gone}
+    for table, key in (("lineage", "lineage_id"), ("pages", "page_id")):
+        if table in tables:
+            by[key] = tables[table].join(gone, "job_id", "left_semi").select(key).distinct()
+    out = {}
+    for name, rows in tables.items():
+        key = next((k for k in by if k in rows.columns), None)
+        out[name] = rows if key is None else rows.join(by[key], key, "left_anti")
+    return out
+
+
+def metric_uris(rows: DataFrame, metrics: str, field: str, owner: str) -> DataFrame:
+    """uri, owner of the uris that JSON metrics name; broken documents and those without the field have none."""
+    return rows.select(F.get_json_object(metrics, f"$.{field}").alias("uri"), owner).where("uri IS NOT NULL AND uri <> ''")
+
+
 def new_versions(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows to append: (service, tag) that is not there yet, once each."""
     return found.dropDuplicates(["service_name", "version_tag"]).join(existing.select("service_name", "version_tag"), ["service_name", "version_tag"], "left_anti")

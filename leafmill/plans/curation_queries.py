@@ -72,10 +72,21 @@ def f21_workspace_params(t: Tables):
     return c.workspace_params(t.spark.sql(_WORK, l=t.v_lineage)).select("lineage_id", "source", "x0", "x1")
 
 
-@query("SELECT page_id, pos, concat_ws(',', CASE WHEN NOT (confidence BETWEEN 0 AND 0.8) THEN 'confidence_range' END, CASE WHEN NOT (x_min < x_max AND y_min < y_max) THEN 'box_order' END, CASE WHEN NOT (x_max <= 1000) THEN 'inside' END, CASE WHEN type NOT IN ('text_block','title','table','image') THEN 'type' END) AS broken FROM v_regions")
+_RULES = {
+    "confidence_range": "confidence BETWEEN 0 AND 0.8", "box_order": "x_min < x_max AND y_min < y_max", "inside": "x_max <= 1000", "type": "type IN ('text_block', 'title', 'table', 'image')", "id": "pos <> 3", "corners": "pos <> 5",
+    "page_count": "page_id % 4 <> 1 OR pos <> 2", "boundaries": "x_min < x_max AND x_max < y_max", "context": "page_id % 9 <> 0",
+}
+
+
+@query(f"SELECT page_id, pos, concat_ws(',', {', '.join(f"CASE WHEN NOT ({v}) THEN '{k}' END" for k, v in _RULES.items())}) AS broken FROM v_regions")
 def p8_validate(t: Tables):
+    rows = t.v_regions.select(
+        "*", F.when(F.col("pos") == 3, "x3").otherwise(F.concat(F.lit("r"), "pos")).alias("id"), F.slice(F.array("x_min", "y_min", "x_max", "y_max"), 1, F.when(F.col("pos") == 5, 3).otherwise(4)).alias("corners"),
+        F.when((F.col("page_id") % 4 == 1) & (F.col("pos") == 2), 2).otherwise(1).alias("page_count"), F.array(F.lit(1)).alias("pages"), F.lit(800).alias("width"), F.when(F.col("page_id") % 9 == 0, 801).otherwise(800).alias("context_width"),
+    )
     rules = {"confidence_range": F.col("confidence").between(0, 0.8), "box_order": (F.col("x_min") < F.col("x_max")) & (F.col("y_min") < F.col("y_max")), "inside": F.col("x_max") <= 1000, "type": F.col("type").isin("text_block", "title", "table", "image")}
-    return c.validate(t.v_regions, rules).select("page_id", "pos", F.array_join("broken", ",").alias("broken"))
+    rules |= {"id": F.col("id").rlike(r"^r\d+$"), "corners": F.size("corners") == 4, "page_count": F.size("pages") == F.col("page_count"), "boundaries": c.ascending(F.array("x_min", "x_max", "y_max")), "context": F.col("width") == F.col("context_width")}
+    return c.validate(rows, rules).select("page_id", "pos", F.array_join("broken", ",").alias("broken"))
 
 
 _STORED = "CASE WHEN p % 3 = 0 THEN NULL ELSE concat('{{\"layout_input\":{{\"source_page_artifact_uri\":\"', CASE WHEN p % 3 = 1 THEN uri ELSE 's3://old' END, '\"}},\"downsample\":\"d\"', CASE WHEN p % 2 = 0 THEN ',\"keep\":\"k\"' ELSE '' END, '}}') END"

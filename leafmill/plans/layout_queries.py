@@ -125,11 +125,21 @@ def a26_cross_model(t: Tables):
 _MAP = [("text_block", "paragraph"), ("title", "heading"), ("table", "table"), ("image", "figure")]
 
 
-@query(f"SELECT type, count(*) AS kept, (SELECT count(*) FROM v_regions) AS total FROM (SELECT coalesce(m.type, 'paragraph') AS type FROM v_regions r LEFT JOIN (VALUES {', '.join(map(str, _MAP))}) m(native, type) ON lower(trim(r.type)) = m.native) GROUP BY 1")
+_KNOWN = ", ".join(map(str, _MAP))
+
+
+@query(f"""WITH m(native, type) AS (VALUES {_KNOWN})
+SELECT 'primary' AS source, m.type, count(*) AS n FROM v_regions r JOIN m ON r.type = m.native GROUP BY 2 UNION ALL SELECT 'warning', r.type, count(*) FROM v_regions r WHERE r.type NOT IN (SELECT native FROM m) GROUP BY 2
+UNION ALL SELECT 'secondary', m.type, count(*) FROM v_regions_b r JOIN m ON r.type = m.native GROUP BY 2
+UNION ALL SELECT 'external', coalesce(m.type, 'paragraph'), count(*) FROM v_regions r LEFT JOIN m ON r.type = m.native WHERE r.type <> 'image' GROUP BY 2""")
 def p16_map_classes(t: Tables):
     mapping = t.spark.createDataFrame(_MAP, "native string, type string")
-    rows = layout.map_classes(t.v_regions.select("page_id", F.upper(F.concat(F.lit(" "), "type")).alias("label")), mapping, "paragraph")
-    return rows.groupBy("type").agg(F.count("*").alias("kept")).crossJoin(F.broadcast(t.v_regions.agg(F.count("*").alias("total"))))
+    first, second = (d.select("page_id", F.upper(F.concat(F.lit(" "), "type")).alias("label")) for d in (t.v_regions, t.v_regions_b))
+    parts = {"primary": layout.map_classes(first, mapping, None), "secondary": layout.map_classes(second, mapping, None), "external": layout.map_classes(first, mapping, "paragraph", ("image", "separator"))}
+    out = layout.unmapped(first, mapping).select(F.lit("warning").alias("source"), F.col("native").alias("type"), "n")
+    for source, rows in parts.items():
+        out = out.unionByName(rows.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(source).alias("source"), "type", "n"))
+    return out
 
 
 @query("""SELECT page_id, CASE WHEN n > 7 THEN 'local_agreement' WHEN page_id % 3 = 0 THEN 'external' WHEN n > 0 THEN 'local_fallback_a' ELSE 'none' END AS layout_source,
@@ -274,20 +284,45 @@ def c3_candidate_filters(t: Tables):
     return _models(t).where("a IS NOT NULL").select("vec_id", gates.passes_split(F.col("a")).alias("split_ok"), gates.passes_variance(F.col("a")).alias("variance_ok"))
 
 
-@query(f"""WITH {_CHECKED},
+_SELECTED = f"""{_CHECKED},
 b AS (SELECT *, CASE WHEN vec_id % 7 = 0 THEN 3 - pc ELSE pc END AS b_pc, confidence * CASE WHEN vec_id % 5 = 0 THEN 1.0 ELSE 0.97 END AS b_conf, fraction * 0.95 AS b_area FROM q),
 s AS (SELECT *, has_a AND len(failed) = 0 AS sane_a, has_b AND len(failed) = 0 AS sane_b, CASE WHEN has_a AND has_b THEN pc = b_pc END AS agreement, tta_variance <= 0.15 AS calm FROM b),
 p AS (SELECT *, sane_a AND (NOT sr OR least(confidence, tta_agreement) >= 0.75) AS split_a, sane_b AND (NOT sr OR least(b_conf, tta_agreement) >= 0.75) AS split_b FROM s),
 l AS (SELECT *, split_a AND calm AS l_a, split_b AND calm AS l_b FROM p),
-k AS (SELECT *, NOT l_a AND NOT l_b AS nobody, has_a AND has_b AND coalesce(agreement, false) AND l_a AND l_b AS high, l_a AND l_b AND least(fraction, b_area) < 0.30 AS small FROM l)
+k AS (SELECT *, NOT l_a AND NOT l_b AS nobody, has_a AND has_b AND coalesce(agreement, false) AND l_a AND l_b AS high, l_a AND l_b AND least(fraction, b_area) < 0.30 AS small FROM l)"""
+_WHY = """CASE WHEN NOT nobody THEN NULL WHEN NOT (has_a OR has_b) THEN 'geometry_selection_failed' WHEN NOT sane_a AND NOT sane_b THEN 'geometry_sanity_failed' WHEN NOT split_a AND NOT split_b THEN 'split_confidence_low' ELSE 'tta_variance_high' END"""
+_ROUTE = "CASE WHEN nobody THEN 'pending_human_correction' WHEN high THEN 'accepted' ELSE 'rectification' END"
+
+
+@query(f"""WITH {_SELECTED}
 SELECT vec_id, agreement AS structural_agreement, CASE WHEN nobody THEN NULL WHEN l_a AND NOT l_b THEN 'a' WHEN l_b AND NOT l_a OR small OR b_conf > confidence THEN 'b' ELSE 'a' END AS selected,
 CASE WHEN nobody THEN NULL WHEN high THEN 'high' ELSE 'low' END AS trust, CASE WHEN nobody THEN NULL WHEN l_a <> l_b THEN 'sole_survivor' WHEN small THEN 'page_area_preference' WHEN confidence = b_conf THEN 'default_a' ELSE 'higher_confidence' END AS selection_reason,
-CASE WHEN NOT nobody THEN NULL WHEN NOT (has_a OR has_b) THEN 'geometry_selection_failed' WHEN NOT sane_a AND NOT sane_b THEN 'geometry_sanity_failed' WHEN NOT split_a AND NOT split_b THEN 'split_confidence_low' ELSE 'tta_variance_high' END AS review_reason,
-CASE WHEN nobody THEN 'pending_human_correction' WHEN high THEN 'accepted' ELSE 'rectification' END AS route FROM k""")
+{_WHY} AS review_reason,
+{_ROUTE} AS route FROM k""")
 def c4_select_geometry(t: Tables):
     return gates.select_geometry(_models(t)).select("vec_id", "structural_agreement", "selected", "trust", "selection_reason", "review_reason", "route")
 
 
+_GATE_VALUES = {
+    "geometry_a.confidence": "CASE WHEN has_a THEN confidence END", "geometry_a.tta_agreement": "CASE WHEN has_a THEN tta_agreement END", "geometry_a.tta_variance": "CASE WHEN has_a THEN tta_variance END", "geometry_a.split": "CASE WHEN has_a THEN sr::INT END",
+    "geometry_b.confidence": "CASE WHEN has_b THEN b_conf END", "geometry_b.tta_agreement": "CASE WHEN has_b THEN tta_agreement END", "geometry_b.tta_variance": "CASE WHEN has_b THEN tta_variance END", "geometry_b.split": "CASE WHEN has_b THEN sr::INT END",
+    "structural_agreement": "agreement::INT", "selection.accepted_fraction": "(route = 'accepted')::INT", "selection.review_fraction": "(route = 'pending_human_correction')::INT", "selection.disagreement_fraction": "coalesce(NOT agreement, false)::INT",
+    "selection.geometry_sanity_failed_fraction": "coalesce(why = 'geometry_sanity_failed', false)::INT", "selection.split_confidence_low_fraction": "coalesce(why = 'split_confidence_low', false)::INT", "selection.tta_variance_high_fraction": "coalesce(why = 'tta_variance_high', false)::INT",
+    "quality.blur_score": "CASE WHEN vec_id % 6 <> 0 THEN blur_score END", "quality.border_score": "border_score", "quality.foreground_coverage": "foreground_coverage",
+    "validation.valid_fraction": "(vec_id % 3 = 0)::INT", "validation.invalid_fraction": "(vec_id % 3 = 1)::INT", "validation.rectification_triggered_fraction": "(vec_id % 3 = 2)::INT", "rectification.confidence": "CASE WHEN vec_id % 3 = 2 THEN tta_agreement END",
+}
+
+
+@query(f"""WITH {_SELECTED}, o AS (SELECT *, {_ROUTE} AS route, {_WHY} AS why FROM k)
+SELECT vec_id, metric, round(value, 6) AS value FROM ({' UNION ALL '.join(f"SELECT vec_id, '{k}' AS metric, ({v})::DOUBLE AS value FROM o" for k, v in _GATE_VALUES.items())}) WHERE value IS NOT NULL""")
+def a21_gate_observations(t: Tables):
+    quality = t.v_quads.select("vec_id", F.when(F.col("vec_id") % 6 != 0, F.col("blur_score")).alias("blur_score"), "border_score", "foreground_coverage", F.when(F.col("vec_id") % 3 == 2, F.col("tta_agreement")).alias("rectification_confidence"))
+    label = F.when(F.col("vec_id") % 3 == 0, "valid").when(F.col("vec_id") % 3 == 1, "invalid").otherwise("rectification_triggered")
+    rows = gates.select_geometry(_models(t)).join(quality, "vec_id").withColumn("validation_route", label)
+    return gates.observations(rows, "vec_id").select("vec_id", "metric", F.round("value", 6).alias("value"))
+
+
+
 @query("""SELECT page_id, pos AS region, round(area, 6) AS area_fraction FROM (SELECT *, row_number() OVER w AS r, lead(area) OVER w AS second FROM (SELECT page_id, pos, (x_max - x_min) * (y_max - y_min) / 400000 AS area, confidence > 0.51 AS sane FROM v_regions)
 WINDOW w AS (PARTITION BY page_id ORDER BY area DESC, pos DESC)) WHERE r = 1 AND sane AND coalesce(second, 0) <= 0.12""")
 def c5_largest_region(t: Tables):
@@ -315,10 +350,11 @@ _SIG = {
 }
 
 
-@query(f"""SELECT vec_id, round(s, 6) AS soft_score, s >= CASE WHEN {_N} THEN 0.5 ELSE 0.6 END OR ({_N} AND (geometry < 0.5 OR tta < 0.5) AND NOT (skew < 0.5 OR blur < 0.5 OR border < 0.5 OR foreground < 0.5)) AS soft_passed
+@query(f"""SELECT vec_id, round(s, 6) AS soft_score, round((2.0 * skew + blur + border + foreground + 0.5 * geometry + 0.0 * tta) / 5.5, 6) AS weighted_score, s >= CASE WHEN {_N} THEN 0.5 ELSE 0.6 END OR ({_N} AND (geometry < 0.5 OR tta < 0.5) AND NOT (skew < 0.5 OR blur < 0.5 OR border < 0.5 OR foreground < 0.5)) AS soft_passed
 FROM (SELECT *, (skew + blur + border + foreground + geometry + tta) / 6 AS s FROM (SELECT vec_id, material_type, {', '.join(f'{v} AS {k}' for k, v in _SIG.items())} FROM v_quads))""")
 def c7_soft_score(t: Tables):
-    return gates.soft_score(t.v_quads).select("vec_id", F.round("soft_score", 6).alias("soft_score"), "soft_passed")
+    weighted = gates.soft_score(t.v_quads, weights={"skew": 2.0, "geometry": 0.5, "tta": 0.0}).select("*", F.round("soft_score", 6).alias("weighted_score")).drop("soft_score", "soft_passed")
+    return gates.soft_score(weighted).select("vec_id", F.round("soft_score", 6).alias("soft_score"), "weighted_score", "soft_passed")
 
 
 def _before_after():

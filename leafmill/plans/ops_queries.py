@@ -140,15 +140,19 @@ def j8_lineage_bundle(t: Tables):
     return rows.select("lineage_id", F.array_join("calls.service_name", ",").alias("calls"), F.array_join("gates.gate_type", ",").alias("gates"))
 
 
-_URIS = "SELECT output_uri AS uri FROM {l} WHERE output_uri IS NOT NULL UNION SELECT input_uri FROM {p} WHERE input_uri IS NOT NULL UNION SELECT artifact_uri FROM {i} WHERE artifact_uri IS NOT NULL"
+_URIS = "SELECT output_uri AS uri FROM {l} WHERE output_uri IS NOT NULL UNION SELECT input_uri FROM {p} WHERE input_uri IS NOT NULL UNION SELECT artifact_uri FROM {i} WHERE artifact_uri IS NOT NULL UNION SELECT concat('s3://met/', CAST(id % 97 AS STRING), '.json') FROM {i} WHERE id % 5 = 0"
+
+
+_METRIC_JSON = """SELECT lineage_id, CASE WHEN id % 3 = 0 THEN concat('{{"p95":1,"artifact_uri":"s3://met/', CAST(id % 97 AS STRING), '.json"}}') WHEN id % 3 = 1 THEN '{{broken' ELSE '{{"p95":2}}' END AS metrics FROM {i}"""
 
 
 @query(f"""WITH u AS ({_URIS.format(l="v_lineage", p="v_pages", i="v_invocations")}), legs AS (SELECT output_uri AS uri, job_id, 0 AS rank FROM v_lineage WHERE coalesce(output_uri, '') <> '' UNION ALL SELECT otiff_uri, job_id, 1 FROM v_lineage
-UNION ALL SELECT output_uri, job_id, 2 FROM v_pages WHERE coalesce(output_uri, '') <> '' UNION ALL SELECT input_uri, job_id, 3 FROM v_pages WHERE coalesce(input_uri, '') <> '' UNION ALL SELECT artifact_uri, lineage_id, 4 FROM v_invocations WHERE coalesce(artifact_uri, '') <> '')
+UNION ALL SELECT output_uri, job_id, 2 FROM v_pages WHERE coalesce(output_uri, '') <> '' UNION ALL SELECT input_uri, job_id, 3 FROM v_pages WHERE coalesce(input_uri, '') <> '' UNION ALL SELECT artifact_uri, lineage_id, 4 FROM v_invocations WHERE coalesce(artifact_uri, '') <> ''
+UNION ALL SELECT 's3://met/' || id % 97 || '.json', lineage_id, 5 FROM v_invocations WHERE id % 3 = 0)
 SELECT uri, job_id, rank AS priority FROM u LEFT JOIN (SELECT uri, job_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY uri ORDER BY rank, job_id) AS r FROM legs) WHERE r = 1) USING (uri)""")
 def j10_owner_of_uri(t: Tables):
     uris = t.spark.sql(_URIS, l=t.v_lineage, p=t.v_pages, i=t.v_invocations)
-    return r.owner_of_uri(uris, (t.v_lineage, "output_uri", "job_id"), (t.v_lineage, "otiff_uri", "job_id"), (t.v_pages, "output_uri", "job_id"), (t.v_pages, "input_uri", "job_id"), (t.v_invocations, "artifact_uri", "lineage_id"))
+    return r.owner_of_uri(uris, (t.v_lineage, "output_uri", "job_id"), (t.v_lineage, "otiff_uri", "job_id"), (t.v_pages, "output_uri", "job_id"), (t.v_pages, "input_uri", "job_id"), (t.v_invocations, "artifact_uri", "lineage_id"), (r.metric_uris(t.spark.sql(_METRIC_JSON, i=t.v_invocations), "metrics", "artifact_uri", "lineage_id"), "uri", "lineage_id"))
 
 
 _IDS = f"SELECT DISTINCT page_id FROM ({_PARSED}) WHERE NOT poison AND queue IN ('pending','processing')"
@@ -212,12 +216,21 @@ def j21_route_metrics(t: Tables):
     return r.route_metrics(t.v_observations, t.spark.createDataFrame(_ROUTES, "metric string, trigger_type string"))
 
 
-@query("SELECT 'pages' AS name, count(*) AS n FROM v_pages WHERE job_id NOT IN (SELECT job_id FROM v_jobs WHERE shadow_mode) UNION ALL SELECT 'gates', count(*) FROM v_gates WHERE job_id NOT IN (SELECT job_id FROM v_jobs WHERE shadow_mode) UNION ALL SELECT 'lineage', count(*) FROM v_lineage WHERE job_id NOT IN (SELECT job_id FROM v_jobs WHERE shadow_mode)")
+_EVALS = "SELECT page_id, concat('e-', page_id, '-', CAST(retry_count AS STRING)) AS eval_id, created_at FROM {p} WHERE retry_count > 1 AND created_at IS NOT NULL"
+_KEPT = {
+    "jobs": "v_jobs WHERE job_id NOT IN (SELECT job_id FROM gone)", "pages": "v_pages WHERE job_id NOT IN (SELECT job_id FROM gone)", "gates": "v_gates WHERE job_id NOT IN (SELECT job_id FROM gone)", "lineage": "v_lineage WHERE job_id NOT IN (SELECT job_id FROM gone)",
+    "invocations": "v_invocations WHERE lineage_id NOT IN (SELECT lineage_id FROM v_lineage WHERE job_id IN (SELECT job_id FROM gone))", "tasks": "v_tasks WHERE queue_key NOT IN (SELECT 't-' || page_id FROM v_pages WHERE job_id IN (SELECT job_id FROM gone))",
+    "evaluations": f"({_EVALS.format(p='v_pages')}) WHERE page_id NOT IN (SELECT page_id FROM v_pages WHERE job_id IN (SELECT job_id FROM gone))",
+}
+
+
+@query(f"WITH gone AS (SELECT job_id FROM v_jobs WHERE shadow_mode) {' UNION ALL '.join(f"SELECT '{k}' AS name, count(*) AS n FROM {v}" for k, v in _KEPT.items())}")
 def j23_purge(t: Tables):
     gone = t.v_jobs.where("shadow_mode")
+    tables = {"jobs": t.v_jobs, "pages": t.v_pages, "gates": t.v_gates, "lineage": t.v_lineage, "invocations": t.v_invocations, "tasks": t.v_tasks.withColumn("page_id", F.expr("substring(queue_key, 3)")), "evaluations": t.spark.sql(_EVALS, p=t.v_pages)}
     out = None
-    for name in ("pages", "gates", "lineage"):
-        part = r.purge(getattr(t, f"v_{name}"), gone).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    for name, rows in r.purge_all(tables, gone).items():
+        part = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -232,9 +245,6 @@ def j25_new_versions(t: Tables):
     return r.new_versions(found, there)
 
 
-_EVALS = "SELECT page_id, concat('e-', page_id, '-', CAST(retry_count AS STRING)) AS eval_id, created_at FROM {p} WHERE retry_count > 1 AND created_at IS NOT NULL"
-
-
 @query(f"""SELECT p.page_id, e.eval_id, e.eval_id IS NULL AS todo FROM v_pages p JOIN v_jobs j USING (job_id) LEFT JOIN ({_EVALS.format(p="v_pages")}) e ON e.page_id = p.page_id WHERE j.shadow_mode AND p.status IN ('accepted','review','failed')""")
 def j26_shadow_todo(t: Tables):
     return r.shadow_todo(t.v_pages, t.v_jobs, t.spark.sql(_EVALS, p=t.v_pages))

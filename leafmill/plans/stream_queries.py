@@ -163,21 +163,23 @@ def s11_parse_baselines(t: Tables):
     return good.select("metric", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.lit(0).alias("rejected")).unionByName(bad.withColumn("rejected", F.lit(1)), allowMissingColumns=True)
 
 
-@query("""SELECT material_type AS material, f.field, CASE WHEN f.field = 'split' THEN 0.8 WHEN material_type = 'book' AND f.field = 'area' THEN 0.2 ELSE f.value END AS value FROM (SELECT DISTINCT material_type FROM v_jobs) CROSS JOIN (SELECT 'split' AS field, 0.75::DOUBLE AS value UNION ALL SELECT 'area', 0.15 UNION ALL SELECT 'variance', 0.12) f""")
+@query("""SELECT material_type AS material, f.field, CASE WHEN f.field = 'split' THEN 0.8 WHEN material_type = 'book' AND f.field = 'area_min' THEN 0.2 WHEN material_type = 'microfilm' AND f.field = 'area_max' THEN 0.9 ELSE f.value END AS value
+FROM (SELECT DISTINCT material_type FROM v_jobs) CROSS JOIN (SELECT 'split' AS field, 0.75::DOUBLE AS value UNION ALL SELECT 'area_min', 0.15 UNION ALL SELECT 'area_max', 1.0 UNION ALL SELECT 'variance', 0.12) f""")
 def s12_policy_thresholds(t: Tables):
-    latest = '{"split": 0.8, "area": {"book": 0.2, "newspaper": "bad"}, "variance": "oops"}'
+    # newspapers turn the bounds round and archival documents leave [0, 1]: both get the defaults back
+    latest = '{"split": 0.8, "area_min": {"book": 0.2, "newspaper": 0.7, "archival_document": -0.1}, "area_max": {"newspaper": 0.6, "microfilm": 0.9, "book": "bad"}, "variance": "oops"}'
     last = t.v_models.agg(F.max("created_at").alias("m"))
     policies = t.v_models.crossJoin(F.broadcast(last)).select(F.col("version_tag").alias("version"), F.col("created_at").alias("applied_at"), F.when(F.col("created_at") == F.col("m"), latest).otherwise('{"split": 0.1}').alias("config"))
-    fields = t.spark.createDataFrame([("split", 0.75), ("area", 0.15), ("variance", 0.12)], "field string, value double")
+    fields = t.spark.createDataFrame([("split", 0.75), ("area_min", 0.15), ("area_max", 1.0), ("variance", 0.12)], "field string, value double")
     defaults = t.v_jobs.select(F.col("material_type").alias("material")).distinct().crossJoin(F.broadcast(fields))
-    return readers.policy_thresholds(policies, defaults)
+    return readers.checked_bounds(readers.policy_thresholds(policies, defaults), defaults, "area_min", "area_max")
 
 
-@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS jobs,
-(SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS pages, (SELECT count(DISTINCT l_orderkey) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)) AS rejected""")
+@query("""SELECT (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_linenumber > 6)) AS jobs,
+(SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_linenumber > 6)) AS pages, (SELECT count(DISTINCT l_orderkey) FROM (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 OR l_linenumber > 6)) AS rejected""")
 def s16_ingest_jobs(t: Tables):
     sub = t.lineitem.groupBy(F.col("l_orderkey").cast("string").alias("job_id")).agg(F.collect_list(F.struct(F.col("l_linenumber").alias("page_number"), F.lit("u").alias("uri"))).alias("pages")).withColumn("material_type", F.lit("book"))
-    js, ps, bad = readers.ingest_jobs(sub)
+    js, ps, bad = readers.ingest_jobs(sub, most_pages=6)
     one = lambda d, n: d.agg(F.count("*").alias(n))
     return one(js, "jobs").crossJoin(F.broadcast(one(ps, "pages"))).crossJoin(F.broadcast(one(bad, "rejected")))
 

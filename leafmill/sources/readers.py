@@ -146,10 +146,21 @@ def policy_thresholds(policies: DataFrame, defaults: DataFrame) -> DataFrame:
     return rows.select("material", "field", F.coalesce("special", "plain", "value").alias("value"))
 
 
-def ingest_jobs(submissions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Jobs and their pages from (job_id, material_type, pages: array of struct page_number, uri); rejects repeat or lack a number."""
+def checked_bounds(thresholds: DataFrame, defaults: DataFrame, low: str, high: str) -> DataFrame:
+    """``thresholds`` where each material's ``low`` and ``high`` hold 0 <= low <= high <= 1; where not, both are the defaults."""
+    pair = thresholds.where(F.col("field").isin(low, high)).groupBy("material").agg(F.max(F.when(F.col("field") == low, F.col("value"))).alias("lo"), F.max(F.when(F.col("field") == high, F.col("value"))).alias("hi"))
+    bad = pair.where("NOT coalesce(0 <= lo AND lo <= hi AND hi <= 1, false)").select("material", F.lit(True).alias("_bad"))
+    rows = thresholds.join(F.broadcast(bad), "material", "left").join(F.broadcast(defaults.select("material", "field", F.col("value").alias("_default"))), ["material", "field"], "left")  # a row for each material and field
+    return rows.select("material", "field", F.when(F.col("_bad") & F.col("field").isin(low, high), F.col("_default")).otherwise(F.col("value")).alias("value"))
+
+
+def ingest_jobs(submissions: DataFrame, most_pages: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Jobs and their pages from (job_id, material_type, pages: array of struct page_number, uri).
+
+    Rejected are jobs that repeat a page number, lack one, or have one outside 1 to ``most_pages``.
+    """
     pages = submissions.select("job_id", F.inline("pages"))
-    bad = pages.groupBy("job_id", "page_number").agg(F.count("*").alias("n")).where("n > 1 OR page_number IS NULL OR page_number < 1").select("job_id").distinct()
+    bad = pages.groupBy("job_id", "page_number").agg(F.count("*").alias("n")).where(f"n > 1 OR page_number IS NULL OR page_number NOT BETWEEN 1 AND {most_pages}").select("job_id").distinct()
     good = submissions.join(bad, "job_id", "left_anti")
     jobs = good.select("job_id", "material_type", F.lit("queued").alias("status"), F.size("pages").alias("page_count"))
     rows = good.select("job_id", F.inline("pages")).select(F.concat_ws("/", "job_id", "page_number").alias("page_id"), "job_id", "page_number", F.col("uri").alias("input_uri"), F.lit("queued").alias("status"))
