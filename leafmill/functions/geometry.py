@@ -10,6 +10,7 @@ Corner = tuple[Column, Column]
 
 
 def cols(prefix: str = "") -> tuple[Column, ...]:
+    """Columns of a box whose names have a prefix; nulls stay null."""
     return tuple(F.col(prefix + c) for c in BOX)
 
 
@@ -27,6 +28,7 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...], clamp: bool = False) -> Co
 
 
 def quad_area(c: list[Corner]) -> Column:
+    """Shoelace area of four corners, without regard to their direction; null if a coordinate is null."""
     total = F.lit(0.0)
     for (x1, y1), (x2, y2) in zip(c, c[1:] + c[:1], strict=True):
         total = total + x1 * y2 - x2 * y1
@@ -79,6 +81,7 @@ def reorder_keypoints(points: Column) -> Column:
 
 
 def rotate(x: Column, y: Column, cx: Column | float, cy: Column | float, degrees: Column | float) -> Corner:
+    """Point after a turn about (cx, cy); null if a value is null."""
     angle = F.radians(F.lit(degrees) if isinstance(degrees, (int, float)) else degrees)
     dx, dy = x - cx, y - cy
     return cx + dx * F.cos(angle) - dy * F.sin(angle), cy + dx * F.sin(angle) + dy * F.cos(angle)
@@ -109,15 +112,18 @@ def clip(c: Column, lo: float = 0.0, hi: Column | float = 1.0) -> Column:
 
 
 def to_xyxy(cx: Column, cy: Column, w: Column, h: Column) -> tuple[Column, ...]:
+    """Centre and size of a box as x_min, y_min, x_max, y_max; nulls stay null."""
     return cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
 
 
 def box_of(c: list[Corner]) -> tuple[Column, ...]:
+    """Smallest box around corners; null coordinates are passed over."""
     xs, ys = [x for x, _ in c], [y for _, y in c]
     return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
 
 
 def outer_box(box: tuple[Column, ...]) -> tuple[Column, ...]:
+    """Box with whole numbers that holds the given one; nulls stay null."""
     return F.floor(box[0]), F.floor(box[1]), F.ceil(box[2]), F.ceil(box[3])
 
 
@@ -134,14 +140,17 @@ def skew_angle(c: list[Corner]) -> Column:
 
 
 def ramp_down(v: Column, good: Column | float, bad: Column | float) -> Column:
+    """1 up to ``good``, 0 from ``bad``, linear between; null stays null."""
     return F.when(v <= good, 1.0).when(v >= bad, 0.0).otherwise((F.lit(bad) - v) / (F.lit(bad) - F.lit(good)))
 
 
 def ramp_up(v: Column, bad: Column | float, good: Column | float) -> Column:
+    """0 up to ``bad``, 1 from ``good``, linear between; null stays null."""
     return F.when(v >= good, 1.0).when(v <= bad, 0.0).otherwise((v - F.lit(bad)) / (F.lit(good) - F.lit(bad)))
 
 
 def ramp_range(v: Column, bad_lo, good_lo, good_hi, bad_hi) -> Column:
+    """1 between the good bounds, 0 outside the bad ones, linear between; null stays null."""
     lo, glo, ghi, hi = (F.lit(b) for b in (bad_lo, good_lo, good_hi, bad_hi))
     return F.when((v >= glo) & (v <= ghi), 1.0).when((v <= lo) | (v >= hi), 0.0).when(v < glo, (v - lo) / (glo - lo)).otherwise((hi - v) / (hi - ghi))
 

@@ -33,10 +33,12 @@ def group_split(items: DataFrame, stem: Column, train: float = 0.70, val: float
 
 
 def base_stem(name: Column) -> Column:
+    """File name without extension and without a rotation mark; null stays null."""
     return F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]+$", ""), r"_rot(0|90|180|270)$", "")
 
 
 def case_suffix(case_id: Column) -> Column:
+    """What follows the last ``_`` or ``/`` of a case id; empty if it ends with one, null stays null."""
     return F.regexp_extract(case_id, r"([^_/]+)$", 1)
 
 
@@ -58,6 +60,7 @@ def derived_uri(uri: Column, kind: str, sub: Column | None = None) -> Column:
 
 
 def seg_line(label: Column, points: list[g.Corner]) -> Column:
+    """``class x1 y1 ...`` with six places; a null class is left out, a null coordinate is written as ``null``."""
     return F.concat_ws(" ", label.cast("string"), *[F.format_string("%.6f", v) for p in points for v in p])
 
 
@@ -94,6 +97,7 @@ def folds(items: DataFrame, collections: list[str], key: Column) -> DataFrame:
 
 
 def latest_dataset(registry: DataFrame) -> DataFrame:
+    """Newest approved version of each family; of equal times the greater version, families without one have no row."""
     return registry.where("approved").groupBy("family").agg(F.max_by("version", F.struct("created_at", "version")).alias("version"))
 
 
@@ -109,6 +113,7 @@ def ascending(values: Column) -> Column:
 
 
 def fresh_layout(stored: Column, current: Column) -> Column:
+    """Whether a stored layout was made from the current artifact; two nulls count as the same."""
     return F.get_json_object(stored, "$.layout_input.source_page_artifact_uri").eqNullSafe(current)
 
 

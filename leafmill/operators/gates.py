@@ -52,10 +52,12 @@ def agree(a: str = "a", b: str = "b") -> Column:
 
 
 def passes_split(m: Column) -> Column:
+    """Whether a model that asks for a split is sure of it; a null confidence counts as the other value."""
     return ~m["split_required"] | (F.least(m["confidence"], m["tta_agreement"]) >= SPLIT_CONFIDENCE)
 
 
 def passes_variance(m: Column) -> Column:
+    """Whether the variance of a model's passes is small enough; null if it is null."""
     return m["tta_variance"] <= TTA_VARIANCE
 
 
@@ -153,6 +155,7 @@ def soft_score(df: DataFrame, with_geometry: bool = True, blur_lower_is_better:
 
 
 def first_pass_route(accepted: Column, validated: Column) -> Column:
+    """``accept_now`` if a page is accepted and validated, else ``rectification``; null counts as not."""
     return F.when(accepted & validated, "accept_now").otherwise("rectification")
 
 
@@ -167,6 +170,7 @@ def rectification_score(before: dict[str, Column], after: dict[str, Column]) ->
 
 
 def rectification_warnings(before: dict[str, Column], after: dict[str, Column]) -> Column:
+    """Names of what a rectification did not improve; null values give no warning."""
     return named({"border_score_not_improved": after["border"] <= before["border"], "skew_residual_not_improved": after["skew"] >= before["skew"], "blur_score_regressed": after["blur"] + 0.05 < before["blur"]})
 
 
@@ -195,6 +199,7 @@ def split_child_route(df: DataFrame, policy: str = "conditional") -> DataFrame:
 
 
 def next_state(mode: Column) -> Column:
+    """State that follows acceptance in a pipeline mode; null and unknown modes go to ``accepted``."""
     return F.when(mode == "layout", "layout_detection").otherwise("accepted")
 
 

@@ -38,6 +38,7 @@ def pose_gate(cases: DataFrame, least_iou: float = 0.7, most_distance: float = 0
 
 
 def mean_keypoint_distance(a: Column, b: Column) -> Column:
+    """Mean distance of keypoints of equal position; null if the lists differ in length or hold a null."""
     d = F.zip_with(a, b, lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]))
     return F.aggregate(d, F.lit(0.0), lambda acc, x: acc + x) / F.size(d)
 

@@ -13,6 +13,7 @@ STAGES = ("preprocessing", "rectification", "layout", "classification")
 
 
 def stage_of(service: Column) -> Column:
+    """Stage of a service; null and unknown services count as classification."""
     return F.when(service.isin("geometry_a", "geometry_b"), "preprocessing").when(service == "rectify", "rectification").when(service.isin("layout_a", "layout_b"), "layout").otherwise("classification")
 
 
@@ -29,6 +30,7 @@ def acceptance_rates(pages: DataFrame) -> DataFrame:
 
 
 def dashboard(pages: DataFrame, jobs: DataFrame, now: str, hours: int) -> DataFrame:
+    """One row of page counts, active jobs, acceptance and page rates; empty tables give zeros, and null rates where nothing was timed."""
     s = F.col("status")
     counts = pages.agg(F.count("*").alias("n_pages"), F.count_if(s == "accepted").alias("n_accepted"), F.count_if(s == "review").alias("n_review"), F.count_if(s == "failed").alias("n_failed"), F.count_if(s == "pending_human_correction").alias("n_pending"))
     totals = jobs.agg(F.count_if(F.col("status").isin("running", "queued")).alias("n_active_jobs"))
@@ -47,6 +49,7 @@ def stage_health(invocations: DataFrame, now: str, hours: int) -> DataFrame:
 
 
 def review_rates(lineage: DataFrame, invocations: DataFrame, now: str, hours: int) -> DataFrame:
+    """One row of human corrections in the window, per hour, and the share of rescues that were not skipped (0 without any); null times are outside the window."""
     start = ts(now) - F.expr(f"INTERVAL {hours} HOURS")
     fixes = lineage.where(F.col("human_corrected") & (F.col("human_correction_timestamp") >= start)).agg(F.count("*").alias("n_corrections"))
     used = invocations.where("service_name = 'rectify'").agg(safe_rate(F.count_if(F.col("status") != "skipped"), F.count("*")).alias("rescue_rate"))
@@ -76,6 +79,7 @@ def catalogue_inventory(catalogue: DataFrame, invocations: DataFrame) -> DataFra
 
 
 def training_status(jobs: DataFrame, now: str, hours: int = 72, most: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Jobs by status, and the last ``most`` completed ones of the window, newest first, ties by id; a null status is a status."""
     recent = jobs.where((F.col("status") == "completed") & (F.col("completed_at") >= ts(now) - F.expr(f"INTERVAL {hours} HOURS")))
     return jobs.groupBy("status").agg(F.count("*").alias("n")), recent.orderBy(F.col("completed_at").desc(), "train_job_id").limit(most)
 
@@ -93,6 +97,7 @@ def rolling_drift(observations: DataFrame, baselines: DataFrame, size: int = 200
 
 
 def baselines(observations: DataFrame, least: int = 200) -> DataFrame:
+    """Count, mean and deviation of each metric with at least ``least`` rows; null values count as rows but enter no mean."""
     return observations.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std")).where(F.col("n") >= least)
 
 

@@ -78,6 +78,7 @@ def recalibrate(regions: DataFrame, width: Column | float, height: Column | floa
 
 
 def renumber(regions: DataFrame, start: int = 1) -> DataFrame:
+    """Ids r1, r2, ... of a page's regions from top to bottom, left to right, ties by pos; null places come first."""
     w = Window.partitionBy("page_id").orderBy("y_min", "x_min", "pos")
     return regions.withColumn("id", F.concat(F.lit("r"), (F.row_number().over(w) - 1 + start).cast("string")))
 
@@ -104,6 +105,7 @@ def page_dims(regions: DataFrame) -> DataFrame:
 
 
 def layout_summary(regions: DataFrame, low: float = 0.5) -> DataFrame:
+    """Mean confidence, share of low ones and counts by type of each page; null confidences enter no mean and are not low."""
     counts = [F.count_if(F.col("type") == t).alias(f"n_{t}") for t in TYPES]
     return regions.groupBy("page_id").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.count_if(F.col("confidence") < low) / F.count("*"), 6).alias("low_share"), *counts)
 

@@ -31,6 +31,7 @@ PAGE_KEY = ("job_id", "page_number")
 
 
 def ts(now: str) -> Column:
+    """A moment given as text, as a timestamp in the session's time zone."""
     return F.lit(now).cast("timestamp")
 
 
@@ -40,6 +41,7 @@ def safe_rate(n: Column, d: Column) -> Column:
 
 
 def terminal_in_window(pages: DataFrame, now: str, hours: int) -> DataFrame:
+    """Terminal pages whose state changed in the last ``hours``, both ends included; null times are outside."""
     start = ts(now) - F.expr(f"INTERVAL {hours} HOURS")
     return pages.where(F.col("status").isin(*TERMINAL) & F.col("status_updated_at").between(start, ts(now)))
 
@@ -57,14 +59,17 @@ def search_jobs(jobs: DataFrame, text: str | None = None, status: str | None = N
 
 
 def has_reason(pages: DataFrame, code: str) -> DataFrame:
+    """Pages whose JSON list of review reasons holds a code; null and broken lists hold none."""
     return pages.where(F.array_contains(F.from_json("review_reasons", "array<string>"), code))
 
 
 def work_class(status: Column) -> Column:
+    """Who works on a state: automatable, human_only, terminal, or unknown for null and other states."""
     return F.when(status.isin(*AUTOMATABLE), "automatable").when(status.isin(*HUMAN_ONLY), "human_only").when(status.isin("split", *TERMINAL), "terminal").otherwise("unknown")
 
 
 def age_seconds(now: str) -> Column:
+    """Seconds since the last change, else since creation; null without either."""
     return F.unix_timestamp(ts(now)) - F.unix_timestamp(F.coalesce("status_updated_at", "created_at"))
 
 
@@ -75,6 +80,7 @@ def is_stale(now: str, null_is_stale: bool, layout_timeout: int = 180, other_tim
 
 
 def edges(spark) -> DataFrame:
+    """Moves of the state graph, one row each."""
     return spark.createDataFrame([(a, b) for a, to in TRANSITIONS.items() for b in to], "from_state string, to_state string")
 
 
@@ -84,27 +90,32 @@ def invalid_transitions(moves: DataFrame) -> DataFrame:
 
 
 def state_flags(pages: DataFrame) -> DataFrame:
+    """What each page's state allows; flags are null for a null state, ``n_next`` also for unknown ones."""
     s = F.col("status")
     nexts = F.create_map(*[x for k, v in TRANSITIONS.items() for x in (F.lit(k), F.lit(len(v)))])
     return pages.select("page_id", "status", s.isin(*WORKER_STOP).alias("worker_terminal"), s.isin(*LEAF_FINAL).alias("leaf_final"), nexts[s].alias("n_next"))
 
 
 def material_bucket(c: Column) -> Column:
+    """book, newspaper or microfilm, to which archival documents belong; null and unknown materials are books."""
     m = F.lower(F.trim(c))
     return F.when(m.isin("book", "newspaper", "microfilm"), m).when(m == "archival_document", "microfilm").otherwise("book")
 
 
 def preferred_uri(df: DataFrame) -> DataFrame:
+    """Output uri, else input uri, and which it was; empty counts as null, and both null stay null."""
     out, inp = F.nullif(F.col("output_uri"), F.lit("")), F.nullif(F.col("input_uri"), F.lit(""))
     return df.withColumns({"uri": F.coalesce(out, inp), "uri_source": F.when(out.isNotNull(), "output").when(inp.isNotNull(), "input")})
 
 
 def canonical_filename() -> Column:
+    """page_0001.tiff, with reading order or else sub page as suffix; a missing page number shows as ``null``."""
     suffix = F.coalesce("reading_order", "sub_page_index")
     return F.concat(F.format_string("page_%04d", "page_number"), F.coalesce(F.concat(F.lit("_"), suffix.cast("string")), F.lit("")), F.lit(".tiff"))
 
 
 def artifact_role() -> Column:
+    """Role of a page's artifact, the first that holds of split child, human correction, output; null flags do not hold."""
     return F.when(F.col("sub_page_index").isNotNull(), "split_child").when(F.col("human_corrected"), "human_corrected").when(F.nullif(F.col("output_uri"), F.lit("")).isNotNull(), "normalized_output").otherwise("original_upload")
 
 
@@ -157,6 +168,7 @@ def qa_gate(pages: DataFrame) -> DataFrame:
 
 
 def viewer_summary(pages: DataFrame) -> DataFrame:
+    """Counts of each job for the viewer, split parents aside, and whether its gate is ready; a null approval counts as neither."""
     s = F.col("status")
     rows = pages.where("status <> 'split'")
     counts = rows.groupBy("job_id").agg(F.count("*").alias("total"), F.count_if((s == "ptiff_qa_pending") & ~F.col("qa_approved")).alias("pending"), F.count_if((s == "ptiff_qa_pending") & F.col("qa_approved")).alias("approved"), F.count_if(s == "pending_human_correction").alias("in_correction"), F.count_if(s.isin("accepted", "layout_detection")).alias("released"))

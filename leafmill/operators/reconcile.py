@@ -24,6 +24,7 @@ def latest(df: DataFrame, keys: list[str], value: str, *order: Column | str) ->
 
 
 def with_latest_reason(pages: DataFrame, gates: DataFrame) -> DataFrame:
+    """Pages with the newest review reason of their job and number, ties by gate id; null if there is none."""
     last = gates.where("review_reason IS NOT NULL").groupBy(*PAGE_KEY).agg(F.max_by("review_reason", F.struct("created_at", "gate_id")).alias("latest_reason"))
     return pages.join(last, list(PAGE_KEY), "left")
 
@@ -57,6 +58,7 @@ def owner_of_uri(uris: DataFrame, *legs: tuple[DataFrame, str, str]) -> DataFram
 
 
 def queue_ids(tasks: DataFrame) -> DataFrame:
+    """Distinct page ids in the live queues; poison rows and null ids are left out."""
     return tasks.where("NOT poison AND page_id IS NOT NULL AND queue IN ('pending','processing')").select("page_id").distinct()
 
 
@@ -108,6 +110,7 @@ def blockers(pages: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def drained(pages: DataFrame, tasks: DataFrame) -> DataFrame:
+    """One row: active pages, live queue items, and whether both are 0; empty tables are drained."""
     active = pages.agg(F.count_if(F.col("status").isin(*AUTOMATABLE)).alias("active_pages"))
     items = tasks.agg(F.count_if(F.col("queue") != "dead_letter").alias("queue_items"))
     return active.crossJoin(F.broadcast(items)).withColumn("drained", (F.col("active_pages") == 0) & (F.col("queue_items") == 0))

@@ -37,6 +37,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_registry(rows: DataFrame, path: str) -> None:
+    """Add rows to the dataset list; repeated rows are repeated entries."""
     rows.write.mode("append").parquet(path)
 
 
@@ -64,6 +65,7 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hash_mismatches(found: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Artifacts whose hash differs from the recorded one; null hashes and unknown uris are left out."""
     return found.join(lineage.select("uri", F.col("hash").alias("prior")), "uri").where("prior <> hash")
 
 

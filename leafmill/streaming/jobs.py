@@ -103,6 +103,7 @@ def trigger_step(known: tuple[str, ...], days: int = 7):
 
 
 def triggers(stream: DataFrame, known: tuple[str, ...], days: int = 7) -> DataFrame:
+    """Outcome of each trigger under the cooldown of its type; of equal times the least id is recorded, null types are unknown ones."""
     return fold(stream.select("trigger_type", "trigger_id", "fired_at", "status"), "trigger_type", ["fired_at", "trigger_id"], trigger_step(known, days), "trigger_id long, outcome string")
 
 
@@ -126,6 +127,7 @@ def persistence_step(seconds: int):
 
 
 def alerts(stream: DataFrame, seconds: int) -> DataFrame:
+    """Alerts of series whose condition held for ``seconds``; a null condition ends a run, equal times keep their order."""
     return fold(stream.select("series", "ts", "firing"), "series", ["ts"], persistence_step(seconds), "series string, since timestamp, fired_at timestamp")
 
 
@@ -140,6 +142,7 @@ def page_step(state, rows):
 
 
 def page_states(stream: DataFrame) -> DataFrame:
+    """Every event with the state that its page is in after it; a null state or target never applies."""
     return fold(stream.select("page_id", "seq", "expected", "target"), "page_id", ["seq"], page_step, "page_id string, seq long, applied boolean, state string, completed boolean")
 
 
@@ -158,6 +161,7 @@ def stale_step(timeout: int):
 
 
 def stale_tasks(stream: DataFrame, timeout: int) -> DataFrame:
+    """Gaps over ``timeout`` seconds between signs of life of a task; equal times have no gap."""
     return fold(stream.select("task_id", "ts"), "task_id", ["ts"], stale_step(timeout), "task_id string, stale_from timestamp, gap_seconds long")
 
 
