@@ -587,10 +587,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stand for their component: those of its smallest doc_id.
 
     Rows without words stand for themselves.  Where rows repeat an id, exact repetitions are
-    reduced to one row and different texts under one id all stay.
+    reduced to one row and different texts under one id all stay.  Only texts whose id may have
+    to go are shuffled.
     """
     found = components(docs)
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_leafmill_id")).agg(F.count("*").alias("_leafmill_n"))
     repeated = not keep.where("_leafmill_n > 1").isEmpty()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_leafmill_id")), "left_semi")
+    # texts of ids that a bitmap of the others cannot hold stay where they are; the bitmap only saves work, the join decides
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.xxhash64("doc_id").alias("tkey"))
+    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap_of(gone))
+    likely = F.arrow_udf(lambda tkeys: _likely(tkeys, bitmap.value), "boolean")(F.xxhash64("doc_id"))
+    open_rows = docs.where(likely).join(keep, F.col("doc_id").eqNullSafe(F.col("_leafmill_id")), "left_semi")
+    kept = docs.where(~likely).union(open_rows)
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
