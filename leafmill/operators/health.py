@@ -146,15 +146,14 @@ def cooldown(events: DataFrame, days: int = 7) -> DataFrame:
     skip = F.when(F.col("n") == F.col("b") + 1, F.col("nn_first")).otherwise(F.col("n_first"))
     steps = found.join(ahead.select(F.col("k").alias("k2"), (F.col("b") + 1).alias("block2"), skip.alias("else_")), (F.col("k") == F.col("k2")) & (F.col("block") == F.col("block2")))
     steps = _stored(steps.select("k", "at", F.coalesce("next", "else_").alias("next")), "cooldown-steps")
-    kept = _stored(rows.groupBy("k").agg(F.min("at").alias("at")), "cooldown-kept")
+    kept = rows.groupBy("k").agg(F.min("at").alias("at"))
     while True:  # kept holds the first 2^i of each kind, steps leads 2^i on
-        more = kept.join(steps, ["k", "at"]).where("next IS NOT NULL").select("k", F.col("next").alias("at"))
-        grown = _stored(kept.union(more), "cooldown-kept")
+        more = _stored(kept.join(steps, ["k", "at"]).where("next IS NOT NULL").select("k", F.col("next").alias("at")), "cooldown-kept")
         if more.isEmpty():
-            return per.withColumns({"at": F.unix_micros(F.col("fired_at").cast("timestamp")), "k": F.coalesce(F.col("kind"), F.lit("\0"))}).join(grown, ["k", "at"], "left_semi").select("kind", "fired_at", "event_id")
+            return rows.join(kept, ["k", "at"], "left_semi").select("kind", "fired_at", "event_id")
+        kept = kept.union(more)
         on = steps.select(F.col("k").alias("k2"), F.col("at").alias("at2"), F.col("next").alias("next2"))
         steps = _stored(steps.where("next IS NOT NULL").join(on, (F.col("k") == F.col("k2")) & (F.col("next") == F.col("at2"))).select("k", "at", F.col("next2").alias("next")), "cooldown-steps")
-        kept = grown
 
 
 def _stored(rows: DataFrame, name: str) -> DataFrame:
