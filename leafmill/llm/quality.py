@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold, labelled_sample
+from leafmill.llm.common import fold, labelled_sample, small_batches, texts_in
 
 FEATURES = (
     "log_bytes", "log_words", "word_len_mean", "word_len_std", "upper", "digit", "symbol", "punct", "bang", "pipe", "space", "newline",
@@ -168,11 +168,12 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, bins: in
 
 
 def _features(text: Column) -> Column:
-    return F.arrow_udf(lambda texts: pa.array([statistics(t) for t in texts.to_pylist()], pa.list_(pa.float64())), "array<double>")(text)
+    return F.arrow_udf(lambda texts: pa.array([statistics(t) for t in texts_in(texts)], pa.list_(pa.float64())), "array<double>")(text)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, label_col: str = "quality") -> Forest:
     """Grow a forest from at most about ``max_rows`` labelled rows outside the held-out fold."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label_col, fold("_id", 5) != 0, max_rows)
     rows = sample.select(_features(F.col("text")).alias("x"), "label").toPandas()
     if not len(rows):
