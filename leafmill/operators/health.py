@@ -101,6 +101,17 @@ def baselines(observations: DataFrame, least: int = 200) -> DataFrame:
     return observations.groupBy("metric").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev("value"), 6).alias("std")).where(F.col("n") >= least)
 
 
+def merged_baselines(known: DataFrame, observed: DataFrame) -> DataFrame:
+    """Baselines (metric, mean, std, source): what ``baselines`` measured replaces the known row of its metric.
+
+    Metrics of either side stay; one row a metric on each side is taken for granted.
+    """
+    new = observed.select("metric", F.col("mean").alias("new_mean"), F.col("std").alias("new_std"), F.lit("empirical").alias("new"))
+    rows = known.select("metric", "mean", "std").join(new, "metric", "full")
+    fresh = F.col("new").isNotNull()
+    return rows.select("metric", F.when(fresh, F.col("new_mean")).otherwise(F.col("mean")).alias("mean"), F.when(fresh, F.col("new_std")).otherwise(F.col("std")).alias("std"), F.coalesce("new", F.lit("analytic")).alias("source"))
+
+
 def failure_streaks(invocations: DataFrame, least: int = 5, block: int = 100_000) -> DataFrame:
     """Runs of at least ``least`` failures in a row of each service; a success ends a run, a null status is a failure.
 

@@ -82,6 +82,13 @@ def a33_baselines(t: Tables):
     return h.baselines(t.v_observations)
 
 
+@query("""SELECT metric, round(CASE WHEN o.n >= 200 THEN o.mean ELSE b.mean END, 6) AS mean, round(CASE WHEN o.n >= 200 THEN o.std ELSE b.std END, 6) AS std, CASE WHEN o.n >= 200 THEN 'empirical' ELSE 'analytic' END AS source
+FROM v_baselines b FULL JOIN (SELECT metric, count(*) AS n, avg(value) AS mean, stddev(value) AS std FROM v_observations WHERE metric LIKE '%.latency' OR seq % 20 = 0 GROUP BY 1) o USING (metric) WHERE b.metric IS NOT NULL OR o.n >= 200""")
+def a33_merged_baselines(t: Tables):
+    rows = h.merged_baselines(t.v_baselines, h.baselines(t.v_observations.where("metric LIKE '%.latency' OR seq % 20 = 0")))
+    return rows.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 @query("""SELECT service_name, count(*) AS length, min(invoked_at) AS first_at, max(invoked_at) AS last_at FROM (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY service_name ORDER BY invoked_at, id) AS island FROM v_invocations)
 WHERE status <> 'success' GROUP BY service_name, island HAVING count(*) >= 3""")
 def w18_failure_streaks(t: Tables):
