@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.operators import sequence
 from leafmill.operators.health import stage_of
 from leafmill.operators.pages import TERMINAL, TRANSITIONS, safe_rate
 from leafmill.sources.shared import new_path
@@ -185,11 +186,14 @@ def kpi(stream: DataFrame) -> DataFrame:
 def counter_increase(samples: DataFrame, width: str, slide: str) -> DataFrame:
     """Increase of counters (series, ts, value) per sliding window; a fall is a reset, and nothing is extrapolated.
 
-    The step between two samples belongs to the window of the later one.
+    The step between two samples belongs to the window of the later one.  The first sample of a
+    series, and one after a null, gives nothing; samples of one moment follow in any order.
+    Series are cut into blocks, so one can hold all samples.
     """
-    before = F.lag("value").over(Window.partitionBy("series").orderBy("ts"))
+    rows, before = sequence.lagged(samples.select("series", "ts", "value"), ["series"], ["ts"], {"before": "value"}), F.col("before")
     gain = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
-    return samples.withColumn("gain", gain).groupBy("series", F.window("ts", width, slide)).agg(F.sum("gain").alias("increase")).select("series", F.col("window.start").alias("window_start"), F.round("increase", 6).alias("increase"))
+    per = rows.withColumn("gain", gain).groupBy("series", F.window("ts", width, slide)).agg(F.sum("gain").alias("increase"))
+    return per.select("series", F.col("window.start").alias("window_start"), F.round("increase", 6).alias("increase"))
 
 
 def histogram(events: DataFrame, bounds: tuple[float, ...]) -> DataFrame:
