@@ -160,7 +160,7 @@ RULES = (
 _WORDS = 3
 #: Sentence ends become this mark, which no lower-cased text holds.
 _MARK = "S"
-_ENDS = r"(?<!\b(?:inc|ltd|llc|corp|co|v))\.[^a-z0-9\s]*\s+|\.\s+(?=all rights reserved)|[!?][^a-z0-9\s]*\s+|(?<!identifier)[;:][^a-z0-9\s]*\s+|\n[^a-z0-9]*\n"
+_ENDS = r"[.!?;:](?<!\b(?:inc|ltd|llc|corp|co|v)\.)(?<!identifier[;:])[^a-z0-9\s]*\s+|\.\s+(?=all rights reserved)|\n[^a-z0-9]*\n"
 _SPDX = r"spdx-license-identifier:([^\n]*)"
 #: A copyright line may run into the licence where lines were joined.
 _LED = "^(?:.{1,200} )?copyright .{1,200}? (permission to use |permission is hereby granted |redistribution and use in )"
