@@ -68,7 +68,7 @@ _LONGS = _RANGES // 64
 _FINE = 4096
 _NEIGHBOUR_KEYS = 12
 _BITMAP_BITS = 26
-_BITMAP_BLOCK = 1 << 17
+_BITMAP_BLOCK = 1 << 14
 
 
 class _Shingler:
