@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontaminate, fingerprint, html_extract, jaccard, langid, licenses, packing, quality, toxicity
+from leafmill.llm import binpack, chat, decontaminate, fingerprint, hard_negatives, html_extract, jaccard, langid, licenses, packing, quality, toxicity, whitening
 from leafmill.llm.common import table
 
 
@@ -58,8 +59,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.labelled(table(spark, sf_dir, "embeddings"), moved), F.col("id") % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.digest(binpack.pack(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op4_matches, op5_quality, op6_toxicity, op6_passages, op7_packing, op8_licenses, op9_html, op10_language)}
+    return {f.__name__: f for f in (op1_chat, op2_jaccard, op3_fingerprint, op4_decontamination, op4_matches, op5_quality, op6_toxicity, op6_passages, op7_packing, op8_licenses, op9_html, op10_language, op11_negatives, op12_whitening, op13_binpack)}
 
 
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,5 +127,17 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 """
 
 
+#: Exact: every anchor meets every row.
+OP11_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS j FROM s WHERE same QUALIFY j <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.j ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.r = p.r AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat": OP1_SQL, "op8_licenses": licenses.oracle_sql(), "op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_chat": OP1_SQL, "op8_licenses": licenses.oracle_sql(), "op2_jaccard": OP2_SQL, "op4_decontamination": OP4_SQL, "op11_negatives": OP11_SQL}
