@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators import sequence
 from leafmill.operators.pages import TERMINAL, safe_rate, terminal_in_window, ts
-from leafmill.sources.shared import new_path
+from leafmill.sources.shared import new_path, remove
 
 STAGES = ("preprocessing", "rectification", "layout", "classification")
 
@@ -122,10 +124,14 @@ def failure_streaks(invocations: DataFrame, least: int = 5, block: int = 100_000
     return rows.groupBy("service_name", "island").agg(F.count("*").alias("length"), F.min("invoked_at").alias("first_at"), F.max("invoked_at").alias("last_at")).where(F.col("length") >= least).drop("island")
 
 
-def persisting(ticks: DataFrame, seconds: int) -> DataFrame:
-    """Runs of ticks (series, ts, firing) that stay true for at least ``seconds``."""
-    w = Window.partitionBy("series").orderBy("ts")
-    rows = ticks.withColumn("island", F.sum(F.when(F.col("firing"), 0).otherwise(1)).over(w)).where("firing")
+def persisting(ticks: DataFrame, seconds: int, block: int = 100_000) -> DataFrame:
+    """Runs of ticks (series, ts, firing) that stay true for at least ``seconds``; null is not true.
+
+    Runs are told apart by how many ticks denied before, counted in blocks of rows whose sums are
+    carried on, so one series may have all ticks; ticks of one moment follow in any order.
+    """
+    firing = F.coalesce("firing", F.lit(False))
+    rows = sequence.running_count(ticks.select("series", "ts", "firing"), ["series"], ["ts"], ~firing, "island", block).where(firing)
     runs = rows.groupBy("series", "island").agg(F.min("ts").alias("since"), F.max("ts").alias("until"), F.count("*").alias("ticks"))
     return runs.where(F.unix_timestamp("until") - F.unix_timestamp("since") >= seconds).drop("island")
 
@@ -134,40 +140,68 @@ def cooldown(events: DataFrame, days: int = 7) -> DataFrame:
     """Events (kind, fired_at, event_id) that are kept: those at least ``days`` after the last kept one of their kind.
 
     Events of one moment count once, by their least id; null moments are left out, null kinds
-    are a kind.  Each event's successor is the first one of its kind at least ``days`` later; it
-    lies in the next block of ``days`` or is the first event after that, so blocks are looked at
-    apart.  The kept events are those that the first of a kind reaches, found by doubling the
-    step, so a kind of any size takes a number of joins that grows with the logarithm of the
-    time it spans.
+    are a kind.  Events and the moments from which each lets the next one pass are sorted
+    together into ranges, so an event's successor is what follows in its range or else the first
+    event of a later one.  Within a range a task knows for every event where a run of kept ones
+    that starts there leaves the range; the ranges that a kind's first event reaches are then
+    found by doubling the step, which takes the logarithm of the ranges, not of the events, and
+    none where a kind lies in one.
     """
-    seconds = days * 86_400
+    apart, kind = days * 86_400 * 1_000_000, events.schema["fired_at"].dataType
     per = events.where(F.col("fired_at").isNotNull()).groupBy("kind", "fired_at").agg(F.min("event_id").alias("event_id"))
-    rows = per.withColumns({"at": F.unix_micros(F.col("fired_at").cast("timestamp")), "k": F.coalesce(F.col("kind"), F.lit("\0"))})
-    rows = _stored(rows.withColumn("block", F.floor(F.col("at") / (seconds * 1_000_000))), "cooldown-events")
-    # of a block: its own events, which look for what comes after them, and the events of the next block that may be found
-    wanted = rows.select("k", (F.col("block") + 1).alias("block"), (F.col("at") + seconds * 1_000_000).alias("moment"), F.lit(1).alias("asks"), "at")
-    offered = rows.select("k", "block", F.col("at").alias("moment"), F.lit(0).alias("asks"), "at")
-    both = wanted.unionByName(offered)
-    later = Window.partitionBy("k", "block").orderBy(F.desc("moment"), "asks").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("next", F.min(F.when(F.col("asks") == 0, F.col("moment"))).over(later)).where("asks = 1")
-    firsts = rows.groupBy("k", F.col("block").alias("b")).agg(F.min("at").alias("first"))  # one row for each kind and block
-    following = Window.partitionBy("k").orderBy("b")
-    ahead = firsts.select("k", "b", F.lead("b").over(following).alias("n"), F.lead("first").over(following).alias("n_first"), F.lead("first", 2).over(following).alias("nn_first"))
-    # without an event late enough in the next block, the first event of the block after it
-    skip = F.when(F.col("n") == F.col("b") + 1, F.col("nn_first")).otherwise(F.col("n_first"))
-    steps = found.join(ahead.select(F.col("k").alias("k2"), (F.col("b") + 1).alias("block2"), skip.alias("else_")), (F.col("k") == F.col("k2")) & (F.col("block") == F.col("block2")))
-    steps = _stored(steps.select("k", "at", F.coalesce("next", "else_").alias("next")), "cooldown-steps")
-    kept = rows.groupBy("k").agg(F.min("at").alias("at"))
-    while True:  # kept holds the first 2^i of each kind, steps leads 2^i on
-        more = _stored(kept.join(steps, ["k", "at"]).where("next IS NOT NULL").select("k", F.col("next").alias("at")), "cooldown-kept")
-        if more.isEmpty():
-            return rows.join(kept, ["k", "at"], "left_semi").select("kind", "fired_at", "event_id")
-        kept = kept.union(more)
-        on = steps.select(F.col("k").alias("k2"), F.col("at").alias("at2"), F.col("next").alias("next2"))
-        steps = _stored(steps.where("next IS NOT NULL").join(on, (F.col("k") == F.col("k2")) & (F.col("next") == F.col("at2"))).select("k", "at", F.col("next2").alias("next")), "cooldown-steps")
-
-
-def _stored(rows: DataFrame, name: str) -> DataFrame:
+    rows = per.select(F.coalesce("kind", F.lit("\0")).alias("k"), F.unix_micros(F.col("fired_at").cast("timestamp")).alias("at"), "event_id")
+    offers = rows.select("k", F.col("at").alias("moment"), F.lit(True).alias("offer"), "at", "event_id")
+    asks = rows.select("k", (F.col("at") + apart).alias("moment"), F.lit(False).alias("offer"), "at", F.lit(None).cast("long").alias("event_id"))
+    placed = sequence.ranged(offers.unionByName(asks), ["k"], ["moment", "offer"], "cooldown")
+    offered = F.when(F.col("offer"), F.col("moment"))
+    ranges = placed.groupBy("k", "_task").agg(F.min(offered).alias("first")).where("first IS NOT NULL")  # a row for each kind and range
+    entries = ranges.groupBy("k").agg(F.min("first").alias("at"), F.count("*").alias("n"))
+    most = entries.agg(F.max("n")).first()[0] or 0
+    own = placed.where("offer").select("k", "at", "event_id", F.col("_task").alias("range"))
+    entries, made = entries.select("k", "at"), []
+    if most > 1:
+        inside = F.min(offered).over(Window.partitionBy("k", "_task").orderBy(F.desc("_row")))
+        later = F.min("first").over(Window.partitionBy("k").orderBy("_task").rowsBetween(1, Window.unboundedFollowing))
+        ends = placed.groupBy("k", "_task").agg(F.min(offered).alias("first")).withColumn("later", later).select(F.col("k").alias("k2"), F.col("_task").alias("task2"), "later")
+        found = placed.withColumn("inside", inside).where("NOT offer").join(ends, (F.col("k") == F.col("k2")) & (F.col("_task") == F.col("task2")))
+        steps = own.select("k", "at", "range").join(found.select("k", "at", F.coalesce("inside", "later").alias("next")), ["k", "at"])
+        jumps = steps.groupBy("k", "range").applyInArrow(_exits, "k string, at long, next long")
+        jumps = _stored(jumps, "cooldown-jumps", made)
+        for _ in range((most - 1).bit_length()):  # entries holds the first 2^i ranges that a kind reaches, jumps leads 2^i on
+            more = entries.join(jumps, ["k", "at"]).where("next IS NOT NULL").select("k", F.col("next").alias("at"))
+            entries = _stored(entries.union(more), "cooldown-entries", made)
+            on = jumps.select(F.col("k").alias("k2"), F.col("at").alias("at2"), F.col("next").alias("next2"))
+            jumps = _stored(jumps.where("next IS NOT NULL").join(on, (F.col("k") == F.col("k2")) & (F.col("next") == F.col("at2"))).select("k", "at", F.col("next2").alias("next")), "cooldown-jumps", made)
+    started = own.join(entries, ["k", "at"]).select(F.col("k").alias("k2"), F.col("range").alias("range2"), F.col("at").alias("entry"))
+    runs = own.join(started, (F.col("k") == F.col("k2")) & (F.col("range") == F.col("range2"))).select("k", "range", "at", "event_id", "entry")
+    kept = _stored(runs.groupBy("k", "range").applyInArrow(lambda t: _kept(t, apart), "k string, at long, event_id long"), "cooldown-kept", [])
+    for path in made:
+        remove(events.sparkSession, path)
+    return kept.select(F.nullif("k", F.lit("\0")).alias("kind"), F.timestamp_micros("at").cast(kind).alias("fired_at"), "event_id")
+
+
+def _exits(table: pa.Table) -> pa.Table:
+    """For every event of a range, the event behind the range that a run of kept ones from it leads to."""
+    table = table.sort_by("at")
+    at, after = np.asarray(table.column("at")), table.column("next")
+    to = np.asarray(after.fill_null(-(1 << 63)))
+    jump = np.searchsorted(at, to)
+    stays = (jump < len(at)) & (at[np.minimum(jump, len(at) - 1)] == to)
+    jump = np.where(stays, jump, np.arange(len(at)))
+    while not (jump == (on := jump[jump])).all():
+        jump = on
+    return pa.table({"k": table.column("k"), "at": table.column("at"), "next": after.take(pa.array(jump))})
+
+
+def _kept(table: pa.Table, apart: int) -> pa.Table:
+    """The kept events of a range from its entry on."""
+    table = table.sort_by("at")
+    at, entry = np.asarray(table.column("at")), int(table.column("entry")[0].as_py())
+    return table.select(["k", "at", "event_id"]).take(pa.array(sequence.greedy(at, apart, entry - apart), pa.int64()))
+
+
+def _stored(rows: DataFrame, name: str, made: list[str]) -> DataFrame:
     path = new_path(rows.sparkSession, name)
     rows.write.parquet(path)
+    made.append(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

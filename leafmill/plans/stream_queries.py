@@ -21,7 +21,7 @@ def _stream(t: Tables, view: str):
 @query("""SELECT d.metric, seq, round(m, 9) AS window_mean, window_n, coalesce(b.std > 0 AND abs(m - b.mean) > 3.0 * b.std, false) AS drifted FROM (SELECT metric, seq, avg(value) OVER w AS m, count(*) OVER w AS window_n FROM v_observations
 WINDOW w AS (PARTITION BY metric ORDER BY ts, seq ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) d LEFT JOIN v_baselines b ON b.metric = d.metric""")
 def t1_drift_stream(t: Tables):
-    return jobs.run(jobs.drift(_stream(t, "v_observations"), t.v_baselines), "drift").withColumn("window_mean", F.round("window_mean", 9))
+    return jobs.drift(_stream(t, "v_observations"), t.v_baselines).withColumn("window_mean", F.round("window_mean", 9))
 
 
 _KNOWN = ("drift_alert_persistence", "escalation_rate_anomaly", "auto_accept_rate_collapse", "structural_agreement_degradation")
@@ -40,7 +40,7 @@ _COUNTER = "SELECT concat('c', CAST(user_id % 5 AS STRING)) AS series, ts, CAST(
 @query(f"""WITH g AS (SELECT series, ts, CASE WHEN p IS NULL THEN 0.0 WHEN value >= p THEN value - p ELSE value END AS gain FROM (SELECT *, lag(value) OVER (PARTITION BY series ORDER BY ts) AS p FROM ({_COUNTER.format(e='events')})))
 SELECT series, time_bucket(INTERVAL 1 HOUR, ts) - i * INTERVAL 1 HOUR AS window_start, round(sum(gain), 6) AS increase FROM g CROSS JOIN range(3) r(i) GROUP BY 1, 2""")
 def t3_counter_increase(t: Tables):
-    return jobs.counter_increase(t.spark.sql(_COUNTER, e=t.events), "3 hours", "1 hour")
+    return jobs.counter_increase(t.spark.sql(_COUNTER, e=jobs.read(t.spark, f"{t.sf_dir}/events.parquet")), "3 hours", "1 hour")
 
 
 _LES = (10.0, 25.0, 50.0, 100.0, 1e9)
@@ -60,10 +60,14 @@ def t5_ratio_alert(t: Tables):
     return jobs.ratio_alert(found, 0.25)
 
 
-@query("""SELECT series, min(ts) AS since, min(CASE WHEN epoch(ts) - epoch(first_ts) >= 600 THEN ts END) AS fired_at FROM (SELECT *, min(ts) OVER (PARTITION BY series, island) AS first_ts FROM (SELECT event_type AS series, ts, value > 15 AS firing, sum(CASE WHEN value > 15 THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY ts) AS island FROM events) WHERE firing) GROUP BY series, island HAVING max(epoch(ts)) - min(epoch(ts)) >= 600""")
+@query("""WITH m AS (SELECT event_type AS series, ts, bool_and(coalesce(value > 15, false)) AS firing FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT *, lag(ts) OVER w AS p, lag(firing) OVER w AS pf, lead(ts) OVER w AS n FROM m WINDOW w AS (PARTITION BY series ORDER BY ts)),
+r AS (SELECT *, sum(CASE WHEN pf AND ts <= p + INTERVAL 1 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY series ORDER BY ts) AS run FROM g WHERE firing),
+e AS (SELECT series, min(ts) AS since, max(ts) AS last, max(least(ts + INTERVAL 1 HOUR, coalesce(n, ts + INTERVAL 1 HOUR))) AS until, bool_or(n IS NULL) AS open FROM r GROUP BY series, run)
+SELECT series, since, since + INTERVAL 10 MINUTE AS fired_at FROM e WHERE since + INTERVAL 10 MINUTE < until AND (NOT open OR since + INTERVAL 10 MINUTE <= greatest(last, (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)))""")
 def t6_alert_stream(t: Tables):
     ticks = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("event_type").alias("series"), "ts", (F.col("value") > 15).alias("firing"))
-    return jobs.run(jobs.alerts(ticks, 600), "alerts")
+    return jobs.run(jobs.alerts(ticks, 600, 3600), "alerts")
 
 
 _MOVES = ", ".join(f"'{a}>{b}'" for a, to in TRANSITIONS.items() for b in to)
@@ -76,7 +80,7 @@ UNION ALL SELECT page_id, r, seq, CASE WHEN ok THEN target ELSE state END, ok FR
 SELECT page_id, seq, applied, state, state IN ('accepted', 'review', 'failed') AS completed FROM f WHERE r > 0""")
 def t7_page_state_stream(t: Tables):
     states = F.array(*[F.lit(s) for s in ("queued", "preprocessing", "layout_detection", "accepted", "pending_human_correction", "semantic_norm")])
-    events = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.concat(F.lit("p-"), (F.col("user_id") % 200).cast("string")).alias("page_id"), F.col("event_id").alias("seq"), F.get(states, F.col("event_id") % 6).alias("expected"), F.get(states, (F.col("event_id") + F.col("user_id")) % 6).alias("target"))
+    events = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.concat(F.lit("p-"), (F.col("user_id") % 200).cast("string")).alias("page_id"), F.col("event_id").alias("seq"), F.get(states, F.col("event_id") % 6).alias("expected"), F.get(states, (F.col("event_id") + F.col("user_id")) % 6).alias("target"), "ts")
     return jobs.run(jobs.page_states(events), "page-states")
 
 
@@ -86,7 +90,8 @@ def t8_dedupe_stream(t: Tables):
     return jobs.run(jobs.dedupe(rows, "user_id", "ts", "60 days").select("user_id", F.lit(1).cast("long").alias("n")), "dedupe")
 
 
-@query("SELECT task_id::VARCHAR AS task_id, p AS stale_from, trunc(epoch(ts) - epoch(p))::BIGINT AS gap_seconds FROM (SELECT user_id AS task_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) WHERE epoch(ts) - epoch(p) > 86400")
+@query("""SELECT task_id::VARCHAR AS task_id, ts AS stale_from, ts + INTERVAL 1 DAY AS stale_at FROM (SELECT user_id AS task_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events)
+WHERE n > ts + INTERVAL 1 DAY OR (n IS NULL AND ts + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))""")
 def t9_stale_stream(t: Tables):
     rows = jobs.read(t.spark, f"{t.sf_dir}/events.parquet").select(F.col("user_id").alias("task_id"), "ts")
     return jobs.run(jobs.stale_tasks(rows, 86_400), "stale")

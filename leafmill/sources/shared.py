@@ -21,3 +21,9 @@ def new_path(spark: SparkSession, name: str) -> str:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-shared-"))
         named = _OWN[0]
     return f"{named.rstrip('/')}/leafmill/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what lies under a path of ``new_path``, if anything does."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,24 +1,39 @@
 """Continuous jobs as Structured Streaming queries.
 
-Order-dependent ones keep one small state per key with ``applyInPandasWithState``; the rest are
+Jobs of many keys keep one small state per key (``state``) in RocksDB and end it by event-time
+timers; jobs that look back within few, long keys carry a tail from batch to batch; the rest are
 windowed aggregates.  Rows of a key are sorted within a micro-batch, so results do not depend on
 how a batch was split; batches themselves follow the source's order.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.operators import sequence
 from leafmill.operators.health import stage_of
-from leafmill.operators.pages import TERMINAL, TRANSITIONS, safe_rate
-from leafmill.sources.shared import new_path
+from leafmill.operators.pages import safe_rate
+from leafmill.sources.shared import new_path, remove
+from leafmill.streaming import state
+
+MICROS = 1_000_000
+_PROVIDER, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB for the queries that start inside; the session's own choice is put back."""
+    own = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, own)
 
 
 def read(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -37,7 +52,8 @@ def run(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFram
     spark, out, place = stream.sparkSession, new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-checkpoint")
     writer = stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True)
     if keys is None:
-        writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
+        with _rocks(spark):
+            writer.outputMode("append").format("parquet").option("path", out).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -49,121 +65,97 @@ def run(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFram
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("last")).where("last IS NOT NULL").select("last.*")
 
 
-def fold(stream: DataFrame, key: str, order: list[str], step: Callable[[dict | None, list[dict]], tuple[dict, list[dict]]], schema: str) -> DataFrame:
-    """Fold sorted rows of each key into a JSON state; ``step(state, rows)`` gives the new state and output rows."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def update(_, frames, state):
-        rows = pd.concat(list(frames)).sort_values(order, kind="stable").to_dict("records")
-        new, out = step(json.loads(state.get[0]) if state.exists else None, rows)
-        state.update((json.dumps(new),))
-        yield pd.DataFrame(out, columns=names)
-
-    return stream.groupBy(key).applyInPandasWithState(update, schema, "state string", "append", "NoTimeout")
-
-
-def drift_step(means: dict[str, tuple[float, float]], size: int = 200, sigmas: float = 3.0):
-    """Window of the last ``size`` values of a metric; every row gives mean, count and flag."""
-
-    def step(state, rows):
-        window, out = list(state["w"]) if state else [], []
-        for r in rows:
-            window = [*window[-(size - 1) :], r["value"]]
-            mean = sum(window) / len(window)
-            base, std = means.get(r["metric"], (0.0, 0.0))
-            out.append({"metric": r["metric"], "seq": r["seq"], "window_mean": round(mean, 12), "window_n": len(window), "drifted": bool(std > 0 and abs(mean - base) > sigmas * std)})
-        return {"w": window}, out
-
-    return step
+def _keyed(stream: DataFrame, key: str, processor: state.Timed, schema: str, moment: str, delay: str) -> DataFrame:
+    """``processor`` over the rows of each key, in event time; rows without a moment are left out, those behind the watermark too."""
+    rows = stream.where(F.col(moment).isNotNull()).withColumn(moment, F.col(moment).cast("timestamp")).withWatermark(moment, delay)
+    return rows.withColumn("at", F.unix_micros(moment)).groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
-def drift(stream: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Every observation with its metric's rolling mean and drift flag; baselines are one row per known metric."""
-    means = {r["metric"]: (float(r["mean"]), float(r["std"])) for r in baselines.collect()}
-    return fold(stream.select("metric", "value", "ts", "seq"), "metric", ["ts", "seq"], drift_step(means), "metric string, seq long, window_mean double, window_n long, drifted boolean")
+def _after(moment: str, seconds: int) -> Column:
+    return F.timestamp_micros(F.col(moment) + seconds * MICROS)
 
 
-def trigger_step(known: tuple[str, ...], days: int = 7):
-    """recorded, skipped_unknown or skipped_cooldown for each trigger; the cooldown counts from the last recorded one."""
-
-    def step(state, rows):
-        last, out = pd.Timestamp(state["last"]) if state and state["last"] else None, []
-        for r in rows:
-            if r["trigger_type"] not in known:
-                status = "skipped_unknown"
-            elif r["status"] == "resolved":
-                status = "skipped_resolved"
-            elif last is not None and r["fired_at"] < last + pd.Timedelta(days=days):
-                status = "skipped_cooldown"
-            else:
-                status, last = "recorded", r["fired_at"]
-            out.append({"trigger_id": r["trigger_id"], "outcome": status})
-        return {"last": str(last) if last is not None else None}, out
-
-    return step
+def in_batches(stream: DataFrame, name: str, keys: list[str], order: list[str], reach: int, columns: dict[str, Callable], block: int = 100_000) -> DataFrame:
+    """Rows of a stream with columns over windows that look ``reach`` rows back within their keys.
 
+    Each batch is one job over its rows and the last ``reach`` rows of every key that the batch
+    before left behind, cut into blocks, so a stream of a single key runs over many tasks.  What
+    a batch writes, its rows and its tail, lies under its number: a batch that is run again
+    writes the same again.  Rows that are older than their key's tail are placed into it as far as
+    it reaches back.
+    """
+    spark, out, place = stream.sparkSession, new_path(stream.sparkSession, name), new_path(stream.sparkSession, f"{name}-checkpoint")
 
-def triggers(stream: DataFrame, known: tuple[str, ...], days: int = 7) -> DataFrame:
-    """Outcome of each trigger under the cooldown of its type; of equal times the least id is recorded, null types are unknown ones."""
-    return fold(stream.select("trigger_type", "trigger_id", "fired_at", "status"), "trigger_type", ["fired_at", "trigger_id"], trigger_step(known, days), "trigger_id long, outcome string")
+    def look(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("_old", F.lit(False))
+        if number:
+            rows = spark.read.schema(rows.schema).parquet(f"{out}/tail/{number - 1}").withColumn("_old", F.lit(True)).unionByName(rows)
+        placed = sequence.numbered(rows, keys, order)
+        found = sequence.looking_back(placed, keys, reach, columns, block)
+        found.where(~F.col("_old")).select(*stream.columns, *columns).write.mode("overwrite").parquet(f"{out}/rows/{number}")
+        sequence.tail(placed, keys, reach).drop("pos").write.mode("overwrite").parquet(f"{out}/tail/{number}")
+        if number > 1:
+            remove(spark, f"{out}/tail/{number - 2}")
 
+    schema = sequence.looking_back(stream.limit(0).withColumn("pos", F.lit(0)), keys, reach, columns, block).select(*stream.columns, *columns).schema
+    stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(look).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/rows")
 
-def persistence_step(seconds: int):
-    """An alert once its condition held on every tick for ``seconds``; it fires once until the condition ends."""
 
-    def step(state, rows):
-        since = pd.Timestamp(state["since"]) if state and state["since"] else None
-        fired, out = bool(state and state["fired"]), []
-        for r in rows:
-            if not r["firing"]:
-                since, fired = None, False
-                continue
-            since = since if since is not None else r["ts"]
-            if not fired and (r["ts"] - since).total_seconds() >= seconds:
-                fired = True
-                out.append({"series": r["series"], "since": since, "fired_at": r["ts"]})
-        return {"since": str(since) if since is not None else None, "fired": fired}, out
+def drift(stream: DataFrame, baselines: DataFrame, size: int = 200, sigmas: float = 3.0, block: int = 100_000) -> DataFrame:
+    """Every observation with the mean of its metric's last ``size`` values, and whether that left the baseline.
 
-    return step
+    Without baseline or spread it has not; null values do not enter a mean.
+    """
+    over = {"window_mean": lambda w: F.avg("value").over(w.rowsBetween(1 - size, 0)), "window_n": lambda w: F.count("*").over(w.rowsBetween(1 - size, 0))}
+    rows = in_batches(stream.select("metric", "value", "ts", "seq"), "drift", ["metric"], ["ts", "seq"], size - 1, over, block)
+    far = F.abs(F.col("window_mean") - F.col("mean")) > sigmas * F.col("std")
+    rows = rows.join(F.broadcast(baselines.select("metric", "mean", "std")), "metric", "left")  # one row for each known metric
+    return rows.select("metric", "seq", "window_mean", "window_n", F.coalesce((F.col("std") > 0) & far, F.lit(False)).alias("drifted"))
 
 
-def alerts(stream: DataFrame, seconds: int) -> DataFrame:
-    """Alerts of series whose condition held for ``seconds``; a null condition ends a run, equal times keep their order."""
-    return fold(stream.select("series", "ts", "firing"), "series", ["ts"], persistence_step(seconds), "series string, since timestamp, fired_at timestamp")
+def triggers(stream: DataFrame, known: tuple[str, ...], days: int = 7, delay: str = "1 hour") -> DataFrame:
+    """Outcome of each trigger under the cooldown of its type; of equal times the least id is recorded, null types are unknown ones.
 
+    A type's state goes once the watermark is past its cooldown.
+    """
+    rows = stream.select("trigger_type", "trigger_id", "fired_at", (F.col("status") == "resolved").alias("r")).withColumn("resolved", F.coalesce("r", F.lit(False))).drop("r")
+    return _keyed(rows, "trigger_type", state.Cooldown(known, days * 86_400 * MICROS), "trigger_id long, outcome string", "fired_at", delay)
 
-def page_step(state, rows):
-    """Compare-and-swap of a page's state: an event applies if it expects the current state and the graph has the move."""
-    now, out = (state or {"s": "queued"})["s"], []
-    for r in rows:
-        ok = r["expected"] == now and r["target"] in TRANSITIONS.get(now, ())
-        now = r["target"] if ok else now
-        out.append({"page_id": r["page_id"], "seq": r["seq"], "applied": ok, "state": now, "completed": now in TERMINAL})
-    return {"s": now}, out
 
+def alerts(stream: DataFrame, seconds: int, absent: int, delay: str = "10 minutes") -> DataFrame:
+    """Alerts (series, since, fired_at) of conditions that held for ``seconds``; each fires once, at ``since`` plus that time.
 
-def page_states(stream: DataFrame) -> DataFrame:
-    """Every event with the state that its page is in after it; a null state or target never applies."""
-    return fold(stream.select("page_id", "seq", "expected", "target"), "page_id", ["seq"], page_step, "page_id string, seq long, applied boolean, state string, completed boolean")
+    A condition holds from a firing tick on until a tick denies it, or until ``absent`` seconds
+    went by without one.  An alert that no further tick confirms fires by a timer when the
+    watermark, ``delay`` behind the newest tick of all series, passes its time.  A null
+    condition denies; ticks of one moment have to agree.
+    """
+    rows = stream.select("series", "ts", F.coalesce("firing", F.lit(False)).alias("firing"))
+    found = _keyed(rows, "series", state.Persisting(seconds * MICROS, absent * MICROS), "series string, since long", "ts", delay)
+    return found.select("series", _after("since", 0).alias("since"), _after("since", seconds).alias("fired_at"))
 
 
-def stale_step(timeout: int):
-    """A task whose next sign of life comes later than ``timeout`` seconds was stale in between."""
+def page_states(stream: DataFrame, idle_days: int = 90, delay: str = "1 hour") -> DataFrame:
+    """Every event with the state that its page is in after it; a null state or target never applies.
 
-    def step(state, rows):
-        last, out = pd.Timestamp(state["at"]) if state else None, []
-        for r in rows:
-            if last is not None and (gap := (r["ts"] - last).total_seconds()) > timeout:
-                out.append({"task_id": str(r["task_id"]), "stale_from": last, "gap_seconds": int(gap)})
-            last = r["ts"]
-        return {"at": str(last)}, out
+    Events of a page are taken by ``seq`` within a batch.  A page without events for
+    ``idle_days`` is forgotten: later ones find it queued.
+    """
+    rows = stream.select("page_id", "seq", "expected", "target", "ts")
+    return _keyed(rows, "page_id", state.PageState(idle_days * 86_400 * MICROS), "page_id string, seq long, applied boolean, state string, completed boolean", "ts", delay)
 
-    return step
 
+def stale_tasks(stream: DataFrame, timeout: int, delay: str = "1 hour") -> DataFrame:
+    """(task_id, stale_from, stale_at) of tasks without a sign of life for ``timeout`` seconds.
 
-def stale_tasks(stream: DataFrame, timeout: int) -> DataFrame:
-    """Gaps over ``timeout`` seconds between signs of life of a task; equal times have no gap."""
-    return fold(stream.select("task_id", "ts"), "task_id", ["ts"], stale_step(timeout), "task_id string, stale_from timestamp, gap_seconds long")
+    A task that speaks again is told when it does, one that never does when the watermark passes
+    ``stale_at``; either gives one row, and the state of a stale task goes.  Signs older than the
+    last one known change nothing.
+    """
+    rows = stream.select(F.col("task_id").cast("string").alias("task_id"), "ts")
+    found = _keyed(rows, "task_id", state.Stale(timeout * MICROS), "task_id string, stale_from long", "ts", delay)
+    return found.select("task_id", _after("stale_from", 0).alias("stale_from"), _after("stale_from", timeout).alias("stale_at"))
 
 
 def dedupe(stream: DataFrame, key: str = "task_id", ts: str = "ts", within: str = "1 hour") -> DataFrame:
@@ -183,17 +175,21 @@ def kpi(stream: DataFrame) -> DataFrame:
     return stream.groupBy().agg(F.count("*").alias("calls"), safe_rate(F.count_if(F.col("status") == "success"), F.count("*")).alias("success_rate"))
 
 
-def counter_increase(samples: DataFrame, width: str, slide: str) -> DataFrame:
+def counter_increase(stream: DataFrame, width: str, slide: str, delay: str = "1 hour", block: int = 100_000) -> DataFrame:
     """Increase of counters (series, ts, value) per sliding window; a fall is a reset, and nothing is extrapolated.
 
     The step between two samples belongs to the window of the later one.  The first sample of a
-    series, and one after a null, gives nothing; samples of one moment follow in any order.
-    Series are cut into blocks, so one can hold all samples.
+    series, and one after a null, gives nothing; samples of one moment follow in any order, and
+    one that comes in a later batch than newer ones gives nothing.  A first stream carries the last sample of every series
+    from batch to batch, a second one sums the steps in event-time windows.
     """
-    rows, before = sequence.lagged(samples.select("series", "ts", "value"), ["series"], ["ts"], {"before": "value"}), F.col("before")
+    rows = in_batches(stream.select("series", "ts", "value"), "counter", ["series"], ["ts"], 1, {"before": lambda w: F.lag("value").over(w)}, block)
+    before = F.col("before")
     gain = F.when(before.isNull(), 0.0).when(F.col("value") >= before, F.col("value") - before).otherwise(F.col("value"))
-    per = rows.withColumn("gain", gain).groupBy("series", F.window("ts", width, slide)).agg(F.sum("gain").alias("increase"))
-    return per.select("series", F.col("window.start").alias("window_start"), F.round("increase", 6).alias("increase"))
+    spark, out = stream.sparkSession, new_path(stream.sparkSession, "counter-steps")
+    rows.select("series", F.col("ts").cast("timestamp").alias("ts"), gain.alias("gain")).write.parquet(out)
+    steps = read(spark, out).withWatermark("ts", delay).groupBy("series", F.window("ts", width, slide)).agg(F.sum("gain").alias("increase"))
+    return run(steps.select("series", F.col("window.start").alias("window_start"), F.round("increase", 6).alias("increase")), "increase", ["series", "window_start"])
 
 
 def histogram(events: DataFrame, bounds: tuple[float, ...]) -> DataFrame:

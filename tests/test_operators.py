@@ -9,7 +9,6 @@ import pytest
 from leafmill.functions import geometry as g
 from leafmill.operators import curation, gates, golden, health, layout, orientation, pages, sequence
 from leafmill.sources import readers, sinks, tables
-from leafmill.streaming import jobs
 from pyspark.sql import functions as F
 
 REGION = "page_id long, pos int, type string, x_min double, y_min double, x_max double, y_max double, confidence double"
@@ -187,23 +186,6 @@ def test_votes(spark):
     assert {(r.k, r.choice) for r in golden.sampled_vote(df, "k").collect()} == {(1, "y"), (2, "b")}
 
 
-def test_streams_equal_loops(spark, tmp_path):
-    """Two micro-batches: state carries over."""
-    rows = [(i, f"m{i % 2}.x", float(i % 17), i) for i in range(60)]
-    df = spark.createDataFrame(rows, "seq long, metric string, value double, s long").withColumn("ts", F.timestamp_seconds("s"))
-    for part, cond in (("a", "seq < 30"), ("b", "seq >= 30")):
-        df.where(cond).coalesce(1).write.parquet(str(tmp_path / f"in/{part}"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in/*"))
-    step = jobs.drift_step({"m0.x": (8.0, 0.1)}, size=5)
-    out = jobs.run(jobs.fold(stream.select("metric", "value", "ts", "seq"), "metric", ["ts", "seq"], step, "metric string, seq long, window_mean double, window_n long, drifted boolean"), "t")
-    found = {r.seq: r for r in out.collect()}
-    for i, m, _, _ in rows:
-        window = [v for j, n, v, _ in rows if n == m and j <= i][-5:]
-        assert abs(found[i].window_mean - sum(window) / len(window)) < 1e-5 and found[i].window_n == len(window)
-    _, moves = jobs.page_step(None, [{"page_id": "p", "seq": i, "expected": e, "target": t} for i, (e, t) in enumerate([("queued", "preprocessing"), ("queued", "failed"), ("preprocessing", "review"), ("preprocessing", "accepted")])])
-    assert [(m["applied"], m["state"], m["completed"]) for m in moves] == [(True, "preprocessing", False), (False, "preprocessing", False), (False, "preprocessing", False), (True, "accepted", True)]
-
-
 def test_sources_and_sinks(spark, tmp_path):
     import json
 
