@@ -174,9 +174,11 @@ def cooldown(events: DataFrame, days: int = 7) -> DataFrame:
             jumps = _stored(jumps.where("next IS NOT NULL").join(on, (F.col("k") == F.col("k2")) & (F.col("next") == F.col("at2"))).select("k", "at", F.col("next2").alias("next")), "cooldown-jumps", made)
     started = own.join(entries, ["k", "at"]).select(F.col("k").alias("k2"), F.col("range").alias("range2"), F.col("at").alias("entry"))
     runs = own.join(started, (F.col("k") == F.col("k2")) & (F.col("range") == F.col("range2"))).select("k", "range", "at", "event_id", "entry")
-    kept = _stored(runs.groupBy("k", "range").applyInArrow(lambda t: _kept(t, apart), "k string, at long, event_id long"), "cooldown-kept", [])
-    for path in made:
-        remove(events.sparkSession, path)
+    kept = runs.groupBy("k", "range").applyInArrow(lambda t: _kept(t, apart), "k string, at long, event_id long")
+    if made:
+        kept = _stored(kept, "cooldown-kept", [])
+        for path in made:
+            remove(events.sparkSession, path)
     return kept.select(F.nullif("k", F.lit("\0")).alias("kind"), F.timestamp_micros("at").cast(kind).alias("fired_at"), "event_id")
 
 
