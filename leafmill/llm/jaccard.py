@@ -67,6 +67,8 @@ _RANGES = 1024
 _LONGS = _RANGES // 64
 _FINE = 4096
 _NEIGHBOUR_KEYS = 12
+#: Pairs of one set that meet its text in one part.
+_STAR = 512
 _BITMAP_BITS = 26
 _BITMAP_BLOCK = 1 << 14
 
@@ -150,15 +152,16 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
 
 
 def _bits(batches):
-    """Bitmap of the tkeys of a partition, in blocks."""
+    """Bitmap of the tkeys of a partition, in blocks of packed bits."""
     bits: dict[int, np.ndarray] = {}
     for batch in batches:
-        at = np.asarray(batch.column("tkey")) & ((1 << _BITMAP_BITS) - 1)
-        for b in np.unique(at // _BITMAP_BLOCK):
-            block = bits.setdefault(int(b), np.zeros(_BITMAP_BLOCK, dtype=bool))
-            block[at[at // _BITMAP_BLOCK == b] % _BITMAP_BLOCK] = True
-    if bits:
-        yield pa.record_batch([pa.array(list(bits), pa.int32()), pa.array([np.packbits(v).tobytes() for v in bits.values()], pa.binary())], names=["block", "bits"])
+        at = np.unique(np.asarray(batch.column("tkey")) & ((1 << _BITMAP_BITS) - 1))
+        blocks, first = np.unique(at // _BITMAP_BLOCK, return_index=True)
+        for b, inside in zip(blocks.tolist(), np.split(at % _BITMAP_BLOCK, first[1:]), strict=True):
+            block = bits.setdefault(b, np.zeros(_BITMAP_BLOCK // 8, dtype=np.uint8))
+            np.bitwise_or.at(block, inside >> 3, (128 >> (inside & 7)).astype(np.uint8))
+    for b, block in bits.items():
+        yield pa.record_batch([pa.array([b], pa.int32()), pa.array([block.tobytes()], pa.binary())], names=["block", "bits"])
 
 
 def _or_blocks(table: pa.Table) -> pa.Table:
@@ -382,11 +385,20 @@ def _linked(batches):
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "intersection", "union"])
 
 
+def _merged(parts: DataFrame, merge, schema: str, fan_in: int = 32) -> DataFrame:
+    """One row a block of what every partition has for it, merged in a tree, so that no task holds more than ``fan_in`` rows of a block or so."""
+    tasks = parts.rdd.getNumPartitions()
+    while tasks > fan_in:
+        tasks = -(-tasks // fan_in)
+        parts = parts.withColumn("salt", F.spark_partition_id() % tasks).groupBy("block", "salt").applyInArrow(merge, schema)
+        if parts.rdd.getNumPartitions() <= fan_in:
+            break
+    return parts.groupBy("block").applyInArrow(merge, schema)
+
+
 def _bitmap_of(rows: DataFrame) -> dict[int, bytes]:
     """Bitmap, in blocks, of the tkeys of ``rows``: a fixed number of bits, 8 MB at most."""
-    blocks = rows.select("tkey").mapInArrow(_bits, "block int, bits binary").withColumn("salt", F.spark_partition_id() % 32)
-    for by in (["block", "salt"], ["block"]):
-        blocks = blocks.groupBy(*by).applyInArrow(_or_blocks, "block int, bits binary")
+    blocks = _merged(rows.select("tkey").mapInArrow(_bits, "block int, bits binary"), _or_blocks, "block int, bits binary")
     return {r["block"]: bytes(r["bits"]) for r in blocks.collect()}
 
 
@@ -404,9 +416,7 @@ def _likely(tkeys: pa.Array, bitmap: dict[int, bytes]) -> pa.Array:
 
 def _common_bits(sketch: DataFrame, common: int) -> np.ndarray:
     """Which counters of the sketch stand for very common shingles, as packed bits; ``sketch`` has a fixed number of counters."""
-    blocks = sketch.select("block", "counts", (F.spark_partition_id() % 32).alias("salt"))
-    for by in (["block", "salt"], ["block"]):
-        blocks = blocks.groupBy(*by).applyInArrow(_sum_blocks, "block int, counts binary")
+    blocks = _merged(sketch.select("block", "counts"), _sum_blocks, "block int, counts binary")
     counts = np.zeros((1 << _SKETCH_BITS) // _SKETCH_BLOCK * _SKETCH_BLOCK, dtype=np.uint32).reshape(-1, _SKETCH_BLOCK)
     for r in blocks.collect():
         counts[r["block"]] = np.frombuffer(r["counts"], dtype=np.uint32)
@@ -463,10 +473,16 @@ class Shingles:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of sids: a, b, intersection, union."""
-        a = self.texts.select(F.col("sid").alias("a"), F.col("text").alias("text_a"))
-        b = self.texts.select(F.col("sid").alias("b"), F.col("text").alias("text_b"))
-        met = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
-        return met.mapInArrow(_linked, "a long, b long, intersection long, union long")
+        met = self._with_texts(self._with_texts(pairs.select("a", "b"), "a", "b"), "b", "a")
+        return met.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long, intersection long, union long")
+
+    def _with_texts(self, pairs: DataFrame, side: str, other: str) -> DataFrame:
+        """``pairs`` with the text of one side; a set of many pairs, such as a star's centre, meets them in several parts."""
+        stars = pairs.groupBy(side).agg(F.count("*").alias("pairs")).where(F.col("pairs") > _STAR).select(side, F.ceil(F.col("pairs") / _STAR).cast("int").alias("parts"))
+        text = self.texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}")).join(stars, side, "left")
+        text = text.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        dealt = pairs.join(stars, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        return dealt.join(text, [side, "part"]).drop("part")
 
     def _signatures(self, prefix: str, name: str) -> DataFrame:
         return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
