@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.llm import decontaminate, jaccard, packing, quality, toxicity
-from leafmill.llm.common import materialize, table
+from leafmill.llm.common import discard, materialize, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,8 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of what all stages keep of ``documents``; each stage is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """Pieces of what all stages keep of ``documents``; each stage is written and read again, and goes when the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
