@@ -138,8 +138,9 @@ def guardrails(policies: DataFrame) -> DataFrame:
 def dataset_checksum(files: DataFrame, in_group: int = 1000) -> DataFrame:
     """sha256 over the digests of groups of about ``in_group`` sorted path=hash lines, and the number of files.
 
-    Groups are dealt by a hash of the path and their number follows that of the files, so no
-    group grows; what meets at the end is one digest for each.  Files without path or hash are
+    Groups are dealt by a hash of the path and their number follows that of the files; where
+    there are more than ``in_group`` of them, runs of ``in_group`` digests are digested again,
+    level by level, so nothing of any size meets in one place.  Files without path or hash are
     left out of the digest but counted; no files have no checksum.
     """
     groups = max(1, files.count() // in_group)
@@ -147,7 +148,11 @@ def dataset_checksum(files: DataFrame, in_group: int = 1000) -> DataFrame:
     lines = F.array_join(F.sort_array(F.collect_list(F.concat("path", F.lit("="), "hash"))), "\n")
     parts = files.groupBy(bucket.alias("p")).agg(F.sha2(lines.cast("binary"), 256).alias("h"), F.count("*").alias("n"))
     digests = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n")
-    return parts.agg(F.when(F.count("*") > 0, F.sha2(digests.cast("binary"), 256)).alias("checksum"), F.sum("n").alias("n_files"))
+    digest = F.sha2(digests.cast("binary"), 256)
+    while groups > in_group:
+        groups = -(-groups // in_group)
+        parts = parts.groupBy(F.floor(F.col("p") / in_group).alias("p")).agg(digest.alias("h"), F.sum("n").alias("n"))
+    return parts.agg(F.when(F.count("*") > 0, digest).alias("checksum"), F.sum("n").alias("n_files"))
 
 
 def workspace_params(rows: DataFrame) -> DataFrame:

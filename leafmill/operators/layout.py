@@ -27,11 +27,40 @@ def nms(regions: DataFrame, most: float = 0.5) -> DataFrame:
     return lists.select(*PAGE_TYPE, F.inline(kept)).drop("order")
 
 
-def pairs(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
-    """Region pairs of a page and type with IoU of at least ``least``: equi join, overlap as residual."""
-    x = a.select(*PAGE_TYPE, F.col("pos").alias("i"), *(F.col(c).alias(f"a_{c}") for c in g.BOX))
-    y = b.select(*PAGE_TYPE, F.col("pos").alias("j"), *(F.col(c).alias(f"b_{c}") for c in g.BOX))
-    met = x.join(y, PAGE_TYPE).withColumn("iou", g.iou(g.cols("a_"), g.cols("b_")))
+def overlapping(a: DataFrame, b: DataFrame, keys: list[str], crowded: int = 1000, in_tile: int = 32) -> DataFrame:
+    """(keys, i, j, a_*, b_*) of boxes of equal keys: every overlapping pair is among them, once.
+
+    On ordinary pages all boxes of a page meet.  Where the two sides have more than ``crowded``
+    boxes of the same keys, their extent is cut into tiles of about ``in_tile`` boxes; a box
+    goes to every tile that it touches, and a pair counts in the tile where its overlap begins.
+    Boxes with a null coordinate overlap nothing.
+    """
+    x = a.select(*keys, F.col("pos").alias("i"), *(F.col(c).alias(f"a_{c}") for c in g.BOX))
+    y = b.select(*keys, F.col("pos").alias("j"), *(F.col(c).alias(f"b_{c}") for c in g.BOX))
+    both = a.select(*keys, *g.BOX).unionByName(b.select(*keys, *g.BOX)).groupBy(*keys).agg(F.count("*").alias("_n"), F.min("x_min").alias("_x"), F.max("x_max").alias("_to_x"), F.min("y_min").alias("_y"), F.max("y_max").alias("_to_y"))
+    side = F.ceil(F.sqrt(F.col("_n") / in_tile))
+    tiled = both.where(F.col("_n") > crowded).select(*keys, "_x", "_y", side.alias("_side"), ((F.col("_to_x") - F.col("_x")) / side).alias("_w"), ((F.col("_to_y") - F.col("_y")) / side).alias("_h"))
+
+    def tile(v: Column, start: str, width: str) -> Column:
+        at = F.floor((v - F.col(start)) / F.col(width))
+        return F.coalesce(F.when(F.col(width) > 0, F.least(F.greatest(at, F.lit(0)), F.col("_side") - 1)), F.lit(0)).cast("int")
+
+    def touched(rows: DataFrame, p: str) -> DataFrame:
+        span = lambda lo, hi, start, width: F.explode(F.sequence(tile(F.col(p + lo), start, width), tile(F.greatest(p + lo, p + hi), start, width)))
+        rows = rows.join(tiled, keys, "left")
+        return rows.select("*", span("x_min", "x_max", "_x", "_w").alias("_tx")).select("*", span("y_min", "y_max", "_y", "_h").alias("_ty"))
+
+    grid = ["_x", "_y", "_side", "_w", "_h"]
+    met = touched(x, "a_").join(touched(y, "b_").drop(*grid), [*keys, "_tx", "_ty"])
+    own = (F.col("_tx") == tile(F.greatest("a_x_min", "b_x_min"), "_x", "_w")) & (F.col("_ty") == tile(F.greatest("a_y_min", "b_y_min"), "_y", "_h"))
+    return met.where(own).drop("_tx", "_ty", *grid)
+
+
+def pairs(a: DataFrame, b: DataFrame, least: float, crowded: int = 1000) -> DataFrame:
+    """Region pairs of a page and type with IoU of at least ``least``, which has to be above 0."""
+    if least <= 0:
+        raise ValueError("boxes that do not overlap are no pairs")
+    met = overlapping(a, b, PAGE_TYPE, crowded).withColumn("iou", g.iou(g.cols("a_"), g.cols("b_")))
     return met.where(F.col("iou") >= least).select(*PAGE_TYPE, "i", "j", "iou")
 
 
@@ -117,30 +146,74 @@ def observations(regions: DataFrame) -> DataFrame:
     return values.unpivot("page_id", [c for c in values.columns if c != "page_id"], "metric", "value").withColumn("value", F.round("value", 6))
 
 
-def map_classes(detections: DataFrame, mapping: DataFrame, unknown: str | None, skip: tuple[str, ...] = ()) -> DataFrame:
-    """Canonical class of each native label; unknown ones are dropped, or become ``unknown``; native labels of ``skip`` always go.
+#: Native labels of the three layout detectors by the class that they stand for; fixed values.  None: no region.
+PRIMARY_LABELS = {
+    "text_block": ("text",),
+    "title": ("title", "document_title", "doc_title", "paragraph_title", "section_header", "section_title"),
+    "table": ("table",),
+    "image": ("image", "figure", "chart"),
+    "caption": ("caption", "figure_title", "figure_caption", "table_caption", "image_caption"),
+}
+SECONDARY_LABELS = {
+    "text_block": ("text", "plain text", "paragraph", "body text", "list", "list_item", "list-item", "abstract", "reference", "references", "footnote", "footer", "page-footer", "page_footer"),
+    "title": ("title", "section-header", "section_header", "header", "page-header", "page_header", "headline"),
+    "table": ("table",),
+    "image": ("figure", "image", "picture"),
+    "caption": ("caption", "figure_caption", "figure-caption", "table_caption", "table-caption", "table_footnote", "table-footnote", "formula_caption", "formula-caption"),
+    None: ("abandon", "isolate_formula", "isolate-formula", "formula", "equation", "algorithm", "code", "page_number", "page-number", "toc"),
+}
+EXTERNAL_LABELS = {
+    "text_block": ("PARAGRAPH", "FORM_FIELD", "FOOTER", "HEADER", "FOOTNOTE", "ENDNOTE", "LIST_ITEM", "EQUATION"),
+    "title": ("SECTION_HEADER", "TITLE", "HEADING", "SUBTITLE"),
+    "table": ("TABLE",),
+    "image": ("IMAGE", "PICTURE", "PHOTO", "FIGURE"),
+    "caption": ("CAPTION",),
+    None: ("PAGE_BREAK", "PAGE_NUMBER"),
+}
+
+
+def label_map(labels: dict[str | None, tuple[str, ...]]) -> dict[str, str | None]:
+    return {native: kind for kind, natives in labels.items() for native in natives}
+
+
+def primary_label(label: Column) -> Column:
+    """Lower case, with one underscore for every run of blanks, hyphens and slashes."""
+    return F.array_join(F.filter(F.split(F.lower(label), r"[\s/-]+"), lambda w: w != ""), "_")
+
+
+def secondary_label(label: Column) -> Column:
+    return F.lower(F.trim(label))
+
+
+def external_label(label: Column) -> Column:
+    return F.upper(label)
+
+
+def map_classes(detections: DataFrame, labels: dict[str | None, tuple[str, ...]], native: Column, unknown: str | None = None) -> DataFrame:
+    """``detections`` with ``native`` and ``type``, the class of each native label.
 
-    A null label is unknown.  ``unmapped`` gives what a warning has to name.
+    Labels that stand for no region are dropped; those that no class lists, and null ones,
+    become ``unknown`` or are dropped without one.  ``unmapped`` gives what a warning has to name.
     """
-    rows = detections.withColumn("native", F.lower(F.trim("label")))
-    rows = rows.where(~F.coalesce(F.col("native").isin(*skip), F.lit(False))) if skip else rows
-    out = rows.join(F.broadcast(mapping), "native", "left" if unknown else "inner")
-    return out.withColumn("type", F.coalesce("type", F.lit(unknown))) if unknown else out
+    known = F.create_map(*[F.lit(x) for n, kind in label_map(labels).items() for x in (n, kind or "")])
+    rows = detections.withColumn("native", native)
+    kind = F.when(F.col("native").isNull(), F.lit(None)).otherwise(F.element_at(known, F.col("native")))
+    return rows.withColumn("type", F.coalesce(kind, F.lit(unknown))).where("type <> ''")
 
 
-def unmapped(detections: DataFrame, mapping: DataFrame) -> DataFrame:
-    """native, n: labels without a canonical class and how often they came; null labels count as empty."""
-    rows = detections.select(F.coalesce(F.lower(F.trim("label")), F.lit("")).alias("native"))
-    return rows.join(F.broadcast(mapping), "native", "left_anti").groupBy("native").agg(F.count("*").alias("n"))
+def unmapped(detections: DataFrame, labels: dict[str | None, tuple[str, ...]], native: Column) -> DataFrame:
+    """native, n: labels that no class lists and how often they came; null labels count as empty."""
+    rows = detections.select(F.coalesce(native, F.lit("")).alias("native"))
+    return rows.where(~F.col("native").isin(*label_map(labels))).groupBy("native").agg(F.count("*").alias("n"))
 
 
-def best_match(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+def best_match(truth: DataFrame, predicted: DataFrame, keys: list[str], crowded: int = 1000) -> DataFrame:
     """Each truth box with its best prediction of the same keys; the first of equals; none gives IoU 0."""
-    t = truth.select(*keys, F.col("pos").alias("i"), *(F.col(c).alias(f"a_{c}") for c in g.BOX))
-    p = predicted.select(*keys, F.col("pos").alias("j"), *(F.col(c).alias(f"b_{c}") for c in g.BOX))
-    met = t.join(p, keys, "left").withColumn("iou", F.coalesce(g.iou(g.cols("a_"), g.cols("b_"), clamp=True), F.lit(0.0)))
+    met = overlapping(truth, predicted, keys, crowded).withColumn("iou", g.iou(g.cols("a_"), g.cols("b_"), clamp=True))
+    alone = truth.select(*keys, F.col("pos").alias("i"), F.lit(None).cast(predicted.schema["pos"].dataType).alias("j"), F.lit(0.0).alias("iou"))
+    rows = met.where("iou > 0").select(*keys, "i", "j", "iou").unionByName(alone)
     best = F.max_by(F.struct("j", "iou"), F.struct("iou", (-F.col("j")).alias("j")))
-    return met.groupBy(*keys, "i").agg(best.alias("m")).select(*keys, "i", F.when(F.col("m.iou") > 0, F.col("m.j")).alias("j"), F.col("m.iou").alias("iou"))
+    return rows.groupBy(*keys, "i").agg(best.alias("m")).select(*keys, "i", "m.j", "m.iou")
 
 
 def cross_model(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -164,9 +164,32 @@ def shadow_todo(pages: DataFrame, jobs: DataFrame, evaluations: DataFrame) -> Da
     return pages.where(F.col("status").isin(*TERMINAL)).join(shadow, "job_id", "left_semi").select("page_id").join(last, "page_id", "left").withColumn("todo", F.col("eval_id").isNull())
 
 
-def route_metrics(observations: DataFrame, routes: DataFrame) -> DataFrame:
-    """Trigger type of each metric; metrics without one are ignored."""
-    return observations.join(F.broadcast(routes), "metric").groupBy("trigger_type").agg(F.count("*").alias("n"))
+#: Metrics that a drift observer watches, by the trigger that each one raises; fixed values.
+_GEOMETRY = ("geometry_confidence", "split_detection_rate", "tta_structural_agreement_rate", "tta_prediction_variance")
+_LAYOUT = ("mean_page_confidence", "region_count", "class_fraction.text_block", "class_fraction.title", "class_fraction.table", "class_fraction.image", "class_fraction.caption")
+WATCHED = {
+    "drift_alert_persistence": (
+        *(f"geometry_a.{m}" for m in _GEOMETRY),
+        *(f"geometry_b.{m}" for m in _GEOMETRY),
+        *(f"normalize.{m}" for m in ("blur_score", "border_score", "foreground_coverage")),
+        "rectify.rectification_confidence",
+        *(f"geometry_selection_route.{m}_fraction" for m in ("accepted", "review", "structural_disagreement", "sanity_failed", "split_confidence_low", "tta_variance_high")),
+        *(f"artifact_validation_route.{m}_fraction" for m in ("valid", "invalid", "rectification_triggered")),
+    ),
+    "layout_confidence_degradation": (*(f"layout_a.{m}" for m in _LAYOUT), *(f"layout_b.{m}" for m in _LAYOUT), "gate.layout_consensus_confidence"),
+    "structural_agreement_degradation": ("gate.structural_agreement_rate",),
+}
+#: Hours that a metric has to stay off before its trigger is raised; fixed values.
+PERSISTENCE_HOURS = {"drift_alert_persistence": 48.0, "layout_confidence_degradation": 48.0, "structural_agreement_degradation": 48.0, "escalation_rate_anomaly": 24.0, "auto_accept_rate_collapse": 24.0}
+
+
+def route_metrics(observations: DataFrame) -> DataFrame:
+    """Rows of each metric with the trigger type that it raises and how long it has to persist; metrics without one are ignored."""
+    routes = F.create_map(*[F.lit(x) for kind, metrics in WATCHED.items() for m in metrics for x in (m, kind)])
+    hours = F.create_map(*[F.lit(x) for kind, h in PERSISTENCE_HOURS.items() for x in (kind, h)])
+    kind = F.when(F.col("metric").isNotNull(), F.element_at(routes, F.col("metric")))
+    rows = observations.groupBy("metric").agg(F.count("*").alias("n")).withColumn("trigger_type", kind).where("trigger_type IS NOT NULL")
+    return rows.select("metric", "trigger_type", F.element_at(hours, F.col("trigger_type")).alias("persistence_hours"), "n")
 
 
 def cooldowns(triggers: DataFrame, kinds: DataFrame, now: str, days: int = 7) -> DataFrame:

@@ -122,21 +122,48 @@ def a26_cross_model(t: Tables):
     return layout.cross_model(t.v_regions, t.v_regions_b)
 
 
-_MAP = [("text_block", "paragraph"), ("title", "heading"), ("table", "table"), ("image", "figure")]
+def _natives(labels, *odd: str) -> list[str]:
+    """Every native label of a detector, and some that it does not know."""
+    return [*sorted(layout.label_map(labels)), *odd]
 
 
-_KNOWN = ", ".join(map(str, _MAP))
+def _fed(labels, *odd: str) -> tuple[str, str]:
+    """Array of what a detector is fed with and a table of its classes, as SQL of either engine."""
+    values = ", ".join(f"('{n}', '{k or ''}')" for n, k in layout.label_map(labels).items())
+    return ", ".join(f"'{n}'" for n in _natives(labels, *odd)), values
 
 
-@query(f"""WITH m(native, type) AS (VALUES {_KNOWN})
-SELECT 'primary' AS source, m.type, count(*) AS n FROM v_regions r JOIN m ON r.type = m.native GROUP BY 2 UNION ALL SELECT 'warning', r.type, count(*) FROM v_regions r WHERE r.type NOT IN (SELECT native FROM m) GROUP BY 2
-UNION ALL SELECT 'secondary', m.type, count(*) FROM v_regions_b r JOIN m ON r.type = m.native GROUP BY 2
-UNION ALL SELECT 'external', coalesce(m.type, 'paragraph'), count(*) FROM v_regions r LEFT JOIN m ON r.type = m.native WHERE r.type <> 'image' GROUP BY 2""")
+_FED = {
+    "primary": (_fed(layout.PRIMARY_LABELS, "seal", "formula"), None),
+    "secondary": (_fed(layout.SECONDARY_LABELS, "stamp"), None),
+    "external": (_fed(layout.EXTERNAL_LABELS, "WIDGET"), "text_block"),
+}
+
+
+def _twin_of(source: str, regions: str) -> str:
+    (fed, values), unknown = _FED[source]
+    n = fed.count("', '") + 1
+    return f"""SELECT '{source}' AS source, coalesce(m.type, '{unknown or ''}') AS type, count(*) AS n FROM (SELECT [{fed}][(page_id * 7 + pos * 3) % {n} + 1] AS native FROM {regions}) r LEFT JOIN (VALUES {values}) m(native, type) USING (native)
+WHERE coalesce(m.type, '{unknown or ''}') <> '' GROUP BY 2"""
+
+
+@query(f"""{_twin_of('primary', 'v_regions')} UNION ALL {_twin_of('secondary', 'v_regions_b')} UNION ALL {_twin_of('external', 'v_regions')}
+UNION ALL SELECT 'warning', native, count(*) FROM (SELECT [{_FED['primary'][0][0]}][(page_id * 7 + pos * 3) % {_FED['primary'][0][0].count("', '") + 1} + 1] AS native FROM v_regions) WHERE native IN ('seal', 'formula') GROUP BY 2""")
 def p16_map_classes(t: Tables):
-    mapping = t.spark.createDataFrame(_MAP, "native string, type string")
-    first, second = (d.select("page_id", F.upper(F.concat(F.lit(" "), "type")).alias("label")) for d in (t.v_regions, t.v_regions_b))
-    parts = {"primary": layout.map_classes(first, mapping, None), "secondary": layout.map_classes(second, mapping, None), "external": layout.map_classes(first, mapping, "paragraph", ("image", "separator"))}
-    out = layout.unmapped(first, mapping).select(F.lit("warning").alias("source"), F.col("native").alias("type"), "n")
+    def fed(regions, natives: list[str], written):
+        label = F.get(F.array(*map(F.lit, natives)), ((F.col("page_id") * 7 + F.col("pos") * 3) % len(natives)).cast("int"))
+        return regions.select("page_id", written(label).alias("label"))
+
+    label = F.col("label")
+    # as the detectors write them: the first with blanks, hyphens and capitals, the second with blanks around
+    first = fed(t.v_regions, _natives(layout.PRIMARY_LABELS, "seal", "formula"), lambda c: F.concat(F.lit(" "), F.initcap(F.regexp_replace(c, "_", F.when(F.col("pos") % 2 == 0, "-").otherwise("  ")))))
+    second = fed(t.v_regions_b, _natives(layout.SECONDARY_LABELS, "stamp"), lambda c: F.concat(F.upper(c), F.lit(" ")))
+    third = fed(t.v_regions, _natives(layout.EXTERNAL_LABELS, "WIDGET"), F.lower)
+    out = layout.unmapped(first, layout.PRIMARY_LABELS, layout.primary_label(label)).select(F.lit("warning").alias("source"), F.col("native").alias("type"), "n")
+    parts = {
+        "primary": layout.map_classes(first, layout.PRIMARY_LABELS, layout.primary_label(label)), "secondary": layout.map_classes(second, layout.SECONDARY_LABELS, layout.secondary_label(label)),
+        "external": layout.map_classes(third, layout.EXTERNAL_LABELS, layout.external_label(label), "text_block"),
+    }
     for source, rows in parts.items():
         out = out.unionByName(rows.groupBy("type").agg(F.count("*").alias("n")).select(F.lit(source).alias("source"), "type", "n"))
     return out

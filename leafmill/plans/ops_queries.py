@@ -215,12 +215,15 @@ def j20_shadow_delta(t: Tables):
     return r.shadow_delta(t.v_gates)
 
 
-_ROUTES = [(f"{s}.{m}", "layout_confidence_degradation" if s.startswith("layout") else "drift_alert_persistence") for s in ("geometry_a", "geometry_b", "rectify", "layout_a") for m in ("confidence",)]
+_ROUTED = {m: kind for kind, metrics in r.WATCHED.items() for m in metrics}
+_SEEN = [*_ROUTED, "gate.unwatched", "layout_a.latency"]
 
 
-@query(f"SELECT trigger_type, count(*) AS n FROM v_observations JOIN (VALUES {', '.join(map(str, _ROUTES))}) m(metric, trigger_type) USING (metric) GROUP BY 1")
+@query(f"""SELECT metric, trigger_type, CASE WHEN trigger_type IN ('escalation_rate_anomaly', 'auto_accept_rate_collapse') THEN 24.0 ELSE 48.0 END::DOUBLE AS persistence_hours, count(*) AS n
+FROM (SELECT [{', '.join(f"'{m}'" for m in _SEEN)}][event_id % {len(_SEEN)} + 1] AS metric FROM events) JOIN (VALUES {', '.join(map(str, _ROUTED.items()))}) m(metric, trigger_type) USING (metric) GROUP BY 1, 2""")
 def j21_route_metrics(t: Tables):
-    return r.route_metrics(t.v_observations, t.spark.createDataFrame(_ROUTES, "metric string, trigger_type string"))
+    metric = F.get(F.array(*map(F.lit, _SEEN)), (F.col("event_id") % len(_SEEN)).cast("int"))
+    return r.route_metrics(t.events.select(metric.alias("metric")))
 
 
 _EVALS = "SELECT page_id, concat('e-', page_id, '-', CAST(retry_count AS STRING)) AS eval_id, created_at FROM {p} WHERE retry_count > 1 AND created_at IS NOT NULL"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafmill.operators import curation
@@ -141,15 +142,36 @@ def s8_flatten_detections(t: Tables):
     return readers.flatten_detections(raw, ["text_block", "title", "table", "image", "caption"]).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS tier, count(*) AS n, round(min(x_min), 4) AS x_min, round(max(y_max), 4) AS y_max FROM v_regions GROUP BY 1, 2")
+@query("""WITH e AS (SELECT page_id, 1 AS tier, CASE pos % 4 WHEN 0 THEN 'TITLE' WHEN 1 THEN 'PARAGRAPH' ELSE 'TABLE' END AS type, CASE WHEN pos % 5 = 0 THEN 0.5 ELSE confidence END AS confidence, x_min, y_max FROM v_regions WHERE page_id % 3 = 0 AND pos % 4 <> 3
+UNION ALL SELECT page_id, 2, CASE pos % 5 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'LIST_ITEM' WHEN 2 THEN 'FIGURE' ELSE CASE WHEN pos % 2 = 0 THEN 'SECTION_HEADER' ELSE 'PARAGRAPH' END END, 0.9, CASE WHEN pos % 3 = 1 THEN x_min + 1 ELSE x_min END, y_max FROM v_regions WHERE page_id % 3 = 1 AND (pos % 3 <> 1 OR page_id % 2 = 0)
+UNION ALL SELECT page_id, 3, 'PARAGRAPH', confidence, CASE WHEN page_id % 2 = 0 THEN x_min ELSE x_min + 2 END, y_max FROM v_regions WHERE page_id % 3 = 2
+UNION ALL SELECT page_id, 3, 'TABLE', 0.5, x_min, y_max FROM v_regions WHERE page_id % 3 = 2 AND pos % 2 = 0
+UNION ALL SELECT page_id, 3, CASE WHEN pos % 2 = 0 THEN 'PHOTO' ELSE 'FIGURE' END, confidence, x_min, y_max FROM v_regions WHERE page_id % 3 = 2 AND pos % 3 = 0)
+SELECT page_id, tier, type, count(*) AS n, round(sum(confidence), 6) AS confidence, round(min(x_min), 4) AS x_min, round(max(y_max), 4) AS y_max FROM e GROUP BY 1, 2, 3""")
 def s9_flatten_layout_docs(t: Tables):
-    poly = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x_min", "y_min"), ("x_max", "y_max"))]).alias("poly")
-    item = F.struct("pos", F.lit("TITLE").alias("type"), F.lit("text").alias("kind"), F.lit("heading").alias("subtype"), F.col("type").alias("text"), "confidence", poly)
-    lists = t.v_regions.groupBy("page_id").agg(F.sort_array(F.collect_list(item)).alias("a"))
-    tier = F.col("page_id") % 3
-    doc = F.to_json(F.struct(F.when(tier == 0, F.col("a")).alias("entities"), F.when(tier == 1, F.col("a")).alias("layout_blocks"), F.when(tier == 2, F.array(F.struct(F.col("a").alias("blocks"), F.col("a").alias("paragraphs")))).alias("pages")))
+    pos, page = F.col("pos"), F.col("page_id")
+
+    def poly(shift: float = 0.0, there: Column | None = None) -> Column:
+        points = F.array(*[F.struct((F.col(x) + shift).alias("x"), F.col(y).alias("y")) for x, y in (("x_min", "y_min"), ("x_max", "y_max"))])
+        return (points if there is None else F.when(there, points)).alias("poly")
+
+    def gathered(item: Column, which: Column | None = None) -> Column:
+        return F.transform(F.sort_array(F.collect_list(F.when(which if which is not None else F.lit(True), F.struct("pos", item.alias("e"))))), lambda x: x["e"])
+
+    entity = F.struct(F.when(pos % 4 == 0, "TITLE").when(pos % 4 > 1, "TABLE").alias("type"), F.when(pos % 5 != 0, F.col("confidence")).alias("confidence"), poly(there=pos % 4 != 3))
+    kind = F.when(pos % 5 == 0, "table").when(pos % 5 == 1, "list").when(pos % 5 == 2, "image").otherwise("text")
+    block = F.struct(kind.alias("kind"), F.when(pos % 2 == 0, "Heading").alias("subtype"), F.concat(F.lit(" "), "type").alias("text"), poly(there=pos % 3 != 1))
+    lists = t.v_regions.groupBy("page_id").agg(
+        gathered(entity).alias("entities"), gathered(block).alias("blocks"),
+        gathered(F.struct("confidence", poly(1.0)), (page % 2 == 0) | (pos == 0)).alias("spare"),  # odd pages have too few to stand in
+        gathered(F.struct("confidence", poly(there=page % 2 == 0))).alias("page_blocks"), gathered(F.struct(F.lit(None).cast("double").alias("confidence"), poly()), pos % 2 == 0).alias("tables"),
+        gathered(F.struct("confidence", poly(2.0))).alias("paragraphs"), gathered(F.struct(F.when(pos % 2 == 0, "photo").alias("type"), "confidence", poly()), pos % 3 == 0).alias("visual_elements"),
+    )
+    tier = page % 3
+    pages = F.when(tier == 1, F.array(F.struct(F.col("spare").alias("paragraphs")))), F.when(tier == 2, F.array(F.struct(F.col("page_blocks").alias("blocks"), "tables", "paragraphs", "visual_elements")))
+    doc = F.when(tier == 0, F.to_json(F.struct("entities"))).when(tier == 1, F.to_json(F.struct(F.col("blocks").alias("layout_blocks"), pages[0].alias("pages")))).otherwise(F.to_json(F.struct(pages[1].alias("pages"))))
     rows = readers.flatten_layout_doc(lists.select("page_id", doc.alias("doc")))
-    return rows.groupBy("page_id", "tier").agg(F.count("*").alias("n"), F.round(F.min("x_min"), 4).alias("x_min"), F.round(F.max("y_max"), 4).alias("y_max"))
+    return rows.groupBy("page_id", "tier", "type").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 6).alias("confidence"), F.round(F.min("x_min"), 4).alias("x_min"), F.round(F.max("y_max"), 4).alias("y_max"))
 
 
 @query("SELECT trigger_id, trigger_type, CASE WHEN trigger_id % 3 = 0 THEN 0.0 ELSE trigger_id / 4 END AS metric_value, date_trunc('second', fired_at) AS starts_at FROM v_triggers")
@@ -212,11 +234,47 @@ def s14_layout_documents(t: Tables):
 def s3_dataset_registry(t: Tables):
     path = new_path(t.spark, "registry")
     rows = t.v_models.select(F.col("version_tag").alias("version"), F.col("service_name").alias("family"), F.lit("u").alias("uri"), F.sha1(F.col("version_tag").cast("binary")).alias("checksum"), (F.col("stage") == "production").alias("approved"), F.col("created_at").cast("string").alias("created_at"))
-    for part in (rows.where("approved"), rows.where("NOT approved")):
-        readers.append_registry(part, path)
+    for name in ("approved", "others", "approved"):  # a batch that comes twice counts once
+        readers.append_registry(rows.where("approved" if name == "approved" else "NOT approved"), path, name)
     return readers.registry(t.spark, path).groupBy(F.col("family").alias("service_name")).agg(F.count("*").alias("n"), F.count_if("approved").alias("approved"))
 
 
+_CASES = "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'geometry_a' WHEN 1 THEN 'geometry_b' ELSE 'classify' END AS model, material_type, round(confidence, 4) AS confidence_min FROM {q}"
+
+
+@query(f"SELECT 'c-' || vec_id AS case_id, material_type, confidence_min FROM ({_CASES.format(q='v_quads')}) WHERE model = 'geometry_b' AND material_type = 'book' AND vec_id % 7 <> 0")
+def s2_golden_cases(t: Tables):
+    """Case files in folders of a hundred, where names repeat, and a manifest for each folder that leaves some of them out."""
+    root = new_path(t.spark, "golden")
+    rows = t.spark.sql(_CASES, q=t.v_quads)
+    case = F.struct(F.concat(F.lit("c-"), "vec_id").alias("case_id"), "model", "material_type", F.struct("confidence_min").alias("thresholds"))
+    cases = rows.select(F.floor(F.col("vec_id") / 100).alias("lot"), F.regexp_replace(F.to_json(case), ",", ",\n  ").alias("value"))
+    cases.repartition("lot").sortWithinPartitions("lot").write.option("maxRecordsPerFile", 1).partitionBy("lot").text(f"{root}/cases")
+    written = t.spark.read.schema("value string, lot long").text(f"{root}/cases", wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
+    listed = written.select("lot", "file", field("case_id"), field("model"), field("material_type")).where(F.substring("case_id", 3, 20).cast("long") % 7 != 0)
+    entry = F.struct("case_id", "model", "material_type", F.concat(F.lit("./cases/lot="), "lot", F.lit("/"), "file").alias("annotation_path"))
+    manifests = listed.groupBy("lot").agg(F.to_json(F.struct(F.collect_list(entry).alias("cases"))).alias("value"))  # at most a hundred entries each
+    manifests.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(root)
+    found = readers.golden_cases(t.spark, f"{root}/*.txt", f"{root}/cases/*/*", model="geometry_b", material="book")
+    return found.select("case_id", "material_type", F.col("thresholds.confidence_min").alias("confidence_min"))
+
+
+_PAGE_FILE = "coalesce(html, '') || chr(10)"
+
+
+@query(f"SELECT sha256({_PAGE_FILE}) AS hash, strlen({_PAGE_FILE})::BIGINT AS byte_size, count(*) AS n_files, count(*) FILTER (WHERE page_id % 10 = 3) AS n_changed FROM pages GROUP BY 1, 2")
+def s6_artifacts(t: Tables):
+    """Pages as files in the shared folder; the recorded hash of every tenth is another one."""
+    root = new_path(t.spark, "artifacts")
+    t.pages.select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("page_id").text(root)
+    found = readers.artifacts(t.spark, f"{root}/*/*")
+    page = F.regexp_extract("uri", "page_id=([0-9]+)", 1).cast("long")
+    recorded = found.select("uri", F.when(page % 10 == 3, F.sha2(F.lit("earlier"), 256)).otherwise(F.col("hash")).alias("hash"))
+    changed = readers.hash_mismatches(found, recorded).select("uri", F.lit(1).alias("changed"))
+    return found.join(changed, "uri", "left").groupBy("hash", "byte_size").agg(F.count("*").alias("n_files"), F.count("changed").alias("n_changed"))
+
+
 def _widest():
     """A stand-in backend: the box's own area decides its class."""
 

@@ -13,32 +13,55 @@ MANIFEST = "cases array<struct<case_id:string,model:string,material_type:string,
 
 
 def golden_cases(spark: SparkSession, manifest: str, case_glob: str, model: str | None = None, material: str | None = None) -> DataFrame:
-    """Cases that the manifest lists, joined to their files by the end of the path."""
-    listed = spark.read.schema(MANIFEST).json(manifest, multiLine=True).select(F.inline("cases"))
+    """Cases that the manifests under a path list, joined to their files.
+
+    A case's path counts from the folder of its manifest, unless it names a store of its own, so
+    files of one name in different folders stay apart.  Listed files that are missing give no row.
+    """
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "[^/]*$", "")
+    listed = spark.read.schema(MANIFEST).json(manifest, multiLine=True).select(folder.alias("folder"), F.inline("cases"))
     for column, value in (("model", model), ("material_type", material)):
         if value:
             listed = listed.where(F.col(column) == value)
-    files = spark.read.schema(CASE).json(case_glob, multiLine=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    keys = listed.select("case_id", F.element_at(F.split("annotation_path", "/"), -1).alias("file"))
+    files = spark.read.schema(CASE).json(case_glob, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    path = F.regexp_replace("annotation_path", r"^(\./)+", "")
+    keys = listed.select("case_id", F.when(path.rlike("^[a-z0-9]+:/"), path).otherwise(F.concat("folder", path)).alias("file"))
     return keys.join(files.drop("case_id"), "file").drop("file")
 
 
+_REGISTRY = "version string, family string, uri string, checksum string, approved boolean, created_at string"
+
+
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    """Batches under a registry's path whose write has ended."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    found = [s.getPath().toString() for s in fs.listStatus(at) if s.isDirectory() and s.getPath().getName().startswith("batch=")]
+    return sorted(f for f in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{f}/_SUCCESS")))
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Dataset list: appended Parquet rows, or the entries of the old JSON document; a missing path is empty."""
-    schema = "version string, family string, uri string, checksum string, approved boolean, created_at string"
+    """Dataset list: committed batches, or the entries of the old JSON document; a missing path is empty."""
     if path.endswith(".json"):
-        return spark.read.schema(f"datasets array<struct<{', '.join(f'{a}:{b}' for a, b in (c.split() for c in schema.split(', ')))}>>").json(path, multiLine=True).select(F.inline("datasets"))
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # Spark has no test for a path that works on every store
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def append_registry(rows: DataFrame, path: str) -> None:
-    """Add rows to the dataset list; repeated rows are repeated entries."""
-    rows.write.mode("append").parquet(path)
+        return spark.read.schema(f"datasets array<struct<{', '.join(f'{a}:{b}' for a, b in (c.split() for c in _REGISTRY.split(', ')))}>>").json(path, multiLine=True).select(F.inline("datasets"))
+    batches = _committed(spark, path)
+    return spark.read.schema(_REGISTRY).parquet(*batches) if batches else spark.createDataFrame([], _REGISTRY)
+
+
+def append_registry(rows: DataFrame, path: str, batch: str) -> bool:
+    """Add rows to the dataset list as one batch; whether they were added.
+
+    A batch has a name and a folder of its own, and counts once the marker of its end is there.
+    A batch that is there already is left alone, and one that broke off is written anew, so a
+    retry of a task or of the driver repeats no entry.  Repeated rows of a batch are repeated entries.
+    """
+    spark, place = rows.sparkSession, f"{path.rstrip('/')}/batch={batch}"
+    if any(f.endswith(f"/batch={batch}") for f in _committed(spark, path)):
+        return False
+    rows.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").mode("overwrite").parquet(place)
+    return True
 
 
 def seg_labels(lines: DataFrame) -> DataFrame:

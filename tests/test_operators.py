@@ -198,8 +198,9 @@ def test_sources_and_sinks(spark, tmp_path):
     reg = str(tmp_path / "registry")
     assert readers.registry(spark, reg).count() == 0
     one = spark.createDataFrame([("v1", "pose", "u", "h", True, "2024")], "version string, family string, uri string, checksum string, approved boolean, created_at string")
-    readers.append_registry(one, reg)
-    readers.append_registry(one, reg)
+    assert [readers.append_registry(one, reg, b) for b in ("b1", "b2", "b1")] == [True, True, False]
+    (tmp_path / "registry/batch=b2/_SUCCESS").unlink()  # a write that broke off
+    assert readers.registry(spark, reg).count() == 1 and readers.append_registry(one, reg, "b2")
     assert readers.registry(spark, reg).count() == 2
     files = readers.artifacts(spark, str(tmp_path / "cases"))
     wrong = files.withColumn("hash", F.when(F.col("uri").endswith("c1.json"), "old").otherwise(F.col("hash")))
@@ -283,3 +284,46 @@ def test_checksum_follows_content_and_not_order(spark):
     assert one == curation.dataset_checksum(files.repartition(7)).first() and one.n_files == 3000
     assert curation.dataset_checksum(files.where("path <> 'f7'")).first().checksum != one.checksum
     assert curation.dataset_checksum(files.limit(0)).first().checksum is None
+
+
+def test_crowded_pages_are_tiled(spark):
+    """Tiles give the pairs and best matches that all pairs of a page give."""
+    rng = random.Random(12)
+
+    def page(number, n, seed):
+        own = random.Random(seed)
+        out = []
+        for i in range(n):
+            x, y, w, h = own.uniform(0, 900), own.uniform(0, 900), own.choice([5, 20, 90, 700]) * own.random(), own.choice([5, 20, 90, 700]) * own.random()
+            out.append((number, i, own.choice(["title", "table"]), x, y, x + w, y + h, 0.5))
+        return out
+
+    a = page(1, 300, 1) + page(2, 6, 2) + [(1, 900, "title", None, 1.0, 2.0, 3.0, 0.5), (1, 901, "title", 5.0, 5.0, 5.0, 5.0, 0.5), (4, 0, "title", 1.0, 1.0, 2.0, 2.0, 0.5), (None, 0, "title", 1.0, 1.0, 2.0, 2.0, 0.5)]
+    b = [(p, i, t, x + rng.uniform(-3, 3), y, x2, y2, c) if x is not None else (p, i, t, x, y, x2, y2, c) for p, i, t, x, y, x2, y2, c in a if i % 7] + page(3, 2, 3)
+    first, second = spark.createDataFrame(a, REGION).repartition(3), spark.createDataFrame(b, REGION).repartition(3)
+    whole = {(r.page_id, r.type, r.i, r.j): r.iou for r in layout.pairs(first, second, 0.1, crowded=10**9).collect()}
+    tiled = layout.pairs(first, second, 0.1, crowded=20).collect()
+    assert len(tiled) == len(whole) > 100 and {(r.page_id, r.type, r.i, r.j): r.iou for r in tiled} == whole
+    best = {(r.page_id, r.type, r.i): (r.j, r.iou) for r in layout.best_match(first, second, ["page_id", "type"], crowded=10**9).collect()}
+    found = layout.best_match(first, second, ["page_id", "type"], crowded=20).collect()
+    assert len(found) == len(best) == len(a) and {(r.page_id, r.type, r.i): (r.j, r.iou) for r in found} == best
+    assert best[4, "title", 0] == (None, 0.0) and best[1, "title", 900] == (None, 0.0)
+    with pytest.raises(ValueError):
+        layout.pairs(first, second, 0.0)
+
+
+def test_checksum_levels(spark):
+    files = spark.range(4000).selectExpr("concat('f', id) AS path", "sha2(CAST(id AS STRING), 256) AS hash")
+    one = curation.dataset_checksum(files, in_group=10).first()
+    assert one == curation.dataset_checksum(files.repartition(5), in_group=10).first() and one.n_files == 4000
+    assert curation.dataset_checksum(files.where("path <> 'f7'"), in_group=10).first().checksum != one.checksum
+
+
+def test_label_maps(spark):
+    rows = spark.createDataFrame([(" Document-Title ",), ("Figure / Caption",), ("seal",), (None,), ("PARAGRAPH",), ("page_break",)], "label string")
+    got = lambda labels, native, unknown=None: {r.native: r.type for r in layout.map_classes(rows, labels, native(F.col("label")), unknown).collect()}
+    assert got(layout.PRIMARY_LABELS, layout.primary_label) == {"document_title": "title", "figure_caption": "caption"}
+    assert got(layout.SECONDARY_LABELS, layout.secondary_label) == {"paragraph": "text_block"}
+    outer = got(layout.EXTERNAL_LABELS, layout.external_label, "text_block")
+    assert "PAGE_BREAK" not in outer and outer[None] == outer["SEAL"] == "text_block"
+    assert {r.native: r.n for r in layout.unmapped(rows, layout.PRIMARY_LABELS, layout.primary_label(F.col("label"))).collect()} == {"seal": 1, "": 1, "paragraph": 1, "page_break": 1}
