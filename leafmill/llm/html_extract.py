@@ -8,8 +8,11 @@
    the reference that it matches best, and the text hashes of aligned nodes are summarised
    with partial aggregates: a node is template if one hash holds at least ``_SAME_SHARE`` of
    the pages that have it, and at least ``_ENOUGH`` of them; the others are varying slots.
-3. The content of a reference is the deepest node that still holds ``_HOLDS`` of its varying
-   text outside links, and no deeper than a varying heading stands.  Where an article or main element stands around it, or holds at least
+3. The content of a reference is the deepest node that still holds all of its varying text
+   outside links and landmarks, and no deeper than a varying heading stands.  Only in the
+   page's own frame (its body, or an element with landmarks as children) a child that has a
+   heading of its own and ``_HOLDS`` of the text is the content without what stands beside it,
+   such as advertisements that no mark tells.  Where an article or main element stands around it, or holds at least
    ``_SEMANTIC`` of it, that element is the content (semantic tags break ties between slots).
 4. Each page is aligned again.  Its text is that of the nodes in the content slot, without
    template nodes and without landmarks: navigation, footers, forms, scripts and the like by
@@ -25,8 +28,8 @@ Defined cases: null or empty html, and pages without content, give an empty text
 name no host share the host ""; repeated rows are separate pages but count once in a wrapper;
 among equally frequent skeletons the larger one comes first, then the greater as text; a page
 that matches two references equally goes with the first; broken, cut off or very deep markup
-is read to its end, at every depth; whole pages are used.  Child lists whose table would take
-more than ``_TABLE`` cells are paired by the occurrences of each key.
+is read to its end, at every depth; whole pages are used, and child lists of any length are
+matched by the same rule.
 """
 
 from __future__ import annotations
@@ -36,6 +39,7 @@ import json
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -66,6 +70,7 @@ _SHAPE_WORDS = {
     "area", "bar", "block", "body", "bottom", "box", "button", "buttons", "container", "content", "form", "group", "icons", "inner", "items", "left", "link", "links", "list", "main", "outer", "page", "panel", "post", "posts", "right", "section", "site",
     "slot", "thread", "title", "top", "wrap", "wrapper",
 }
+_LANDMARKS = {"nav", "header", "footer", "aside"}
 _UNMARKED = {"html", "body", "main"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that are part of a text and never the container of all of it.
@@ -290,56 +295,122 @@ def _load(data: list) -> Slot:
     return top
 
 
+class _Shapes:
+    """Distinct subtrees of both sides of an alignment; what two of them match is worked out once, however often they occur."""
+
+    def __init__(self):
+        self.known: dict[tuple, int] = {}
+        self.key: list[str] = []
+        self.size: list[int] = []
+        self.below: list[np.ndarray] = []
+        self.weights: dict[tuple[int, int], int] = {}
+        self.paths: dict[tuple[int, int], list[tuple[int, int]]] = {}
+
+    def number(self, top: Slot) -> dict[int, int]:
+        """Shape of every slot, by its id."""
+        of: dict[int, int] = {}
+        for slot in reversed(preorder(top)):
+            shape = slot.key, tuple(of[id(c)] for c in slot.children)
+            if shape not in self.known:
+                self.known[shape] = len(self.key)
+                self.key.append(slot.key)
+                self.below.append(np.array(shape[1], dtype=np.int64))
+                self.size.append(1 + sum(self.size[c] for c in shape[1]))
+            of[id(slot)] = self.known[shape]
+        return of
+
+    def _worth(self, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matches of every two children of p and q: a small matrix of distinct shapes, and the row or column of each child."""
+        (rows, of_row), (columns, of_column) = (np.unique(self.below[s], return_inverse=True) for s in (p, q))
+        return np.array([[self.weights.get((x, y), 0) for y in columns.tolist()] for x in rows.tolist()], dtype=np.int64), of_row, of_column
+
+    def weigh(self, p: int, q: int) -> int:
+        todo = [(p, q, False)]
+        while todo:
+            x, y, ready = todo.pop()
+            if (x, y) in self.weights:
+                continue
+            if x == y or not len(self.below[x]) or not len(self.below[y]):
+                self.weights[x, y] = self.size[x] if x == y else 1
+            elif not ready:
+                todo.append((x, y, True))
+                at: dict[str, list[int]] = {}
+                for c in set(self.below[y].tolist()):
+                    at.setdefault(self.key[c], []).append(c)
+                todo += [(c, d, False) for c in set(self.below[x].tolist()) for d in at.get(self.key[c], ()) if (c, d) not in self.weights]
+            else:
+                self.weights[x, y] = 1 + int(_last_row(*self._worth(x, y))[-1])
+        return self.weights[p, q]
+
+    def path(self, p: int, q: int) -> list[tuple[int, int]]:
+        """Places of the children of p and q that a best match pairs, in order."""
+        if (p, q) not in self.paths:
+            if p == q:
+                self.paths[p, q] = [(i, i) for i in range(len(self.below[p]))]
+            elif not len(self.below[p]) or not len(self.below[q]):
+                self.paths[p, q] = []
+            else:
+                self.paths[p, q] = _best_path(*self._worth(p, q))
+        return self.paths[p, q]
+
+
+def _last_row(worth: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Best sum of an order-preserving pairing of all rows with the first 0, 1, ... columns."""
+    best = np.zeros(len(columns) + 1, dtype=np.int64)
+    for r in rows.tolist():
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + worth[r][columns]), out=best[1:])
+    return best
+
+
+def _best_path(worth: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of a best order-preserving pairing.
+
+    Lists whose table would be large are halved where a best pairing of the halves meets, so
+    memory follows the longer list and not the product.
+    """
+    out, todo = [], [(0, len(rows), 0, len(columns))]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a == b or c == d:
+            continue
+        if (b - a) * (d - c) > _TABLE and b - a > 1:
+            middle = (a + b) // 2
+            before = _last_row(worth, rows[a:middle], columns[c:d])
+            after = _last_row(worth, rows[middle:b][::-1], columns[c:d][::-1])[::-1]
+            cut = c + int((before + after).argmax())
+            todo += [(a, middle, c, cut), (middle, b, cut, d)]
+            continue
+        table = [np.zeros(d - c + 1, dtype=np.int64)]
+        for r in rows[a:b].tolist():
+            row = table[-1].copy()
+            np.maximum.accumulate(np.maximum(row[1:], table[-1][:-1] + worth[r][columns[c:d]]), out=row[1:])
+            table.append(row)
+        i, j = b - a, d - c
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((a + i, c + j))
+    return sorted(out)
+
+
 def match(a: Slot, b: Slot, pairs: list | None = None) -> int:
     """Simple tree matching: size of the largest order-preserving match of equal keys; collects (a, b) pairs."""
     if a.key != b.key:
         return 0
-    order = [(a, b)]
-    for x, y in order:  # grows: what may meet below a pair
-        order.extend(_candidates(x, y))
-    weight: dict[tuple[int, int], int] = {}
-    tables: dict[tuple[int, int], list[list[int]]] = {}
-    for x, y in reversed(order):
-        m, n = len(x.children), len(y.children)
-        if m * n > _TABLE:
-            weight[id(x), id(y)] = 1 + sum(weight[id(p), id(q)] for p, q in _candidates(x, y))
-            continue
-        best = [[0] * (n + 1) for _ in range(m + 1)]
-        for i in range(m if n else 0):
-            for j in range(n):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight.get((id(x.children[i]), id(y.children[j])), 0))
-        weight[id(x), id(y)], tables[id(x), id(y)] = 1 + best[m][n], best
+    shapes = _Shapes()
+    of_a, of_b = shapes.number(a), shapes.number(b)
+    found = shapes.weigh(of_a[id(a)], of_b[id(b)])
     if pairs is not None:
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
             pairs.append((x, y))
-            if (id(x), id(y)) not in tables:
-                todo.extend(_candidates(x, y))
-                continue
-            best, i, j = tables[id(x), id(y)], len(x.children), len(y.children)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    todo.append((x.children[i - 1], y.children[j - 1]))
-                    i, j = i - 1, j - 1
-    return weight[id(a), id(b)]
-
-
-def _candidates(x: Slot, y: Slot) -> list[tuple[Slot, Slot]]:
-    """Children of equal keys; of lists too long for a table, only equal occurrences of them."""
-    if not x.children or not y.children:
-        return []
-    at: dict[str, list[Slot]] = {}
-    for q in y.children:
-        at.setdefault(q.key, []).append(q)
-    if len(x.children) * len(y.children) <= _TABLE:
-        return [(p, q) for p in x.children for q in at.get(p.key, ())]
-    rest = {key: iter(group) for key, group in at.items()}
-    return [(p, q) for p in x.children if (q := next(rest.get(p.key, iter(())), None)) is not None]
+            todo.extend((x.children[i], y.children[j]) for i, j in shapes.path(of_a[id(x)], of_b[id(y)]))
+    return found
 
 
 def _measured(top: Slot) -> list[tuple[int, int, int]]:
@@ -487,11 +558,17 @@ def content_slots(top: Slot, varying: dict[int, float]) -> tuple[list[Slot], boo
             break
     else:
         return [], False
+    def has_heading(slot: Slot) -> bool:
+        return any(s.tag in _HEADINGS and total[id(s)] > 0 for s in preorder(slot))
+
     node = top
     while True:
         best = max((c for c in node.children if c.tag not in _TEXTUAL), key=lambda c: total[id(c)], default=None)
         headed = any(c.tag in _HEADINGS and total[id(c)] > 0 for c in node.children)  # its text belongs to the heading
-        if best is None or headed or total[id(best)] < _HOLDS * total[id(top)]:
+        if best is None or headed:
+            break
+        whole = varying.get(id(node), 0.0) == 0 and not any(total[id(c)] > 0 for c in node.children if c is not best)
+        if not whole and not (_of_the_page(node) and total[id(best)] >= _HOLDS * total[id(node)] and has_heading(best)):
             break
         node = best
     around, up = None, node
@@ -507,6 +584,11 @@ def content_slots(top: Slot, varying: dict[int, float]) -> tuple[list[Slot], boo
     return [node], marks
 
 
+def _of_the_page(slot: Slot) -> bool:
+    """Whether a slot is the page's own frame, where landmarks stand beside the article, and no part of the article."""
+    return slot.tag in ("#page", "html", "body") or any(c.tag in _LANDMARKS or c.says("!") for c in slot.children)
+
+
 def _outermost(node: Slot, total: dict[int, float], tags: set[str] | None) -> list[Slot]:
     """Outermost slots below ``node`` with content that are articles, or main elements of any kind."""
     found, todo = [], node.children[::-1]

@@ -72,11 +72,37 @@ def test_simple_tree_matching_equals_brute_force():
         assert [y for _, y in numbers] == sorted({y for _, y in numbers})
 
 
-def test_long_child_lists_are_paired_by_occurrence(monkeypatch):
-    monkeypatch.setattr(h, "_TABLE", 4)
-    a, b = (h._load(["r", [[k, []] for k in keys]]) for keys in ("xyxzx", "xxyw"))
+def test_long_child_lists_are_matched_like_short_ones(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = (h._load(["r", [random_tree(rng, 1) for _ in range(rng.randint(0, 7))]]) for _ in range(2))
+        whole = h.match(a, b)
+        with monkeypatch.context() as m:
+            m.setattr(h, "_TABLE", 3)
+            pairs = []
+            assert h.match(a, b, pairs) == len(pairs) == whole
+            assert all(x.key == y.key for x, y in pairs)
+    a, b = (h._load(["r", [[f"k{rng.randrange(50)}", []] for _ in range(6000)]]) for _ in range(2))
     pairs = []
-    assert h.match(a, b, pairs) == len(pairs) == 4
+    assert h.match(a, b, pairs) == len(pairs) > 1000
+
+
+def unmarked(i, title, lines):
+    prose = "".join(f"<p>{line}</p>" for line in lines)
+    return f"<html><body><div><a href=/>home</a><a href=/all>all texts</a></div><div><div>{title}</div><div>By writer {i}</div><div>{prose}</div><div>Note {i}: told in {1900 + i}.</div></div><footer>bottom</footer></body></html>"
+
+
+def test_unmarked_titles_bylines_and_notes_stay(spark):
+    """No tag or class says what the article is; hosts of one to fifty pages."""
+    data, want, at = [], {}, 0
+    for n in (1, 2, 3, 4, 8, 50):
+        for i in range(n):
+            title, lines = f"Title of text {i} at host {n}", [f"Line {k} of text {i}, which has {i * 13 + k} words of its own and says so." for k in range(3 + i % 4)]
+            data.append((at, f"http://h{n}.example/{i}", unmarked(i, title, lines)))
+            want[at] = f"{title} By writer {i} {' '.join(lines)} Note {i}: told in {1900 + i}."
+            at += 1
+    found = {r.page_id: r.text for r in h.main_text(frame(spark, data)).collect()}
+    assert found == want
 
 
 def test_one_odd_page_does_not_undo_a_template(spark):
