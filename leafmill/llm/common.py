@@ -1,16 +1,20 @@
 """Helpers that the training-data operators share: table reads, shared storage, bounded samples.
 
-Nothing here keeps state between calls.  ``materialize`` is the only way an
+``held`` is the only state that a worker keeps between tasks.  ``materialize`` is the only way an
 operator cuts lineage: it writes Parquet to the folder that the cluster names in
 ``spark.checkpoint.dir``, so a lost executor costs a reread and nothing else.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 
 #: Set only when the session names no shared folder (local tests).
 _LOCAL_FALLBACK: dict[str, str] = {}
+_HELD: dict[str, Any] = {}
 _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -61,6 +66,23 @@ def small_batches(spark: SparkSession, most: str = "4m") -> None:
         spark.conf.set(_BATCH_BYTES, most)
 
 
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this Python worker between tasks, and nothing else beside it.
+
+    Workers outlive the stage that they were started for, so what an earlier operator has loaded
+    (a tokenizer, a cache of words) goes as soon as a task of another one asks for its own.
+    """
+    if name not in _HELD:
+        if _HELD:
+            _HELD.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library can give freed memory back
+                ctypes.CDLL(None).malloc_trim(0)
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def texts_in(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """Values of an Arrow column as Python strings, converted a few rows at a time to bound memory."""
     for at in range(0, len(column), rows):

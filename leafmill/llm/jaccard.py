@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import discard, materialize, small_batches, texts_in
+from leafmill.llm.common import discard, held, materialize, small_batches, texts_in
 
 SHINGLE = 5
 #: Links need PERCENT * union <= 100 * intersection.
@@ -123,7 +123,7 @@ def prefix_length(n: int) -> int:
 
 def _profile(batches):
     """doc_id, tkey, n, sid per document, and the partition's sketch (counts to 65,535) in blocks (block >= 0)."""
-    shingler, sketch = _Shingler(), np.zeros(1 << _SKETCH_BITS, dtype=np.uint32)
+    shingler, sketch = held("shingles", _Shingler), np.zeros(1 << _SKETCH_BITS, dtype=np.uint32)
     kind = None
     for batch in batches:
         kind = batch.schema.field("doc_id").type
@@ -173,7 +173,7 @@ def _or_blocks(table: pa.Table) -> pa.Table:
 
 def _signed(batches):
     """Rows with n and the used ranges of their set as ``_LONGS`` integers."""
-    shingler = _Shingler()
+    shingler = held("shingles", _Shingler)
     for batch in batches:
         used, sizes, fine = np.zeros((batch.num_rows, _RANGES), dtype=bool), [], []
         for i, text in enumerate(texts_in(batch.column("text"))):
@@ -220,7 +220,7 @@ def _entries(batches, common):
     info holds the set's size and how many of its shingles are of the share.  A partition
     repeats a set only if it is long ago.
     """
-    shingler, seen = _Shingler(), set()
+    shingler, seen = held("shingles", _Shingler), set()
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], []]
         for text in texts_in(batch.column("text")):
@@ -369,7 +369,7 @@ def _beside(batches):
 
 def _linked(batches):
     """The exact intersection of the two texts of each pair."""
-    shingler = _Shingler()
+    shingler = held("shingles", _Shingler)
     last: tuple[str | None, np.ndarray] = (None, np.zeros(0, dtype=np.uint64))
     for batch in batches:
         out = []

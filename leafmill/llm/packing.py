@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import materialize, texts_in
+from leafmill.llm.common import held, materialize, texts_in
 
 _DIMS, _BITS, _HASHED = 4, 15, 128
 _CACHE_ENTRIES = 150_000
@@ -75,13 +75,8 @@ class _Tokens:
         return b"".join(out)
 
 
-_LOADED: dict[str, _Tokens] = {}
-
-
 def tokens_of(path: str) -> _Tokens:
-    if path not in _LOADED:
-        _LOADED[path] = _Tokens(path)
-    return _LOADED[path]
+    return held(f"tokens of {path}", lambda: _Tokens(path))
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
