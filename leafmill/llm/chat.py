@@ -6,10 +6,11 @@ perspective of their own.  ``mask_spans`` are the character ranges [start, end)
 trains on: the assistant's turns with their end markers.
 
 Conversations are rendered in parts of ``part_turns`` consecutive turns, counted by row, so
-that equal and missing turn numbers do not make a part larger; parts in order of their number
-are the whole dialogue.  Every part is rendered for every participant of the whole
-conversation, and starts with the system turns before it (each text once).  ``n_turns`` counts
-the part's own turns.  Turns are numbered by a sort that can spill; what is gathered is a part,
+that equal and missing turn numbers do not make a part larger; the parts of a perspective, put
+together in order of their number, are the whole dialogue.  Every part is rendered for every
+participant of the whole conversation.  ``context`` renders the system turns before a part
+(each text once), for those who use a part alone; it is empty in the first one, and
+``mask_spans`` do not count it.  Turns are numbered by a sort that can spill; what is gathered is a part,
 the participants and the distinct system turns of a conversation.
 
 Defined cases: a null role is the speaker ``unknown``, a null text is empty, a null turn
@@ -33,7 +34,7 @@ def _plain(c: Column) -> Column:
 
 
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS, system_role: str = "system") -> DataFrame:
-    """conv_id, part, speaker, n_turns, n_trained, rendered, mask_spans for every perspective."""
+    """conv_id, part, speaker, n_turns, n_trained, context, rendered, mask_spans for every perspective."""
     role = _plain(F.coalesce(F.col("role").cast("string"), F.lit("unknown")))
     number = F.coalesce(F.col("turn").cast("long"), F.lit(0))
     rows = turns.select("conv_id", number.alias("turn"), role.alias("role"), _plain(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
@@ -50,8 +51,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, system_role: str = "s
         "conv_id", "part", "own_turns", F.array_distinct(F.flatten(F.collect_list("roles").over(whole))).alias("speakers"),
         F.array_distinct(F.flatten(F.collect_list("rules").over(before))).alias("carried"),
     )
-    carried = F.transform("carried", lambda x: F.struct(F.lit(system_role), x)).cast("array<struct<role:string,text:string>>")
-    seen = parts.select("conv_id", "part", F.size("own_turns").cast("long").alias("n_turns"), F.concat(carried, "own_turns").alias("turns"), F.explode("speakers").alias("speaker"))
+    context = F.array_join(F.transform("carried", lambda x: F.concat(F.lit("<|system|>\n"), x, F.lit(END))), "")
+    seen = parts.select("conv_id", "part", context.alias("context"), F.col("own_turns").alias("turns"), F.explode("speakers").alias("speaker"))
 
     def marker(r: Column) -> Column:
         return F.when(r == F.col("speaker"), F.lit("<|assistant|>\n")).when(r == system_role, F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), r, F.lit("|>\n")))
@@ -67,7 +68,7 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS, system_role: str = "s
 
     own = F.filter("pieces", lambda p: p["own"])
     return pieces.select(
-        "conv_id", F.col("part").cast("long").alias("part"), "speaker", "n_turns", F.size(own).cast("long").alias("n_trained"),
+        "conv_id", F.col("part").cast("long").alias("part"), "speaker", F.size("turns").cast("long").alias("n_turns"), F.size(own).cast("long").alias("n_trained"), "context",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "").alias("rendered"),
         F.array_join(F.aggregate("pieces", start, step)["spans"], ",").alias("mask_spans"),
     )

@@ -386,13 +386,11 @@ def _linked(batches):
 
 
 def _merged(parts: DataFrame, merge, schema: str, fan_in: int = 32) -> DataFrame:
-    """One row a block of what every partition has for it, merged in a tree, so that no task holds more than ``fan_in`` rows of a block or so."""
-    tasks = parts.rdd.getNumPartitions()
+    """One row a block of what every partition of a stored frame has for it, merged in a tree, so that no task holds more than ``fan_in`` rows of a block or so."""
+    tasks = parts.rdd.getNumPartitions()  # asks for the plan only: nothing is shuffled before ``parts``
     while tasks > fan_in:
         tasks = -(-tasks // fan_in)
         parts = parts.withColumn("salt", F.spark_partition_id() % tasks).groupBy("block", "salt").applyInArrow(merge, schema)
-        if parts.rdd.getNumPartitions() <= fan_in:
-            break
     return parts.groupBy("block").applyInArrow(merge, schema)
 
 
@@ -473,17 +471,21 @@ class Shingles:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Links among pairs of sids: a, b, intersection, union."""
-        met = self._with_texts(self._with_texts(pairs.select("a", "b"), "a", "b"), "b", "a")
+        pairs = materialize(pairs.select("a", "b"), "pairs")
+        self._written.append(pairs)
+        met = pairs
+        for side, other in ("ab", "ba"):
+            # a set of many pairs, such as a star's centre, meets them in several parts
+            stars = pairs.groupBy(side).agg(F.count("*").alias("pairs")).where(F.col("pairs") > _STAR).select(side, F.ceil(F.col("pairs") / _STAR).cast("int").alias("parts"))
+            text = self.texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}"))
+            if stars.isEmpty():
+                met = met.join(text, side)
+                continue
+            text = text.join(stars, side, "left").select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            met = met.join(stars, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+            met = met.join(text, [side, "part"]).drop("part")
         return met.select("a", "b", "text_a", "text_b").mapInArrow(_linked, "a long, b long, intersection long, union long")
 
-    def _with_texts(self, pairs: DataFrame, side: str, other: str) -> DataFrame:
-        """``pairs`` with the text of one side; a set of many pairs, such as a star's centre, meets them in several parts."""
-        stars = pairs.groupBy(side).agg(F.count("*").alias("pairs")).where(F.col("pairs") > _STAR).select(side, F.ceil(F.col("pairs") / _STAR).cast("int").alias("parts"))
-        text = self.texts.select(F.col("sid").alias(side), F.col("text").alias(f"text_{side}")).join(stars, side, "left")
-        text = text.select(side, f"text_{side}", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        dealt = pairs.join(stars, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-        return dealt.join(text, [side, "part"]).drop("part")
-
     def _signatures(self, prefix: str, name: str) -> DataFrame:
         return self.texts.select(F.col("sid").alias(name), *(F.col(c).alias(f"{prefix}{c}") for c in ("n", *_SIGNATURE)))
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import fold, small_batches, texts_in
+from leafmill.llm.common import fold, held, small_batches, texts_in
 
 _CHUNK = 1024
 _FAST, _STRONG = 3, 12
@@ -34,12 +34,11 @@ def normalised(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split())
 
 
-def fit(docs: DataFrame, per_language: int = 240, sample_chars: int = 2500) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = 160) -> dict[str, bytes]:
     """lang -> dictionary, most frequent language first.
 
-    The fit sample is bounded: about ``per_language`` hashed rows of each language, and of each
-    row ``sample_chars`` characters from a hashed place (or all, if it has fewer).  All of it
-    goes into the dictionaries.
+    The fit sample is bounded: about ``per_language`` hashed rows of each language.  Their whole
+    texts go into the dictionaries.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -50,9 +49,7 @@ def fit(docs: DataFrame, per_language: int = 240, sample_chars: int = 2500) -> d
         chance = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(chance)
     grain = 1 << 30
     taken = known.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(grain)) < (chance * grain).cast("long"))
-    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(31)), room).cast("int") + 1
-    rows = taken.select("lang", F.substring("text", place, sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).collect()
+    rows = taken.select("lang", "text", F.xxhash64("doc_id").alias("h")).collect()
     pieces: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["text"])):
         pieces.setdefault(r["lang"], []).append(normalised(r["text"]))
@@ -103,25 +100,14 @@ def predict(text: Column, model) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(texts: pa.Array) -> pa.Array:
-        encoders = _process_encoders(*model.value)
+        encoders = held(f"encoders {model.value[0]}", lambda: Encoders(model.value[1]))  # digesting takes longer than a batch
         found = [detect(t, encoders) for t in texts_in(texts)]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang", "score"])
 
     return run(text)
 
 
-#: The last model of this process; digesting takes longer than a batch.
-_LAST: dict[str, Encoders] = {}
-
-
-def _process_encoders(name: str, model: dict[str, bytes]) -> Encoders:
-    if name not in _LAST:
-        _LAST.clear()
-        _LAST[name] = Encoders(model)
-    return _LAST[name]
-
-
-def identify(docs: DataFrame, per_language: int = 240, narrow: float = 0.01) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 160, narrow: float = 0.01) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs``."""
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, fit(docs, per_language)))

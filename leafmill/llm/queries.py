@@ -79,21 +79,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-OP1_SQL = f"""
+#: Parts of 512 turns.
+OP1_SQL = """
 WITH t AS (SELECT conv_id, coalesce(turn, 0) AS turn, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 o AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1) AS k FROM t),
-r AS (SELECT *, k // {chat.PART_TURNS} AS part FROM o),
+r AS (SELECT *, k // 512 AS part FROM o),
 s AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
-c AS (SELECT conv_id, part, 1 AS own_turn, k, role, text FROM r
-  UNION ALL SELECT p.conv_id, p.part, 0, min(r.k), 'system', r.text FROM (SELECT DISTINCT conv_id, part FROM r) p
-  JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.part < p.part AND r.role = 'system' GROUP BY p.conv_id, p.part, r.text),
-p AS (SELECT c.conv_id, c.part, s.speaker, c.own_turn, row_number() OVER (PARTITION BY c.conv_id, c.part, s.speaker ORDER BY c.own_turn, c.k) AS i, c.role = s.speaker AS own, c.text || '<|end|>' || chr(10) AS body,
-  CASE WHEN c.role = s.speaker THEN '<|assistant|>' WHEN c.role = 'system' THEN '<|system|>' ELSE '<|user:' || c.role || '|>' END || chr(10) AS head
-  FROM s JOIN c ON c.conv_id IS NOT DISTINCT FROM s.conv_id),
-a AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY i) AS stop FROM p)
-SELECT conv_id, part, speaker, sum(own_turn)::BIGINT AS n_turns, count(*) FILTER (WHERE own) AS n_trained, string_agg(head || body, '' ORDER BY i) AS rendered,
-  coalesce(string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY i) FILTER (WHERE own), '') AS mask_spans
-FROM a GROUP BY conv_id, part, speaker
+b AS (SELECT conv_id, part, string_agg('<|system|>' || chr(10) || text || '<|end|>' || chr(10), '' ORDER BY k) AS context
+  FROM (SELECT p.conv_id, p.part, min(r.k) AS k, r.text FROM (SELECT DISTINCT conv_id, part FROM r) p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.part < p.part AND r.role = 'system' GROUP BY p.conv_id, p.part, r.text) GROUP BY conv_id, part),
+p AS (SELECT r.conv_id, r.part, s.speaker, r.k, r.role = s.speaker AS own, r.text || '<|end|>' || chr(10) AS body,
+  CASE WHEN r.role = s.speaker THEN '<|assistant|>' WHEN r.role = 'system' THEN '<|system|>' ELSE '<|user:' || r.role || '|>' END || chr(10) AS head
+  FROM s JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id),
+a AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, speaker ORDER BY k) AS stop FROM p),
+g AS (SELECT conv_id, part, speaker, count(*) AS n_turns, count(*) FILTER (WHERE own) AS n_trained, string_agg(head || body, '' ORDER BY k) AS rendered,
+  coalesce(string_agg((stop - length(body))::BIGINT::VARCHAR || '-' || stop::BIGINT::VARCHAR, ',' ORDER BY k) FILTER (WHERE own), '') AS mask_spans
+  FROM a GROUP BY conv_id, part, speaker)
+SELECT g.conv_id, g.part, speaker, n_turns, n_trained, coalesce(context, '') AS context, rendered, mask_spans FROM g LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM g.conv_id AND b.part = g.part
 """
 
 #: Exact: every pair that shares a shingle is counted; components by repeated reachability.

@@ -30,9 +30,10 @@ def test_parts_hold_the_whole_conversation(spark):
     assert set(by) == {(7, p, s) for p in range(3) for s in ("early", "al", "bo", "late")} | {(None, p, "al") for p in range(5)}
     for speaker in ("early", "al", "bo", "late"):
         text = ["<|system|>\nrules<|end|>\n"] + [f"<|{'assistant' if s == speaker else 'system' if s == 'system' else 'user:' + s}|>\n{t}<|end|>\n" for _, _, s, t in turns[1:]]
+        assert "".join(by[7, p, speaker].rendered for p in range(3)) == "".join(text)
         for p in range(3):
             r = by[7, p, speaker]
-            assert r.rendered == (text[0] if p else "") + "".join(text[256 * p : 256 * (p + 1)]) and r.n_turns == len(text[256 * p : 256 * (p + 1)])
+            assert r.context == (text[0] if p else "") and r.rendered == "".join(text[256 * p : 256 * (p + 1)]) and r.n_turns == len(text[256 * p : 256 * (p + 1)])
             spans = [tuple(map(int, s.split("-"))) for s in r.mask_spans.split(",") if s]
             assert len(spans) == r.n_trained and all(r.rendered[:a].endswith("<|assistant|>\n") for a, _ in spans)
     assert [by[None, p, "al"].n_turns for p in range(5)] == [256, 256, 256, 256, 76]
