@@ -13,7 +13,8 @@ that grows.
 
 Defined cases: a null or empty text has no sentence and no licence; sentences that are not
 known are skipped, so a known sequence may have other sentences between; a text may hold
-several licences, listed once each in rule order; "all rights reserved" counts only where no
+several licences, listed once each in rule order; a known opening that goes on with words such
+as "for evaluation only" is the sentence ``ALTERED``, for which there is no rule; "all rights reserved" counts only where no
 other sentence is known; identifiers without a rule give ``UNMATCHED``; repeated rows are
 scanned each; texts are read whole.
 """
@@ -43,6 +44,38 @@ SENTENCES = (
     ("SPDX_MPL2", "spdx license identifier mpl 2 0", ""),
     ("SPDX_CC0", "spdx license identifier cc0 1 0", ""),
     ("SPDX_UNLICENSE", "spdx license identifier unlicense", ""),
+    ("SPDX_GPL2_CLASSPATH", "spdx license identifier gpl 2 0 with classpath exception 2 0", ""),
+    ("SPDX_GPL2_CLASSPATH", "spdx license identifier gpl 2 0 only with classpath exception 2 0", ""),
+    ("SPDX_GPL2_CLASSPATH", "spdx license identifier gpl 2 0 orlater with classpath exception 2 0", ""),
+    ("SPDX_GPL3_GCC", "spdx license identifier gpl 3 0 orlater with gcc exception 3 1", ""),
+    ("SPDX_APACHE2_LLVM", "spdx license identifier apache 2 0 with llvm exception", ""),
+    ("SPDX_BOOST", "spdx license identifier bsl 1 0", ""),
+    ("SPDX_EPL2", "spdx license identifier epl 2 0", ""),
+    ("SPDX_ZLIB", "spdx license identifier zlib", ""),
+    ("SPDX_0BSD", "spdx license identifier 0bsd", ""),
+    ("CC_BY_SA", "spdx license identifier cc by sa 4 0", ""),
+    ("CC_BY", "spdx license identifier cc by 4 0", ""),
+    ("CC_BY_SA_3", "spdx license identifier cc by sa 3 0", ""),
+    ("CC_BY_3", "spdx license identifier cc by 3 0", ""),
+    ("APACHE2_TITLE", "apache license version 2 0 january 2004", ""),
+    ("GPL3_TITLE", "gnu general public license version 3 29 june 2007", ""),
+    ("GPL2_TITLE", "gnu general public license version 2 june 1991", ""),
+    ("LGPL3_TITLE", "gnu lesser general public license version 3 29 june 2007", ""),
+    ("LGPL21_TITLE", "gnu lesser general public license version 2 1 february 1999", ""),
+    ("AGPL3_TITLE", "gnu affero general public license version 3 19 november 2007", ""),
+    ("MPL2_TITLE", "mozilla public license version 2 0", ""),
+    ("EPL2_TITLE", "eclipse public license v 2 0", ""),
+    ("BOOST_TITLE", "boost software license version 1 0 august 17th 2003", ""),
+    ("BOOST_LINE", "licensed under the boost software license version 1 0", ""),
+    ("BOOST_GRANT", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ""),
+    ("EPL2_LINE", "this program and the accompanying materials are made available under the terms of the eclipse public license", "2 0"),
+    ("ZLIB_GRANT", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ""),
+    ("ZLIB_ASIS", "this software is provided as is without any express or implied warranty", ""),
+    ("ZLIB_LINE", "licensed under the zlib license", ""),
+    ("CC_BY_SA_3", "licensed under cc by sa 3 0", ""),
+    ("CC_BY_3", "licensed under cc by 3 0", ""),
+    ("CC_BY_SA_3", "licensed under a creative commons attribution sharealike 3 0", ""),
+    ("CC_BY_3", "licensed under a creative commons attribution 3 0", ""),
     ("APACHE2_LINE", "licensed under the apache license version 2 0", ""),
     ("APACHE2_LINE", "the asf licenses this file to you under the apache license version 2 0", ""),
     ("APACHE2_COMPLY", "you may not use this file except in compliance with the license", ""),
@@ -102,7 +135,22 @@ SENTENCES = (
 RULES = (
     ("Apache-2.0", ("APACHE2_LINE", "APACHE2_COMPLY", "APACHE2_COPY", "APACHE2_ASIS")),
     ("Apache-2.0", ("APACHE2_LINE",)),
+    ("Apache-2.0", ("APACHE2_TITLE",)),
+    ("Apache-2.0 WITH LLVM-exception", ("SPDX_APACHE2_LLVM",)),
     ("Apache-2.0", ("SPDX_APACHE2",)),
+    ("BSL-1.0", ("BOOST_TITLE", "BOOST_GRANT")),
+    ("BSL-1.0", ("BOOST_TITLE",)),
+    ("BSL-1.0", ("BOOST_GRANT",)),
+    ("BSL-1.0", ("BOOST_LINE",)),
+    ("BSL-1.0", ("SPDX_BOOST",)),
+    ("Zlib", ("ZLIB_ASIS", "ZLIB_GRANT")),
+    ("Zlib", ("ZLIB_GRANT",)),
+    ("Zlib", ("ZLIB_LINE",)),
+    ("Zlib", ("SPDX_ZLIB",)),
+    ("EPL-2.0", ("EPL2_TITLE",)),
+    ("EPL-2.0", ("EPL2_LINE",)),
+    ("EPL-2.0", ("SPDX_EPL2",)),
+    ("0BSD", ("SPDX_0BSD",)),
     ("MIT", ("MIT_GRANT", "MIT_NOTICE", "MIT_ASIS")),
     ("MIT", ("MIT_LINE",)),
     ("MIT", ("SPDX_MIT",)),
@@ -115,6 +163,14 @@ RULES = (
     ("BSD-2-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ASIS")),
     ("BSD-2-Clause", ("SPDX_BSD2",)),
     ("BSD", ("BSD_LINE",)),
+    ("AGPL-3.0", ("AGPL3_TITLE",)),
+    ("LGPL-3.0", ("LGPL3_TITLE",)),
+    ("LGPL-2.1", ("LGPL21_TITLE",)),
+    ("GPL-3.0", ("GPL3_TITLE",)),
+    ("GPL-2.0", ("GPL2_TITLE",)),
+    ("MPL-2.0", ("MPL2_TITLE",)),
+    ("GPL-2.0 WITH Classpath-exception-2.0", ("SPDX_GPL2_CLASSPATH",)),
+    ("GPL-3.0 WITH GCC-exception-3.1", ("SPDX_GPL3_GCC",)),
     ("AGPL-3.0", ("AGPL3_GRANT", "GPL_ASIS")),
     ("AGPL-3.0", ("AGPL3_GRANT",)),
     ("AGPL-3.0", ("AGPL3_LINE",)),
@@ -150,6 +206,8 @@ RULES = (
     ("CC-BY-SA-4.0", ("CC_BY_SA",)),
     ("CC-BY-ND-4.0", ("CC_BY_ND",)),
     ("CC-BY-4.0", ("CC_BY",)),
+    ("CC-BY-SA-3.0", ("CC_BY_SA_3",)),
+    ("CC-BY-3.0", ("CC_BY_3",)),
     ("CC0-1.0", ("CC0",)),
     ("CC0-1.0", ("SPDX_CC0",)),
     ("Unlicense", ("UNLICENSE_GRANT",)),
@@ -157,6 +215,8 @@ RULES = (
     ("Proprietary", ("RESERVED",)),
 )
 
+#: Words behind a known opening that turn its grant into another one.
+_ALTERS = "(?:^| )(?:evaluation|non ?commercial|never|internal use|personal use|research purposes|academic use|educational use|not for|only for|for [a-z0-9 ]{1,40} only|in production|prohibited)(?: |$)"
 _WORDS = 3
 #: Sentence ends become this mark, which no lower-cased text holds.
 _MARK = "S"
@@ -170,7 +230,7 @@ _UNDER = ("licensed", "released", "distributed", "made available", "available")
 def _openers() -> str:
     """Pattern of the first words of known sentences."""
     gap = r"[^a-z0-9\n]+"
-    known = sorted({gap.join(opening.split()[:_WORDS]) for _, opening, _ in SENTENCES})
+    known = sorted({gap.join(opening.split()[:_WORDS]) for name, opening, _ in SENTENCES if not name.endswith("_TITLE")})  # a name of a licence may begin any line of a sentence
     verbs = "|".join(_UNDER).replace(" ", gap)
     under = rf"(?:licensed|released|(?:this|the){gap}[a-z0-9]+{gap}is{gap}(?:{verbs})){gap}under"
     return "|".join((under, *known))
@@ -201,15 +261,17 @@ def sentence_id(sentence: Column) -> Column:
     plain = F.regexp_replace(plain, "^.{1,80} is distributed in the hope that it will be useful", "this program is distributed in the hope that it will be useful")
     listed = F.try_element_at(_dictionary(), F.substring_index(plain, " ", _WORDS))
     fits = F.filter(listed, lambda e: ((plain == e["opening"]) | F.startswith(plain, F.concat(e["opening"], F.lit(" ")))) & F.contains(plain, e["also"]))
-    return F.get(fits, 0)["name"]
+    found = F.get(fits, 0)
+    altered = F.substring(plain, F.length(found["opening"]) + 1, F.length(plain)).rlike(_ALTERS)
+    return F.when(altered, F.lit("ALTERED")).otherwise(found["name"])
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_licence_sentences, sentence_ids, licences of every row."""
     each = F.filter(sentences(F.col("text")), lambda s: s.rlike(_HINT))
-    # an SPDX expression names several licences
+    # an SPDX expression names several licences; "or later" is part of one
     spdx = "spdx license identifier "
-    parts = lambda s: F.transform(F.split(F.substring(s, len(spdx) + 1, 1 << 30), " (?:or|and) "), lambda p: F.concat(F.lit(spdx), p))
+    parts = lambda s: F.transform(F.split(F.replace(F.substring(s, len(spdx) + 1, 1 << 30), F.lit(" or later"), F.lit(" orlater")), " (?:or|and) "), lambda p: F.concat(F.lit(spdx), p))
     each = F.flatten(F.transform(each, lambda s: F.when(F.startswith(s, F.lit(spdx)), parts(s)).otherwise(F.array(s))))
     ids = F.filter(F.transform(each, sentence_id), lambda x: x.isNotNull())
     rows = docs.select("doc_id", ids.alias("ids"))
@@ -249,11 +311,11 @@ a AS (SELECT r, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '
 b AS (SELECT r, regexp_replace(regexp_replace(t, '[.!?;:][^a-z0-9\s]*\s+|\n[^a-z0-9]*\n', 'S', 'g'), '\n([^a-z0-9\nS]*(?:{_openers()}))', 'S\1', 'g') AS t FROM a),
 u AS (SELECT r, generate_subscripts(string_split(t, 'S'), 1) AS i, trim(regexp_replace(unnest(string_split(t, 'S')), '[^a-z0-9]+', ' ', 'g')) AS s FROM b),
 v AS (SELECT r, i, generate_subscripts(p, 1) AS j, unnest(p) AS s FROM (SELECT r, i, CASE WHEN starts_with(s, 'spdx license identifier ')
-  THEN list_transform(string_split_regex(substr(s, 25), ' (?:or|and) '), lambda x: 'spdx license identifier ' || x) ELSE [s] END AS p FROM u WHERE s <> '')),
+  THEN list_transform(string_split_regex(replace(substr(s, 25), ' or later', ' orlater'), ' (?:or|and) '), lambda x: 'spdx license identifier ' || x) ELSE [s] END AS p FROM u WHERE s <> '')),
 w AS (SELECT r, i, j, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^(?:[0-9]+ )?(?:[a-c] )?(redistributions|neither) ', '\1 '), '^(?:(?:this|the) [a-z0-9]+ is )?(?:{under}) under ', 'licensed under '), '{_LED}', '\1'),
   '^.{{1,80}} is distributed in the hope that it will be useful', 'this program is distributed in the hope that it will be useful') AS s FROM v WHERE regexp_matches(s, '{_HINT}')),
 o(name, opening, also) AS (VALUES {openings}),
-m AS (SELECT w.r, w.i, w.j, max_by(o.name, length(o.opening)) AS name FROM w JOIN o ON (w.s = o.opening OR starts_with(w.s, o.opening || ' ')) AND contains(w.s, o.also) GROUP BY ALL),
+m AS (SELECT w.r, w.i, w.j, max_by(CASE WHEN regexp_matches(substr(w.s, length(o.opening) + 1), '{_ALTERS}') THEN 'ALTERED' ELSE o.name END, length(o.opening)) AS name FROM w JOIN o ON (w.s = o.opening OR starts_with(w.s, o.opening || ' ')) AND contains(w.s, o.also) GROUP BY ALL),
 c AS (SELECT r, list(name ORDER BY i, j) AS every FROM m GROUP BY r),
 e AS (SELECT r, CASE WHEN len(list_filter(every, lambda x: x <> 'RESERVED')) > 0 THEN list_filter(every, lambda x: x <> 'RESERVED') ELSE every END AS ids FROM c),
 q AS (SELECT d.doc_id, coalesce(e.ids, []) AS ids, ' ' || array_to_string(list_transform(coalesce(e.ids, []), lambda x: x || ' '), ' ') AS seq FROM d LEFT JOIN e USING (r)),

@@ -51,6 +51,8 @@ class _Tokens:
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        if len(ranks) >= 1 << 16:
+            raise ValueError("ids are kept in two bytes")
         self.encoding = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={self.END_OF_TEXT: len(ranks)})
         self.allowed = {self.END_OF_TEXT}
         self.pieces: dict[str, bytes] = {}

@@ -130,8 +130,8 @@ FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
 
 #: Exact: every anchor meets every row.
 OP11_SQL = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, c -> floor(256 * c::DOUBLE)) AS x
-  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
 s AS (SELECT a.r, a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS same, list_dot_product(a.x, v.x)::BIGINT AS score FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
 p AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS j FROM s WHERE same QUALIFY j <= 5),
 n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.r, p.j ORDER BY s.score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score

@@ -1,7 +1,9 @@
 import itertools
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import zstandard
@@ -129,6 +131,23 @@ def test_segments_equal_recursive_definition():
         assert np.allclose([s for *_, s in found], [s for *_, s in recursive(scores)])
 
 
+def test_toxicity_held_out_rows_with_known_words(spark):
+    """Of the toxic rows that were never learned from, every one with a word that only toxic rows taught is found.
+
+    The others (5 of 14 on these tables) have no such word: nothing in their text says what their label says.
+    """
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    rows = [(r.doc_id, set(re.findall(r"[^\W\d_]+", (r.text or "").lower())), r.toxic) for r in docs.join(labels, "doc_id").where("toxic IS NOT NULL").collect()]
+    taught = [r for r in rows if fold(r[0], 4) != 2]
+    seen = Counter(w for _, words, toxic in taught if toxic for w in words)
+    clean = {w for _, words, toxic in taught if not toxic for w in words}
+    signs = {w for w, n in seen.items() if n >= 5 and w not in clean}
+    score = {r.doc_id: r.score for r in toxicity.classify(docs, labels).where("held_out").collect()}
+    telling = [d for d, words, toxic in rows if toxic and d in score and words & signs]
+    assert len(telling) >= 9 and all(score[d] >= 0.3 for d in telling)
+    assert np.mean([score[d] < 0.3 for d, _, toxic in rows if not toxic and d in score]) > 0.97
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF, "documents")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

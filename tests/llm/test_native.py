@@ -191,6 +191,27 @@ def test_notices_of_one_line_each(spark):
     assert {r.doc_id: r.licences for r in licenses.scan(df).collect()} == {i: name for i, (name, _) in enumerate(rows)}
 
 
+def test_more_licences_and_full_texts(spark):
+    rows = [
+        ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE"),
+        ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc."), ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nx"),
+        ("Zlib", "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:\n\n1. The origin"),
+        ("BSL-1.0", "// Distributed under the Boost Software License, Version 1.0.\n// (See accompanying file)"), ("BSL-1.0", "SPDX-License-Identifier: BSL-1.0"), ("", "SPDX-License-Identifier: BSL-1.1"),
+        ("EPL-2.0", " * This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/"),
+        ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."), ("GPL-2.0 WITH Classpath-exception-2.0", "SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0"),
+        ("UNMATCHED", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software for evaluation only and never for production."),
+        ("UNMATCHED", "Released under the MIT license for non-commercial purposes."), ("", "The GNU General Public License version 3, 29 June 2007, is long."),
+        ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the\nGNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r.licences for r in licenses.scan(df).collect()}
+    assert found == {i: name for i, (name, _) in enumerate(rows)}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    assert dict(con.execute(f"SELECT doc_id, licences FROM ({licenses.oracle_sql()})").fetchall()) == found
+
+
 def test_wrapped_standard_licences(spark):
     as_comment = {name: "".join(f" * {line}".rstrip() + "\r\n" for line in text.splitlines()) for name, text in WRAPPED.items()}
     marked = [{name: "import x\n" + "".join(f"{mark} {line}".rstrip() + "\n" for line in text.splitlines()) + "x = 1" for name, text in WRAPPED.items()} for mark in ("#", "//", "--")]
@@ -210,7 +231,7 @@ def test_no_python_in_native_plans(spark, sf):
 
 def test_sql_twins(spark, sf):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
+    for t in ("documents", "benchmark", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     con.execute("CREATE TABLE wrapped AS SELECT unnest(?::VARCHAR[]) AS text", [[*WRAPPED.values(), "/* SPDX-License-Identifier: (MIT OR ISC) */ int x;", "all rights reserved, it says.\n-- This file is available under the ISC license", "Copyright 2020 Foo Inc. All rights reserved.", " ".join(WRAPPED["MIT"].split())]])
     forms = con.execute("SELECT row_number() OVER () AS doc_id, text FROM wrapped").df()
