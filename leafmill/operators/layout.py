@@ -30,7 +30,7 @@ def nms(regions: DataFrame, most: float = 0.5) -> DataFrame:
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], crowded: int = 1000, in_tile: int = 32) -> DataFrame:
     """(keys, i, j, a_*, b_*) of boxes of equal keys: every overlapping pair is among them, once.
 
-    On ordinary pages all boxes of a page meet.  Where the two sides have more than ``crowded``
+    On ordinary pages all boxes of a page meet; one count tells whether there are others.  Where the two sides have more than ``crowded``
     boxes of the same keys, their extent is cut into tiles of about ``in_tile`` boxes; a box
     goes to every tile that it touches, and a pair counts in the tile where its overlap begins.
     Boxes with a null coordinate overlap nothing.
@@ -39,7 +39,10 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], crowded: int = 1000
     y = b.select(*keys, F.col("pos").alias("j"), *(F.col(c).alias(f"b_{c}") for c in g.BOX))
     both = a.select(*keys, *g.BOX).unionByName(b.select(*keys, *g.BOX)).groupBy(*keys).agg(F.count("*").alias("_n"), F.min("x_min").alias("_x"), F.max("x_max").alias("_to_x"), F.min("y_min").alias("_y"), F.max("y_max").alias("_to_y"))
     side = F.ceil(F.sqrt(F.col("_n") / in_tile))
-    tiled = both.where(F.col("_n") > crowded).select(*keys, "_x", "_y", side.alias("_side"), ((F.col("_to_x") - F.col("_x")) / side).alias("_w"), ((F.col("_to_y") - F.col("_y")) / side).alias("_h"))
+    tiled = both.where(F.col("_n") > crowded)
+    if tiled.isEmpty():
+        return x.join(y, keys)
+    tiled = tiled.select(*keys, "_x", "_y", side.alias("_side"), ((F.col("_to_x") - F.col("_x")) / side).alias("_w"), ((F.col("_to_y") - F.col("_y")) / side).alias("_h"))
 
     def tile(v: Column, start: str, width: str) -> Column:
         at = F.floor((v - F.col(start)) / F.col(width))
