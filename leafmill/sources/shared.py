@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _OWN: list[str] = []
 
@@ -27,3 +28,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete what lies under a path of ``new_path``, if anything does."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Parquet rows anywhere under a path of ``new_path``; none where nothing was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(path)

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from leafmill.operators import sequence
 from leafmill.operators.health import stage_of
 from leafmill.operators.pages import safe_rate
-from leafmill.sources.shared import new_path, remove
+from leafmill.sources.shared import new_path, remove, written
 from leafmill.streaming import state
 
 MICROS = 1_000_000
@@ -61,7 +61,7 @@ def run(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFram
 
     writer.outputMode("update").foreachBatch(keep).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
-    changes = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    changes = written(spark, out, schema)
     return changes.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("last")).where("last IS NOT NULL").select("last.*")
 
 
@@ -99,7 +99,7 @@ def in_batches(stream: DataFrame, name: str, keys: list[str], order: list[str],
 
     schema = sequence.looking_back(stream.limit(0).withColumn("pos", F.lit(0)), keys, reach, columns, block).select(*stream.columns, *columns).schema
     stream.writeStream.option("checkpointLocation", place).trigger(availableNow=True).foreachBatch(look).start().awaitTermination()
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{out}/rows")
+    return written(spark, f"{out}/rows", schema)
 
 
 def drift(stream: DataFrame, baselines: DataFrame, size: int = 200, sigmas: float = 3.0, block: int = 100_000) -> DataFrame:

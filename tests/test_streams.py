@@ -203,3 +203,15 @@ def test_counters_carry_their_last_sample(spark, tmp_path):
         before[s] = v
     # the sample that came last is older than the one before it: it gives nothing
     assert found == pytest.approx(want)
+
+
+def test_streams_of_nothing(spark, tmp_path):
+    schema = "metric string, value double, ts timestamp, seq long, series string, firing boolean, task_id long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
+    for file in (tmp_path / "in").glob("part-*"):
+        file.unlink()
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    base = spark.createDataFrame([("m", 0.5, 0.01)], "metric string, mean double, std double")
+    assert jobs.drift(stream, base).count() == 0
+    assert jobs.counter_increase(stream, "1 hour", "1 hour").count() == 0
+    assert jobs.run(jobs.alerts(stream, 5, 5), "alerts").count() == jobs.run(jobs.stale_tasks(stream, 5), "stale").count() == 0
