@@ -148,6 +148,56 @@ def test_toxicity_held_out_rows_with_known_words(spark):
     assert np.mean([score[d] < 0.3 for d, _, toxic in rows if not toxic and d in score]) > 0.97
 
 
+def test_forest_grows_like_a_naive_search():
+    """Every split is the best of all features and cuts of the rows of its node, found by trying each."""
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 2] > -0.1) ^ (rng.random(90) < 0.1)).astype(float)
+    forest = quality.grow(x, y, trees=4, depth=3, bins=8)
+    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])) for f in range(4)]
+    margin = np.full(90, np.log(y.mean() / (1 - y.mean())))
+    assert abs(forest.base - margin[0]) < 1e-12
+    for tree in range(4):
+        p = 1 / (1 + np.exp(-margin))
+        grad, hess = y - p, p * (1 - p)
+        worth = lambda rows: grad[rows].sum() ** 2 / (hess[rows].sum() + 2.0)  # noqa: B023, E731
+        nodes = {0: np.arange(90)}
+        for node in range(7):
+            rows, best, split = nodes[node], 1e-6, (0, np.inf)
+            for f, c in ((f, c) for f in range(4) for c in cuts[f]):
+                low = x[rows, f] <= c
+                if hess[rows[low]].sum() >= 3 and hess[rows[~low]].sum() >= 3 and (gain := worth(rows[low]) + worth(rows[~low]) - worth(rows)) > best + 1e-9:
+                    best, split = gain, (f, c)
+            assert (forest.feature[tree, node], forest.threshold[tree, node]) == split
+            high = x[rows, split[0]] > split[1]
+            nodes[2 * node + 1], nodes[2 * node + 2] = rows[~high], rows[high]
+        for leaf in range(8):
+            rows = nodes[7 + leaf]
+            value = 0.15 * grad[rows].sum() / (hess[rows].sum() + 2.0)
+            assert abs(forest.leaf[tree, leaf] - value) < 1e-9
+            margin[rows] += value
+
+
+def test_segment_scores_are_calibrated():
+    """lambda against its closed form for steps of one, and E-values against fresh random texts."""
+    rng = np.random.default_rng(11)
+    model = toxicity.ToxicModel(drift=1.0)
+
+    def best(n, p):
+        hits = [(int(i), 1.0) for i in np.flatnonzero(rng.random(n) < p)]
+        return max((s for *_, s in toxicity.segments(hits, 1.0)), default=0.0)
+
+    lengths = rng.integers(50, 2000, 400)
+    clean = [(int(n), best(n, 0.2)) for n in lengths]
+    toxicity._constants(model, [(1.0, int(0.2 * lengths.sum()))], clean)
+    assert abs(model.lam - math.log(0.8 / 0.2)) < 1e-3
+    fresh = [(int(n), best(n, 0.2)) for n in rng.integers(50, 2000, 600)]
+    for level in (0.05, 0.5):
+        share = np.mean([math.exp(-model.significance(n, s)) < level for n, s in fresh])
+        assert share < 1.6 * level + 0.02  # scores are whole numbers here, so E-values come in steps
+    assert math.exp(-model.significance(1000, best(1000, 0.7))) < 1e-6
+
+
 def test_language_held_out(spark):
     docs = table(spark, SF, "documents")
     rows = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
