@@ -64,3 +64,20 @@ def test_hilbert_order_is_a_walk():
         assert sorted(keys.tolist()) == list(range(side**dims))
         walk = grid[np.argsort(keys)]
         assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_a_text_is_one_call_of_the_encoder():
+    """However many words it has; the ids stay those of the tokenizers file."""
+    encode, calls = packing._Tokens(packing.default_ranks()), []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            return lambda *a, **k: calls.append(name) or getattr(self.inner, name)(*a, **k)
+
+    encode.encoding = Counted(encode.encoding)
+    texts = [" ".join(f"w{i * 7919 % 10007}x" for i in range(3000)), "<|endoftext|> x<|endoftext|>", "a  b", "tab\t x\n y "]
+    assert [np.frombuffer(encode(t), "<u2").tolist() + [1] for t in texts] == ids_of(texts)
+    assert len(calls) == len(texts)
