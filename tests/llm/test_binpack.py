@@ -3,8 +3,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from conftest import edge_rows
-from leafmill.llm import binpack
+from leafmill.llm import binpack, packing
 from leafmill.llm.common import table
 from tokenizers import Tokenizer
 
@@ -94,3 +95,17 @@ def test_rounds_keep_every_item_once(spark):
     closed = [b for k, s in enumerate(stored) for b in (s if k == len(stored) - 1 else s.where("NOT is_open")).collect()]
     assert sorted(m for b in closed for m in b.members) == list(range(3000))
     assert all(sum(b.lengths) <= 100 for b in closed)
+
+
+def test_tokenising_calls_the_encoder_once_a_text(monkeypatch):
+    encode, calls = packing._Tokens(packing.default_ranks()), []
+    inner = encode.encoding
+    encode.encoding = type("Counted", (), {"__getattr__": lambda _, name: lambda *a, **k: calls.append(name) or getattr(inner, name)(*a, **k)})()
+    monkeypatch.setattr(binpack, "tokens_of", lambda path: encode)
+    monkeypatch.setattr(binpack, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("Context", (), {"partitionId": lambda _: 0})())}))
+    texts = [None, "", " ".join(f"w{i}q" for i in range(2000)), "a b"]
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(range(4), pa.int64()), pa.array(texts)], names=["row", "doc_id", "text"])
+    found = [np.frombuffer(i, "<u2").tolist() for b in binpack._tokenised([batch], "", 2, 1024) for i in b.column("ids").to_pylist()]
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert found == [t.encode(x or "", add_special_tokens=False).ids + [2] for x in texts]
+    assert len(calls) == 2
