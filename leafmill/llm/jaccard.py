@@ -67,6 +67,8 @@ _RANGES = 1024
 _LONGS = _RANGES // 64
 _FINE = 4096
 _NEIGHBOUR_KEYS = 12
+#: Keys before a key that a row carries, to tell pairs that have met under one of them.
+_BEFORE = 8
 #: Pairs of one set that meet its text in one part.
 _STAR = 512
 _BITMAP_BITS = 26
@@ -528,19 +530,31 @@ class Shingles:
         rows = rows.select("key", "sid", "label", F.xxhash64("sid", "key").alias("order")).repartitionByRange("key", "order", "sid").sortWithinPartitions("key", "order", "sid")
         return rows.mapInArrow(_beside, "a long, b long").distinct()
 
-    def crossing_pairs(self, mixed: DataFrame) -> DataFrame:
-        """Pairs (a > b) of the rows that ``mixed`` gives that share a key, pass the filters and have different labels."""
+    def meetings(self, mixed: DataFrame) -> DataFrame:
+        """Pairs (a > b) of the rows that ``mixed`` gives that share a key, pass the filters and have different labels.
+
+        Near copies share many keys, but a pair is told at its first common one, and again only
+        where neither of the ``_BEFORE`` keys before in one set is among those of the other.
+        What holds at a key holds at every earlier common one, as places only grow: so the
+        first is never left out.
+        """
         # no set of the key is small enough to meet the others at this position
         partner = f"greatest(least_n, ceil({PERCENT} * n / 100))"
-        open_rows = mixed.where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").drop("n")
+        before = Window.partitionBy("sid").orderBy("pos", "key").rowsBetween(-_BEFORE, -1)
+        open_rows = mixed.where(f"n - pos >= ceil({PERCENT} * (n + {partner}) / {100 + PERCENT})").withColumn("before", F.collect_list("key").over(before)).drop("n")
         rows = materialize(open_rows.join(self._signatures("", "sid"), "sid"), "open-rows")
         self._written.append(rows)
-        side = ("sid", "n", "pos", "label", *_SIGNATURE)
+        side = ("sid", "n", "pos", "label", "most", "before", *_SIGNATURE)
         x, y = (d.select("key", *(F.col(c).alias(f"{p}_{c}") for c in side)) for d, p in ((rows.where("label <> most"), "x"), (rows, "y")))
         smaller = F.expr("y_n < x_n OR (y_n = x_n AND y_sid < x_sid)")
         passes = (smaller & self._passes("x_n", "x_pos", "y_n", "y_pos")) | (~smaller & self._passes("y_n", "y_pos", "x_n", "x_pos"))
-        met = x.join(y, (x["key"] == y["key"]) & F.expr("x_label <> y_label") & passes & F.expr(_may_link("x_", "y_")))
-        return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b")).distinct()
+        once = F.expr("y_label = y_most OR y_sid < x_sid") & ~F.arrays_overlap("x_before", "y_before")
+        met = x.join(y, (x["key"] == y["key"]) & F.expr("x_label <> y_label") & passes & F.expr(_may_link("x_", "y_")) & once)
+        return met.select(F.greatest("x_sid", "y_sid").alias("a"), F.least("x_sid", "y_sid").alias("b"))
+
+    def crossing_pairs(self, mixed: DataFrame) -> DataFrame:
+        """The pairs of ``meetings``, each once."""
+        return self.meetings(mixed).distinct()
 
 
 def connected(links: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from conftest import SCHEMA, edge_rows, prose
 from leafmill.llm import jaccard
+from pyspark.sql import functions as F
 
 
 def shingles(text):
@@ -104,6 +105,27 @@ def test_join_returns_every_link_between_different_sets(spark):
     assert {frozenset((r.a, r.b)): (r.intersection, r.union) for r in found} == wanted and len(found) == len(wanted)
 
 
+def test_pairs_of_near_copies_meet_once_and_none_is_lost(spark):
+    """Sets that share nearly all keys but are of one label each: every pair that a plain join of the keys finds meets, hardly any twice."""
+    rng = random.Random(11)
+    base = prose(300, 400)
+    rows = [(i, mutated(rng, base, 3)) for i in range(40)] + [(100 + i, prose(600, 30) + " " + prose(700 + i, 60)) for i in range(9)]
+    found = jaccard.Shingles(spark.createDataFrame([(d, t, None, None, None) for d, t in rows], SCHEMA).repartition(3))
+    labels = found.shared.select("sid", F.col("sid").alias("label")).distinct()
+    mixed = found.mixed(labels)
+    met = [(r.a, r.b) for r in found.meetings(mixed).collect()]
+    keys, sets = {}, {}
+    for r in found.texts.collect():
+        sets[r.sid] = shingles(r.text)
+    for r in mixed.collect():
+        keys.setdefault(r.key, []).append(r)
+    plain = {(max(x.sid, y.sid), min(x.sid, y.sid)) for rs in keys.values() for x in rs for y in rs if x.label != y.label}
+    linked = {(a, b) for a, b in plain if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(linked) > 300 and linked <= set(met) <= plain
+    assert len(met) <= 1.2 * len(set(met))
+    found.close()
+
+
 def test_edge_cases(edge_docs, no_docs):
     rows = [(r[0], r[1]) for r in edge_rows()]
     found = [tuple(r) for r in jaccard.components(edge_docs).select("doc_id", "n_shingles", "component_id").collect()]
