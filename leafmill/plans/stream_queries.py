@@ -239,6 +239,15 @@ def s3_dataset_registry(t: Tables):
     return readers.registry(t.spark, path).groupBy(F.col("family").alias("service_name")).agg(F.count("*").alias("n"), F.count_if("approved").alias("approved"))
 
 
+#: One row a file; tasks move their files to their place themselves, the driver does not do it for all.
+_MANY_FILES = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+
+
+def _tasks(t: Tables) -> int:
+    """Writers of many small files: a file costs far more than its bytes, by which Spark would put them into few tasks."""
+    return 4 * t.spark.sparkContext.defaultParallelism
+
+
 _CASES = "SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'geometry_a' WHEN 1 THEN 'geometry_b' ELSE 'classify' END AS model, material_type, round(confidence, 4) AS confidence_min FROM {q}"
 
 
@@ -249,14 +258,14 @@ def s2_golden_cases(t: Tables):
     rows = t.spark.sql(_CASES, q=t.v_quads)
     case = F.struct(F.concat(F.lit("c-"), "vec_id").alias("case_id"), "model", "material_type", F.struct("confidence_min").alias("thresholds"))
     cases = rows.select(F.floor(F.col("vec_id") / 100).alias("lot"), F.regexp_replace(F.to_json(case), ",", ",\n  ").alias("value"))
-    cases.repartition("lot").sortWithinPartitions("lot").write.option("maxRecordsPerFile", 1).partitionBy("lot").text(f"{root}/cases")
+    cases.repartition(_tasks(t), "lot").sortWithinPartitions("lot").write.options(**_MANY_FILES).partitionBy("lot").text(f"{root}/cases")
     written = t.spark.read.schema("value string, lot long").text(f"{root}/cases", wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     field = lambda name: F.get_json_object("value", f"$.{name}").alias(name)
     listed = written.select("lot", "file", field("case_id"), field("model"), field("material_type")).where(F.substring("case_id", 3, 20).cast("long") % 7 != 0)
     entry = F.struct("case_id", "model", "material_type", F.concat(F.lit("./cases/lot="), "lot", F.lit("/"), "file").alias("annotation_path"))
     manifests = listed.groupBy("lot").agg(F.to_json(F.struct(F.collect_list(entry).alias("cases"))).alias("value"))  # at most a hundred entries each
-    manifests.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(root)
-    found = readers.golden_cases(t.spark, f"{root}/*.txt", f"{root}/cases/*/*", model="geometry_b", material="book")
+    manifests.select("value").write.mode("append").options(**_MANY_FILES).text(root)
+    found = readers.golden_cases(t.spark, f"{root}/*.txt", f"{root}/cases", model="geometry_b", material="book")
     return found.select("case_id", "material_type", F.col("thresholds.confidence_min").alias("confidence_min"))
 
 
@@ -265,11 +274,18 @@ _PAGE_FILE = "coalesce(html, '') || chr(10)"
 
 @query(f"SELECT sha256({_PAGE_FILE}) AS hash, strlen({_PAGE_FILE})::BIGINT AS byte_size, count(*) AS n_files, count(*) FILTER (WHERE page_id % 10 = 3) AS n_changed FROM pages GROUP BY 1, 2")
 def s6_artifacts(t: Tables):
-    """Pages as files in the shared folder; the recorded hash of every tenth is another one."""
-    root = new_path(t.spark, "artifacts")
-    t.pages.select("page_id", F.coalesce("html", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("page_id").text(root)
-    found = readers.artifacts(t.spark, f"{root}/*/*")
-    page = F.regexp_extract("uri", "page_id=([0-9]+)", 1).cast("long")
+    """Pages as files in the shared folder; the recorded hash of every tenth is another one.
+
+    A folder holds a hundred files of pages with one last digit, so it takes no glob over a folder
+    for each page to find them, and every file is read and hashed once.
+    """
+    root, hashes = new_path(t.spark, "artifacts"), new_path(t.spark, "artifact-hashes")
+    lot = F.floor(F.col("page_id") / 1000) * 10 + F.col("page_id") % 10
+    t.pages.select(lot.alias("lot"), F.coalesce("html", F.lit("")).alias("value")).repartition(_tasks(t), "lot").write.options(**_MANY_FILES).partitionBy("lot").text(root)
+    found = readers.artifacts(t.spark, root)
+    found.write.parquet(hashes)
+    found = t.spark.read.schema(found.schema).parquet(hashes)
+    page = F.regexp_extract("uri", "lot=(-?[0-9]+)", 1).try_cast("long")
     recorded = found.select("uri", F.when(page % 10 == 3, F.sha2(F.lit("earlier"), 256)).otherwise(F.col("hash")).alias("hash"))
     changed = readers.hash_mismatches(found, recorded).select("uri", F.lit(1).alias("changed"))
     return found.join(changed, "uri", "left").groupBy("hash", "byte_size").agg(F.count("*").alias("n_files"), F.count("changed").alias("n_changed"))

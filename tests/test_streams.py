@@ -215,3 +215,20 @@ def test_streams_of_nothing(spark, tmp_path):
     assert jobs.drift(stream, base).count() == 0
     assert jobs.counter_increase(stream, "1 hour", "1 hour").count() == 0
     assert jobs.run(jobs.alerts(stream, 5, 5), "alerts").count() == jobs.run(jobs.stale_tasks(stream, 5), "stale").count() == 0
+
+
+def test_small_files_lie_in_few_folders_and_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """S6: no folder for each page, and hashes right, also for a null text."""
+    import hashlib
+
+    from leafmill.plans import QUERIES, stream_queries
+
+    root = f"file://{tmp_path}"
+    monkeypatch.setattr(stream_queries, "new_path", lambda spark, name: f"{root}/{name}")
+    spark.range(300).selectExpr("id AS page_id", "IF(id = 7, NULL, concat('<p>', id)) AS html").coalesce(1).write.parquet(f"{root}/sf/pages.parquet")
+    found = {r.hash: (r.byte_size, r.n_files, r.n_changed) for r in QUERIES["s6_artifacts"](spark, f"{root}/sf").collect()}
+    bodies = [b"\n" if i == 7 else f"<p>{i}\n".encode() for i in range(300)]
+    assert found == {hashlib.sha256(b).hexdigest(): (len(b), 1, int(i % 10 == 3)) for i, b in enumerate(bodies)}
+    files = list((tmp_path / "artifacts").glob("*/part-*"))
+    assert len(files) == 300 and len({f.parent for f in files}) == 10
+    assert len({f.name[:10] for f in files}) > 1
