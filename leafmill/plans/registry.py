@@ -6,12 +6,15 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leafmill.plans.views import VIEWS, spark_sql, twin_sql
+from leafmill.plans.views import JOB_ID, PAGE_NUMBER, SPARK_PAGES, VIEWS, spark_sql, twin_sql
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Lines of which one task makes pages; the number of tasks follows from it, not the memory of one.
+LINES_A_TASK = 250_000
 
 
 class Tables:
@@ -25,13 +28,20 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._known:
-            if name in VIEWS:
+            if name == "v_pages":
+                self._known[name] = self.spark.sql(SPARK_PAGES, lines=self._lines())
+            elif name in VIEWS:
                 sql, needs = spark_sql(name)
                 self._known[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in needs})
             else:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name.removeprefix('base_')}.parquet")
         return self._known[name]
 
+    def _lines(self) -> DataFrame:
+        """Lines laid out by the page that they belong to, in as many parts as their number asks for."""
+        parts = max(self.spark.sparkContext.defaultParallelism, -(-self.lineitem.count() // LINES_A_TASK))
+        return self.lineitem.repartition(parts, F.expr(JOB_ID), F.expr(PAGE_NUMBER))
+
 
 def query(sql: str | None = None):
     """Register ``plan(tables)`` under its name; ``sql`` may name the views."""

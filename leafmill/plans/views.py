@@ -11,6 +11,19 @@ import re
 NOW_PAGES = "2001-06-01 00:00:00"
 NOW_EVENTS = "2024-01-25 00:00:00"
 
+#: Parts of ``v_page_base`` and ``v_pages`` that the twins share with the way Spark goes (``SPARK_PAGES``).
+PAGE_NUMBER = "CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((l_linenumber + 1) / 2) AS INT) ELSE CAST(l_linenumber AS INT) END"
+_SUB_PAGE = "CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_linenumber % 2 AS INT) END"
+_PAGE_ID = "concat('job-', CAST(k AS STRING), '/', CAST(page_number AS STRING), '/', coalesce(CAST(sub_page_index AS STRING), '-')) AS page_id"
+_FROM_LINES = """CASE WHEN q < 20 THEN 'accepted' WHEN q < 25 THEN 'review' WHEN q < 28 THEN 'failed' WHEN q < 34 THEN 'pending_human_correction' WHEN q < 38 THEN 'layout_detection'
+    WHEN q < 42 THEN 'ptiff_qa_pending' WHEN q < 44 THEN 'preprocessing' WHEN q < 46 THEN 'semantic_norm' WHEN q < 47 THEN 'rectification' ELSE 'queued' END AS status,
+  CASE WHEN p % 50 = 0 THEN NULL ELSE price END AS processing_time_ms, CASE WHEN p % 40 = 0 THEN NULL ELSE ship END AS status_updated_at,
+  CASE WHEN p % 80 = 0 THEN NULL ELSE ship - INTERVAL 1 DAY END AS created_at, CAST(s % 5 AS INT) AS retry_count,
+  CASE WHEN p % 9 = 0 THEN NULL WHEN p % 9 = 1 THEN '' ELSE concat('s3://out/', CAST(k AS STRING), '/', CAST(p AS STRING), '.tiff') END AS output_uri,
+  CASE WHEN p % 11 = 0 THEN NULL ELSE concat('s3://in/', CAST(k AS STRING), '/', CAST(page_number AS STRING), '.tiff') END AS input_uri,
+  CASE WHEN p % 3 = 0 THEN 1 - sub_page_index + 1 END AS reading_order, p % 2 = 0 AS qa_approved, p % 17 = 0 AS human_corrected,
+  CASE WHEN p % 6 = 0 THEN '["low_confidence","split_confidence_low"]' WHEN p % 6 = 1 THEN '["tta_variance_high"]' WHEN p % 6 = 2 THEN NULL ELSE '[]' END AS review_reasons"""
+
 VIEWS = {
     "v_jobs": """
 SELECT concat('job-', CAST(o_orderkey AS STRING)) AS job_id, concat('col-', CAST(o_custkey % 50 AS STRING)) AS collection_id,
@@ -19,28 +32,21 @@ SELECT concat('job-', CAST(o_orderkey AS STRING)) AS job_id, concat('col-', CAST
   CASE WHEN o_orderkey % 5 = 0 THEN 'preprocess' ELSE 'layout' END AS pipeline_mode, concat('u-', CAST(o_custkey AS STRING)) AS created_by, o_orderdate AS created_at
 FROM {orders}""",
     "v_users": "SELECT concat('u-', CAST(c_custkey AS STRING)) AS user_id, c_name AS username, c_mktsegment AS role FROM {customer}",
-    "v_page_base": """
-SELECT l_orderkey AS k, CASE WHEN l_orderkey % 3 = 0 THEN CAST(floor((l_linenumber + 1) / 2) AS INT) ELSE CAST(l_linenumber AS INT) END AS page_number,
-  CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_linenumber % 2 AS INT) END AS sub_page_index, max(l_quantity) AS q, max(l_partkey) AS p, max(l_suppkey) AS s,
+    "v_page_base": f"""
+SELECT l_orderkey AS k, {PAGE_NUMBER} AS page_number,
+  {_SUB_PAGE} AS sub_page_index, max(l_quantity) AS q, max(l_partkey) AS p, max(l_suppkey) AS s,
   max(l_extendedprice) AS price, max(l_shipdate) AS ship
-FROM {lineitem} GROUP BY 1, 2, 3""",
-    "v_pages": """
-SELECT concat('job-', CAST(k AS STRING), '/', CAST(page_number AS STRING), '/', coalesce(CAST(sub_page_index AS STRING), '-')) AS page_id,
+FROM {{lineitem}} GROUP BY 1, 2, 3""",
+    "v_pages": f"""
+SELECT {_PAGE_ID},
   concat('job-', CAST(k AS STRING)) AS job_id, page_number, sub_page_index,
-  CASE WHEN q < 20 THEN 'accepted' WHEN q < 25 THEN 'review' WHEN q < 28 THEN 'failed' WHEN q < 34 THEN 'pending_human_correction' WHEN q < 38 THEN 'layout_detection'
-    WHEN q < 42 THEN 'ptiff_qa_pending' WHEN q < 44 THEN 'preprocessing' WHEN q < 46 THEN 'semantic_norm' WHEN q < 47 THEN 'rectification' ELSE 'queued' END AS status,
-  CASE WHEN p % 50 = 0 THEN NULL ELSE price END AS processing_time_ms, CASE WHEN p % 40 = 0 THEN NULL ELSE ship END AS status_updated_at,
-  CASE WHEN p % 80 = 0 THEN NULL ELSE ship - INTERVAL 1 DAY END AS created_at, CAST(s % 5 AS INT) AS retry_count,
-  CASE WHEN p % 9 = 0 THEN NULL WHEN p % 9 = 1 THEN '' ELSE concat('s3://out/', CAST(k AS STRING), '/', CAST(p AS STRING), '.tiff') END AS output_uri,
-  CASE WHEN p % 11 = 0 THEN NULL ELSE concat('s3://in/', CAST(k AS STRING), '/', CAST(page_number AS STRING), '.tiff') END AS input_uri,
-  CASE WHEN p % 3 = 0 THEN 1 - sub_page_index + 1 END AS reading_order, p % 2 = 0 AS qa_approved, p % 17 = 0 AS human_corrected,
-  CASE WHEN p % 6 = 0 THEN '["low_confidence","split_confidence_low"]' WHEN p % 6 = 1 THEN '["tta_variance_high"]' WHEN p % 6 = 2 THEN NULL ELSE '[]' END AS review_reasons
-FROM {v_page_base}
+  {_FROM_LINES}
+FROM {{v_page_base}}
 UNION ALL
 SELECT DISTINCT concat('job-', CAST(k AS STRING), '/', CAST(page_number AS STRING), '/-'), concat('job-', CAST(k AS STRING)), page_number, CAST(NULL AS INT),
   CASE WHEN k % 2 = 0 THEN 'split' ELSE 'pending_human_correction' END, CAST(NULL AS DOUBLE), CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), 0,
   CAST(NULL AS STRING), concat('s3://in/', CAST(k AS STRING), '/', CAST(page_number AS STRING), '.tiff'), CAST(NULL AS INT), false, false, CAST(NULL AS STRING)
-FROM {v_page_base} WHERE k % 3 = 0""",
+FROM {{v_page_base}} WHERE k % 3 = 0""",
     "v_invocations": """
 SELECT event_id AS id, concat('ln-', CAST(user_id AS STRING)) AS lineage_id,
   CASE event_type WHEN 'click' THEN 'geometry_a' WHEN 'view' THEN 'geometry_b' WHEN 'purchase' THEN 'rectify' WHEN 'signup' THEN 'layout_a' ELSE 'classify' END AS service_name,
@@ -124,6 +130,20 @@ SELECT d.doc_id AS case_id, concat('img-', CAST(d.doc_id AS STRING)) AS image_ke
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
 }
 
+#: Every line once, and once more for the split parent of its page, so that one grouping finds pages and parents; with the
+#: lines laid out by ``JOB_ID`` and ``PAGE_NUMBER``, neither it nor what groups pages by job and page shuffles again.
+JOB_ID = "concat('job-', CAST(l_orderkey AS STRING))"
+SPARK_PAGES = f"""
+SELECT page_id, job_id, page_number, sub_page_index, CASE WHEN NOT parent THEN status WHEN k % 2 = 0 THEN 'split' ELSE 'pending_human_correction' END AS status, processing_time_ms, status_updated_at, created_at,
+  CASE WHEN parent THEN 0 ELSE retry_count END AS retry_count, output_uri, input_uri, reading_order, CASE WHEN parent THEN false ELSE qa_approved END AS qa_approved,
+  CASE WHEN parent THEN false ELSE human_corrected END AS human_corrected, CASE WHEN NOT parent THEN review_reasons END AS review_reasons
+FROM (SELECT {_PAGE_ID}, job_id, k, parent, page_number, sub_page_index,
+  {_FROM_LINES}
+FROM (SELECT job_id, k, page_number, CASE WHEN NOT parent THEN sub_page END AS sub_page_index, parent, max(l_quantity) FILTER (WHERE NOT parent) AS q, max(l_partkey) FILTER (WHERE NOT parent) AS p,
+  max(l_suppkey) FILTER (WHERE NOT parent) AS s, max(l_extendedprice) FILTER (WHERE NOT parent) AS price, max(l_shipdate) FILTER (WHERE NOT parent) AS ship
+FROM (SELECT *, {JOB_ID} AS job_id, l_orderkey AS k, {PAGE_NUMBER} AS page_number, {_SUB_PAGE} AS sub_page, explode(CASE WHEN l_orderkey % 3 = 0 THEN array(false, true) ELSE array(false) END) AS parent FROM {{lines}})
+GROUP BY 1, 2, 3, 4, 5))"""
+
 
 def _elements(sql: str, first: int) -> str:
     return re.sub(r"\{e(\d+)\}", lambda m: f"embedding[{int(m[1]) - 1 + first}]", sql)

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from leafmill.operators import health, sequence
+from leafmill.plans import registry, views
 from pyspark.sql import functions as F
 
 N = 200_000
@@ -91,3 +92,35 @@ def test_greedy_equals_walk():
                 last = t
                 want.append(i)
         assert sequence.greedy(at, 13, start) == want
+
+
+@pytest.mark.parametrize("name, last", [("a11_closable_parents", 0)])
+def test_tasks_that_make_pages_grow_in_number_only(spark, sf, monkeypatch, name, last):
+    """However few partitions the session has, a task that makes pages reads about as many lines as it should; only the counts of jobs (``last``) meet in the session's own."""
+    monkeypatch.setattr(registry, "LINES_A_TASK", 200, raising=False)
+    context = spark.sparkContext._jsc.sc()
+    first = context.dagScheduler().nextStageId()
+    assert registry.QUERIES[name](spark, sf).collect()
+    context.listenerBus().waitUntilEmpty()
+    read = []
+    for stage in range(first, context.dagScheduler().nextStageId()):
+        tasks = context.statusStore().taskList(stage, 0, 10_000)
+        read.append(max((tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())), default=0))
+    made = [n for n in read if n]
+    assert made and max(made[: len(made) - last]) < 400
+
+
+def test_pages_of_odd_lines(spark, tmp_path):
+    """Pages and parents of one grouping are those of the view's SQL: lost and negative keys, several lines a page, lines of a parent's page with lost values, none."""
+    at = "TIMESTAMP '1998-03-04 05:06:07'"
+    rows = spark.range(4000).selectExpr(
+        "IF(id % 37 = 0, NULL, id % 40 - 8) AS l_orderkey", "IF(id % 29 = 0, NULL, id * 7 % 2000) AS l_partkey", "IF(id % 23 = 0, NULL, id % 11) AS l_suppkey", "CAST(IF(id % 31 = 0, NULL, id % 17 - 2) AS INT) AS l_linenumber",
+        "IF(id % 13 = 0, NULL, CAST(id % 50 AS DOUBLE)) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice", f"IF(id % 19 = 0, NULL, {at} + id * INTERVAL 1 HOUR) AS l_shipdate")
+    for name, lines in (("some", rows), ("none", rows.limit(0))):
+        lines.write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        tables = registry.Tables(spark, str(tmp_path / name))
+        base, pages = (views.spark_sql(v)[0] for v in ("v_page_base", "v_pages"))
+        want = spark.sql(pages, v_page_base=spark.sql(base, lineitem=tables.lineitem))
+        assert tables.v_pages.dtypes == want.dtypes
+        assert sorted(map(repr, tables.v_pages.collect())) == sorted(map(repr, want.collect()))
+        assert (name == "none") == (want.count() == 0)
