@@ -94,7 +94,7 @@ def test_greedy_equals_walk():
         assert sequence.greedy(at, 13, start) == want
 
 
-@pytest.mark.parametrize("name, last", [("a11_closable_parents", 0)])
+@pytest.mark.parametrize("name, last", [("a11_closable_parents", 0), ("a12_viewer_summary", 1)])
 def test_tasks_that_make_pages_grow_in_number_only(spark, sf, monkeypatch, name, last):
     """However few partitions the session has, a task that makes pages reads about as many lines as it should; only the counts of jobs (``last``) meet in the session's own."""
     monkeypatch.setattr(registry, "LINES_A_TASK", 200, raising=False)
