@@ -1,10 +1,13 @@
 """Filters, projections and rollups over jobs and their pages.
 
-Page rows have (job_id, page_number, sub_page_index); the sub index is null for unsplit pages.
+Page rows have (job_id, page_number, sub_page_index); the sub index is null for unsplit pages.  Where they are laid out by
+job and by blocks of page numbers, they also have page_block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,35 +146,55 @@ def child_crops(spreads: DataFrame) -> DataFrame:
     return halves.withColumns({"x_min": F.when(left, 0).otherwise(F.col("cut")), "x_max": F.when(left, F.col("cut")).otherwise(F.col("width"))}).drop("cut")
 
 
+def has_children(pages: DataFrame) -> Column:
+    """Whether a page or its siblings are split; a block holds all of a page, so the window needs no other layout."""
+    return F.max(F.col("sub_page_index").isNotNull()).over(Window.partitionBy(*PAGE_KEY, *(c for c in pages.columns if c == "page_block")))
+
+
 def review_units(pages: DataFrame) -> DataFrame:
     """Pages without those parents that have children: one window, no self join."""
-    child = F.max(F.col("sub_page_index").isNotNull()).over(Window.partitionBy(*PAGE_KEY))
+    child = has_children(pages)
     return pages.withColumn("_c", child).where(~(F.col("sub_page_index").isNull() & F.col("_c"))).drop("_c")
 
 
-def job_rollup(pages: DataFrame) -> DataFrame:
+def by_job(pages: DataFrame, folds: dict[str, tuple[Callable[[Column], Column], Column]], parts: int | None) -> DataFrame:
+    """One row for each job with ``count_if``, ``bool_and`` or ``bool_or`` of a condition under each name.
+
+    With ``parts``, pages are folded by job and block where they lie, and blocks meet by job in so many parts: a task holds no
+    more jobs in a larger table, and a job of very many pages is not one task's.  Without, all meet in the session's.
+    """
+    keys = ["job_id"] if parts is None else ["job_id", "page_block"]
+    rows = pages.select(*keys, *(c.alias(n) for n, (_, c) in folds.items()))
+    blocks = rows.groupBy(*keys).agg(*(how(F.col(n)).alias(n) for n, (how, _) in folds.items()))
+    if parts is None:
+        return blocks
+    return blocks.repartition(parts, "job_id").groupBy("job_id").agg(*((F.sum if how is F.count_if else how)(F.col(n)).alias(n) for n, (how, _) in folds.items()))
+
+
+def job_rollup(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Leaf counts and the derived status of each job; a childless split parent counts as a leaf."""
     s = F.col("status")
     done = s.isin("split", *TERMINAL)
-    rows = review_units(pages).groupBy("job_id").agg(F.count("*").alias("n_leaf"), F.count_if(s == "accepted").alias("n_accepted"), F.count_if(s == "review").alias("n_review"), F.count_if(s == "failed").alias("n_failed"),
-        F.count_if(s.isin(*HUMAN_ONLY)).alias("n_pending"), F.bool_and(s == "queued").alias("q"), F.bool_and(s == "failed").alias("f"), F.bool_and(done).alias("d"))
+    rows = by_job(review_units(pages), {"n_leaf": (F.count_if, F.lit(True)), "n_accepted": (F.count_if, s == "accepted"), "n_review": (F.count_if, s == "review"), "n_failed": (F.count_if, s == "failed"),
+        "n_pending": (F.count_if, s.isin(*HUMAN_ONLY)), "q": (F.bool_and, s == "queued"), "f": (F.bool_and, s == "failed"), "d": (F.bool_and, done)}, parts)
     status = F.when(F.col("q"), "queued").when(~F.col("d"), "running").when(F.col("f"), "failed").otherwise("done")
     return rows.withColumn("job_status", status).drop("q", "f", "d")
 
 
-def qa_gate(pages: DataFrame) -> DataFrame:
+def qa_gate(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Per job: satisfied when every page that waits for review is approved and none waits for correction (split parents aside)."""
-    child = F.max(F.col("sub_page_index").isNotNull()).over(Window.partitionBy(*PAGE_KEY))
-    rows = pages.withColumn("parent", F.col("sub_page_index").isNull() & child)
-    blocked = ((F.col("status") == "ptiff_qa_pending") & ~F.col("qa_approved")) | ((F.col("status") == "pending_human_correction") & ~F.col("parent"))
-    return rows.where("status <> 'split'").groupBy("job_id").agg((~F.bool_or(blocked)).alias("gate_ready"), F.count_if(F.col("status") == "ptiff_qa_pending").alias("n_waiting"))
+    rows = pages.withColumn("parent", F.col("sub_page_index").isNull() & has_children(pages))
+    waits = F.col("status") == "ptiff_qa_pending"
+    blocked = (waits & ~F.col("qa_approved")) | ((F.col("status") == "pending_human_correction") & ~F.col("parent"))
+    return by_job(rows.where("status <> 'split'"), {"blocked": (F.bool_or, blocked), "n_waiting": (F.count_if, waits)}, parts).select("job_id", (~F.col("blocked")).alias("gate_ready"), "n_waiting")
 
 
-def viewer_summary(pages: DataFrame) -> DataFrame:
+def viewer_summary(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """Counts of each job for the viewer, split parents aside, and whether its gate is ready; a null approval counts as neither."""
     s = F.col("status")
-    rows = pages.where("status <> 'split'")
-    counts = rows.groupBy("job_id").agg(F.count("*").alias("total"), F.count_if((s == "ptiff_qa_pending") & ~F.col("qa_approved")).alias("pending"), F.count_if((s == "ptiff_qa_pending") & F.col("qa_approved")).alias("approved"), F.count_if(s == "pending_human_correction").alias("in_correction"), F.count_if(s.isin("accepted", "layout_detection")).alias("released"))
+    waits, approved = s == "ptiff_qa_pending", F.col("qa_approved")
+    met = {"total": F.lit(True), "pending": waits & ~approved, "approved": waits & approved, "in_correction": s == "pending_human_correction", "released": s.isin("accepted", "layout_detection")}
+    counts = by_job(pages.where("status <> 'split'"), {n: (F.count_if, c) for n, c in met.items()}, parts)
     return counts.withColumn("gate_ready", (F.col("pending") == 0) & (F.col("in_correction") == 0))
 
 
@@ -212,9 +235,9 @@ def cancel_plan(pages: DataFrame) -> DataFrame:
     return review_units(pages).where(F.col("status").isin(*AUTOMATABLE, "ptiff_qa_pending", "pending_human_correction")).select("page_id", "job_id", F.col("status").alias("from_state"), F.lit("failed").alias("to_state"))
 
 
-def release_plan(pages: DataFrame, jobs: DataFrame) -> DataFrame:
+def release_plan(pages: DataFrame, jobs: DataFrame, parts: int | None = None) -> DataFrame:
     """Next state of every page that waits at a satisfied gate."""
-    ready = qa_gate(pages).where("gate_ready AND n_waiting > 0").select("job_id")
+    ready = qa_gate(pages, parts).where("gate_ready AND n_waiting > 0").select("job_id")
     to = F.when(F.col("pipeline_mode") == "layout", "layout_detection").otherwise("accepted")
     return pages.where("status = 'ptiff_qa_pending'").join(ready, "job_id", "left_semi").join(jobs.select("job_id", "pipeline_mode"), "job_id").select("page_id", "job_id", to.alias("to_state"))
 

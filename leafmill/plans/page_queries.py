@@ -156,13 +156,13 @@ def a8_active_jobs(t: Tables):
 count(*) FILTER (WHERE status IN ('pending_human_correction','ptiff_qa_pending')) AS n_pending,
 CASE WHEN bool_and(status = 'queued') THEN 'queued' WHEN NOT bool_and(status IN ('split','accepted','review','failed')) THEN 'running' WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'done' END AS job_status FROM ({_LEAF}) GROUP BY job_id""")
 def a9_job_rollup(t: Tables):
-    return p.job_rollup(t.v_pages)
+    return p.job_rollup(t.page_blocks, t.page_parts)
 
 
 @query("""SELECT job_id, NOT bool_or((status = 'ptiff_qa_pending' AND NOT qa_approved) OR (status = 'pending_human_correction' AND NOT parent)) AS gate_ready, count(*) FILTER (WHERE status = 'ptiff_qa_pending') AS n_waiting
 FROM (SELECT x.*, sub_page_index IS NULL AND EXISTS (SELECT 1 FROM v_pages c WHERE c.job_id = x.job_id AND c.page_number = x.page_number AND c.sub_page_index IS NOT NULL) AS parent FROM v_pages x) WHERE status <> 'split' GROUP BY job_id""")
 def a10_qa_gate(t: Tables):
-    return p.qa_gate(t.v_pages)
+    return p.qa_gate(t.page_blocks, t.page_parts)
 
 
 @query("""SELECT job_id, page_number, count(*) FILTER (WHERE sub_page_index IS NOT NULL) AS n_children FROM v_pages GROUP BY 1, 2
@@ -175,7 +175,7 @@ def a11_closable_parents(t: Tables):
 count(*) FILTER (WHERE status = 'ptiff_qa_pending' AND qa_approved) AS approved, count(*) FILTER (WHERE status = 'pending_human_correction') AS in_correction, count(*) FILTER (WHERE status IN ('accepted','layout_detection')) AS released
 FROM v_pages WHERE status <> 'split' GROUP BY job_id)""")
 def a12_viewer_summary(t: Tables):
-    return p.viewer_summary(t.v_pages)
+    return p.viewer_summary(t.page_blocks, t.page_parts)
 
 
 _READ = """SELECT *, row_number() OVER w AS position, lag(page_id) OVER w AS previous_page, lead(page_id) OVER w AS next_page FROM v_pages WHERE status <> 'split'
@@ -235,7 +235,7 @@ def c15_cancel_plan(t: Tables):
 HAVING NOT bool_or((status = 'ptiff_qa_pending' AND NOT qa_approved) OR (status = 'pending_human_correction' AND NOT parent)))
 SELECT x.page_id, x.job_id, CASE WHEN j.pipeline_mode = 'layout' THEN 'layout_detection' ELSE 'accepted' END AS to_state FROM v_pages x JOIN g USING (job_id) JOIN v_jobs j USING (job_id) WHERE x.status = 'ptiff_qa_pending'""")
 def c16_release_plan(t: Tables):
-    return p.release_plan(t.v_pages, t.v_jobs)
+    return p.release_plan(t.page_blocks, t.v_jobs, t.page_parts)
 
 
 _ACTIONS = """SELECT page_id, action, moment FROM (SELECT page_id, status_updated_at AS moment, CASE retry_count WHEN 0 THEN 'approve' WHEN 1 THEN 'flag' WHEN 2 THEN 'correct' WHEN 3 THEN 'reject' ELSE 'edit' END AS action FROM {p} WHERE status_updated_at IS NOT NULL

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.plans.views import JOB_ID, PAGE_NUMBER, SPARK_PAGES, VIEWS, spark_sql, twin_sql
+from leafmill.plans.views import JOB_ID, PAGE_BLOCK, PAGE_NUMBER, SPARK_BLOCKS, SPARK_PAGES, VIEWS, spark_sql, twin_sql
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,7 +30,7 @@ class Tables:
             raise AttributeError(name)
         if name not in self._known:
             if name == "v_pages":
-                self._known[name] = self.spark.sql(SPARK_PAGES, lines=self._lines())
+                self._known[name] = self.spark.sql(SPARK_PAGES, lines=self._lines(PAGE_NUMBER))
             elif name in VIEWS:
                 sql, needs = spark_sql(name)
                 self._known[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in needs})
@@ -37,10 +38,19 @@ class Tables:
                 self._known[name] = self.spark.read.parquet(f"{self.sf_dir}/{name.removeprefix('base_')}.parquet")
         return self._known[name]
 
-    def _lines(self) -> DataFrame:
-        """Lines laid out by the page that they belong to, in as many parts as their number asks for."""
-        parts = max(self.spark.sparkContext.defaultParallelism, -(-self.lineitem.count() // LINES_A_TASK))
-        return self.lineitem.repartition(parts, F.expr(JOB_ID), F.expr(PAGE_NUMBER))
+    @cached_property
+    def page_parts(self) -> int:
+        """Parts in which lines meet by page or block, and blocks by job: as many as the number of lines asks for."""
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.lineitem.count() // LINES_A_TASK))
+
+    @cached_property
+    def page_blocks(self) -> DataFrame:
+        """``v_pages`` with ``page_block``, laid out by job and block instead of by page; for what is counted by job."""
+        return self.spark.sql(SPARK_BLOCKS, lines=self._lines(PAGE_BLOCK))
+
+    def _lines(self, by: str) -> DataFrame:
+        """Lines laid out by the job and the page or block that they belong to."""
+        return self.lineitem.repartition(self.page_parts, F.expr(JOB_ID), F.expr(by))
 
 
 def query(sql: str | None = None):

@@ -130,19 +130,31 @@ SELECT d.doc_id AS case_id, concat('img-', CAST(d.doc_id AS STRING)) AS image_ke
 FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id""",
 }
 
-#: Every line once, and once more for the split parent of its page, so that one grouping finds pages and parents; with the
-#: lines laid out by ``JOB_ID`` and ``PAGE_NUMBER``, neither it nor what groups pages by job and page shuffles again.
+#: By what lines are laid out; a block is 64 page numbers of a job, so a job of few pages lies in one and one of very many in many.
 JOB_ID = "concat('job-', CAST(l_orderkey AS STRING))"
-SPARK_PAGES = f"""
-SELECT page_id, job_id, page_number, sub_page_index, CASE WHEN NOT parent THEN status WHEN k % 2 = 0 THEN 'split' ELSE 'pending_human_correction' END AS status, processing_time_ms, status_updated_at, created_at,
+PAGE_BLOCK = f"floor(({PAGE_NUMBER}) / 64)"
+
+
+def _spark_pages(block: str = "") -> str:
+    """Pages of ``{lines}``; ``block`` is empty, or ``page_block, `` for that column, which the page number determines.
+
+    Every line stands once, and once more for the split parent of its page, so that one grouping finds pages and parents; with
+    the lines laid out by ``JOB_ID`` and ``PAGE_NUMBER`` (or ``PAGE_BLOCK``), neither it nor what groups pages by job and page
+    (and block) shuffles again.
+    """
+    return f"""
+SELECT page_id, job_id, {block}page_number, sub_page_index, CASE WHEN NOT parent THEN status WHEN k % 2 = 0 THEN 'split' ELSE 'pending_human_correction' END AS status, processing_time_ms, status_updated_at, created_at,
   CASE WHEN parent THEN 0 ELSE retry_count END AS retry_count, output_uri, input_uri, reading_order, CASE WHEN parent THEN false ELSE qa_approved END AS qa_approved,
   CASE WHEN parent THEN false ELSE human_corrected END AS human_corrected, CASE WHEN NOT parent THEN review_reasons END AS review_reasons
-FROM (SELECT {_PAGE_ID}, job_id, k, parent, page_number, sub_page_index,
+FROM (SELECT {_PAGE_ID}, job_id, k, parent, {block}page_number, sub_page_index,
   {_FROM_LINES}
-FROM (SELECT job_id, k, page_number, CASE WHEN NOT parent THEN sub_page END AS sub_page_index, parent, max(l_quantity) FILTER (WHERE NOT parent) AS q, max(l_partkey) FILTER (WHERE NOT parent) AS p,
+FROM (SELECT job_id, k, {block}page_number, CASE WHEN NOT parent THEN sub_page END AS sub_page_index, parent, max(l_quantity) FILTER (WHERE NOT parent) AS q, max(l_partkey) FILTER (WHERE NOT parent) AS p,
   max(l_suppkey) FILTER (WHERE NOT parent) AS s, max(l_extendedprice) FILTER (WHERE NOT parent) AS price, max(l_shipdate) FILTER (WHERE NOT parent) AS ship
-FROM (SELECT *, {JOB_ID} AS job_id, l_orderkey AS k, {PAGE_NUMBER} AS page_number, {_SUB_PAGE} AS sub_page, explode(CASE WHEN l_orderkey % 3 = 0 THEN array(false, true) ELSE array(false) END) AS parent FROM {{lines}})
-GROUP BY 1, 2, 3, 4, 5))"""
+FROM (SELECT *, {JOB_ID} AS job_id, l_orderkey AS k, {PAGE_NUMBER} AS page_number, {PAGE_BLOCK} AS page_block, {_SUB_PAGE} AS sub_page, explode(CASE WHEN l_orderkey % 3 = 0 THEN array(false, true) ELSE array(false) END) AS parent FROM {{lines}})
+GROUP BY ALL))"""
+
+
+SPARK_PAGES, SPARK_BLOCKS = _spark_pages(), _spark_pages("page_block, ")
 
 
 def _elements(sql: str, first: int) -> str:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from leafmill.operators import health, sequence
+from leafmill.operators import health, pages, sequence
 from leafmill.plans import registry, views
 from pyspark.sql import functions as F
 
@@ -124,3 +124,55 @@ def test_pages_of_odd_lines(spark, tmp_path):
         assert tables.v_pages.dtypes == want.dtypes
         assert sorted(map(repr, tables.v_pages.collect())) == sorted(map(repr, want.collect()))
         assert (name == "none") == (want.count() == 0)
+
+
+@pytest.mark.parametrize("name", ["a9_job_rollup", "a10_qa_gate", "a12_viewer_summary"])
+def test_tasks_that_count_jobs_grow_in_number_only(spark, sf, monkeypatch, name):
+    """No task reads more than its share of lines or jobs, however few partitions the session has."""
+    monkeypatch.setattr(registry, "LINES_A_TASK", 200)
+    context = spark.sparkContext._jsc.sc()
+    first = context.dagScheduler().nextStageId()
+    assert registry.QUERIES[name](spark, sf).collect()
+    context.listenerBus().waitUntilEmpty()
+    read = []
+    for stage in range(first, context.dagScheduler().nextStageId()):
+        tasks = context.statusStore().taskList(stage, 0, 10_000)
+        read.append(max((tasks.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(tasks.size())), default=0))
+    assert 0 < max(read) < 400
+
+
+#: Counts of jobs over pages, which may be laid out by block.
+BY_JOB = (pages.job_rollup, pages.qa_gate, pages.viewer_summary)
+
+
+@pytest.mark.parametrize("of", BY_JOB)
+def test_one_job_of_many_pages(spark, largest, tmp_path, of):
+    """One job holds nearly all pages: its blocks are counted in many tasks."""
+    lines = spark.range(N).selectExpr(
+        "IF(id % 50 = 0, id, 1) AS l_orderkey", "id * 7 % 2000 AS l_partkey", "id % 11 AS l_suppkey", "CAST(id AS INT) AS l_linenumber", "CAST(id % 50 AS DOUBLE) AS l_quantity",
+        "CAST(id AS DOUBLE) AS l_extendedprice", "TIMESTAMP '1998-03-04 05:06:07' AS l_shipdate")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    tables = registry.Tables(spark, str(tmp_path))
+    tables.page_parts = 16
+    found = of(tables.page_blocks, tables.page_parts).collect()
+    assert largest() < N / 4
+    assert len(found) == N // 50 + 1
+    assert sorted(map(repr, found)) == sorted(map(repr, of(tables.v_pages).collect()))
+
+
+@pytest.mark.parametrize("of", BY_JOB)
+def test_jobs_of_odd_lines(spark, tmp_path, of):
+    """Lost and negative keys, jobs of several blocks, lost approvals and none at all are counted as the view's own pages are."""
+    rows = spark.range(6000).selectExpr(
+        "IF(id % 37 = 0, NULL, id % 40 - 8) AS l_orderkey", "IF(id % 29 = 0, NULL, id * 7 % 2000) AS l_partkey", "IF(id % 23 = 0, NULL, id % 11) AS l_suppkey", "CAST(IF(id % 31 = 0, NULL, id % 517 - 90) AS INT) AS l_linenumber",
+        "IF(id % 13 = 0, NULL, CAST(id % 50 AS DOUBLE)) AS l_quantity", "CAST(id AS DOUBLE) AS l_extendedprice", "TIMESTAMP '1998-03-04 05:06:07' AS l_shipdate")
+    for name, lines in (("some", rows), ("none", rows.limit(0))):
+        lines.write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        tables = registry.Tables(spark, str(tmp_path / name))
+        base, view = (views.spark_sql(v)[0] for v in ("v_page_base", "v_pages"))
+        want = of(spark.sql(view, v_page_base=spark.sql(base, lineitem=tables.lineitem)))
+        found = of(tables.page_blocks, tables.page_parts)
+        assert found.dtypes == want.dtypes
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+        assert (name == "none") == (want.count() == 0)
+        assert tables.page_blocks.where("NOT page_block <=> floor(page_number / 64)").count() == 0
