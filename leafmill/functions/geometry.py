@@ -1,4 +1,4 @@
-"""Column builders of boxes, quadrilaterals and ramps; all of them plain expressions."""
+"""Column builders of boxes, quadrilaterals, ramps and the text of coordinates; all of them plain expressions."""
 
 from __future__ import annotations
 
@@ -159,3 +159,32 @@ def fit_dims(w: Column, h: Column, most: int, truncate: bool) -> Corner:
     """Size within ``most`` pixels a side, never enlarged; truncated or rounded half to even."""
     s = F.least(F.lit(float(most)) / w, F.lit(float(most)) / h, F.lit(1.0))
     return tuple((c * s).cast("int") if truncate else F.bround(c * s, 0).cast("int") for c in (w, h))
+
+
+def fixed(value: Column, places: int) -> Column:
+    """Text of a double with so many places, as C's printf writes it: its exact binary value is rounded, halves go to the even digit.
+
+    Java's formatter, and with it ``format_string``, rounds the shortest decimal half up, so 50.0625 and 1.0055 differ at three
+    places.  Null stays null; from 2^53 on, where a double is a whole number, the text is Java's.
+    """
+    unit = 10.0**places
+
+    def bound(c: Column, then) -> Column:
+        return F.get(F.transform(F.array(c), then), 0)
+
+    def units(part: Column) -> Column:
+        split = part * (2.0**27 + 1)
+        high = split - (split - part)
+        product = part * unit
+        lost = (high * unit - product) + (part - high) * unit  # what the product was rounded by, exactly
+        off = product - F.rint(product)
+        return F.rint(product) + F.when((off == 0.5) & (lost > 0), 1.0).when((off == -0.5) & (lost < 0), -1.0).otherwise(0.0)
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.floor(size)
+        digits = bound(bound(size - whole, units), lambda n: F.concat((whole + F.when(n == unit, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % unit).cast("long").cast("string"), places, "0")))
+        plain = F.when(F.isnan(v), "nan").when(size == float("inf"), "inf").when(size < 2.0**53, digits).otherwise(F.format_string(f"%.{places}f", size))
+        return F.concat(F.when(v.cast("string").startswith("-"), "-").otherwise(""), plain)  # a negative zero has its sign, too
+
+    return F.when(value.isNotNull(), bound(value, text))

@@ -61,7 +61,7 @@ def derived_uri(uri: Column, kind: str, sub: Column | None = None) -> Column:
 
 def seg_line(label: Column, points: list[g.Corner]) -> Column:
     """``class x1 y1 ...`` with six places; a null class is left out, a null coordinate is written as ``null``."""
-    return F.concat_ws(" ", label.cast("string"), *[F.format_string("%.6f", v) for p in points for v in p])
+    return F.concat_ws(" ", label.cast("string"), *[F.coalesce(g.fixed(v, 6), F.lit("null")) for p in points for v in p])
 
 
 def corrected_set(lineage: DataFrame, window: str | None, seed: int = 42) -> tuple[DataFrame, DataFrame]:

@@ -218,7 +218,8 @@ _KEYPOINTS = f"SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x, y, n
 arg_min({{'x': x, 'y': y}}, y) FILTER (WHERE r <= 2) AS tr, arg_max({{'x': x, 'y': y}}, x + y) FILTER (WHERE r <= 2) AS br FROM ({_KEYPOINTS}) GROUP BY 1)""")
 def f5_reorder_keypoints(t: Tables):
     pts = F.array(*[F.struct(F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y")) for i in (4, 2, 1, 3)])
-    return t.v_quads.select("vec_id", F.array_join(F.transform(g.reorder_keypoints(pts), lambda p: F.format_string("%.3f/%.3f", p["x"], p["y"])), " ").alias("points"))
+    text = F.array_join(F.transform(g.reorder_keypoints(pts), lambda p: F.concat_ws("/", g.fixed(p["x"], 3), g.fixed(p["y"], 3))), " ")
+    return t.v_quads.select("vec_id", F.when(F.forall(pts, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), text).alias("points"))
 
 
 @query("SELECT vec_id, round(400 + (x1 - 400) * cos(radians(30)) - (y1 - 300) * sin(radians(30)), 5) AS rx, round(300 + (x1 - 400) * sin(radians(30)) + (y1 - 300) * cos(radians(30)), 5) AS ry, round(1 - y1 / 600, 5) AS qx, round(x1 / 800, 5) AS qy FROM v_quads")

@@ -157,6 +157,15 @@ def test_reorder_keypoints_against_a_loop(spark):
         assert [(p.x, p.y) for p in r.o] == loop(quads[r.i]), quads[r.i]
 
 
+def test_fixed_rounds_as_printf(spark):
+    rng = random.Random(7)
+    values = [x for j in range(200) for x in (j + 0.0625, -(j + 0.1953125), float(f"{j}.0055"), float(f"0.{j:03d}5"), math.nextafter(j / 1000 + 0.0005, 0))]
+    values += [rng.gauss(0, 1) * 10 ** rng.randrange(-8, 12) for _ in range(400)] + [0.0, -0.0, -0.0001, 0.9995, 999.9995, 0.9999995, 5e-324, 2.0**50 + 0.0625, math.inf, -math.inf, math.nan]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", g.fixed(F.col("v"), 3).alias("three"), g.fixed(F.col("v"), 6).alias("six")).collect()
+    assert [(r.three, r.six) for r in rows] == [(f"{r.v:.3f}", f"{r.v:.6f}") for r in rows] and len(rows) == len(values)
+    assert spark.range(1).select(g.fixed(F.lit(None).cast("double"), 3).alias("t")).first().t is None
+
+
 def test_unaugment_inverts(spark):
     r = spark.range(1).select(*[c.alias(n) for c, n in zip(g.unaugment(*g.rotate(F.lit(30.0), F.lit(50.0), 100.0, 80.0, 15.0), 200.0, 160.0, F.lit(False), 15.0, 1.0), "xy", strict=True)]).first()
     assert math.isclose(r.x, 30, abs_tol=1e-9) and math.isclose(r.y, 50, abs_tol=1e-9)

@@ -41,6 +41,16 @@ def test_query(spark, sf, duck, name):
         assert rows(found) == rows(want)
 
 
+@pytest.mark.parametrize(("name", "empty"), [("f5_reorder_keypoints", True), ("f15_label_line", False)])
+def test_halves_are_written_as_the_twin_writes_them(spark, tmp_path, name, empty):
+    vectors = [(i, [((i + j) % 64 - 32) / 512.0 for j in range(16)], i % 10) for i in range(200)] + [(200, None, 1)] * empty
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    found, want = plans.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(plans.ORACLES[name]).df()
+    assert len(found) == len(vectors) and rows(found) == rows(want)
+
+
 def test_entry_runs_without_the_llm_parts(spark):
     import __spark_entry__ as e
 
